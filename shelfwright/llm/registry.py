@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
-QUERIES = {"op6_mixing": mixing.op6_mixing}
+QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
+    "op10_simhash": simhash.op10_simhash,
+}
 
 ORACLE = {"op6_mixing": mixing.OP6_SQL}
