@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import decontaminate, mixing, simhash
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_mixing": mixing.op6_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
