@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, sstable, subword
 
 QUERIES = {
+    "op7_quality": subword.op7_quality,
+    "op2_sstable": sstable.op2_sstable,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_mixing": mixing.op6_mixing,
     "op10_simhash": simhash.op10_simhash,
