@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash, sstable, subword
+from . import decontaminate, mixing, pii, simhash, sstable, subword
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op7_quality": subword.op7_quality,
     "op2_sstable": sstable.op2_sstable,
     "op4_decontaminate": decontaminate.op4_decontaminate,
