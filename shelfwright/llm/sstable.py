@@ -29,6 +29,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, texts
 
-SHARD_BYTES, BLOCK_BYTES, CACHE, END = 16 << 20, 64 << 10, 300_000, 2
+SHARD_BYTES, BLOCK_BYTES, CACHE, END = 16 << 20, 64 << 10, 800_000, 2
 MOST_RANGES = 4096
 MAGIC = b"SSTIDS01"
 _INDEX, _FOOTER = struct.Struct("<8sqIIq"), struct.Struct("<qqqqqII8s")
@@ -73,23 +74,24 @@ class Encoder:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        gap = re.compile(r"\s\s").search
-        for t in texts:
-            if gap(t):
+        gap, get = re.compile(r"\s\s").search, self.rest.get
+        pieces = [None if gap(t) else t.split(" ") for t in texts]
+        heads = {p[0] for p in pieces if p}.difference(self.first)
+        self.first.update(zip(heads, self._bytes(list(heads))))
+        known = [p and [self.first[p[0]], *map(get, p[1:])] for p in pieces]
+        missing = list({w for p, k in zip(pieces, known) if p and None in k for w, x in zip(p, k) if x is None})
+        new = dict(zip(missing, self._bytes([" " + w for w in missing])))
+        for t, p, k in zip(texts, pieces, known):
+            if p is None:
                 yield self._bytes([t])[0] + self.end
-                continue
-            head, *tail = t.split(" ")
-            if head not in self.first:
-                if len(self.first) >= CACHE:
-                    self.first.clear()
-                self.first[head] = self._bytes([head])[0]
-            rest = self.rest
-            if missing := [p for p in set(tail) if p not in rest]:
-                if len(rest) + len(missing) > CACHE and len(rest) > len(missing):
-                    rest.clear()
-                    missing = list(set(tail))
-                rest.update(zip(missing, self._bytes([" " + p for p in missing])))
-            yield self.first[head] + b"".join(map(rest.__getitem__, tail)) + self.end
+            else:
+                yield b"".join([new[w] if x is None else x for w, x in zip(p, k)] if None in k else k) + self.end
+        self.rest.update(new)
+        for cache in (self.first, self.rest):
+            if len(cache) > CACHE:  # the pieces met first are the common ones: they stay
+                kept = dict(islice(cache.items(), CACHE // 2))
+                cache.clear()
+                cache.update(kept)
 
 
 @lru_cache(maxsize=1)
