@@ -50,6 +50,18 @@ SHARDS = "part int, file int, first_id long, last_id long, n_docs long, n_ids lo
 _SHARDS = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.binary())])
 
 
+#: Latin letters, then marks without the apostrophe, which opens pre-tokens of its own.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?$%&*#|]*)").fullmatch
+
+
+#: The byte-level alphabet: bytes that are not printable Latin-1 move to U+0100 on.
+_MOVED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+def _visible(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_MOVED)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,12 +79,30 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.end = end.to_bytes(self.width, "little")
+        self.model = self.tokenizer.model
+        self.marks: dict[str, list[int]] = {}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a space before each. Letters and then marks are two pre-tokens, which the model takes as they are."""
+        out, rest, run = [], [], self.model.tokenize
+        for k, p in enumerate(pieces):
+            if m := _PLAIN(p):
+                ids = [t.id for t in run("\u0120" + (p[: m.end(1)] if p.isascii() else _visible(m[1])))]
+                if m[2]:
+                    ids += self.marks.get(m[2]) or self.marks.setdefault(m[2], [t.id for t in run(m[2])])
+                out.append(np.array(ids, f"<u{self.width}").tobytes())
+            else:
+                out.append(b"")
+                rest.append(k)
+        for k, ids in zip(rest, self._bytes([" " + pieces[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         gap, get = re.compile(r"\s\s").search, self.rest.get
         pieces = [None if gap(t) else t.split(" ") for t in texts]
@@ -80,7 +110,7 @@ class Encoder:
         self.first.update(zip(heads, self._bytes(list(heads))))
         known = [p and [self.first[p[0]], *map(get, p[1:])] for p in pieces]
         missing = list({w for p, k in zip(pieces, known) if p and None in k for w, x in zip(p, k) if x is None})
-        new = dict(zip(missing, self._bytes([" " + w for w in missing])))
+        new = dict(zip(missing, self._pieces(missing)))
         for t, p, k in zip(texts, pieces, known):
             if p is None:
                 yield self._bytes([t])[0] + self.end
