@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, pii, simhash, sstable, subword
+from . import decontaminate, langid, lattice, mixing, pii, simhash, sstable, subword
 
 QUERIES = {
+    "op9_lattice": lattice.op9_lattice,
     "op8_langid": langid.op8_langid,
     "op3_pii": pii.op3_pii,
     "op7_quality": subword.op7_quality,
