@@ -19,7 +19,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,113 +30,144 @@ from pyspark.sql import functions as F
 
 from .common import fold_col, table, texts
 
-SAMPLE, WORDS, LETTERS = 300, 300, 80_000
-CACHE, LONG = 300_000, 64
+SAMPLE, WORDS, LETTERS = 300, 300, 40_000
+CACHE, LONG, PIECE = 400_000, 64, 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-class Automaton:
-    """Suffix automaton: each substring of ``text`` is a path from state 0. Transitions are one table by (state, symbol)."""
-
-    def __init__(self, text: str):
-        self.codes = {c: i for i, c in enumerate(sorted(set(text)))}
-        self.width = max(1, len(self.codes))
-        nxt: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in map(self.codes.__getitem__, text):
-            cur = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = nxt[p][c]
-                if length[q] == length[p] + 1:
-                    link[cur] = q
-                else:
-                    copy = len(nxt)
-                    nxt.append(dict(nxt[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and nxt[p].get(c) == q:
-                        nxt[p][c] = copy
-                        p = link[p]
-                    link[q] = link[cur] = copy
-            last = cur
-        self.step = {s * self.width + c: t for s, row in enumerate(nxt) for c, t in row.items()}
-
-    def phrases(self, text: str) -> int:
-        """How many longest matches, or single unseen characters, make up the text."""
-        codes, step, width = [self.codes.get(c, -1) for c in text], self.step.get, self.width
-        count = state = at = 0
-        n = len(codes)
-        while at < n:
-            count += 1
-            c = codes[at]
-            state = step(c) if c >= 0 else None
-            at += 1
-            while state is not None and at < n and (c := codes[at]) >= 0 and (state := step(state * width + c)) is not None:
-                at += 1
-        return count
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton: each substring of ``codes`` is a path from state 0."""
+    nxt: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in codes:
+        cur = len(nxt)
+        nxt.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            if length[q] == length[p] + 1:
+                link[cur] = q
+            else:
+                copy = len(nxt)
+                nxt.append(dict(nxt[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and nxt[p].get(c) == q:
+                    nxt[p][c] = copy
+                    p = link[p]
+                link[q] = link[cur] = copy
+        last = cur
+    return nxt
 
 
 class Model:
+    """The automata of all languages in one table of (state, symbol), symbol 0 for what no language has."""
+
     def __init__(self, samples: dict[str, tuple[list[str], list[str]]]):
         """samples: per language, the words of its automaton and words of other text of its own."""
         self.languages = sorted(samples)
-        self.automata = [Automaton(" " + " ".join(samples[x][0]) + " ") for x in self.languages]
-        self.norm = np.array([self._rate(a, samples[x][1]) for x, a in zip(self.languages, self.automata)])
+        texts = [" " + " ".join(samples[x][0]) + " " for x in self.languages]
+        alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
+        self.code = np.zeros(0x110000, np.uint16)
+        for c, i in alphabet.items():
+            self.code[ord(c)] = i
+        parts, roots, total = [], [], 0
+        for t in texts:
+            nxt = automaton([alphabet[c] for c in t])
+            part = np.full((len(nxt), len(alphabet) + 1), -1, np.int32)
+            for s, row in enumerate(nxt):
+                for c, to in row.items():
+                    part[s, c] = total + to
+            roots.append(total)
+            total += len(nxt)
+            parts.append(part)
+        self.table = np.concatenate(parts) if parts else np.zeros((0, 1), np.int32)
+        self.roots = np.array(roots, np.int32)
+        self.norm = np.array([self._rate(i, samples[x][1]) for i, x in enumerate(self.languages)])
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, ...]] = []
-
-    @staticmethod
-    def _rate(automaton: Automaton, words: list[str]) -> float:
-        return sum(automaton.phrases(f" {w} ") for w in words) / max(1, sum(map(len, words))) if words else 1.0
-
-    def _count(self, token: str) -> tuple[int, ...]:
-        words = _WORD.findall(token.lower())
-        return (sum(map(len, words)), *(sum(a.phrases(f" {w} ") for w in words) for a in self.automata))
-
-    def counts(self, text: str) -> np.ndarray:
-        """Letters, then phrases per language."""
-        tokens = text.split()
-        if self.known and len(self.rows) > CACHE:
-            self.known.clear()
-            self.rows.clear()
-        known, total = self.known, np.zeros(len(self.automata) + 1, np.int64)
-        for t in set(tokens).difference(known):
-            if len(t) > LONG:
-                known[t] = -1
-            else:
-                known[t] = len(self.rows)
-                self.rows.append(self._count(t))
-        index = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        if (long := index < 0).any():
-            for t in (t for t in tokens if len(t) > LONG):
-                total += self._count(t)
-                known.pop(t, None)
-            index = index[~long]
-        if len(index):
-            used, n = np.unique(index, return_counts=True)
-            total += n @ np.array([self.rows[i] for i in used.tolist()], np.int64)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        n = self.counts(text) if text and self.languages else [0]
-        if not n[0]:
-            return "und", 0.0
-        cost = n[1:] / n[0] / self.norm
-        best = int(np.argmin(cost))
-        z = np.exp(-8 * (cost - cost[best]))
-        return self.languages[best], float(1 / z.sum())
-
-
-@lru_cache(maxsize=1)
+        self.rows = np.zeros((0, len(self.languages) + 1), np.int32)
+
+    def _rate(self, i: int, words: list[str]) -> float:
+        return self.phrases(words)[:, i].sum() / max(1, sum(map(len, words))) if words else 1.0
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """(words, languages): how many longest matches, or single unseen characters, make up each word with its spaces."""
+        n, k = len(words), len(self.roots)
+        if not n:
+            return np.zeros((0, k), np.int32)
+        flat = self.code[np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = np.array([len(w) + 2 for w in words], np.int32)
+        stop = np.cumsum(size, dtype=np.int32)
+        at, end = np.tile(stop - size, k), np.tile(stop, k)
+        root = np.repeat(self.roots, n)
+        state, count, live = root.copy(), np.zeros(n * k, np.int32), np.arange(n * k)
+        while len(live):
+            to = self.table[state, flat[at]]
+            ok = to >= 0
+            at += ok | (state == root)
+            state = np.where(ok, to, root)
+            over = at == end
+            count[live] += ~ok
+            count[live[over & ok]] += 1
+            go = ~over
+            live, at, end, root, state = live[go], at[go], end[go], root[go], state[go]
+        return count.reshape(k, n).T
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Letters and phrase counts of tokens that are not known yet."""
+        words = [_WORD.findall(t.lower()) for t in tokens]
+        index: dict[str, int] = {}
+        flat = [index.setdefault(w, len(index)) for own in words for w in own]
+        each = np.column_stack([[len(w) for w in index], self.phrases(list(index))]) if index else self.rows[:0]
+        new = np.zeros((len(tokens), self.rows.shape[1]), np.int32)
+        np.add.at(new, np.repeat(np.arange(len(tokens)), [len(x) for x in words]), each[flat] if flat else self.rows[:0])
+        self.known.update(zip(tokens, range(len(self.rows), len(self.rows) + len(tokens))))
+        self.rows = np.concatenate([self.rows, new])
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """(texts, 1 + languages): letters, then phrases per language."""
+        tokens = [t.split() for t in texts]
+        known = self.known
+        self._learn(list(set().union(*tokens).difference(known)))
+        out = np.zeros((len(texts), self.rows.shape[1]), np.int64)
+        for i, own in enumerate(tokens):
+            if own:
+                out[i] = self.rows[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
+        if len(known) > CACHE:  # the tokens met first are the common ones: they stay
+            kept = [t for t in islice(known, CACHE // 2) if len(t) <= LONG]
+            self.rows = self.rows[[known[t] for t in kept]]
+            known.clear()
+            known.update(zip(kept, range(len(kept))))
+        return out
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        out = []
+        for n in self.counts(texts):
+            if not n[0]:
+                out.append(("und", 0.0))
+                continue
+            cost = n[1:] / n[0] / self.norm
+            best = int(np.argmin(cost))
+            out.append((self.languages[best], float(1 / np.exp(-8 * (cost - cost[best])).sum())))
+        return out
+
+
+_MODELS: dict[tuple, Model] = {}
+
+
 def _model(samples: tuple) -> Model:
-    return Model({x: (own.split(), other.split()) for x, own, other in samples})
+    """The worker's model; another one makes room first."""
+    if samples not in _MODELS:
+        _MODELS.clear()
+        _MODELS[samples] = Model({x: (own.split(), other.split()) for x, own, other in samples})
+    return _MODELS[samples]
 
 
 def _draw(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -172,10 +204,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
     return tuple(x for x in out if x[1])
 
 
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``PIECE`` characters."""
+    piece, size = [], 0
+    for t in texts:
+        piece.append(t)
+        size += len(t)
+        if size >= PIECE:
+            yield piece
+            piece, size = [], 0
+    if piece:
+        yield piece
+
+
 def _predict(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa.RecordBatch]:
     model = _model(samples)
     for b in batches:
-        found = [model.predict(t) for t in b.column(1).to_pylist()]
+        found = [x for piece in _pieces(b.column(1).to_pylist()) for x in model.predict(piece)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
 
