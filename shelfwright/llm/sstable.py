@@ -22,17 +22,19 @@ The tokenizer's special strings in a text count as ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, texts
 
-SHARD_BYTES, BLOCK_BYTES, CACHE, END = 16 << 20, 64 << 10, 800_000, 2
+SHARD_BYTES, BLOCK_BYTES, CACHE, END = 16 << 20, 64 << 10, 400_000, 2
+LONG, PIECE = 64, 8 << 20
+ADJOINING = r"[\t-\r\x1c-\x20\x{85}\p{Z}]{2}"
 MOST_RANGES = 4096
 MAGIC = b"SSTIDS01"
 _INDEX, _FOOTER = struct.Struct("<8sqIIq"), struct.Struct("<qqqqqII8s")
@@ -80,48 +84,61 @@ class Encoder:
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         self.end = end.to_bytes(self.width, "little")
         self.model = self.tokenizer.model
-        self.marks: dict[str, list[int]] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.pack = partial(array, "H" if self.width == 2 else "I")
+        self.marks: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces with a space before each. Letters and then marks are two pre-tokens, which the model takes as they are."""
-        out, rest, run = [], [], self.model.tokenize
-        for k, p in enumerate(pieces):
-            if m := _PLAIN(p):
-                ids = [t.id for t in run("\u0120" + (p[: m.end(1)] if p.isascii() else _visible(m[1])))]
-                if m[2]:
-                    ids += self.marks.get(m[2]) or self.marks.setdefault(m[2], [t.id for t in run(m[2])])
-                out.append(np.array(ids, f"<u{self.width}").tobytes())
-            else:
-                out.append(b"")
+        return [self.pack(e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str], ids: list[bytes | None]) -> None:
+        """Fills in the ids of pieces with a space before each, which are None so far. Letters and then marks are two pre-tokens, which the model takes as they are."""
+        run, pack, marks, get, rest = self.model.tokenize, self.pack, self.marks, self.recent.get, []
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            p = pieces[k]
+            if (x := self.old.get(p)) is None and (m := _PLAIN(p)):
+                word, mark = m.groups()
+                if not mark or (x := get(word)) is None:
+                    x = pack([t.id for t in run("\u0120" + (word if word.isascii() else _visible(word)))]).tobytes()
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = pack([t.id for t in run(mark)]).tobytes()
+                    x += marks[mark]
+            if x is None:
                 rest.append(k)
-        for k, ids in zip(rest, self._bytes([" " + pieces[k] for k in rest])):
-            out[k] = ids
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        gap, get = re.compile(r"\s\s").search, self.rest.get
-        pieces = [None if gap(t) else t.split(" ") for t in texts]
-        heads = {p[0] for p in pieces if p}.difference(self.first)
-        self.first.update(zip(heads, self._bytes(list(heads))))
-        known = [p and [self.first[p[0]], *map(get, p[1:])] for p in pieces]
-        missing = list({w for p, k in zip(pieces, known) if p and None in k for w, x in zip(p, k) if x is None})
-        new = dict(zip(missing, self._pieces(missing)))
-        for t, p, k in zip(texts, pieces, known):
-            if p is None:
-                yield self._bytes([t])[0] + self.end
             else:
-                yield b"".join([new[w] if x is None else x for w, x in zip(p, k)] if None in k else k) + self.end
-        self.rest.update(new)
-        for cache in (self.first, self.rest):
-            if len(cache) > CACHE:  # the pieces met first are the common ones: they stay
-                kept = dict(islice(cache.items(), CACHE // 2))
-                cache.clear()
-                cache.update(kept)
+                ids[k] = x
+                if len(p) <= LONG:
+                    self.recent[p] = x
+        for k, x in zip(rest, self._bytes([" " + pieces[k] for k in rest])):
+            ids[k] = x
+            if len(pieces[k]) <= LONG:
+                self.recent[pieces[k]] = x
+        if len(self.recent) > CACHE:  # what was met since the last time stays
+            self.old, self.recent = self.recent, {}
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """A binary array of the ids of a string array; splitting, deduplication and joining stay in Arrow."""
+        gap = pc.match_substring_regex(texts, ADJOINING)
+        lists = pc.split_pattern(pc.if_else(gap, "", texts), " ")
+        values, edge = lists.values, lists.offsets.to_numpy()
+        coded = values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        ids = list(map(self.recent.get, pieces))
+        self._learn(pieces, ids)
+        heads = values.take(pa.array(edge[:-1])).to_pylist()
+        whole = np.flatnonzero(gap.to_numpy(zero_copy_only=False)).tolist()
+        for k in whole:
+            heads[k] = texts[k].as_py()
+        code = coded.indices.to_numpy().copy()
+        first: dict[str, int] = {}
+        code[edge[:-1]] = [first.setdefault(h, len(ids) + len(first)) for h in heads]
+        ids += self._bytes(list(first))
+        code = np.insert(code, edge[1:], len(ids))
+        joined = pa.array([*ids, self.end], pa.large_binary()).take(pa.array(code))
+        at = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][np.append(edge, 0)[: len(edge)] + np.arange(len(edge))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), joined.buffers()[2]])
 
 
 @lru_cache(maxsize=1)
@@ -130,12 +147,16 @@ def _encoder(path: str, end: int) -> Encoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+    gc.disable()  # many small objects, no cycles
     encoder, edges = _encoder(path, end), np.array(bounds, np.int64)
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            x = b.slice(at, 512)
-            part = np.searchsorted(edges, x.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), x.column(0), pa.array(list(encoder.encode(x.column(1).to_pylist())), pa.binary())], schema=_ENCODED)
+        size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)) // PIECE
+        cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cut, cut[1:]):
+            x = b.slice(start, stop - start)
+            if stop > start:
+                part = np.searchsorted(edges, x.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), x.column(0), encoder.encode(x.column(1))], schema=_ENCODED)
 
 
 def key_of(doc_id: int | None) -> bytes:
