@@ -55,6 +55,16 @@ def fold_col(column: str = "doc_id", k: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of the key columns. Rows that cannot be among them are filtered
+    out by the hash first, so that no task hands on more than its share."""
+    h = F.xxhash64(*key, F.lit(seed))
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.shiftright(h, 1) + (1 << 62) < int((1 << 63) * min(1.0, 1.5 * (n + 50) / total)))
+    return df.orderBy(h, *key).limit(n)
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of Arrow batches as Python tuples, one batch in memory at a time."""
     for b in batches:
