@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_col, table, texts
+from .common import draw, fold_col, table, texts
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (3, 4, 5)
 CACHE, REPEAT = 300_000, b"\n="
@@ -137,7 +137,7 @@ def _draw(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most: int = TOKENS, seed: int = 7) -> Model:
     """Learns from the documents of ``sample`` labels (doc_id, label) at most, chosen by a hash of their ids."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "label").limit(sample)
+    known = draw(known, sample, "doc_id", "label", seed=seed)
     drawn = texts(docs).join(F.broadcast(known), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     drawn = drawn.mapInArrow(partial(_draw, most=most), "label long, words binary, h long")
     found = sorted((r["h"], bytes(r["words"]), r["label"]) for r in drawn.collect())
