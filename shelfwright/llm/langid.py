@@ -183,8 +183,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
     """What ``_model`` needs, from labelled documents: every fifth one drawn gives the normalising text."""
     known = docs.where("lang is not null and doc_id is not null and text is not null")
     h = F.xxhash64("doc_id", F.lit(seed))
+    ids = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"))
+    many = ids.groupBy("lang").agg(F.count("*").alias("many"))
+    share = F.shiftright(h, 1) + (1 << 62) < F.lit(2.0**63) * F.least(F.lit(1.0), (3.0 * sample + 100) / F.col("many"))
     n = F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id"))
-    drawn = known.select("lang", F.col("doc_id").cast("long").alias("doc_id")).distinct().select("lang", "doc_id", n.alias("n")).where(F.col("n") <= sample)
+    drawn = ids.join(many, "lang").where(share).select("lang", "doc_id").distinct().select("lang", "doc_id", n.alias("n")).where(F.col("n") <= sample)
     words = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(drawn), ["lang", "doc_id"])
     words = words.select("lang", "n", "text").mapInArrow(partial(_draw, most=most), "lang string, n int, words string")
     own: dict[str, Counter] = {}
