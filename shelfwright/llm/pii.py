@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import draw, materialize, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 FEATURES, SAMPLE, ACCEPT = 1 << 12, 20_000, 0.9
@@ -210,8 +210,7 @@ def fit(found: DataFrame, sample: int = SAMPLE, seed: int = 3) -> np.ndarray | N
     if not counts:
         return None
     belief = reliabilities(counts)
-    h = F.xxhash64("doc_id", "kind", "start", F.lit(seed))
-    drawn = each.select("kind", "votes", "features", h.alias("h"), "start").orderBy("h", "kind", "start", "votes").limit(sample).collect()
+    drawn = draw(each.select("doc_id", "kind", "start", "votes", "features"), sample, "doc_id", "kind", "start", "votes", seed=seed).collect()
     return train([(list(r["features"]), belief[r["kind"], r["votes"]]) for r in drawn], seed=seed)
 
 
