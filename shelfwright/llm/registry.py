@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lattice, lm, mixing, pii, simhash, sstable, subword
+from . import decontaminate, exact, langid, lattice, lm, mixing, pii, simhash, sstable, subword
 
 QUERIES = {
+    "op5_suffix": exact.op5_suffix,
     "op1_lm": lm.op1_lm,
     "op9_lattice": lattice.op9_lattice,
     "op8_langid": langid.op8_langid,
