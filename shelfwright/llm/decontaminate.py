@@ -153,8 +153,8 @@ def find(text: np.ndarray, longest: int, phrases: Phrases) -> tuple[np.ndarray,
     return np.repeat(which, n), index.locate(row)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
-    phrases = Phrases(items, width)
+def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int, phrases: Phrases | None = None) -> Iterator[pa.RecordBatch]:
+    phrases = phrases or Phrases(items, width)
     docs: list[tuple] = []  # row, doc_id, n_words
     runs: list[tuple[int, int, np.ndarray]] = []  # document in docs, first word, symbols
     size = 0
@@ -217,21 +217,42 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _OUT)], schema=_OUT)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: row, doc_id, n_words, the merged spans of hit words (starts, ends), and the ids of the items found."""
+def _keep(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    phrases = Phrases(items, width)
+    for b in batches:
+        number = pa.array(np.arange(b.num_rows))
+        own = pa.RecordBatch.from_arrays([number, number, b.column(b.schema.get_field_index("text"))], names=["row", "doc_id", "text"])
+        yield b.filter(pa.array([not s for x in _scan(iter([own]), items, width, phrases) for s in x.column(3).to_pylist()], pa.bool_()))
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark's items in blocks of about ``block_bytes``, one at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    source = docs.select(F.col("row") if "row" in docs.columns and blocks > 1 else F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if blocks > 1:
-        source = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
-    parts = None
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        part = source.mapInArrow(partial(_scan, items=[tuple(r) for r in own.collect()], width=width), OUT)
+    n = max(1, -(-total // block_bytes))
+    for k in range(n):
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield [tuple(r) for r in own.collect()]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no phrase occurs."""
+    for items in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(partial(_keep, items=items, width=width), docs.schema)
+    return docs
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: row, doc_id, n_words, the merged spans of hit words (starts, ends), and the ids of the items found."""
+    blocks = list(_blocks(benchmark, block_bytes))
+    row = F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long")
+    source = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(blocks) == 1:
+        return source.mapInArrow(partial(_scan, items=blocks[0], width=width), OUT)
+    source, parts = materialize(source, "rows"), None
+    for items in blocks:
+        part = source.mapInArrow(partial(_scan, items=items, width=width), OUT)
         parts = part if parts is None else parts.union(part)
-    if blocks == 1:
-        return parts
     grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")))
     return grouped.mapInArrow(_merge_blocks, OUT)
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, batch, materialize, table, texts
@@ -163,6 +164,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return classes(materialize(fingerprints(docs, width), "prints"), most)
 
 
+def keep_one(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, that name their class. Rows without a doc_id stay; of rows that repeat one, one does."""
+    found = near_duplicates(docs, width, most)
+    named = found.where("doc_id = component_id").groupBy("doc_id").count()
+    kept = docs.join(named.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not named.where("count > 1").isEmpty():
+        order = W.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
+        kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

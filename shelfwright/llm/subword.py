@@ -179,10 +179,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> Model:
-    return fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold_col() != 0))
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
+    scorer, cut = Scorer(model), float(np.log(least / (1 - least)))
+    for b in batches:
+        text = b.column(b.schema.get_field_index("text")).to_pylist()
+        yield b.filter(pa.array([scorer.logit(t or "") >= cut for t in text], pa.bool_()))
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that score ``least`` or more."""
+    return docs.mapInArrow(partial(_keep, model=model, least=least), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels").where(fold_col() != 0)))
     return scored.select("doc_id", (fold_col() == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
