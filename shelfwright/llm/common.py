@@ -29,14 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Spark's switch that removes a query's shuffle files when the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing.
+
+    The shuffle files of the write are not needed afterwards and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.startswith(shared_dir(spark)) or path.removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://")):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

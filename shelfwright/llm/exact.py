@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import discard, materialize, table, texts
 from .suffix import common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
@@ -50,6 +50,16 @@ def _unzip(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _tight(x: np.ndarray) -> bytes:
+    """Integers that mostly repeat or rise slowly, as compressed differences, byte by byte."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    return _zip(d.view(np.uint8).reshape(-1, 8).T)
+
+
+def _loose(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_unzip(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
 def _batch(schema: pa.Schema, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
@@ -208,8 +218,8 @@ def _answer(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
             at += len(v)
 
 
-_CUT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("n_bytes", pa.binary()), ("digest", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("piece", pa.binary()), ("key", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
-CUT = "block long, shard int, ids binary, n_bytes binary, digest binary, sizes binary, text binary, piece binary, key binary, doc binary, start binary"
+_CUT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("n_bytes", pa.binary()), ("digest", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("piece", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+CUT = "block long, shard int, ids binary, n_bytes binary, digest binary, sizes binary, text binary, piece binary, doc binary, start binary"
 #: Columns of the pieces sent to a shard: n_bytes has the pieces' numbers, doc their smallest and start their largest document.
 
 
@@ -248,7 +258,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
             yield _batch(
                 _CUT, block, -1, np.concatenate([x.ids[clean], x.ids[rest]]).tobytes(), x.sizes[clean].tobytes(),
                 b"".join(hashlib.sha256(raw[begin[i] : end[i]]).digest() for i in clean.tolist()), x.sizes[rest].tobytes(),
-                _zip(b"".join(raw[begin[i] : end[i]] for i in rest.tolist())), number.tobytes(), b"", x.ids[doc].tobytes(), (start - x.begin[doc] + where[doc]).tobytes(),
+                _zip(b"".join(raw[begin[i] : end[i]] for i in rest.tolist())), _tight(number), _tight(x.ids[doc]), _tight(start - x.begin[doc] + where[doc]),
             )
             if not index:
                 continue
@@ -261,7 +271,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
             for s in np.unique(goes).tolist():
                 k = np.flatnonzero(goes == s)
                 parts = [pieces[i] for i in k.tolist()]
-                yield _batch(_CUT, block, s, b"", k.astype(np.int32).tobytes(), b"", np.array(list(map(len, parts)), np.int32).tobytes(), _zip(b"".join(parts)), b"", own[k].tobytes(), lo[k].tobytes(), hi[k].tobytes())
+                yield _batch(_CUT, block, s, b"", _tight(k), b"", _tight(np.array(list(map(len, parts)))), _zip(b"".join(parts)), b"", _tight(lo[k]), _tight(hi[k]))
 
 
 _FOUND = pa.schema([("block", pa.int64()), ("piece", pa.binary()), ("offset", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
@@ -311,23 +321,22 @@ def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
     for rows in _groups(batches):
         index: dict[bytes, int] = {}
-        keys, los, sent = [], [], []
-        for _, block, number, sizes, text, key, lo, hi in rows:
-            raw, n = _unzip(text, np.uint8).tobytes(), np.frombuffer(sizes, np.int32)
+        los, sent = [], []
+        for _, block, number, sizes, text, lo, hi in rows:
+            raw, n = _unzip(text, np.uint8).tobytes(), _loose(sizes)
             end = np.cumsum(n).tolist()
             mine = np.array([index.setdefault(raw[e - s : e], len(index)) for s, e in zip(n.tolist(), end)], np.int64)
-            keys.append((mine, np.frombuffer(key, np.uint64)))
-            los.append((mine, np.frombuffer(lo, np.int64)))
-            sent.append((block, mine, np.frombuffer(number, np.int32), np.frombuffer(hi, np.int64)))
-        key, least = np.empty(len(index), np.uint64), np.full(len(index), np.iinfo(np.int64).max)
-        for mine, k in keys:
-            key[mine] = k
+            los.append((mine, _loose(lo)))
+            sent.append((block, mine, _loose(number), _loose(hi)))
+        pieces, least = list(index), np.full(len(index), np.iinfo(np.int64).max)
+        # all windows of a piece have one minimizer, so that of the first is the piece's
+        key = minimizers(np.frombuffer(b"".join(p[:width] for p in pieces), np.uint8), width, gram)[::width]
         for mine, x in los:
             np.minimum.at(least, mine, x)
-        piece, offset, n, first = first_documents(list(index), key, least, width)
+        piece, offset, n, first = first_documents(pieces, key, least, width)
         by = np.argsort(piece, kind="stable")
         piece, offset, n, first = piece[by], offset[by], n[by], first[by]
         edge = np.searchsorted(piece, np.arange(len(index) + 1))
@@ -338,7 +347,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             ok = first[k] < hi[own]
             if ok.any():
                 k, own = k[ok], own[ok]
-                yield _batch(_FOUND, block, _zip(number[own]), _zip(offset[k].astype(np.int32)), _zip(n[k].astype(np.int32)), _zip(first[k]))
+                yield _batch(_FOUND, block, _tight(number[own]), _tight(offset[k]), _tight(n[k]), _tight(first[k]))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -349,13 +358,13 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     for b in batches:
         for ids, clean, digest, sizes, text, piece, doc, start, found in zip(*(c.to_pylist() for c in b.columns)):
             ids, clean, sizes = (np.frombuffer(x, np.int64) for x in (ids, clean, sizes))
-            piece, doc, start = np.frombuffer(piece, np.int32), np.frombuffer(doc, np.int64), np.frombuffer(start, np.int64)
+            piece, doc, start = _loose(piece), _loose(doc), _loose(start)
             text = _unzip(text, np.uint8)
             cover = np.zeros(len(text) + 1, np.int64)
             by = np.argsort(piece, kind="stable")
             edge = np.searchsorted(piece[by], np.arange(int(piece.max(initial=-1)) + 2))
             for f in found or []:
-                p, offset, n, first = (_unzip(f[k], t) for k, t in (("piece", np.int32), ("offset", np.int32), ("n", np.int32), ("first", np.int64)))
+                p, offset, n, first = (_loose(f[k]) for k in ("piece", "offset", "n", "first"))
                 count = edge[p + 1] - edge[p]
                 own = np.repeat(np.arange(len(p)), count)
                 at = by[np.repeat(edge[p] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
@@ -388,8 +397,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: in
     grouped = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "shared", "hot")).alias("answers"))
     cut = blocks.join(grouped, "block", "left").mapInArrow(partial(_pieces, shards=shards, ask=ask, width=width, gram=gram), CUT)
     cut = materialize(cut, "pieces")
-    pieces = cut.where("shard >= 0").select("shard", "block", "n_bytes", "sizes", "text", "key", "doc", "start")
-    found = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_resolve, width=width), FOUND)
+    discard(blocks)
+    discard(answers)
+    pieces = cut.where("shard >= 0").select("shard", "block", "n_bytes", "sizes", "text", "doc", "start")
+    found = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_resolve, width=width, gram=gram), FOUND)
     found = found.groupBy("block").agg(F.collect_list(F.struct("piece", "offset", "n", "first")).alias("found"))
     own = cut.where("shard < 0").join(found, "block", "left")
     return own.select("ids", "n_bytes", "digest", "sizes", "text", "piece", "doc", "start", "found").mapInArrow(partial(_remove, width=width), RESULT)
