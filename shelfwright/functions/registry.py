@@ -13,10 +13,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import inbox, names, titles, volumes
+from .schema import ddl
 
 
 def _scalar(f: Callable, kind: str) -> Callable:
-    @F.pandas_udf(kind)
+    @F.pandas_udf(ddl(kind))
     def run(s: pd.Series) -> pd.Series:
         return s.map(f, na_action=None)
 
@@ -27,7 +28,7 @@ def _rows(f: Callable, kind: str) -> Callable:
     """A struct per row; Spark names the fields by ``kind``."""
     fields = [x.strip().split(" ")[0] for x in kind.split(",")]
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(ddl(kind))
     def run(*columns: pd.Series) -> pd.DataFrame:
         none = lambda v: None if v is None or (isinstance(v, float) and v != v) else v
         out = [f(*map(none, row)) for row in zip(*columns)]
@@ -67,28 +68,28 @@ split_rakuten = _rows(titles.split_rakuten, TITLED)
 split_google = _rows(titles.split_google, TITLED)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(ddl("int"))
 def ndl_volume(raw: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([titles.ndl_volume_of(r, t) for r, t in zip(raw, title)], dtype="Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ddl("string"))
 def volume_name(author: pd.Series, title: pd.Series, lo: pd.Series, hi: pd.Series, unit: pd.Series, completed: pd.Series, tail: pd.Series) -> pd.Series:
     none = lambda v: None if v is None or v != v else v
     return pd.Series([None if none(a) is None else names.plan_volume_name(none(au), ti, int(a), int(b), u, bool(c), none(tl)) for au, ti, a, b, u, c, tl in zip(author, title, lo, hi, unit, completed, tail)], dtype="object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ddl("string"))
 def folder_name(author: pd.Series, title: pd.Series, completed: pd.Series) -> pd.Series:
     return pd.Series([names.plan_folder_name(a, t, bool(c)) for a, t, c in zip(author, title, completed)], dtype="object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ddl("string"))
 def side_name(author: pd.Series, title: pd.Series, rest: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else names.plan_side_name(a, t, r) for a, t, r in zip(author, title, rest)], dtype="object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ddl("string"))
 def rest_after_folder(title: pd.Series, folder: pd.Series) -> pd.Series:
     return pd.Series([names.rest_after_folder(a, b) for a, b in zip(title, folder)], dtype="object")
 
