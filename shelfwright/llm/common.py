@@ -82,7 +82,7 @@ def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:
     h = F.xxhash64(*key, F.lit(seed))
     total = df.count()
     if total > 2 * n:
-        df = df.where(F.shiftright(h, 1) + (1 << 62) < int((1 << 63) * min(1.0, 1.5 * (n + 50) / total)))
+        df = df.where(F.shiftright(h, 1) + (1 << 62) < min((1 << 63) - 1, int((1 << 63) * (1.5 * (n + 50) / total))))
     return df.orderBy(h, *key).limit(n)
 
 
