@@ -76,6 +76,12 @@ def fold_col(column: str = "doc_id", k: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` written once and, if it has no more than ``rows`` rows, marked for broadcasting; beyond that joins shuffle."""
+    df = materialize(df, "small")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest hash of the key columns. Rows that cannot be among them are filtered
     out by the hash first, so that no task hands on more than its share."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold_col, table, texts
+from .common import fold_col, small, table, texts
 
 SAMPLE, WORDS, LETTERS = 300, 300, 40_000
 CACHE, LONG, PIECE = 400_000, 64, 1 << 22
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
     known = docs.where("lang is not null and doc_id is not null and text is not null")
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    many = ids.groupBy("lang").agg(F.count("*").alias("many"))
+    many = small(ids.groupBy("lang").agg(F.count("*").alias("many")), 20_000)
     share = F.shiftright(h, 1) + (1 << 62) < F.lit(2.0**63) * F.least(F.lit(1.0), (3.0 * sample + 100) / F.col("many"))
     n = F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id"))
     drawn = ids.join(many, "lang").where(share).select("lang", "doc_id").distinct().select("lang", "doc_id", n.alias("n")).where(F.col("n") <= sample)
