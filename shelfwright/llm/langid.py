@@ -202,7 +202,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
                 break
             kept.append(w)
             size += len(w) + 1
-        spare = sorted(other.get(lang, {}).elements())
+        spare = sorted(other.get(lang, Counter()).elements())
         out.append((lang, " ".join(kept), " ".join(spare[:: max(1, len(spare) // 2000)])))
     return tuple(x for x in out if x[1])
 
