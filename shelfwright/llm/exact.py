@@ -218,17 +218,13 @@ def _answer(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
             at += len(v)
 
 
-_CUT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("ids", pa.binary()), ("n_bytes", pa.binary()), ("digest", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("piece", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
-CUT = "block long, shard int, ids binary, n_bytes binary, digest binary, sizes binary, text binary, piece binary, doc binary, start binary"
-#: Columns of the pieces sent to a shard: n_bytes has the pieces' numbers, doc their smallest and start their largest document.
+_CUT = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("number", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc", pa.binary()), ("start", pa.binary())])
+CUT = "block long, shard int, number binary, sizes binary, text binary, low binary, high binary, doc binary, start binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Per block one row for itself (shard -1) and one for each shard that gets pieces.
-
-    The block's row: ids, sizes and digests of the documents that keep all bytes; sizes and text of the others follow, and
-    the pieces' numbers, documents and positions.
-    """
+    """Per block one row for itself (shard -1: the pieces' numbers, documents and positions) and one for each shard that gets
+    pieces: their numbers, sizes and text, and their smallest and largest documents in the block."""
     for b in batches:
         for block, _, ids, sizes, text, answers in zip(*(c.to_pylist() for c in b.columns)):
             x = Block(ids, sizes, text, width, gram)
@@ -248,18 +244,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
             raw, index, number = x.text.tobytes(), {}, np.empty(len(run), np.int32)
             for k, (s, e) in enumerate(zip(start.tolist(), stop.tolist())):
                 number[k] = index.setdefault(raw[s:e], len(index))
-            some = np.zeros(len(x.ids), bool)
-            some[doc] = True
-            clean, rest = np.flatnonzero(~some), np.flatnonzero(some)
-            begin, end = x.begin.tolist(), (x.begin + x.sizes).tolist()
-            place = np.cumsum(x.sizes[rest]) - x.sizes[rest]
-            where = np.zeros(len(x.ids), np.int64)
-            where[rest] = place
-            yield _batch(
-                _CUT, block, -1, np.concatenate([x.ids[clean], x.ids[rest]]).tobytes(), x.sizes[clean].tobytes(),
-                b"".join(hashlib.sha256(raw[begin[i] : end[i]]).digest() for i in clean.tolist()), x.sizes[rest].tobytes(),
-                _zip(b"".join(raw[begin[i] : end[i]] for i in rest.tolist())), _tight(number), _tight(x.ids[doc]), _tight(start - x.begin[doc] + where[doc]),
-            )
+            yield _batch(_CUT, block, -1, _tight(number), b"", b"", b"", b"", _tight(doc), _tight(start))
             if not index:
                 continue
             lo, hi = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
@@ -271,7 +256,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
             for s in np.unique(goes).tolist():
                 k = np.flatnonzero(goes == s)
                 parts = [pieces[i] for i in k.tolist()]
-                yield _batch(_CUT, block, s, b"", _tight(k), b"", _tight(np.array(list(map(len, parts)))), _zip(b"".join(parts)), b"", _tight(lo[k]), _tight(hi[k]))
+                yield _batch(_CUT, block, s, _tight(k), _tight(np.array(list(map(len, parts)))), _zip(b"".join(parts)), _tight(lo[k]), _tight(hi[k]), b"", b"")
 
 
 _FOUND = pa.schema([("block", pa.int64()), ("piece", pa.binary()), ("offset", pa.binary()), ("n", pa.binary()), ("first", pa.binary())])
@@ -356,31 +341,28 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for ids, clean, digest, sizes, text, piece, doc, start, found in zip(*(c.to_pylist() for c in b.columns)):
-            ids, clean, sizes = (np.frombuffer(x, np.int64) for x in (ids, clean, sizes))
-            piece, doc, start = _loose(piece), _loose(doc), _loose(start)
-            text = _unzip(text, np.uint8)
-            cover = np.zeros(len(text) + 1, np.int64)
-            by = np.argsort(piece, kind="stable")
-            edge = np.searchsorted(piece[by], np.arange(int(piece.max(initial=-1)) + 2))
-            for f in found or []:
-                p, offset, n, first = (_loose(f[k]) for k in ("piece", "offset", "n", "first"))
+        for ids, sizes, text, piece, doc, start, found in zip(*(c.to_pylist() for c in b.columns)):
+            ids, sizes, text = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), _unzip(text, np.uint8)
+            gone = np.zeros(len(text), bool)
+            if found:
+                piece, doc, start = _loose(piece), _loose(doc), _loose(start)
+                by = np.argsort(piece, kind="stable")
+                edge = np.searchsorted(piece[by], np.arange(int(piece.max()) + 2))
+                p, offset, n, first = (np.concatenate([_loose(f[k]) for f in found]) for k in ("piece", "offset", "n", "first"))
                 count = edge[p + 1] - edge[p]
                 own = np.repeat(np.arange(len(p)), count)
                 at = by[np.repeat(edge[p] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                ok = first[own] < doc[at]
+                ok = first[own] < ids[doc[at]]
                 s = start[at[ok]] + offset[own[ok]]
-                cover += np.bincount(s, minlength=len(cover))
-                cover -= np.bincount(s + n[own[ok]] - 1 + width, minlength=len(cover))
-            gone = np.cumsum(cover[:-1]) > 0
-            out = [(i, int(n), 0, 0, digest[k * 32 : k * 32 + 32].hex(), [], []) for k, (i, n) in enumerate(zip(ids.tolist(), clean.tolist()))]
-            at = 0
-            for i, n in zip(ids[len(clean) :].tolist(), sizes.tolist()):
-                g = gone[at : at + n]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))).tolist()
-                out.append((i, n, int(g.sum()), len(edges) // 2, hashlib.sha256(text[at : at + n][~g].tobytes()).hexdigest(), edges[::2], edges[1::2]))
+                cover = np.bincount(s, minlength=len(text) + 1) - np.bincount(s + n[own[ok]] - 1 + width, minlength=len(text) + 1)
+                gone = np.cumsum(cover[:-1]) > 0
+            out, at = [], 0
+            for i, n in zip(ids.tolist(), sizes.tolist()):
+                g, t = gone[at : at + n], text[at : at + n]
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))).tolist() if g.any() else []
+                kept = t[~g] if edges else t
+                out.append((None if i == NULL_ID else i, n, n - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges[::2], edges[1::2]))
                 at += n
-            out = [(None if r[0] == NULL_ID else r[0], *r[1:]) for r in out]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
 
 
@@ -397,13 +379,13 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: in
     grouped = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "shared", "hot")).alias("answers"))
     cut = blocks.join(grouped, "block", "left").mapInArrow(partial(_pieces, shards=shards, ask=ask, width=width, gram=gram), CUT)
     cut = materialize(cut, "pieces")
-    discard(blocks)
     discard(answers)
-    pieces = cut.where("shard >= 0").select("shard", "block", "n_bytes", "sizes", "text", "doc", "start")
+    pieces = cut.where("shard >= 0").select("shard", "block", "number", "sizes", "text", "low", "high")
     found = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_resolve, width=width, gram=gram), FOUND)
-    found = found.groupBy("block").agg(F.collect_list(F.struct("piece", "offset", "n", "first")).alias("found"))
-    own = cut.where("shard < 0").join(found, "block", "left")
-    return own.select("ids", "n_bytes", "digest", "sizes", "text", "piece", "doc", "start", "found").mapInArrow(partial(_remove, width=width), RESULT)
+    found = materialize(found, "found").groupBy("block").agg(F.collect_list(F.struct("piece", "offset", "n", "first")).alias("found"))
+    own = cut.where("shard < 0").select("block", "number", "doc", "start")
+    d = blocks.join(own, "block", "left").join(found, "block", "left")
+    return d.select("ids", "sizes", F.col("text"), "number", "doc", "start", "found").mapInArrow(partial(_remove, width=width), RESULT)
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
