@@ -247,7 +247,7 @@ def cover_borrow(spark, d):
 
 @query("""
 SELECT title, first_key, keys FROM (SELECT p_brand AS title, min(p_type) AS first_key, max(p_type) AS last_key, count(DISTINCT p_type) AS keys, min(length(p_type)) AS short FROM part WHERE p_partkey < 120 GROUP BY 1)
-WHERE keys > 1 AND len(list_filter(generate_series(1, least(length(first_key), length(last_key))), n -> left(first_key, n) = left(last_key, n))) < 0.6 * short
+WHERE keys > 1 AND len(list_filter(generate_series(1, least(length(first_key), length(last_key))), lambda n: left(first_key, n) = left(last_key, n))) < 0.6 * short
 """)
 def suspect_answers(spark, d):
     p = t(spark, d, "part").where("p_partkey < 120").select(F.col("p_type").alias("key"), F.col("p_brand").alias("title"))
