@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -38,7 +38,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = materialize(e.where("x and y and u > v").select("u", "v").distinct(), "edges")
     seen = _digest(e)
     while seen[0]:
-        e = materialize(_small(materialize(_large(e), "star")), "star")
+        star = materialize(_large(e), "star")
+        discard(e)
+        e = materialize(_small(star), "edges")
+        discard(star)
         now = _digest(e)
         if now == seen:
             break

@@ -225,33 +225,38 @@ def _keep(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int) ->
         yield b.filter(pa.array([not s for x in _scan(iter([own]), items, width, phrases) for s in x.column(3).to_pylist()], pa.bool_()))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's items in blocks of about ``block_bytes``, one at a time."""
+def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items that have text, and how many blocks of about ``block_bytes`` they make."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in own.collect()]
+    return items, int(max(1, -(-total // block_bytes)))
+
+
+def _block(items: DataFrame, n: int, k: int) -> list[tuple]:
+    own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return [tuple(r) for r in own.collect()]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no phrase occurs."""
-    for items in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(partial(_keep, items=items, width=width), docs.schema)
+    items, n = _items(benchmark, block_bytes)
+    for k in range(n):
+        docs = docs.mapInArrow(partial(_keep, items=_block(items, n, k), width=width), docs.schema)
+        if k < n - 1:  # so that one block at a time is held
+            docs = materialize(docs, "clean")
     return docs
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: row, doc_id, n_words, the merged spans of hit words (starts, ends), and the ids of the items found."""
-    blocks = list(_blocks(benchmark, block_bytes))
-    row = F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long")
+    items, n = _items(benchmark, block_bytes)
+    row = F.monotonically_increasing_id() if n > 1 else F.lit(0).cast("long")
     source = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(blocks) == 1:
-        return source.mapInArrow(partial(_scan, items=blocks[0], width=width), OUT)
+    if n == 1:
+        return source.mapInArrow(partial(_scan, items=_block(items, 1, 0), width=width), OUT)
     source, parts = materialize(source, "rows"), None
-    for items in blocks:
-        part = source.mapInArrow(partial(_scan, items=items, width=width), OUT)
+    for k in range(n):
+        part = materialize(source.mapInArrow(partial(_scan, items=_block(items, n, k), width=width), OUT), "hits")
         parts = part if parts is None else parts.union(part)
     grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")))
     return grouped.mapInArrow(_merge_blocks, OUT)

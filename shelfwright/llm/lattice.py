@@ -110,7 +110,7 @@ def _enter(batches: Iterator[pa.RecordBatch], kind: str, tables: int, probes: in
                     yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
                 else:
                     take = pa.array(np.repeat(some, cells.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(c.take(take) for c in b.columns)], names=["cell", "key", "rep", "copies"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(c.take(take) for c in b.columns)], names=["cell", "key", "rep", "copies", "uid"])
 
 
 def _first_here(e: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) -> np.ndarray:
@@ -171,11 +171,11 @@ def _cells(batches: Iterator[pa.RecordBatch], kind: str, least: float, tables: i
 
     def done():
         if len(held) > 1:
-            _, keys, rep, copies, side = zip(*held)
+            _, keys, rep, copies, uid, side = zip(*held)
             r, n, e = _compare(group[0], list(keys), np.array(rep), np.array(copies), np.array(side), kind, least, tables, probes)
             keep = (n > 0) | (r != e)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(r[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(e[keep], pa.int64())], names=["rep", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (np.array(uid), n, r, e)], names=["uid", "links", "rep", "other"])
 
     for b in batches:
         cell, p, q = (b.column(k).to_numpy() for k in range(3))
@@ -187,7 +187,7 @@ def _cells(batches: Iterator[pa.RecordBatch], kind: str, least: float, tables: i
                 yield from done()
                 group, held = now, []
             if e - s > 1 or held or e == len(cell):
-                held += zip(*(b.column(k).slice(s, e - s).to_pylist() for k in (0, 3, 4, 5, 6)))
+                held += zip(*(b.column(k).slice(s, e - s).to_pylist() for k in (0, 3, 4, 5, 6, 7)))
     yield from done()
 
 
@@ -197,23 +197,24 @@ def links(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, probes:
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding" if kind == "<f4" else F.col("embedding").cast("array<double>"))
     v = materialize(source.mapInArrow(partial(_keys, kind=kind), "vec_id long, key binary"), "vectors")
     d = v.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    d = materialize(d.select("key", F.coalesce("rep", NAMELESS + F.pmod(F.xxhash64("key"), F.lit((1 << 48) - 1))).alias("rep"), "copies"), "distinct")
+    rep = F.coalesce("rep", NAMELESS + F.pmod(F.xxhash64("key"), F.lit((1 << 48) - 1)))
+    d = materialize(d.select("key", rep.alias("rep"), "copies", F.monotonically_increasing_id().alias("uid")), "distinct")
     enter = partial(_enter, kind=kind, tables=tables, probes=probes)
     hot = d.select("key").mapInArrow(partial(enter, slim=True), "cell long").groupBy("cell").count().where(F.col("count") > large)
     hot = hot.select("cell", F.ceil(F.col("count") * 2 / large).cast("int").alias("blocks"))
-    rows = d.mapInArrow(partial(enter, slim=False), "cell long, key binary, rep long, copies long").join(hot, "cell", "left")
+    rows = d.mapInArrow(partial(enter, slim=False), "cell long, key binary, rep long, copies long, uid long").join(hot, "cell", "left")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     side = F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2)
-    rows = rows.select("cell", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "key", "rep", "copies", side.alias("side"))
+    rows = rows.select("cell", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "key", "rep", "copies", "uid", side.alias("side"))
     dealt = rows.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
     run = partial(_cells, kind=kind, least=least, tables=tables, probes=probes)
-    found = materialize(dealt.mapInArrow(run, "rep long, links long, other long"), "links")
-    n = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    found = materialize(dealt.mapInArrow(run, "uid long, links long, rep long, other long"), "links")
+    n = found.groupBy("uid").agg(F.sum("links").alias("links"))
     same = v.where("key is not null").groupBy("vec_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("vec_id is not null and x <> y").select("vec_id")
     repeated = v.join(same, "vec_id").join(d, "key").select(F.col("vec_id").alias("rep"), F.col("rep").alias("other"))
     comps = components(found.select("rep", "other").union(repeated), "rep", "other")
-    d = d.join(n, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    d = d.join(n, "uid", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     d = d.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = v.join(d, "key", "left")
     component = F.when(F.col("component") >= NAMELESS, F.col("vec_id")).otherwise(F.coalesce("component", "vec_id"))
