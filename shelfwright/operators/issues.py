@@ -36,17 +36,22 @@ def file_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def issues(files: DataFrame, volumes: DataFrame) -> DataFrame:
-    """series_id, duplicate_volumes, duplicate_files, unreadable_files, any_issue of every series with files.
-
-    Files and volumes meet on series_id and volume_id; files without a volume are counted, not joined.
-    """
-    f = files.where("present").withColumn("base", file_base(F.col("rel_path"), F.col("part"), F.col("ext")))
+def volume_duplicates(files: DataFrame, volumes: DataFrame) -> DataFrame:
+    """series_id, duplicate_volumes, duplicate_files of the present files of present volumes; files without a volume take no part."""
+    f = files.where("present and volume_id is not null").withColumn("base", file_base(F.col("rel_path"), F.col("part"), F.col("ext")))
     v = volumes.where("present").select("series_id", F.col("id").alias("volume_id"))
-    of_volume = f.where("volume_id is not null").join(v, ["series_id", "volume_id"])
+    return duplicate_counts(f.join(v, ["series_id", "volume_id"]), ["series_id"], ["volume_id"], "base")
+
+
+def any_issue() -> Column:
+    return (F.col("duplicate_volumes") > 0) | (F.col("unreadable_files") > 0)
+
+
+def issues(files: DataFrame, volumes: DataFrame) -> DataFrame:
+    """series_id, duplicate_volumes, duplicate_files, unreadable_files, any_issue of every series with files."""
     d = file_counts(files).select("series_id", F.col("loose_files").alias("unreadable_files"))
-    d = d.join(duplicate_counts(of_volume, ["series_id"], ["volume_id"], "base"), "series_id", "left").na.fill(0, ["duplicate_volumes", "duplicate_files"])
-    return d.withColumn("any_issue", (F.col("duplicate_volumes") > 0) | (F.col("unreadable_files") > 0))
+    d = d.join(volume_duplicates(files, volumes), "series_id", "left").na.fill(0, ["duplicate_volumes", "duplicate_files"])
+    return d.withColumn("any_issue", any_issue())
 
 
 def side_volumes(files: DataFrame) -> DataFrame:

@@ -17,19 +17,23 @@ def upto(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _numbers(df: DataFrame, keys: Sequence[str], lo: str, hi: str, number: str) -> DataFrame:
+    ok = df.where(F.col(lo) <= F.col(hi))
+    return ok.select(*keys, F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias(number))
+
+
 def explode_ranges(df: DataFrame, keys: Sequence[str], lo: str, hi: str, number: str = "number") -> DataFrame:
     """One row per distinct (keys, number) of the ranges lo..hi; reversed and null ranges give none."""
-    ok = df.where(F.col(lo) <= F.col(hi))
-    return ok.select(*keys, F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias(number)).distinct()
+    return _numbers(df, keys, lo, hi, number).distinct()
 
 
 def holdings(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
     """keys, owned (ascending), missing (1..max without owned), max. Each key is a number line of its own.
 
     The numbers of a key are one array: a series' volumes, never its rows, so a key with very many files stays small
-    (distinct numbers are aggregated before the shuffle).
+    (sets are merged in each task first). One shuffle, on the keys.
     """
-    each = explode_ranges(df, keys, lo, hi)
+    each = _numbers(df, keys, lo, hi, "number")
     d = each.groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("owned"), F.max("number").alias("max"))
     return d.withColumn("missing", F.array_except(upto(F.col("max")), F.col("owned"))).select(*keys, "owned", "missing", "max")
 
@@ -47,13 +51,14 @@ def holdings_by_series(volumes: DataFrame) -> DataFrame:
     return d.select("series_id", F.transform("h", lambda x: F.struct(x["unit"], x["owned"], x["missing"], x["max"])).alias("holdings"))
 
 
-def published(known: DataFrame, owned: DataFrame, keys: Sequence[str], number: str, owned_number: str) -> DataFrame:
-    """keys, known, published_max, missing, ahead, owned_max of every key of ``known``.
+def published(known: DataFrame, owned: DataFrame, keys: Sequence[str], number: str, owned_number: str, also: Sequence[Column] = ()) -> DataFrame:
+    """keys, known, published_max, missing, ahead, owned_max of every key of ``known``, and further aggregates of its rows.
 
     A known number that is not owned is missing; one beyond the largest owned is ahead. What is not known is not
     published as far as anyone can tell: published_max is a lower bound.
     """
-    k = known.where(F.col(number).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(number).cast("long"))).alias("known"))
+    k = known.where(F.col(number).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(number).cast("long"))).alias("known"), *also)
+    more = [c for c in k.columns if c not in keys and c != "known"]
     o = owned.groupBy(*keys).agg(F.collect_set(F.col(owned_number).cast("long")).alias("_owned"), F.max(F.col(owned_number).cast("long")).alias("owned_max"))
     d = k.join(o, list(keys), "left")
     none = F.array().cast("array<bigint>")
@@ -65,6 +70,7 @@ def published(known: DataFrame, owned: DataFrame, keys: Sequence[str], number: s
         F.array_except("known", F.coalesce("_owned", none)).alias("missing"),
         F.filter("known", lambda v: v > F.col("owned_max")).alias("ahead"),
         "owned_max",
+        *more,
     )
 
 

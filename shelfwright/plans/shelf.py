@@ -49,10 +49,8 @@ def _line(t: Tables) -> DataFrame:
 
 def published(t: Tables) -> DataFrame:
     """series_id, known, published_max, missing, ahead, owned_max, latest_date, providers."""
-    p = numbers.published(t.bib.where("volume_no is not null"), _line(t), ["series_id"], "volume_no", "number")
-    dated = t.bib.where("volume_no is not null and pubdate <> ''").groupBy("series_id").agg(F.max_by(F.struct("volume_no", "pubdate"), F.struct("volume_no", "provider")).alias("_d"), F.max("volume_no").alias("_m"))
-    who = t.bib.where("volume_no is not null").groupBy("series_id").agg(F.array_sort(F.collect_set("provider")).alias("providers"))
-    d = p.join(who, "series_id", "left").join(dated.select("series_id", "_d"), "series_id", "left")
+    dated = F.max_by(F.when(F.col("pubdate") != "", F.struct("volume_no", "pubdate")), F.when(F.col("pubdate") != "", F.struct("volume_no", "provider"))).alias("_d")
+    d = numbers.published(t.bib, _line(t), ["series_id"], "volume_no", "number", [F.array_sort(F.collect_set("provider")).alias("providers"), dated])
     return d.withColumn("latest_date", F.when(F.col("_d.volume_no") == F.col("published_max"), F.col("_d.pubdate"))).drop("_d")
 
 
@@ -61,10 +59,11 @@ def summaries_of(t: Tables) -> DataFrame:
     s = t.series.where("present")
     added = t.volumes.where("present").groupBy("series_id").agg(F.max("first_seen_at").alias("_added"))
     d = s.withColumnRenamed("id", "series_id")
-    for part in (issues.file_counts(t.files), numbers.holdings_by_series(t.volumes), issues.issues(t.files, t.volumes), published(t), added, C.elect(t.covers).select("series_id", F.col("file").alias("cover"))):
+    for part in (issues.file_counts(t.files), numbers.holdings_by_series(t.volumes), issues.volume_duplicates(t.files, t.volumes), published(t), added, C.elect(t.covers).select("series_id", F.col("file").alias("cover"))):
         d = d.join(part, "series_id", "left")
     none = F.array().cast("array<bigint>")
-    d = d.na.fill(0, ["file_count", "bytes", "loose_files", "care_files", "duplicate_volumes", "duplicate_files", "unreadable_files"]).na.fill(False, ["any_issue"])
+    d = d.na.fill(0, ["file_count", "bytes", "loose_files", "care_files", "duplicate_volumes", "duplicate_files"])
+    d = d.withColumn("unreadable_files", F.col("loose_files")).withColumn("any_issue", issues.any_issue())
     d = d.withColumn("effective_completed", shelf.effective_completion(F.col("completed_user"), F.col("completed")))
     d = d.withColumn("completed_by", shelf.completed_by(F.col("completed_user"), F.col("completed")))
     d = d.withColumn("missing", F.coalesce("missing", none)).withColumn("ahead", F.coalesce("ahead", none))
