@@ -188,7 +188,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
     share = F.shiftright(h, 1) + (1 << 62) < F.lit(2.0**63) * F.least(F.lit(1.0), (3.0 * sample + 100) / F.col("many"))
     n = F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id"))
     drawn = ids.join(many, "lang").where(share).select("lang", "doc_id").distinct().select("lang", "doc_id", n.alias("n")).where(F.col("n") <= sample)
-    words = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(drawn), ["lang", "doc_id"])
+    drawn = small(drawn, 200_000)  # ``sample`` rows per language
+    words = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(drawn, ["lang", "doc_id"])
     words = words.select("lang", "n", "text").mapInArrow(partial(_draw, most=most), "lang string, n int, words string")
     own: dict[str, Counter] = {}
     other: dict[str, Counter] = {}
