@@ -35,7 +35,7 @@ from .common import discard, materialize, table, texts
 from .suffix import common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, HASHES, HOT = 8 << 20, 4 << 20, 2_000_000, 4096
+BLOCK, SHARD, HASHES, HOT = 4 << 20, 3 << 20, 2_000_000, 8192
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
@@ -287,14 +287,14 @@ def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width:
         letters[end - 1] = letters[-1] = False
         text[letters] = flat.astype(np.uint16) + 2
         begin = end - n - 1
-        owner = np.repeat(np.arange(len(rest)), w)
-        offset = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        position = begin[owner] + offset
+        owner = np.repeat(np.arange(len(rest), dtype=np.int32), w)
+        offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
+        position = begin.astype(np.int32)[owner] + offset
         sa = suffix_array(text)
         same = np.zeros(len(text), bool)
         same[position] = common_prefixes(text, sa, position, width)
-        number = np.full(len(text), -1, np.int64)
-        number[position] = np.arange(len(position))
+        number = np.full(len(text), -1, np.int32)
+        number[position] = np.arange(len(position), dtype=np.int32)
         by = number[sa]
         by = by[by >= 0]  # windows in suffix order
         new = ~same[position[by]]
@@ -354,8 +354,10 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 at = by[np.repeat(edge[p] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
                 ok = first[own] < ids[doc[at]]
                 s = start[at[ok]] + offset[own[ok]]
-                cover = np.bincount(s, minlength=len(text) + 1) - np.bincount(s + n[own[ok]] - 1 + width, minlength=len(text) + 1)
-                gone = np.cumsum(cover[:-1]) > 0
+                cover = np.bincount(s, minlength=len(text) + 1)
+                cover -= np.bincount(s + n[own[ok]] - 1 + width, minlength=len(text) + 1)
+                gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+                del cover
             out, at = [], 0
             for i, n in zip(ids.tolist(), sizes.tolist()):
                 g, t = gone[at : at + n], text[at : at + n]

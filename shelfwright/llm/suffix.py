@@ -16,7 +16,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     n = len(t)
     less = np.append(t[:-1] < t[1:], True)
     differs = np.append(t[:-1] != t[1:], True)
-    nxt = np.where(differs, np.arange(n), n)
+    nxt = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     return less[nxt]
 
@@ -108,8 +108,10 @@ def _order(names: np.ndarray) -> np.ndarray:
 
 def _pack(t: np.ndarray) -> np.ndarray:
     """Four symbols from each position as one number."""
-    x = np.concatenate([t.astype(np.uint64), np.zeros(3, np.uint64)])
-    return x[:-3] << np.uint64(48) | x[1:-2] << np.uint64(32) | x[2:-1] << np.uint64(16) | x[3:]
+    out = t.astype(np.uint64) << np.uint64(48)
+    for k in (1, 2, 3):
+        out[:-k] |= t[k:].astype(np.uint64) << np.uint64(48 - 16 * k)
+    return out
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
