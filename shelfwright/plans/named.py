@@ -11,6 +11,7 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..operators import candidates, covers, keyed, numbers, snapshot
 from ..sources import providers
+from ..streaming import changes
 from . import moves, shelf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +253,15 @@ WHERE keys > 1 AND len(list_filter(generate_series(1, least(length(first_key), l
 def suspect_answers(spark, d):
     p = t(spark, d, "part").where("p_partkey < 120").select(F.col("p_type").alias("key"), F.col("p_brand").alias("title"))
     return moves.suspect_answers(p, p).select("title", F.get("keys", F.lit(0)).alias("first_key"), F.size("keys").cast("long").alias("keys"))
+
+
+@query("""
+SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) // 1000000 AS at, event_type, count(*) AS n FROM events
+GROUP BY 1, 2 HAVING epoch_us(time_bucket(INTERVAL 5 MINUTE, min(ts))) + 300000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000
+""")
+def stream_event_counts(spark, d):
+    """A stream closes the windows that the watermark has passed; later ones wait for more events."""
+    e = changes.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    out = changes.drain(changes.event_counts(e), f"{folder}/streams")
+    return out.select(F.unix_seconds("window.start").alias("at"), "event_type", "n")

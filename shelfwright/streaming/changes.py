@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -61,3 +62,20 @@ def event_counts(events: DataFrame, at: str = "ts", late: str = "10 minutes", wi
 def snapshots(listing: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Periodic scans as micro-batches: ``apply`` writes the next snapshot version for each."""
     return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stream of the files of a Parquet table, which may be one file or a folder."""
+    at = f"{folder}/{name}.parquet"
+    known = spark.read.parquet(at)
+    reader = spark.readStream.schema(known.schema)
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in known.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(at)
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there into a new table below ``folder``, and reads that."""
+    at = f"{folder}/{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
