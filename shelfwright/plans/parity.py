@@ -179,16 +179,16 @@ def gap_sessions(spark, d):
 
 
 @query("""
-WITH q AS (SELECT o_orderkey AS id, o_orderkey % 900 AS series, CAST(o_orderkey % 7 + 1 AS BIGINT) AS lo, CAST(o_orderkey % 7 + 1 + o_custkey % 3 AS BIGINT) AS hi FROM orders),
-own AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 900),
+WITH q AS (SELECT o_orderkey AS id, o_orderkey AS series, CAST(o_orderkey % 7 + 1 AS BIGINT) AS lo, CAST(o_orderkey % 7 + 1 + o_custkey % 3 AS BIGINT) AS hi FROM orders),
+own AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
 w AS (SELECT q.id, unnest(generate_series(q.lo, q.hi)) AS n, q.series FROM q)
 SELECT w.id, count(*) FILTER (WHERE own.l_linenumber IS NULL) = 0 AS owned, string_agg(CASE WHEN own.l_linenumber IS NULL THEN CAST(w.n AS VARCHAR) END, ',' ORDER BY w.n) AS missing
 FROM w LEFT JOIN own ON own.l_orderkey = w.series AND own.l_linenumber = w.n GROUP BY 1
 """)
 def own_check(spark, d):
     key = F.col("o_orderkey")
-    q = t(spark, d, "orders", "o_orderkey", "o_custkey").select(key.alias("id"), (key % 900).alias("series"), (key % 7 + 1).alias("lo"), (key % 7 + 1 + F.col("o_custkey") % 3).alias("hi"))
-    lines = t(spark, d, "lineitem", F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("volume")).where("series < 900")
+    q = t(spark, d, "orders", "o_orderkey", "o_custkey").select(key.alias("id"), key.alias("series"), (key % 7 + 1).alias("lo"), (key % 7 + 1 + F.col("o_custkey") % 3).alias("hi"))
+    lines = t(spark, d, "lineitem", F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("volume"))
     h = numbers.holdings(lines, ["series"], "volume", "volume").select("series", F.col("owned").alias("have"))
     m = q.join(h, "series", "left").withColumn("m", numbers.missing_of_request(F.col("lo"), F.col("hi"), F.col("have")))
     return m.select("id", (F.size("m") == 0).alias("owned"), F.nullif(F.array_join("m", ","), F.lit("")).alias("missing"))
@@ -238,40 +238,44 @@ def list_join_summary(spark, d):
     return summaries.page(c.where("with_gaps > 0"), [F.desc("with_gaps"), F.col("c_custkey")], 100)
 
 
+#: Two snapshots per user and kind of event: without errors, and without clicks from the second half of the stream on.
 _SPLIT = """
-WITH a AS (SELECT user_id, max(event_id) AS last, count(*) AS n FROM events WHERE event_id % 10 < 6 AND user_id % 7 <> 0 GROUP BY 1),
-b AS (SELECT user_id, max(event_id) AS last, count(*) AS n FROM events WHERE event_id % 10 < 6 + user_id % 2 AND user_id % 5 <> 0 GROUP BY 1)
+WITH h AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS half FROM events),
+a AS (SELECT user_id, event_type, max(event_id) AS last, count(*) AS n FROM events, h WHERE event_type <> 'error' AND epoch_us(ts) < half GROUP BY 1, 2),
+b AS (SELECT user_id, event_type, max(event_id) AS last, count(*) AS n FROM events, h WHERE event_type <> 'click' AND (event_type = 'view' OR epoch_us(ts) < half) GROUP BY 1, 2)
 """
 
 
 def _two(spark, d):
-    e = t(spark, d, "events", "user_id", "event_id")
-    a = e.where("event_id % 10 < 6 and user_id % 7 <> 0")
-    b = e.where("event_id % 10 < 6 + user_id % 2 and user_id % 5 <> 0")
-    return tuple(x.groupBy("user_id").agg(F.max("event_id").alias("last"), F.count("*").alias("n")) for x in (a, b))
+    e = t(spark, d, "events", "user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    lo, hi = e.agg(F.min("us"), F.max("us")).first()
+    early = F.col("us") < (lo + hi) // 2
+    a = e.where((F.col("event_type") != "error") & early)
+    b = e.where((F.col("event_type") != "click") & ((F.col("event_type") == "view") | early))
+    return tuple(x.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"), F.count("*").alias("n")) for x in (a, b))
 
 
 @query(_SPLIT + """
-SELECT user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.last = b.last AND a.n = b.n THEN 'same' ELSE 'changed' END AS change
-FROM a FULL JOIN b USING (user_id)
+SELECT user_id, event_type, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.last = b.last AND a.n = b.n THEN 'same' ELSE 'changed' END AS change
+FROM a FULL JOIN b USING (user_id, event_type)
 """)
 def snapshot_diff(spark, d):
     old, new = _two(spark, d)
-    return snapshot.diff(old, new, ["user_id"], ["last", "n"])
+    return snapshot.diff(old, new, ["user_id", "event_type"], ["last", "n"])
 
 
 @query(_SPLIT + """
-SELECT user_id, coalesce(b.last, a.last) AS last, coalesce(a.n, b.n) AS n, coalesce(a.n > 60, false) OR coalesce(b.n > 60, false) AS completed,
-  CASE WHEN a.user_id IS NULL THEN 'created' WHEN b.user_id IS NOT NULL THEN 'updated' END AS change FROM a FULL JOIN b USING (user_id)
+SELECT user_id, event_type, coalesce(b.last, a.last) AS last, coalesce(a.n, b.n) AS n, coalesce(a.n > 60, false) OR coalesce(b.n > 60, false) AS completed,
+  CASE WHEN a.user_id IS NULL THEN 'created' WHEN b.user_id IS NOT NULL THEN 'updated' END AS change FROM a FULL JOIN b USING (user_id, event_type)
 """)
 def snapshot_upsert(spark, d):
     old, new = (x.withColumn("completed", F.col("n") > 60) for x in _two(spark, d))
-    return snapshot.upsert(old, new, ["user_id"], sticky=["completed"], keep=["n"])
+    return snapshot.upsert(old, new, ["user_id", "event_type"], sticky=["completed"], keep=["n"])
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F') AS present FROM orders")
+@query("SELECT o_orderkey, o_orderstatus <> 'P' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'F') AS present FROM orders")
 def soft_delete_rollup(spark, d):
-    o = t(spark, d, "orders", "o_orderkey").withColumn("present", F.col("o_orderkey") % 3 != 0)
+    o = t(spark, d, "orders", "o_orderkey", (F.col("o_orderstatus") != "P").alias("present"))
     lines = t(spark, d, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus").withColumn("present", F.expr("l_returnflag = 'R' and l_linestatus = 'F'"))
     return snapshot.roll_up_presence(o, lines, "o_orderkey", "l_orderkey")
 
@@ -279,12 +283,12 @@ def soft_delete_rollup(spark, d):
 @query("""
 SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE WHEN new.k IS NULL OR (coalesce(old.p, false) AND NOT new.p) THEN old.k ELSE new.k END AS chosen
 FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS k, min(s_acctbal) < 1500 AS p FROM supplier GROUP BY 1) old ON old.s_nationkey = n_nationkey
-LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS k, min(c_acctbal) < 100 AS p FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1) new ON new.c_nationkey = n_nationkey
+LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS k, min(c_acctbal) < 100 AS p FROM customer GROUP BY 1) new ON new.c_nationkey = n_nationkey
 WHERE old.k IS NOT NULL OR new.k IS NOT NULL
 """)
 def pin_merge(spark, d):
     old = t(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.min("s_suppkey").alias("chosen"), (F.min("s_acctbal") < 1500).alias("pinned"))
-    c = t(spark, d, "customer").where("c_mktsegment = 'MACHINERY'")
+    c = t(spark, d, "customer")
     new = c.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.min("c_custkey").alias("chosen"), (F.min("c_acctbal") < 100).alias("pinned"))
     return keyed.merge_pinned(old, new, ["nation"]).drop("pinned")
 
@@ -306,25 +310,24 @@ def cover_dedupe(spark, d):
 
 
 @query("""
-SELECT l.p_partkey AS id, min(r.p_partkey) AS first_match, count(*) AS matches FROM part l JOIN (SELECT * FROM part WHERE p_partkey < 500) r
-  ON length(l.p_name) >= 6 AND length(substr(r.p_name, 1, 4 + r.p_size % 9)) >= 6
- AND (starts_with(l.p_name, substr(r.p_name, 1, 4 + r.p_size % 9)) OR starts_with(substr(r.p_name, 1, 4 + r.p_size % 9), l.p_name)) WHERE l.p_partkey % 10 = 3 GROUP BY 1
+WITH l AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT substr(p_name, 1, 4 + p_size % 9) AS b, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1)
+SELECT a AS name, min(k) AS first_match, CAST(sum(n) AS BIGINT) AS matches FROM l JOIN r ON length(a) >= 6 AND length(b) >= 6 AND (starts_with(a, b) OR starts_with(b, a)) GROUP BY 1
 """)
 def prefix_match(spark, d):
     p = t(spark, d, "part", "p_partkey", "p_name", "p_size")
-    left = p.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a"))
-    right = p.where("p_partkey < 500").select("p_partkey", F.substring(F.col("p_name"), F.lit(1), F.col("p_size") % 9 + 4).alias("b"))
-    return joins.prefix_pairs(left, right, "a", "b", 6).groupBy("id").agg(F.min("p_partkey").alias("first_match"), F.count("*").alias("matches"))
+    left = p.select(F.col("p_name").alias("a")).distinct()
+    right = p.groupBy(F.substring(F.col("p_name"), F.lit(1), F.col("p_size") % 9 + 4).alias("b")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("k"))
+    return joins.prefix_pairs(left, right, "a", "b", 6).groupBy(F.col("a").alias("name")).agg(F.min("k").alias("first_match"), F.sum("n").alias("matches"))
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS id, o_custkey % 50 AS series, o_orderkey % 40 AS lo, o_orderkey % 40 + o_custkey % 4 AS hi FROM orders WHERE o_orderkey % 3 = 0)
+WITH r AS (SELECT o_orderkey AS id, o_custkey AS series, o_orderkey % 40 AS lo, o_orderkey % 40 + o_custkey % 4 AS hi FROM orders)
 SELECT id FROM r WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(generate_series(r.lo, r.hi)) AS n) x
   WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.series = r.series AND q.id <> r.id AND x.n BETWEEN q.lo AND q.hi))
 """)
 def range_coverage(spark, d):
-    o = t(spark, d, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 3 = 0")
-    r = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("series"), (F.col("o_orderkey") % 40).alias("lo"), (F.col("o_orderkey") % 40 + F.col("o_custkey") % 4).alias("hi"))
+    o = t(spark, d, "orders", "o_orderkey", "o_custkey")
+    r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("series"), (F.col("o_orderkey") % 40).alias("lo"), (F.col("o_orderkey") % 40 + F.col("o_custkey") % 4).alias("hi"))
     return numbers.covered_ranges(r, "id", ["series"], "lo", "hi").select("id")
 
 
