@@ -35,7 +35,7 @@ from .common import discard, materialize, table, texts
 from .suffix import common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, HASHES, HOT = 4 << 20, 3 << 20, 2_000_000, 8192
+BLOCK, SHARD, HASHES, HOT = 8 << 20, 3 << 19, 1_000_000, 4096
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
