@@ -26,6 +26,7 @@ PATTERNS = tuple(
         (rf"(?:^|[^a-z])v{_N}", 1, 1),
     )
 )
+# The completion mark, and what a key drops.
 _COMPLETE = re.compile(r"[(（]\s*完\s*[)）]")
 _KEY_MARKS = re.compile(r"[\s　_\-‐–—~〜・,.、。!?！？'\"“”‘’()（）\[\]{}【】「」『』:：;；|/\\]")
 
