@@ -255,7 +255,7 @@ def suspect_answers(spark, d):
 
 
 @query("""
-SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) // 1000000 AS at, event_type, count(*) AS n FROM events
+SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) // 1000000 AS window_start, event_type, count(*) AS n FROM events
 GROUP BY 1, 2 HAVING epoch_us(time_bucket(INTERVAL 5 MINUTE, min(ts))) + 300000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000
 """)
 def stream_event_counts(spark, d):
@@ -263,4 +263,4 @@ def stream_event_counts(spark, d):
     e = changes.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
     out = changes.drain(changes.event_counts(e), f"{folder}/streams")
-    return out.select(F.unix_seconds("window.start").alias("at"), "event_type", "n")
+    return out.select(F.unix_seconds("window.start").alias("window_start"), "event_type", "n")

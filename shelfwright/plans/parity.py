@@ -362,12 +362,12 @@ def natural_sort(spark, d):
 
 
 @query("""
-SELECT o_orderkey, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS at, CAST(year(o_orderdate) * 100 + greatest(1, least(12, o_custkey % 15)) AS INT) AS clamped, CAST(year(o_orderdate) AS INT) AS y FROM orders
+SELECT o_orderkey, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS ym, CAST(year(o_orderdate) * 100 + greatest(1, least(12, o_custkey % 15)) AS INT) AS clamped, CAST(year(o_orderdate) AS INT) AS y FROM orders
 """)
 def date_key(spark, d):
     o = t(spark, d, "orders", "o_orderkey", "o_orderdate", "o_custkey")
     text = F.concat_ws(".", F.year("o_orderdate"), F.col("o_custkey") % 15)
-    return o.select("o_orderkey", S.month_key(F.col("o_orderdate")).alias("at"), S.date_key(text).alias("clamped"), S.year_of(text).alias("y"))
+    return o.select("o_orderkey", S.month_key(F.col("o_orderdate")).alias("ym"), S.date_key(text).alias("clamped"), S.year_of(text).alias("y"))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
