@@ -35,7 +35,7 @@ from .common import discard, materialize, table, texts
 from .suffix import common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, HASHES, HOT = 8 << 20, 3 << 19, 1_000_000, 4096
+BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 2 << 20, 1_000_000, 4096
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
@@ -263,6 +263,36 @@ _FOUND = pa.schema([("block", pa.int64()), ("piece", pa.binary()), ("offset", pa
 FOUND = "block long, piece binary, offset binary, n binary, first binary"
 
 
+def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of the pieces numbered ``rest``, from the suffix array of their text."""
+    flat = np.frombuffer(b"".join(pieces[i] for i in rest.tolist()), np.uint8)
+    n, w = size[rest], windows[rest]
+    end = np.cumsum(n + 1)
+    text = np.empty(int(end[-1]) + 1, np.uint16)
+    text[end - 1] = 1
+    text[-1] = 0
+    letters = np.ones(len(text), bool)
+    letters[end - 1] = letters[-1] = False
+    text[letters] = flat.astype(np.uint16) + 2
+    begin = end - n - 1
+    owner = np.repeat(np.arange(len(rest), dtype=np.int32), w)
+    offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
+    position = begin.astype(np.int32)[owner] + offset
+    sa = suffix_array(text)
+    same = np.zeros(len(text), bool)
+    same[position] = common_prefixes(text, sa, position, width)
+    number = np.full(len(text), -1, np.int32)
+    number[position] = np.arange(len(position), dtype=np.int32)
+    by = number[sa]
+    by = by[by >= 0]  # windows in suffix order
+    new = ~same[position[by]]
+    first = np.minimum.reduceat(lo[rest][owner[by]], np.flatnonzero(new))
+    doc = np.empty(len(position), np.int64)
+    doc[by] = first[np.cumsum(new) - 1]
+    start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(owner) != 0)))
+    return rest[owner[start]], offset[start], np.diff(np.append(start, len(doc))), doc[start]
+
+
 def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of distinct pieces whose smallest document is the same: piece, first window, windows, document.
 
@@ -276,33 +306,14 @@ def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width:
     alone[order] = np.repeat(np.diff(np.append(cut, len(order))) == 1, np.diff(np.append(cut, len(order))))
     single, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
     out = [(single, np.zeros(len(single), np.int64), windows[single], lo[single])]
-    if len(rest):
-        flat = np.frombuffer(b"".join(pieces[i] for i in rest.tolist()), np.uint8)
-        n, w = size[rest], windows[rest]
-        end = np.cumsum(n + 1)
-        text = np.empty(int(end[-1]) + 1, np.uint16)
-        text[end - 1] = 1
-        text[-1] = 0
-        letters = np.ones(len(text), bool)
-        letters[end - 1] = letters[-1] = False
-        text[letters] = flat.astype(np.uint16) + 2
-        begin = end - n - 1
-        owner = np.repeat(np.arange(len(rest), dtype=np.int32), w)
-        offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
-        position = begin.astype(np.int32)[owner] + offset
-        sa = suffix_array(text)
-        same = np.zeros(len(text), bool)
-        same[position] = common_prefixes(text, sa, position, width)
-        number = np.full(len(text), -1, np.int32)
-        number[position] = np.arange(len(position), dtype=np.int32)
-        by = number[sa]
-        by = by[by >= 0]  # windows in suffix order
-        new = ~same[position[by]]
-        first = np.minimum.reduceat(lo[rest][owner[by]], np.flatnonzero(new))
-        doc = np.empty(len(position), np.int64)
-        doc[by] = first[np.cumsum(new) - 1]
-        start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(owner) != 0)))
-        out.append((rest[owner[start]], offset[start], np.diff(np.append(start, len(doc))), doc[start]))
+    rest = rest[np.argsort(key[rest], kind="stable")]
+    at = 0
+    while at < len(rest):  # keys that fill an array's text together
+        stop = at + max(1, int(np.searchsorted(np.cumsum(size[rest[at:]]), TEXT, "right")))
+        while stop < len(rest) and key[rest[stop]] == key[rest[stop - 1]]:
+            stop += 1
+        out.append(_first_in(pieces, rest[at:stop], size, windows, lo, width))
+        at = stop
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwright.llm import langid, lattice, lm, registry, simhash, sstable, suffix
+from shelfwright.llm import exact, langid, lattice, lm, registry, simhash, sstable, suffix
 from shelfwright.llm.common import draw, fold_col, texts
 from shelfwright.llm.components import components
 
@@ -244,3 +244,25 @@ def test_pipeline(spark, sf_dir):
     assert abs(words(ids[4]) - 1.5 * words(ids[3])) < 0.05 * words(ids[3]) and max(map(ids[4].count, ids[4])) <= 2
     assert sorted(ids[5]) == sorted(ids[4])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(ids[4])
+
+
+def test_windows_of_pieces_in_portions(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 100, 4000).astype(np.uint8))
+    pieces = list(dict.fromkeys(text[i : i + 30] for i in rng.integers(0, 3970, 300)))
+    key = np.array([min(hash(p[i : i + 8]) for i in range(3)) for p in pieces], np.int64).view(np.uint64)
+    key = key % np.uint64(7)
+    lo = rng.integers(0, 50, len(pieces))
+    plain = {}
+    for p, k, d in zip(pieces, key.tolist(), lo.tolist()):
+        for i in range(len(p) - 9):
+            plain[k, p[i : i + 10]] = min(plain.get((k, p[i : i + 10]), 99), d)
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(exact, "TEXT", size)
+        got = {}
+        for p, at, n, d in zip(*(c.tolist() for c in exact.first_documents(pieces, key, lo, 10))):
+            got |= {(p, i): d for i in range(at, at + n)}
+        # pieces of one key share windows; other keys may be compared too, as all windows of real pieces have one key
+        assert len(got) == sum(len(p) - 9 for p in pieces)
+        if size == 1:
+            assert all(got[i, j] == plain[key.tolist()[i], p[j : j + 10]] for i, p in enumerate(pieces) for j in range(len(p) - 9))
