@@ -1,7 +1,7 @@
 """From documents to token shards: each stage reads what the one before wrote, and its decisions take effect.
 
 1. quality: documents that the subword classifier scores below 0.3 go.
-2. near_duplicates: of each SimHash class the document with the smallest id stays.
+2. near_duplicates: of documents that link at a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays.
 3. decontaminate: documents that hold a benchmark phrase go.
 4. mix: sources are brought to their target weights; documents are repeated or left out.
 5. tokens: documents are encoded into sorted-string-table shards, and their entries are read back.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwright.llm import decontaminate, mixing, simhash, sstable, subword
+from shelfwright.llm import decontaminate, mixing, near, sstable, subword
 from shelfwright.llm.common import fold_col, materialize, table
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
