@@ -6,8 +6,8 @@ falls to that one is shared out by the smoothed counts, so the scores are those
 
 1. Tokens of all training documents are counted (partial sums in each task, then by word).
 2. Each task trains a copy of the model on its documents by stochastic gradient descent: of every training document it
-   takes a share ``RATE`` of the positions, drawn over the whole text, against ``NOISE`` draws from the symbols' frequencies,
-   common to a batch. Copies are averaged, weighted by positions, block by block; that is repeated ``ROUNDS`` times.
+   takes a share ``RATE`` of the positions (all of them), against ``NOISE`` draws from the symbols' frequencies, common to
+   a batch. Copies are averaged, weighted by positions, block by block; that is repeated ``ROUNDS`` times.
 3. All documents are scored. Counts of the ``HEAD`` commonest words travel with the tasks (a fixed number of words of
    ``LONGEST`` bytes at most); the remaining words are joined with the table of counts.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, fold_col, materialize, table, texts
 
 SYMBOLS, DIM, NOISE, BATCH, STEP = 4096, 16, 128, 2048, 0.15
-RATE, ROUNDS, HEAD, LONGEST, BLOCKS = 0.25, 2, 1 << 18, 64, 16
+RATE, ROUNDS, HEAD, LONGEST, BLOCKS = 1.0, 2, 1 << 18, 64, 16
 FLUSH, PIECE = 1 << 19, 1 << 21
 END = b""
 
