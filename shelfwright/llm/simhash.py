@@ -11,7 +11,7 @@ a group of thousands costs no more than its members. Large cells are cut by equa
 differing bits leave one third equal), which loses no link.
 
 Defined cases: null text is empty, an empty text has fingerprint zero and links like any other; documents with a null
-doc_id join the class of their fingerprint but never name it; rows that repeat a doc_id are one node.
+doc_id link classes like others but never name one (the component of a class of null ids alone is null); rows that repeat a doc_id are one node.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ SEGMENTS = 16
 BLOCK, LARGE = 1 << 16, 2048
 THIRDS = tuple(np.uint64(x) for x in (0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42))
 
+#: From here on numbers stand for fingerprints whose rows have null ids only: above all ids, they name no component with others.
+NAMELESS = (1 << 63) - (1 << 48)
+
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -148,14 +151,15 @@ def classes(prints: DataFrame, most: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp): fingerprints link at ``most`` (2 at most) or fewer differing bits."""
     if most > 2:
         raise ValueError("cells one step wide find links of up to 2 differing bits")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    rep = F.coalesce(F.min("doc_id"), NAMELESS + F.pmod(F.xxhash64("fp"), F.lit((1 << 48) - 1)))
+    reps = materialize(prints.groupBy("fp").agg(rep.alias("rep")), "reps")
     same = prints.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("doc_id is not null and x <> y").select("doc_id")
-    named = reps.where("rep is not null")
-    entered = named.select("fp", "rep").mapInArrow(_entries, "cell long, fp long, rep long")
+    entered = reps.select("fp", "rep").mapInArrow(_entries, "cell long, fp long, rep long")
     edges = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_links, most=most), "a long, b long")
-    repeated = prints.join(same, "doc_id").join(named, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    repeated = prints.join(same, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps = components(edges.union(repeated))
-    named = reps.join(comps, reps["rep"] == comps["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    component = F.coalesce("component", "rep")
+    named = reps.join(comps, reps["rep"] == comps["id"], "left").select("fp", F.when(component < NAMELESS, component).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
