@@ -17,14 +17,15 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and Spark runs on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        top = tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.sparkContext.setCheckpointDir(top)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(dir="/tmp/checkpoints"))
         top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
 
@@ -92,6 +93,17 @@ def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:
     return df.orderBy(h, *key).limit(n)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is a column's (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of Arrow batches as Python tuples, one batch in memory at a time."""
     for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free, materialize, table
 
 #: Hex digits of the hash that name a bucket: 4096 of them for each source.
 BUCKET_DIGITS = 3
@@ -79,14 +79,15 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, cycle: tuple[i
 
 
 def repeat(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, cycle: tuple[int, ...] = (3, 1, 2), seed: int = 11) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; the boundary document's last repetition is whole or left out, whichever is nearer."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", word_count()), "mix-rows")
-    sized = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size"))
+    """The rows of docs as often as the mix takes them, with all their columns as they were; the boundary document's last repetition is whole or left out, whichever is nearer."""
+    row, words, times, again = free(docs.columns, "mix_row", "mix_words", "mix_times", "mix_again")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(words, word_count()), "mix-rows")
+    sized = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(words).alias("size"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     taken = sample(sized, water_fill(cyclic_weights(sources, cycle), share, max_epochs), seed)
     once_more = ((F.col("size") > 0) & (2 * F.col("extra") >= F.col("size"))).cast("long")
-    taken = taken.select("_row", (F.col("repeats") + once_more).cast("int").alias("_times")).where("_times > 0")
-    return rows.join(taken, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    taken = taken.select(F.col("row").alias(row), (F.col("repeats") + once_more).cast("int").alias(times)).where(F.col(times) > 0)
+    return rows.join(taken, row).withColumn(again, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, batch, materialize, table, texts
@@ -51,11 +50,23 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     n, ones = max(1, len(w) - width + 1), np.zeros(64, np.int64)
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
     for at in range(0, n, BLOCK):
-        h = np.fromiter(hashes, np.uint64, min(BLOCK, n - at))
-        ones += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter(hashes, np.uint64, min(BLOCK, n - at)))
+    return _majority(ones, n)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes; of none, zero."""
+    return _majority(sum((_ones(h[at : at + BLOCK]) for at in range(0, len(h), BLOCK)), np.zeros(64, np.int64)), len(h))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
@@ -147,17 +158,21 @@ def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         yield edges(*map(np.concatenate, zip(*held)))
 
 
-def classes(prints: DataFrame, most: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) from (doc_id, fp): fingerprints link at ``most`` (2 at most) or fewer differing bits."""
+def links(reps: DataFrame, most: int = 2) -> DataFrame:
+    """(a, b): spanning forests of the links between distinct fingerprints (fp, rep), as pairs of their representatives."""
     if most > 2:
         raise ValueError("cells one step wide find links of up to 2 differing bits")
+    entered = reps.select("fp", "rep").mapInArrow(_entries, "cell long, fp long, rep long")
+    return entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_links, most=most), "a long, b long")
+
+
+def classes(prints: DataFrame, most: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) from (doc_id, fp): fingerprints link at ``most`` (2 at most) or fewer differing bits."""
     rep = F.coalesce(F.min("doc_id"), NAMELESS + F.pmod(F.xxhash64("fp"), F.lit((1 << 48) - 1)))
     reps = materialize(prints.groupBy("fp").agg(rep.alias("rep")), "reps")
     same = prints.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("doc_id is not null and x <> y").select("doc_id")
-    entered = reps.select("fp", "rep").mapInArrow(_entries, "cell long, fp long, rep long")
-    edges = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(partial(_links, most=most), "a long, b long")
     repeated = prints.join(same, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = components(edges.union(repeated))
+    comps = components(links(reps, most).union(repeated))
     component = F.coalesce("component", "rep")
     named = reps.join(comps, reps["rep"] == comps["id"], "left").select("fp", F.when(component < NAMELESS, component).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -168,17 +183,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return classes(materialize(fingerprints(docs, width), "prints"), most)
 
 
-def keep_one(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """The rows of docs, with all their columns, that name their class. Rows without a doc_id stay; of rows that repeat one, one does."""
-    found = near_duplicates(docs, width, most)
-    named = found.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(named.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not named.where("count > 1").isEmpty():
-        order = W.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-        kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -50,3 +50,9 @@ def repeated(docs, width=50):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         runs = len(re.findall(b"\1+", bytes(gone)))
         yield (i is not None, i or 0, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+
+
+def similar(a, b):
+    """Jaccard similarity of the five-word shingles."""
+    x, y = (({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()) for w in ((t or "").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y) if x | y else 1.0

@@ -4,7 +4,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASH = {"score": "1", "row": "2", "fp": "'x'", "component_id": "3", "size": "4", "target": "5", "label": "6", "key": "'k'", "block": "7", "n": "8", "word": "'w'", "_row": "9", "part": "10", "h": "11"}
+CLASH = {"score": "1", "row": "2", "fp": "'x'", "component_id": "3", "size": "4", "target": "5", "label": "6", "key": "'k'", "block": "7", "n": "8", "word": "'w'", "_row": "9", "part": "10", "h": "11", "_size": "'mine'", "_k": "12", "_times": "13", "_n": "14", "mix_row": "15", "MIX_TIMES": "16", "near_key": "17"}
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
