@@ -1,10 +1,15 @@
 """From documents to token shards: each stage reads what the one before wrote, and its decisions take effect.
 
 1. quality: documents that the subword classifier scores below 0.3 go.
-2. near_duplicates: of documents that link at a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays.
+2. near_duplicates: of documents that link at a five-word Jaccard similarity of 0.8 or more the one with the smallest id stays;
+   candidates are the SimHash links of the popcount grid and, beyond its radius, MinHash cells.
 3. decontaminate: documents that hold a benchmark phrase go.
 4. mix: sources are brought to their target weights; documents are repeated or left out.
 5. tokens: documents are encoded into sorted-string-table shards, and their entries are read back.
+
+Defined cases: a null text is empty; without labels every document scores 0.5 and stays, with one class alone that class's
+share; empty texts are one class of copies; an empty benchmark removes nothing; documents without words are not mixed in;
+an empty table gives an empty result; columns of any name come back unchanged until the last stage.
 """
 
 from __future__ import annotations
