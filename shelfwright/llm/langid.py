@@ -1,38 +1,54 @@
 """Language identification by cross-parsing entropy.
 
-Of each language a suffix automaton of labelled text is built. A text is cut greedily into the longest phrases that
-occur in the language's text (or single unseen characters); the language that needs the fewest phrases for the text's
-letters wins. Phrase counts are normalised by the count that the language needs for text of its own that its automaton
-has not seen, so that richer samples give no advantage.
-
-Parsing goes word by word, each with the spaces around it, so a word's phrase counts do not depend on its neighbours and
-are kept in a bounded cache. The training text of a language is the commonest words of ``SAMPLE`` labelled documents at
-most (``WORDS`` words of each, drawn evenly over the whole document), up to ``LETTERS`` characters; these bounds are
-parameters. Every document is parsed whole.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing can be learned;
-ties go to the language that is first in code point order; repeated documents get rows of their own.
+Of each language a suffix automaton of running labelled text is built. A text is cut greedily into the longest phrases that
+occur in the language's text (or single unseen characters), across words; the language that needs the fewest phrases wins.
+Phrase counts are normalised by what the language needs for running text of its own that its automaton has not seen, so
+that richer samples give no advantage.
+
+Texts are lower-cased; letters and marks stay, all between them is one space. The training text of a language is a bounded
+sample of labelled rows: passages of ``LENGTH`` characters, cut from the whole texts of ``SAMPLE`` documents and drawn by a
+hash, ``PASSAGES`` at most, every fifth of them for the normalising count. These bounds are parameters. Every document is
+parsed whole, in stretches of ``STRETCH`` symbols that many lanes walk at once; a phrase ends with its stretch.
+
+An automaton's transitions are kept as one hash table of (state, symbol), so its size follows the text and not the alphabet.
+
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; so is every text if nothing
+can be learned; ties go to the language that is first in code point order; repeated documents get rows of their own; very
+long texts cost their length; labelled documents without letters teach nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import partial
-from itertools import islice
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold_col, small, table, texts
+from .common import fold_col, materialize, small, table, texts
+
+SAMPLE, PASSAGES, LENGTH = 300, 250, 1000
+STRETCH, PIECE = 1024, 1 << 21
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
 
-SAMPLE, WORDS, LETTERS = 300, 300, 40_000
-CACHE, LONG, PIECE = 400_000, 64, 1 << 22
-_WORD = re.compile(r"[^\W\d_]+")
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Per code point: 2 for letters, 1 for marks, 0 for all else."""
+    return np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], np.uint8)
+
+
+def normal(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters and marks, with one space (32) for what is between, before and after them."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(_kinds()[c] > 0, c, np.uint32(32))
+    return c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -65,122 +81,163 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def _flat(text: np.ndarray) -> np.ndarray:
+    """Rows state, symbol, next state of the automaton of code points."""
+    nxt = automaton(text.tolist())
+    size = np.array(list(map(len, nxt)))
+    out = np.empty((3, int(size.sum())), np.int32)
+    out[0] = np.repeat(np.arange(len(nxt)), size)
+    out[1] = np.fromiter((c for row in nxt for c in row), np.int32, out.shape[1])
+    out[2] = np.fromiter((s for row in nxt for s in row.values()), np.int32, out.shape[1])
+    return out
+
+
 class Model:
-    """The automata of all languages in one table of (state, symbol), symbol 0 for what no language has."""
-
-    def __init__(self, samples: dict[str, tuple[list[str], list[str]]]):
-        """samples: per language, the words of its automaton and words of other text of its own."""
-        self.languages = sorted(samples)
-        texts = [" " + " ".join(samples[x][0]) + " " for x in self.languages]
-        alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
-        self.code = np.zeros(0x110000, np.uint16)
-        for c, i in alphabet.items():
-            self.code[ord(c)] = i
-        parts, roots, total = [], [], 0
-        for t in texts:
-            nxt = automaton([alphabet[c] for c in t])
-            part = np.full((len(nxt), len(alphabet) + 1), -1, np.int32)
-            for s, row in enumerate(nxt):
-                for c, to in row.items():
-                    part[s, c] = total + to
+    """The automata of all languages in one hash table of (state, symbol); symbol 0 is what no language has."""
+
+    def __init__(self, learned: list[tuple[str, np.ndarray, np.ndarray]]):
+        """learned: per language its name, the rows of its automaton, and code points of other text of its own."""
+        learned = sorted(learned, key=lambda x: x[0])
+        self.languages = [x for x, *_ in learned]
+        alphabet = np.unique(np.concatenate([np.zeros(0, np.int32), *(rows[1] for _, rows, _ in learned)]))
+        self.code = np.zeros(sys.maxunicode + 1, np.uint32)
+        self.code[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.size = len(alphabet) + 1
+        total, roots, keys, to = 0, [], [], []
+        for _, rows, _ in learned:
             roots.append(total)
-            total += len(nxt)
-            parts.append(part)
-        self.table = np.concatenate(parts) if parts else np.zeros((0, 1), np.int32)
-        self.roots = np.array(roots, np.int32)
-        self.norm = np.array([self._rate(i, samples[x][1]) for i, x in enumerate(self.languages)])
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.languages) + 1), np.int32)
-
-    def _rate(self, i: int, words: list[str]) -> float:
-        return self.phrases(words)[:, i].sum() / max(1, sum(map(len, words))) if words else 1.0
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """(words, languages): how many longest matches, or single unseen characters, make up each word with its spaces."""
-        n, k = len(words), len(self.roots)
-        if not n:
-            return np.zeros((0, k), np.int32)
-        flat = self.code[np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        size = np.array([len(w) + 2 for w in words], np.int32)
-        stop = np.cumsum(size, dtype=np.int32)
-        at, end = np.tile(stop - size, k), np.tile(stop, k)
-        root = np.repeat(self.roots, n)
-        state, count, live = root.copy(), np.zeros(n * k, np.int32), np.arange(n * k)
-        while len(live):
-            to = self.table[state, flat[at]]
-            ok = to >= 0
-            at += ok | (state == root)
-            state = np.where(ok, to, root)
-            over = at == end
-            count[live] += ~ok
-            count[live[over & ok]] += 1
-            go = ~over
-            live, at, end, root, state = live[go], at[go], end[go], root[go], state[go]
-        return count.reshape(k, n).T
-
-    def _learn(self, tokens: list[str]) -> None:
-        """Letters and phrase counts of tokens that are not known yet."""
-        words = [_WORD.findall(t.lower()) for t in tokens]
-        index: dict[str, int] = {}
-        flat = [index.setdefault(w, len(index)) for own in words for w in own]
-        each = np.column_stack([[len(w) for w in index], self.phrases(list(index))]) if index else self.rows[:0]
-        new = np.zeros((len(tokens), self.rows.shape[1]), np.int32)
-        np.add.at(new, np.repeat(np.arange(len(tokens)), [len(x) for x in words]), each[flat] if flat else self.rows[:0])
-        self.known.update(zip(tokens, range(len(self.rows), len(self.rows) + len(tokens))))
-        self.rows = np.concatenate([self.rows, new])
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """(texts, 1 + languages): letters, then phrases per language."""
-        tokens = [t.split() for t in texts]
-        known = self.known
-        self._learn(list(set().union(*tokens).difference(known)))
-        out = np.zeros((len(texts), self.rows.shape[1]), np.int64)
-        for i, own in enumerate(tokens):
-            if own:
-                out[i] = self.rows[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
-        if len(known) > CACHE:  # the tokens met first are the common ones: they stay
-            kept = [t for t in islice(known, CACHE // 2) if len(t) <= LONG]
-            self.rows = self.rows[[known[t] for t in kept]]
-            known.clear()
-            known.update(zip(kept, range(len(kept))))
+            keys.append((rows[0].astype(np.uint64) + np.uint64(total)) * np.uint64(self.size) + self.code[rows[1]])
+            to.append(rows[2] + total)
+            total += int(rows[2].max(initial=0)) + 1
+        self.roots = np.array(roots, np.int64)
+        self._hash(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *to]))
+        first = np.repeat(self.roots, self.size), np.tile(np.arange(self.size), len(roots))
+        found = self._next(*first)
+        self.first = np.where(found < 0, first[0], found).reshape(len(roots), self.size)
+        self.unseen = (found < 0).reshape(len(roots), self.size)
+        self.norm = np.ones(len(roots))
+        for i, (_, _, other) in enumerate(learned):
+            if len(other):
+                self.norm[i] = max(1, self.phrases([other])[0, i]) / max(1, (other != 32).sum())
+
+    def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Linear probing; all keys that want a free slot are placed at once."""
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to, self.mask = np.full(1 << bits, np.iinfo(np.uint64).max), np.zeros(1 << bits, np.int32), mask
+        at, left = ((keys * _SPREAD) >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] == np.iinfo(np.uint64).max
+            self.keys[at[left[free]]] = keys[left[free]]
+            done = self.keys[at[left]] == keys[left]
+            self.to[at[left[done]]] = to[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & mask
+
+    def _next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        key = state.astype(np.uint64) * np.uint64(self.size) + symbol.astype(np.uint64)
+        at = ((key * _SPREAD) >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == key, self.to[at], -1)
+        left = np.flatnonzero((found != key) & (found != np.iinfo(np.uint64).max))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (found != np.iinfo(np.uint64).max)]
         return out
 
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """(texts, languages): how many longest matches, or single unseen characters, make up each text of code points."""
+        k, size = len(self.roots), np.array([len(t) for t in texts], np.int64)
+        lanes = -(-size // STRETCH)
+        flat = self.code[np.concatenate([*texts, np.zeros(0, np.uint32)])]
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = np.repeat(np.cumsum(size) - size, lanes) + number * STRETCH
+        length = np.minimum(STRETCH, np.repeat(size, lanes) - number * STRETCH)
+        order = np.argsort(-length, kind="stable")  # lanes that are still on the way come first
+        start, length = start[order], length[order]
+        live = len(order) - np.searchsorted(length[::-1], np.arange(STRETCH), "right")
+        state = np.repeat(self.roots[:, None], len(order), axis=1)
+        count = np.zeros((k, len(order)), np.int32)
+        root = self.roots[:, None]
+        for step in range(int(length.max(initial=0))):
+            m = live[step]
+            c, s = flat[start[:m] + step], state[:, :m]
+            new = self._next(s.ravel(), np.tile(c, k)).reshape(k, m)
+            lang, lane = np.nonzero(new < 0)
+            count[lang, lane] += (s[lang, lane] != self.roots[lang]).astype(np.int32) + self.unseen[lang, c[lane]]
+            new[lang, lane] = self.first[lang, c[lane]]
+            state[:, :m] = new
+        count += state != root
+        out = np.zeros((k, len(texts)), np.int64)
+        for i in range(k):
+            out[i] = np.bincount(owner[order], count[i], len(texts))
+        return out.T
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        out = []
-        for n in self.counts(texts):
-            if not n[0]:
-                out.append(("und", 0.0))
-                continue
-            cost = n[1:] / n[0] / self.norm
-            best = int(np.argmin(cost))
-            out.append((self.languages[best], float(1 / np.exp(-8 * (cost - cost[best])).sum())))
-        return out
+        codes = [normal(t) for t in texts]
+        counts = self.phrases(codes)
+        letters = np.array([int((_kinds()[c] == 2).sum()) for c in codes])
+        cost = counts / np.maximum(1, letters)[:, None] / self.norm
+        best = cost.argmin(axis=1)
+        score = 1 / np.exp(-8 * (cost - cost.min(axis=1, keepdims=True))).sum(axis=1)
+        return [(self.languages[b], float(x)) if n else ("und", 0.0) for b, x, n in zip(best.tolist(), score, letters.tolist())]
 
 
 _MODELS: dict[tuple, Model] = {}
 
 
-def _model(samples: tuple) -> Model:
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x.astype(np.int32), prepend=0, axis=-1).astype(np.int32).tobytes())
+
+
+def _unpack(x: bytes, rows: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32).reshape(rows, -1), axis=1, dtype=np.int32)
+
+
+def model_of(learned: tuple) -> Model:
     """The worker's model; another one makes room first."""
-    if samples not in _MODELS:
+    if learned not in _MODELS:
         _MODELS.clear()
-        _MODELS[samples] = Model({x: (own.split(), other.split()) for x, own, other in samples})
-    return _MODELS[samples]
+        _MODELS[learned] = Model([(lang, _unpack(rows, 3), _unpack(other, 1)[0]) for lang, rows, other in learned])
+    return _MODELS[learned]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Passages of the normal texts, numbered."""
+    for b in batches:
+        for lang, doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
+            c = normal(text)
+            parts = [c[at : at + length].tobytes() for at in range(0, len(c), length)] if len(c) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([doc_id] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["lang", "doc_id", "k", "passage"])
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The automaton of each language; passages (lang, n, passage) come sorted, those of one language are held at a time."""
+    held: list[tuple] = []
 
+    def done() -> pa.RecordBatch:
+        text = lambda own: np.frombuffer(b"".join(p for _, n, p in held if (n % 5 == 0) != own), np.uint32).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([_pack(_flat(text(True)))], pa.binary()), pa.array([_pack(text(False)[None])], pa.binary())], names=["lang", "rows", "other"])
 
-def _draw(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for t in b.column(2).to_pylist():
-            w = _WORD.findall(t.lower())
-            out.append(" ".join(w if len(w) <= most else [w[i * len(w) // most] for i in range(most)]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["lang", "n", "words"])
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[0][0] != row[0]:
+                yield done()
+                held = []
+            held.append(row)
+    if held:
+        yield done()
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int = LETTERS, seed: int = 5) -> tuple:
-    """What ``_model`` needs, from labelled documents: every fifth one drawn gives the normalising text."""
+def fit(docs: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES, length: int = LENGTH, seed: int = 5) -> tuple:
+    """What ``model_of`` needs, from labelled documents: per language its name, its automaton, and text to normalise by."""
     known = docs.where("lang is not null and doc_id is not null and text is not null")
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"))
@@ -188,24 +245,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WORDS, letters: int =
     share = F.shiftright(h, 1) + (1 << 62) < F.lit(2.0**63) * F.least(F.lit(1.0), (3.0 * sample + 100) / F.col("many"))
     n = F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id"))
     drawn = ids.join(many, "lang").where(share).select("lang", "doc_id").distinct().select("lang", "doc_id", n.alias("n")).where(F.col("n") <= sample)
-    drawn = small(drawn, 200_000)  # ``sample`` rows per language
-    words = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(drawn, ["lang", "doc_id"])
-    words = words.select("lang", "n", "text").mapInArrow(partial(_draw, most=most), "lang string, n int, words string")
-    own: dict[str, Counter] = {}
-    other: dict[str, Counter] = {}
-    for r in words.collect():
-        (other if r["n"] % 5 == 0 else own).setdefault(r["lang"], Counter()).update(r["words"].split())
-    out = []
-    for lang in sorted(own):
-        kept, size = [], 0
-        for w, _ in sorted(own[lang].items(), key=lambda x: (-x[1], x[0])):
-            if size + len(w) + 1 > letters:
-                break
-            kept.append(w)
-            size += len(w) + 1
-        spare = sorted(other.get(lang, Counter()).elements())
-        out.append((lang, " ".join(kept), " ".join(spare[:: max(1, len(spare) // 2000)])))
-    return tuple(x for x in out if x[1])
+    drawn = small(drawn.select("lang", "doc_id"), 200_000)  # ``sample`` rows per language
+    own = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    cut = materialize(own.mapInArrow(partial(_cut, length=length), "lang string, doc_id long, k long, passage binary"), "passages")
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "k", F.lit(seed)), "doc_id", "k", "passage")
+    kept = cut.select("lang", F.row_number().over(order).alias("n"), "passage").where(F.col("n") <= passages)
+    built = kept.repartition("lang").sortWithinPartitions("lang", "n").mapInArrow(_build, "lang string, rows binary, other binary")
+    return tuple((r["lang"], bytes(r["rows"]), bytes(r["other"])) for r in sorted(built.collect(), key=lambda r: r["lang"]))
 
 
 def _pieces(texts: list[str]) -> Iterator[list[str]]:
@@ -221,19 +267,20 @@ def _pieces(texts: list[str]) -> Iterator[list[str]]:
         yield piece
 
 
-def _predict(batches: Iterator[pa.RecordBatch], samples: tuple) -> Iterator[pa.RecordBatch]:
-    model = _model(samples)
+def _predict(batches: Iterator[pa.RecordBatch], learned: tuple) -> Iterator[pa.RecordBatch]:
+    model = model_of(learned)
     for b in batches:
         found = [x for piece in _pieces(b.column(1).to_pylist()) for x in model.predict(piece)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, samples: tuple) -> DataFrame:
+def predict(docs: DataFrame, learned: tuple) -> DataFrame:
     """(doc_id, lang_pred, score) per row of docs."""
-    return texts(docs).mapInArrow(partial(_predict, samples=samples), "doc_id long, lang_pred string, score double")
+    return texts(docs).mapInArrow(partial(_predict, learned=learned), "doc_id long, lang_pred string, score double")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents, learned from the labelled ones outside of the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs.where(fold_col() != 0)))
     return found.select("doc_id", (fold_col() == 0).alias("held_out"), "lang_pred", "score")

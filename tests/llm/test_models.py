@@ -77,21 +77,33 @@ def test_language_held_out(spark, sf_dir):
     assert np.mean([r.lang_pred == docs[r.doc_id] for r in held]) > 0.97
 
 
-def test_language_phrases():
-    m = langid.Model({"a": (["abcab", "bca"], []), "b": (["xyz"], [])})
-    text = " abcab bca "
+def test_language_phrases(monkeypatch):
+    own = {"a": "abcab bca cab", "b": "xyz", "ü": "漢字 üben", "z": ""}
+    m = langid.Model([(x, langid._flat(langid.normal(t).astype(np.int32)), np.zeros(0, np.uint32)) for x, t in own.items()])
 
-    def plain(word):
-        s, at, n = f" {word} ", 0, 0
+    def plain(s, of):
+        at, n = 0, 0
         while at < len(s):
             size = 1
-            while at + size <= len(s) and s[at : at + size] in text:
+            while at + size <= len(s) and s[at : at + size] in of:
                 size += 1
             at, n = at + max(1, size - 1), n + 1
         return n
 
-    words = ["abcab", "bca", "cabb", "zzz", "a", "éa"]
-    assert m.phrases(words)[:, 0].tolist() == [plain(w) for w in words]
+    texts = ["abcab", "bca  CAB!bca", "zzz", "a", "éa bca xyz", "", "Üben 漢字 ab", "x-y z ab", "bca cab bca cab bca cab bca"]
+    norm = lambda t: "".join(map(chr, langid.normal(t)))
+    assert [norm(t) for t in texts[:2]] == [" abcab ", " bca cab bca "]
+    for stretch in (1024, 7):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        want = [[sum(plain(norm(t)[k : k + stretch], norm(own[x])) for k in range(0, len(norm(t)), stretch)) for x in m.languages] for t in texts]
+        assert m.phrases([langid.normal(t) for t in texts]).tolist() == want
+
+
+def test_language_of_marks_and_signs(spark):
+    docs = spark.createDataFrame([(i, ("the sea and the land " if i % 2 else "la mer et la terre ") * 9, ("en", "fr")[i % 2 == 0]) for i in range(20)] + [(90, "½ ² ① ...", "en"), (91, "the sea", None), (92, "ⓐⓑ", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got[90] == got[92] == "und" and got[91] == "en"
+    assert not langid.fit(docs.where("doc_id = 90")) and {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
 def test_language_model(spark, sf_dir):
