@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import zlib
+
+import numpy as np
 
 from shelfwright.llm import decontaminate, exact, langid, lm, mixing, pii, simhash, sstable, subword
 from shelfwright.llm.common import texts
@@ -42,9 +45,6 @@ def test_exact(odd, empty):
 
 
 def test_sstable(odd, empty):
-    import numpy as np
-    import zlib
-
     path = sstable.default_tokenizer()
     shards = sstable.write_shards(odd, path, shard_bytes=4000)
     rows = sorted(sstable.documents_of(shards).collect(), key=lambda r: r.start)
@@ -122,6 +122,47 @@ def test_quality(spark, odd, empty):
     assert subword.score(odd, subword.fit(empty, labels)).count() == N
     long = subword.fit(odd, labels, sample=2)
     assert isinstance(long.bias, float)
+    tight = subword.fit(odd, labels, room=8 * 1000)  # the long documents are not learned from
+    assert all(0 <= r.score <= 1 for r in subword.score(odd, tight).collect())
+
+
+def test_quality_scores_against_plain_vectors(monkeypatch):
+    """Scores by words' cached numbers are those of averaged vectors and a softmax, for words of any length."""
+    rng = np.random.default_rng(3)
+    model = subword.Model(rng.normal(size=subword.BUCKETS), 0.25)
+
+    def word(w):
+        text, rows = b"<" + w + b">", [zlib.crc32(w)]
+        for n in subword.GRAMS:
+            for i in range(len(text) - n + 1):
+                h = 0
+                for c in text[i : i + n]:
+                    h = (h * 0x100000001B3 + c + 1) % 2**64
+                h = (h * 0x9E3779B97F4A7C15 + n) % 2**64
+                rows.append(h ^ h >> 29)
+        return np.mean([model.activation[r % subword.BUCKETS] for r in rows])
+
+    texts = ["a", "the the end", "ein Überraschungsei " + "x" * 300 + " x x", " ".join(f"w{i % 7}" for i in range(50)), "", "q" * 131]
+    for long in (1 << 16, 16):
+        monkeypatch.setattr(subword, "LONG", long)
+        scorer = subword.Scorer(model)
+        for t in texts:
+            w = t.encode().split()
+            every = [word(x) for x in w] + [word(subword.REPEAT)] * sum(x == y for x, y in zip(w, w[1:]))
+            assert abs(scorer.logit(t) - (np.mean(every) if every else 0) - 0.25) < 1e-9
+
+
+def test_quality_batches_are_averages():
+    bags = [([b"ab", b"abc"], np.array([1.0, 3.0])), ([], np.zeros(0)), ([b"abc"], np.array([2.0]))]
+    rows, doc, place, weight = subword._sparse(bags)
+    dense = np.zeros((3, subword.BUCKETS))
+    np.add.at(dense, (doc, rows[place]), weight)
+    want = np.zeros_like(dense)
+    for k, (words, times) in enumerate(bags):
+        for w, n in zip(words, times):
+            own = subword.subwords([w])[0]
+            np.add.at(want[k], own, n / times.sum() / len(own))
+    assert np.allclose(dense, want, atol=1e-6)
 
 
 def test_langid(odd, empty):
