@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 from shelfwright.llm import decontaminate, exact, langid, lm, mixing, pii, simhash, sstable, subword
 from shelfwright.llm.common import texts
@@ -44,14 +46,16 @@ def test_exact(odd, empty):
     assert exact.deduplicate(empty).count() == 0
 
 
-def test_sstable(odd, empty):
+def test_sstable(spark, odd, empty):
     path = sstable.default_tokenizer()
-    shards = sstable.write_shards(odd, path, shard_bytes=4000)
+    plain = Tokenizer.from_file(path)
+    more = [(60, "hello <|endoftext|> world"), (61, "a<|endoftext|>"), (62, "<|endoftext|>"), (63, "tab\there  two\u00a0 non \u3000wide"), (60, "again"), (64, "don't can't we'll 'tis 12'3 ''")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    shards = sstable.write_shards(docs, path, shard_bytes=4000)
     rows = sorted(sstable.documents_of(shards).collect(), key=lambda r: r.start)
-    enc = sstable._tokenizer(path)
     want = {}
-    for r in odd.collect():
-        ids = np.array(enc.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+    for r in docs.collect():
+        ids = np.array(plain.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
         want.setdefault(r.doc_id, []).append((len(ids), zlib.crc32(ids.tobytes())))
     got = {}
     at = 0
@@ -62,10 +66,25 @@ def test_sstable(odd, empty):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     order = [r.doc_id for r in rows]
     assert order == sorted(order, key=lambda x: (x is not None, x or 0))
-    assert shards.count() > 1 and sorted(len(r.ids) for r in sstable.lookup(shards, [10, 999]).collect()) == sorted(n for n, _ in want[10])
+    assert shards.where(f"section = {sstable.FOOTER}").count() > 1
+    for i in (10, 60, 62):
+        assert sorted(len(r.ids) for r in sstable.lookup(shards, [i, 999]).collect()) == sorted(n for n, _ in want[i])
     assert sstable.documents_of(sstable.write_shards(empty, path)).count() == 0
 
 
+def test_encoder_against_the_library():
+    """Texts of words, marks, white space and the special string, with a small cache."""
+    path = sstable.default_tokenizer()
+    plain, encoder = Tokenizer.from_file(path), sstable.Encoder(path)
+    rng = np.random.default_rng(6)
+    parts = ["the", "Über", "naïve", "x1", "漢字", "...", "!?", "<|endoftext|>", "<|endof", "text|>", "don't", "'s", "\u2019ll", "a\u0301", "\U0001f600", "-", "1234567", "\x00", "\u0085", "\u00a0"]
+    gaps = [" ", " ", " ", "", "  ", "\n", "\t", "\u3000", " \n"]
+    texts_ = ["".join(parts[i] + gaps[j] for i, j in zip(rng.integers(0, len(parts), 12), rng.integers(0, len(gaps), 12))) for _ in range(3000)]
+    got = encoder.encode(pa.array(texts_)).to_pylist()
+    for t, ids in zip(texts_, got):
+        assert np.frombuffer(ids, "<u2").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_decontaminate(spark, odd, empty):
     texts_ = [r.text for r in odd.collect() if r.doc_id == 10]
     items = [(1, " ".join(texts_[0].split()[5:20])), (2, "x"), (3, None), (4, " , "), (None, texts_[1]), (5, "not there at all"), (1, "x")]
