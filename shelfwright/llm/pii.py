@@ -8,7 +8,8 @@ the share of true spans per kind. The posteriors of at most ``SAMPLE`` candidate
 hashed features of shape and context. Spans are the base and what the classifier adds at ``ACCEPT`` or more outside of it.
 
 Defined cases: null and empty texts have no spans; repeated documents get rows of their own; without candidates there is
-no model and nothing is added; positions are code points, ends exclusive.
+no model and nothing is added; positions are code points, ends exclusive; very long texts cost their length; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -134,12 +135,15 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int, list[int]]]:
     if not _TRIGGER.search(text):
         return []
     spans = [(k, s, e, True) for k, s, e in base(text)]
-    taken = sorted((s, e) for _, s, e, _ in spans)
+    taken = bytearray(len(text))
+    for _, s, e, _ in spans:
+        taken[s:e] = b"\1" * (e - s)
     for k, name in enumerate(KINDS):
         for m in _LOOSE[name].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                spans.append((k, *m.span(), False))
-                taken.append(m.span())
+            s, e = m.span()
+            if taken.find(1, s, e) < 0:
+                spans.append((k, s, e, False))
+                taken[s:e] = b"\1" * (e - s)
     out = []
     for k, s, e, strict in spans:
         left, right = text[max(0, s - 60) : s], text[e : e + 30]
@@ -250,4 +254,5 @@ def redact(text: str | None, spans: str) -> str | None:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents."""
     return detect(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,6 +131,40 @@ def test_pii(spark, odd, empty):
     assert e.spans == "" and e.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def _base(text):
+    """The base spans by the patterns of the contract."""
+    luhn = lambda d: sum(n if i % 2 == 0 else sum(divmod(2 * n, 10)) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    patterns = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda t: 13 <= len(digits(t)) <= 19 and luhn(digits(t))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 9 <= len(digits(t)) <= 15),
+    )
+    return [(k, *m.span()) for k, (p, ok) in enumerate(patterns) for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_pii_base_against_the_patterns(spark):
+    rng = np.random.default_rng(9)
+    parts = ["a.b@c-d.org", "x@y", "@", ".", "10.0.0.1", "1.2.3.4.5", "256.1.1.1", "0000001.1.1.1", "4539 1488 0343 6467", "4539148803436467", "-", "+1 (603) 555-8791", "+", "(", ")", " ", " ", "7", "text", "é", "４", "\n", "1-2-3", "%_+"]
+    every = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 14))) for _ in range(4000)]
+    assert all(pii.base(t) == _base(t) for t in every)
+    rows = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(every[:300])), "doc_id long, text string")).collect()}
+    for i, t in enumerate(every[:300]):
+        want = _base(t)
+        r = rows[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in want) for x in range(4))
+        text = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(text).encode()).hexdigest() and set(text) <= set(r.spans.split(",")) | {""}
+
+
+def test_pii_of_a_long_list():
+    text = "\n".join(f"user{i}@example{i % 50}.com, 10.{i % 256}.0.1, 555 {i % 1000:03d} {i % 10000:04d}" for i in range(60000))
+    began = time.process_time()
+    found = pii.candidates(text)
+    assert len(found) >= 120000 and time.process_time() - began < 120
+
+
 def test_quality(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (12, 0), (12, 0), (99, 1), (None, 1), (7, None)], "doc_id long, quality int")
     model = subword.fit(odd, labels)
