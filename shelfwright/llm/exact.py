@@ -12,9 +12,11 @@ equal ones. Runs of windows with one minimizer form a piece of text, and pieces
 4. Each block marks the bytes of its documents that a window with a smaller document covers, and takes them out.
 
 A text, passage or line in very many documents is reported once per block, so no key gathers rows in proportion to its
-documents. A minimizer that more than ``HOT`` blocks report is split further by a second hash of the window's grams.
+documents; equal pieces are put together before sorting, by their bytes. A minimizer that more than ``HOT`` blocks report is
+split further by a second hash of the window's grams, and so are, in a shard, pieces of one minimizer that hold more text
+than one suffix array takes.
 
-Defined cases: null texts are empty; a null doc_id counts as smaller than all; rows that repeat a doc_id are no smaller
+Defined cases: null texts are empty; ties, equal texts with one id included, remove nothing from each other; a null doc_id counts as smaller than all; rows that repeat a doc_id are no smaller
 documents to each other; texts shorter than ``width`` bytes lose nothing; an empty table gives an empty one.
 """
 
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, table, texts
-from .suffix import common_prefixes, suffix_array
+from .suffix import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 2 << 20, 1_000_000, 4096
+BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 2 << 20, 1_000_000, 64
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
@@ -279,8 +281,7 @@ def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows:
     offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
     position = begin.astype(np.int32)[owner] + offset
     sa = suffix_array(text)
-    same = np.zeros(len(text), bool)
-    same[position] = common_prefixes(text, sa, position, width)
+    same = permuted_prefixes(text, sa) >= width  # windows hold letters alone, so no separator is among these
     number = np.full(len(text), -1, np.int32)
     number[position] = np.arange(len(position), dtype=np.int32)
     by = number[sa]
@@ -293,30 +294,63 @@ def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows:
     return rest[owner[start]], offset[start], np.diff(np.append(start, len(doc))), doc[start]
 
 
-def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _again(pieces: list[bytes], lo: np.ndarray, width: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of one key cut by the second hash of their windows: texts, keys, documents, and the piece and offset of each."""
+    size = np.array(list(map(len, pieces)), np.int64)
+    raw = b"".join(pieces)
+    key = minimizers(np.frombuffer(raw, np.uint8), width, gram, second=True)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(pieces)), size)[: len(key)]
+    inside = np.arange(len(key)) - begin[owner] <= size[owner] - width
+    new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]))
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(key))
+    start, stop = start[inside[start]], stop[inside[start]]
+    texts_ = [raw[s : e + width - 1] for s, e in zip(start.tolist(), stop.tolist())]
+    return texts_, key[start], lo[owner[start]], owner[start], start - begin[owner[start]]
+
+
+def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width: int, gram: int = GRAM, cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of distinct pieces whose smallest document is the same: piece, first window, windows, document.
 
-    ``lo`` is the smallest document of each piece; pieces with different keys share no window.
+    ``lo`` is the smallest document of each piece; pieces with different keys share no window. A key with more text than an
+    array takes is cut further by a second hash of its windows.
     """
     size = np.array(list(map(len, pieces)), np.int64)
     windows = size - width + 1
     order = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] + np.uint64(1)))
-    alone = np.zeros(len(pieces), bool)
-    alone[order] = np.repeat(np.diff(np.append(cut, len(order))) == 1, np.diff(np.append(cut, len(order))))
-    single, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
-    out = [(single, np.zeros(len(single), np.int64), windows[single], lo[single])]
-    rest = rest[np.argsort(key[rest], kind="stable")]
-    at = 0
-    while at < len(rest):  # keys that fill an array's text together
-        stop = at + max(1, int(np.searchsorted(np.cumsum(size[rest[at:]]), TEXT, "right")))
-        while stop < len(rest) and key[rest[stop]] == key[rest[stop - 1]]:
-            stop += 1
-        out.append(_first_in(pieces, rest[at:stop], size, windows, lo, width))
-        at = stop
+    edge = np.append(np.flatnonzero(np.append(True, np.diff(key[order]) != 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+    upto = np.append(0, np.cumsum(size[order]))
+    out = [(np.zeros(0, np.int64),) * 4]
+    k = 0
+    while k + 1 < len(edge):  # keys that fill an array's text together
+        last = max(k + 1, int(np.searchsorted(upto[edge], upto[edge[k]] + TEXT, "right")) - 1)
+        own = order[edge[k] : edge[last]]
+        if cut and last == k + 1 and len(own) > 1 and size[own].sum() > TEXT:
+            parts, keys, docs, owner, offset = _again([pieces[i] for i in own.tolist()], lo[own], width, gram)
+            index: dict[tuple[bytes, int], int] = {}
+            piece, at, n, first = first_documents(*_distinct(parts, keys, docs, index), width, gram, cut=False)
+            number = np.array([index[x] for x in zip(parts, keys.tolist())], np.int64)
+            by = np.argsort(piece, kind="stable")
+            span = np.searchsorted(piece[by], np.arange(len(index) + 1))
+            count = span[number + 1] - span[number]
+            part = np.repeat(np.arange(len(parts)), count)
+            found = by[np.repeat(span[number] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            out.append((own[owner[part]], offset[part] + at[found], n[found], first[found]))
+        else:
+            out.append(_first_in(pieces, own, size, windows, lo, width))
+        k = last
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _distinct(parts: list[bytes], keys: np.ndarray, docs: np.ndarray, index: dict[tuple[bytes, int], int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct parts with their key and smallest document; ``index`` gets their numbers."""
+    number = np.array([index.setdefault(x, len(index)) for x in zip(parts, keys.tolist())], np.int64)
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, docs)
+    return [p for p, _ in index], np.array([k for _, k in index], np.uint64), least
+
+
 def _resolve(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
     for rows in _groups(batches):
         index: dict[bytes, int] = {}
@@ -332,7 +366,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
         key = minimizers(np.frombuffer(b"".join(p[:width] for p in pieces), np.uint8), width, gram)[::width]
         for mine, x in los:
             np.minimum.at(least, mine, x)
-        piece, offset, n, first = first_documents(pieces, key, least, width)
+        piece, offset, n, first = first_documents(pieces, key, least, width, gram)
         by = np.argsort(piece, kind="stable")
         piece, offset, n, first = piece[by], offset[by], n[by], first[by]
         edge = np.searchsorted(piece, np.arange(len(index) + 1))
@@ -402,4 +436,5 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: in
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from each document, judged over all of them."""
     return deduplicate(table(spark, sf_dir, "documents")).drop("starts", "ends")

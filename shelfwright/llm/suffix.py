@@ -2,8 +2,13 @@
 
 Suffixes are classified as S or L; the leftmost S suffixes (LMS) of a text whose alphabet is small are sorted by their
 substrings, named, ordered by the string of names, and the other suffixes are induced from them. Induction goes bucket by
-bucket, and all entries of a bucket that are known induce together; those that fall into the bucket itself (runs of one
-symbol) form the next wave. The string of names, whose alphabet is large, is ordered by doubling the names compared.
+bucket: what other buckets have induced is known when a bucket's turn comes, runs of its own symbol follow from it in one
+step, and then the whole bucket induces together. The string of names, whose alphabet is as large as the text, would take a
+step for each name, and is ordered by doubling the names compared instead of by a recursive call.
+
+Common prefixes with the suffix before are computed in text order. Where the symbols before both suffixes are the same, the
+length is that of the position before less one; only the other positions are compared, and their lengths add up to
+n log n at most.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ class _Inducer:
         self.tails = np.cumsum(counts)
         self.heads = self.tails - counts
         self.used = np.flatnonzero(counts).tolist()
+        first = np.append(True, t[1:] != t[:-1])
+        place = np.arange(len(t), dtype=np.int32)
+        #: How many of the same symbol stand before each position.
+        self.run_before = place - np.maximum.accumulate(np.where(first, place, 0))
 
     def _push(self, sa: np.ndarray, j: np.ndarray, at: np.ndarray, step: int) -> None:
         """Appends j to their buckets, in order: ``at`` is the next place of each bucket and moves by ``step``."""
@@ -40,6 +49,14 @@ class _Inducer:
         sa[at[c] + step * k] = j[order]
         at[c[first]] += step * n
 
+    def _runs(self, known: np.ndarray) -> np.ndarray:
+        """The suffixes that begin with more of the bucket's symbol than the known ones, in the order in which they follow."""
+        n = self.run_before[known]
+        if not n.any():
+            return known[:0]
+        back = np.arange(1, int(n.sum()) + 1) - np.repeat(np.cumsum(n) - n, n)
+        return (np.repeat(known, n) - back)[np.argsort(back, kind="stable")]
+
     def run(self, lms: np.ndarray) -> np.ndarray:
         """The suffix array that the LMS suffixes in this order induce."""
         t, s = self.t, self.s
@@ -48,34 +65,25 @@ class _Inducer:
         sa = np.full(len(t), -1, np.int32)
         at = self.heads.copy()
         for c in self.used:
-            done = self.heads[c]
-            while done < at[c]:
-                wave = sa[done : at[c]]
-                done = at[c]
-                j = wave[wave > 0] - 1
-                j = j[~s[j]]
+            more = self._runs(sa[self.heads[c] : at[c]])
+            sa[at[c] : at[c] + len(more)] = more
+            at[c] += len(more)
+            for own in (sa[self.heads[c] : at[c]], seeds[cut[c] : cut[c + 1]]):
+                j = own[own > 0] - 1
+                j = j[~s[j] & (t[j] != c)]
                 if len(j):
                     self._push(sa, j, at, 1)
-            wave = seeds[cut[c] : cut[c + 1]]
-            wave = wave[wave > 0] - 1
-            if len(wave):
-                self._push(sa, wave, at, 1)
         ends = at  # of the L suffixes in each bucket
         at = self.tails - 1
         for c in reversed(self.used):
-            done = self.tails[c] - 1
-            while done > at[c]:
-                wave = sa[at[c] + 1 : done + 1][::-1]
-                done = at[c]
-                j = wave[wave > 0] - 1
-                j = j[s[j]]
+            more = self._runs(sa[at[c] + 1 : self.tails[c]][::-1])
+            sa[at[c] + 1 - len(more) : at[c] + 1] = more[::-1]
+            at[c] -= len(more)
+            for own in (sa[at[c] + 1 : self.tails[c]], sa[self.heads[c] : ends[c]]):
+                j = own[own > 0][::-1] - 1
+                j = j[s[j] & (t[j] != c)]
                 if len(j):
                     self._push(sa, j, at, -1)
-            wave = sa[self.heads[c] : ends[c]][::-1]
-            j = wave[wave > 0] - 1
-            j = j[s[j]]
-            if len(j):
-                self._push(sa, j, at, -1)
         sa[0] = len(t) - 1
         return sa
 
@@ -147,18 +155,33 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return inducer.run(lms[_order(name[lms])])
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, positions: np.ndarray, width: int) -> np.ndarray:
-    """For each of the positions, in text order, whether its suffix and the one before it in the array agree in ``width`` symbols."""
-    phi = np.empty(len(sa), np.int32)
+def _common(t: np.ndarray, p: int, q: int) -> int:
+    n, size = 0, 64
+    while True:
+        x, y = t[p + n : p + n + size], t[q + n : q + n + size]
+        m = min(len(x), len(y))
+        differs = np.flatnonzero(x[:m] != y[:m])
+        if len(differs) or not m:
+            return n + (int(differs[0]) if m else 0)
+        n, size = n + m, 2 * size
+
+
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each position, in text order, how many symbols its suffix and the one before it in the array have in common.
+
+    The last symbol is the only 0, so two suffixes differ before either ends.
+    """
+    n = len(t)
+    place, phi, out = np.arange(n, dtype=np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
     phi[sa[1:]] = sa[:-1]
-    phi[sa[0]] = -1
-    packed = _pack(t)
-    out = np.zeros(len(positions), bool)
-    left = np.flatnonzero((phi[positions] >= 0) & (phi[positions] + width <= len(t)))
-    p = positions[left]
-    q = phi[p]
-    for at in [*range(0, width - 3, 4), *([width - 4] if width % 4 else [])]:
-        same = packed[p + at] == packed[q + at]
-        left, p, q = left[same], p[same], q[same]
-    out[left] = True
-    return out
+    own = (phi <= 0) | (place == 0) | (t[place - 1] != t[np.maximum(phi, 1) - 1])
+    packed, at = _pack(t), 0
+    left = np.flatnonzero(own & (phi >= 0)).astype(np.int32)
+    while len(left) > 32:
+        x = packed[left + at] ^ packed[phi[left] + at]
+        out[left] = at + (x < 1 << 48).astype(np.int32) + (x < 1 << 32) + (x < 1 << 16) + (x == 0)
+        left, at = left[x == 0], at + 4
+    for p in left.tolist():
+        out[p] = at + _common(t, p + at, int(phi[p]) + at)
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return out[last] - (place - last)

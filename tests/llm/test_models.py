@@ -1,5 +1,6 @@
 """Held-out results and exact answers on a generated corpus, and the whole pipeline on it."""
 
+import time
 import zlib
 
 import numpy as np
@@ -180,9 +181,26 @@ def test_lattice_recall_at_the_threshold():
 
 def test_suffix_arrays():
     rng = np.random.default_rng(2)
-    for _ in range(200):
+    for k in range(300):
         x = [*rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)).tolist(), 0]
-        assert suffix.suffix_array(np.array(x)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        if k % 3 == 0:  # runs of one symbol
+            x = [c for c in x[:-1] for _ in range(int(rng.integers(1, 9)))] + [0]
+        sa = suffix.suffix_array(np.array(x))
+        assert sa.tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        common = [0] * len(x)
+        for a, b in zip(sa.tolist(), sa[1:].tolist()):
+            common[b] = next(n for n in range(len(x)) if x[a + n] != x[b + n])
+        assert suffix.permuted_prefixes(np.array(x, np.uint16), sa).tolist() == common
+
+
+def test_suffix_arrays_of_long_runs():
+    x = np.concatenate([np.full(400_000, 7), [3], np.full(300_000, 7), [9], np.full(200_000, 5), [0]]).astype(np.uint16)
+    began = time.process_time()
+    sa = suffix.suffix_array(x)
+    common = suffix.permuted_prefixes(x, sa)
+    assert time.process_time() - began < 60 and sorted(sa.tolist()) == list(range(len(x)))
+    at = np.flatnonzero(sa == 100_000)[0]
+    assert common[100_000] == 299_999 and sa[at - 1] == 100_001
 
 
 def test_components(spark):
@@ -273,7 +291,7 @@ def test_windows_of_pieces_in_portions(monkeypatch):
     for size in (1, 200, 1 << 20):
         monkeypatch.setattr(exact, "TEXT", size)
         got = {}
-        for p, at, n, d in zip(*(c.tolist() for c in exact.first_documents(pieces, key, lo, 10))):
+        for p, at, n, d in zip(*(c.tolist() for c in exact.first_documents(pieces, key, lo, 10, 4))):
             got |= {(p, i): d for i in range(at, at + n)}
         # pieces of one key share windows; other keys may be compared too, as all windows of real pieces have one key
         assert len(got) == sum(len(p) - 9 for p in pieces)
