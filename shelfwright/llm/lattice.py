@@ -1,18 +1,21 @@
 """Embedding near-duplicates by hashing to the E8 lattice.
 
-Equal vectors are put together first. Each distinct direction is projected to 8 dimensions at random, ``TABLES`` times,
-scaled and shifted, and decoded to the nearest point of E8. It is entered in that cell and in those of the ``PROBES``
-neighbouring lattice points nearest to it; vectors meet in a cell and are verified by cosine in double precision. The
-entries are wide enough that pairs at the threshold itself meet with a chance of about 0.97, closer ones almost surely
-(measured in the tests); none below the threshold is linked.
-
-A cell compares its members by blocks of a matrix product and gives sums, not pairs: for each member the links for which
-this is the smallest cell that both vectors are entered in, so that each link counts once over all cells, and the edges of
-a spanning forest. Cells of more than ``LARGE`` members are dealt out by pairs of blocks to tasks of their own.
+Equal vectors are put together first. Each distinct direction is projected to ``BLOCKS`` times 8 dimensions at random, scaled
+and shifted, each 8 are decoded to the nearest point of E8, and the points together name a cell; that is done ``TABLES``
+times. A vector is entered in its cell and in the ``PROBES`` cells that come from moving one of the points to a neighbouring
+lattice point, the nearest ones first; vectors meet in a cell and are verified by cosine in double precision. The entries are
+wide enough that pairs at the threshold itself meet with a chance of about 0.97, closer ones almost surely, while random
+pairs meet with one of 2e-6 (measured in the tests); none below the threshold is linked.
+
+Cells travel as numbers first. Those with one member go, and of cells with the same members one stays; only to these are the
+vectors sent. A cell compares its members by blocks of a matrix product and gives sums, not pairs: for each member the links
+for which this is the smallest cell that both vectors are entered in, so that each link counts once over all cells, and the
+edges of a spanning forest. Cells of more than ``LARGE`` members are dealt out by pairs of blocks to tasks of their own.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing, as do vectors
 of different length; copies link with each other; rows that repeat a vec_id are one node with links of their own; a null
-vec_id counts as a link of others but names no component (its own is then null, as kept).
+vec_id counts as a link of others but names no component (its own is then null, as kept); components of any finite size
+count; an empty table gives an empty one; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .components import components
 
-TABLES, PROBES, SCALE, SEED = 4, 8, 4.0, 29
+TABLES, BLOCKS, PROBES, SCALE, SEED = 4, 3, 16, 1.7, 29
 LARGE, TILE = 4096, 1024
 #: From here on numbers stand for the ids of vectors whose rows have null ids only: above all ids, they name no component with others.
 NAMELESS = (1 << 63) - (1 << 48)
@@ -62,22 +65,26 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _projections(dim: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _projections(dim: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.normal(size=(tables, dim, 8)) / np.sqrt(8), rng.uniform(0, 2, (tables, 8)), _minimal()
+    mix = rng.integers(1, 1 << 62, (BLOCKS, 8), dtype=np.int64) | 1
+    return rng.normal(size=(tables, BLOCKS, dim, 8)) / np.sqrt(8), rng.uniform(0, 2, (tables, BLOCKS, 8)), _minimal(), mix
 
 
 def entries(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """(vectors, tables, probes + 1) cell keys, those of each table in an interval of its own."""
-    planes, shifts, minimal = _projections(unit.shape[1], tables)
-    mix = np.random.default_rng([SEED, 1, unit.shape[1]]).integers(1, 1 << 62, 8, dtype=np.int64) | 1
+    planes, shifts, minimal, mix = _projections(unit.shape[1], tables)
+    moves = np.concatenate([(np.rint(2 * minimal).astype(np.int64) * m).sum(axis=1) for m in mix])
     out = np.empty((len(unit), tables, probes + 1), np.int64)
     for t in range(tables):
-        p = SCALE * (unit @ planes[t]) + shifts[t]
-        c = decode(p)
-        near = np.argpartition(-((p - c) @ minimal.T), probes - 1, axis=1)[:, :probes]
-        points = np.rint(2 * np.concatenate([c[:, None], c[:, None] + minimal[near]], axis=1)).astype(np.int64)
-        h = (points * mix).sum(axis=2)
+        h, gain = np.zeros(len(unit), np.int64), []
+        for k in range(BLOCKS):
+            p = SCALE * (unit @ planes[t, k]) + shifts[t, k]
+            c = decode(p)
+            h += (np.rint(2 * c).astype(np.int64) * mix[k]).sum(axis=1)
+            gain.append((p - c) @ minimal.T)
+        near = np.argpartition(-np.concatenate(gain, axis=1), probes - 1, axis=1)[:, :probes]
+        h = np.concatenate([h[:, None], h[:, None] + moves[near]], axis=1)
         h ^= (h >> 31) & 0xFFFFFFFF
         out[:, t] = (h * 0x2545F4914F6CDD1D & ((1 << 56) - 1)) + (t << 56)
     return out
@@ -86,6 +93,7 @@ def entries(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.
 def units(keys: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors from the bytes of vectors of one length."""
     x = np.frombuffer(b"".join(keys), kind).reshape(len(keys), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -94,23 +102,18 @@ def _keys(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBat
         out = []
         for v in b.column(1).to_pylist():
             x = np.array(v, kind) if v and None not in v else np.zeros(1)
-            norm = np.linalg.norm(x.astype(np.float64))
-            out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+            out.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "key"])
 
 
-def _enter(batches: Iterator[pa.RecordBatch], kind: str, tables: int, probes: int, slim: bool) -> Iterator[pa.RecordBatch]:
+def _enter(batches: Iterator[pa.RecordBatch], kind: str, tables: int, probes: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = b.column(0).to_pylist()
         for n in sorted(set(map(len, keys))):
             for at in range(0, len(own := [i for i, k in enumerate(keys) if len(k) == n]), 2048):
                 some = own[at : at + 2048]
                 cells = entries(units([keys[i] for i in some], kind), tables, probes).reshape(len(some), -1)
-                if slim:
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], names=["cell"])
-                else:
-                    take = pa.array(np.repeat(some, cells.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(c.take(take) for c in b.columns)], names=["cell", "key", "rep", "copies", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), b.column(1).take(pa.array(np.repeat(some, cells.shape[1])))], names=["cell", "uid"])
 
 
 def _first_here(e: np.ndarray, i: np.ndarray, j: np.ndarray, cell: int) -> np.ndarray:
@@ -199,12 +202,14 @@ def links(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, probes:
     d = v.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     rep = F.coalesce("rep", NAMELESS + F.pmod(F.xxhash64("key"), F.lit((1 << 48) - 1)))
     d = materialize(d.select("key", rep.alias("rep"), "copies", F.monotonically_increasing_id().alias("uid")), "distinct")
-    enter = partial(_enter, kind=kind, tables=tables, probes=probes)
-    hot = d.select("key").mapInArrow(partial(enter, slim=True), "cell long").groupBy("cell").count().where(F.col("count") > large)
-    hot = hot.select("cell", F.ceil(F.col("count") * 2 / large).cast("int").alias("blocks"))
-    rows = d.mapInArrow(partial(enter, slim=False), "cell long, key binary, rep long, copies long, uid long").join(hot, "cell", "left")
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    entered = materialize(d.select("key", "uid").mapInArrow(partial(_enter, kind=kind, tables=tables, probes=probes), "cell long, uid long"), "entries")
+    h = F.xxhash64("uid")
+    shared = entered.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("y")).where("n > 1")
+    shared = shared.groupBy("n", "x", "y").agg(F.min("cell").alias("cell"))  # cells with the same members tell the same
+    shared = shared.select("cell", F.when(F.col("n") > large, F.ceil(F.col("n") * 2 / large)).otherwise(1).cast("int").alias("blocks"))
+    rows = entered.join(shared, "cell").join(d, "uid")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2)
     rows = rows.select("cell", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "key", "rep", "copies", "uid", side.alias("side"))
     dealt = rows.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
@@ -222,4 +227,5 @@ def links(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, probes:
 
 
 def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
     return links(table(spark, sf_dir, "embeddings"))
