@@ -8,8 +8,8 @@ run), its Burrows-Wheeler transform in a wavelet matrix, and samples of the suff
 and at the start of each run. All phrases are searched backwards together; the rows of those found are walked back to a
 sampled position, and the occurrences are merged into hit words.
 
-The benchmark is sent to the tasks in blocks of ``BLOCK_BYTES`` at most; more than one block gives one pass each, whose
-spans are merged per document.
+The benchmark is sent to the tasks in blocks of ``BLOCK_BYTES`` at most, and each worker builds a block's phrases once, in
+arrays; more than one block gives one pass each, whose spans are merged per document.
 
 Defined cases: null or wordless texts of documents give zero counts, such items are no phrases; items with a null id
 mark words but are not listed; items that repeat are found alike; repeated document rows are judged each; with an empty
@@ -19,12 +19,14 @@ benchmark nothing is hit.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,22 +45,56 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, coded by the block's vocabulary (from 1)."""
+    """The distinct windows of a block of items, coded by the block's vocabulary (from 1), in arrays."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
         code = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        of: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = tuple(map(code, words(text)))
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                of.setdefault(w[i : i + width], set()).update(() if item is None else (item,))
-        self.items = [sorted(x) for x in of.values()]
-        self.lengths = np.array([len(x) for x in of], np.int64)
-        self.codes = np.zeros((len(of), width), np.int64)
-        for k, w in enumerate(of):
-            self.codes[k, : len(w)] = w
-        self.shortest = int(self.lengths.min()) if of else 0
+        own = [np.fromiter(map(code, w), np.int32, len(w)) for _, t in items if (w := words(t))]
+        names = [i for i, t in items if words(t)]
+        self.items = sorted({i for i in names if i is not None})
+        number = {x: k for k, x in enumerate(self.items)}
+        size = np.array([len(x) for x in own], np.int64)
+        flat = np.concatenate([*own, np.zeros(width, np.int32)])
+        begin, n = np.cumsum(size) - size, np.maximum(1, size - width + 1)
+        item = np.repeat(np.arange(len(own)), n)
+        start = np.repeat(begin, n) + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        window = np.lib.stride_tricks.sliding_window_view(flat, width)[start]
+        length = np.minimum(width, size)[item]
+        window[np.arange(width) >= length[:, None]] = 0
+        window = np.ascontiguousarray(window)
+        _, first, which = np.unique(window.view(f"V{4 * width}").ravel(), return_index=True, return_inverse=True)
+        self.codes, self.lengths = window[first].astype(np.int64), length[first]
+        self.shortest = int(self.lengths.min(initial=width)) if len(first) else 0
+        # the items of each window, as runs of one array
+        named = np.array([number.get(i, -1) for i in names], np.int64)[item]
+        pair = np.unique(which[named >= 0] * max(1, len(self.items)) + named[named >= 0])
+        self.item_of = (pair % max(1, len(self.items))).astype(np.int32)
+        self.item_edge = np.searchsorted(pair // max(1, len(self.items)), np.arange(len(first) + 1))
+
+    def items_of(self, owner: np.ndarray, which: np.ndarray, docs: int) -> list[list[str]]:
+        """Per document the sorted ids of the items of the windows found in it."""
+        pair = np.unique(owner * max(1, len(self.lengths)) + which)
+        owner, which = pair // max(1, len(self.lengths)), pair % max(1, len(self.lengths))
+        n = self.item_edge[which + 1] - self.item_edge[which]
+        at = np.repeat(self.item_edge[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair = np.unique(np.repeat(owner, n) * max(1, len(self.items)) + self.item_of[at])
+        out: list[list[str]] = [[] for _ in range(docs)]
+        for d, k in zip((pair // max(1, len(self.items))).tolist(), (pair % max(1, len(self.items))).tolist()):
+            out[d].append(self.items[k])
+        return out
+
+
+_PHRASES: dict[tuple[bytes, int], Phrases] = {}
+
+
+def phrases_of(block: bytes, width: int) -> Phrases:
+    """The worker's phrases of a packed block of items; others make room first."""
+    key = (hashlib.sha256(block).digest(), width)
+    if key not in _PHRASES:
+        _PHRASES.clear()
+        _PHRASES[key] = Phrases(pickle.loads(zstandard.ZstdDecompressor().decompress(block)), width)
+    return _PHRASES[key]
 
 
 def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
@@ -153,14 +189,14 @@ def find(text: np.ndarray, longest: int, phrases: Phrases) -> tuple[np.ndarray,
     return np.repeat(which, n), index.locate(row)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int, phrases: Phrases | None = None) -> Iterator[pa.RecordBatch]:
-    phrases = phrases or Phrases(items, width)
+def _scan(batches: Iterator[pa.RecordBatch], block: bytes, width: int) -> Iterator[pa.RecordBatch]:
+    phrases = phrases_of(block, width)
     docs: list[tuple] = []  # row, doc_id, n_words
     runs: list[tuple[int, int, np.ndarray]] = []  # document in docs, first word, symbols
     size = 0
 
     def flush() -> pa.RecordBatch:
-        starts, ends, found = [[] for _ in docs], [[] for _ in docs], [set() for _ in docs]
+        starts, ends, found = [[] for _ in docs], [[] for _ in docs], [[] for _ in docs]
         if runs:
             text = np.concatenate([x for _, _, c in runs for x in (c, np.zeros(1, np.int64))])
             begin = np.append(0, np.cumsum([len(c) + 1 for *_, c in runs]))
@@ -175,9 +211,8 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int, phr
                 starts[d].append(first + s - int(begin[k]))
                 ends[d].append(first + e - int(begin[k]))
             owner = np.array([d for d, *_ in runs], np.int64)[np.searchsorted(begin, at, "right") - 1]
-            for x in np.unique(owner * len(phrases.items) + which).tolist():
-                found[x // len(phrases.items)].update(phrases.items[x % len(phrases.items)])
-        cols = [*map(list, zip(*docs)), starts, ends, [sorted(x) for x in found]]
+            found = phrases.items_of(owner, which, len(docs))
+        cols = [*map(list, zip(*docs)), starts, ends, found]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT)], schema=_OUT)
 
     for b in batches:
@@ -217,12 +252,11 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _OUT)], schema=_OUT)
 
 
-def _keep(batches: Iterator[pa.RecordBatch], items: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
-    phrases = Phrases(items, width)
+def _keep(batches: Iterator[pa.RecordBatch], block: bytes, width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         number = pa.array(np.arange(b.num_rows))
         own = pa.RecordBatch.from_arrays([number, number, b.column(b.schema.get_field_index("text"))], names=["row", "doc_id", "text"])
-        yield b.filter(pa.array([not s for x in _scan(iter([own]), items, width, phrases) for s in x.column(3).to_pylist()], pa.bool_()))
+        yield b.filter(pa.array([not s for x in _scan(iter([own]), block, width) for s in x.column(3).to_pylist()], pa.bool_()))
 
 
 def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -232,16 +266,17 @@ def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return items, int(max(1, -(-total // block_bytes)))
 
 
-def _block(items: DataFrame, n: int, k: int) -> list[tuple]:
+def _block(items: DataFrame, n: int, k: int) -> bytes:
+    """The items of a block, packed."""
     own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-    return [tuple(r) for r in own.collect()]
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is not None, r))))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no phrase occurs."""
     items, n = _items(benchmark, block_bytes)
     for k in range(n):
-        docs = docs.mapInArrow(partial(_keep, items=_block(items, n, k), width=width), docs.schema)
+        docs = docs.mapInArrow(partial(_keep, block=_block(items, n, k), width=width), docs.schema)
         if k < n - 1:  # so that one block at a time is held
             docs = materialize(docs, "clean")
     return docs
@@ -253,10 +288,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: in
     row = F.monotonically_increasing_id() if n > 1 else F.lit(0).cast("long")
     source = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n == 1:
-        return source.mapInArrow(partial(_scan, items=_block(items, 1, 0), width=width), OUT)
+        return source.mapInArrow(partial(_scan, block=_block(items, 1, 0), width=width), OUT)
     source, parts = materialize(source, "rows"), None
     for k in range(n):
-        part = materialize(source.mapInArrow(partial(_scan, items=_block(items, n, k), width=width), OUT), "hits")
+        part = materialize(source.mapInArrow(partial(_scan, block=_block(items, n, k), width=width), OUT), "hits")
         parts = part if parts is None else parts.union(part)
     grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")))
     return grouped.mapInArrow(_merge_blocks, OUT)
@@ -271,5 +306,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of all documents, for all items."""
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

@@ -243,3 +243,16 @@ def test_lm(odd, empty):
 
 def test_fingerprints():
     assert simhash.fingerprint("") == 0 == simhash.fingerprint(" \t") and simhash.fingerprint("A b") == fingerprint("a B")
+
+
+def test_decontaminate_digests(spark, tmp_path):
+    """What the query returns, against a plain version of the contract."""
+    rng = np.random.default_rng(12)
+    word = lambda: ["a", "B", "c", "d1", "é", "漢", "x_y"][int(rng.integers(0, 7))]
+    items = [(i, " ".join(word() for _ in range(int(rng.integers(0, 25))))) for i in range(40)] + [(3, "a b c d1"), (None, "c c c"), (7, None)]
+    rows = [(i, " ".join(word() for _ in range(int(rng.integers(0, 120))))) for i in range(60)] + [(5, None), (None, "c-c,c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((*x[:4], len(x[4]), hashlib.sha256(",".join(x[4]).encode()).hexdigest(), x[3] > 0) for x in _hits(rows, items))
+    got = decontaminate.op4_decontaminate(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
