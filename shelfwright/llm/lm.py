@@ -1,25 +1,33 @@
 """Language-model scores of a log-bilinear model trained with noise-contrastive estimation.
 
-The model predicts a symbol from the one before it: s(w, h) = A[h] . Q[w] + b[w], normalised over all symbols by batched
-matrix products. The symbols are the ``SYMBOLS`` commonest tokens (the document's end is one) and one for all others; what
-falls to that one is shared out by the smoothed counts, so the scores are those of a distribution over every word.
+The model predicts a symbol from the two before it. The context is the sum of a vector for either word, and a symbol's
+probability is that of its group, normalised over all groups, times its own, normalised over the group's symbols:
+s(g, h) = (A1[h1] + A2[h2]) . R[g] + c[g], and s(w, h) = (A1[h1] + A2[h2]) . Q[w] + b[w], both by batched matrix products.
+
+Symbols are the ``SYMBOLS`` commonest tokens (the document's end is one) and ``BUCKETS`` classes that all other words fall
+into by their last three bytes. What falls to a class is shared out among its words by their smoothed counts, so every word
+has a probability that follows the context, and the scores are those of a distribution over every word.
 
 1. Tokens of all training documents are counted (partial sums in each task, then by word).
-2. Each task trains a copy of the model on its documents by stochastic gradient descent: of every training document it
-   takes a share ``RATE`` of the positions (all of them), against ``NOISE`` draws from the symbols' frequencies, common to
-   a batch. Copies are averaged, weighted by positions, block by block; that is repeated ``ROUNDS`` times.
-3. All documents are scored. Counts of the ``HEAD`` commonest words travel with the tasks (a fixed number of words of
-   ``LONGEST`` bytes at most); the remaining words are joined with the table of counts.
+2. The training documents are dealt into ``ROUNDS`` parts by a hash, and each round trains on every position of one part, so
+   each position is learned from once. Each task trains a copy of the model by stochastic gradient descent against
+   ``NOISE`` draws from the groups' frequencies, common to a batch, and as many from the frequencies within each group. The
+   copies are averaged row by row, weighted by how often a task has met the row's symbol, first over neighbouring tasks.
+3. All documents are scored. Counts of the commonest words travel with the tasks (``HEAD`` words and ``ROOM`` bytes at
+   most, words of any usual length); the remaining words are joined with the table of counts.
 
 What the second and third step gather grows with the documents: counts, copies of the model, and words to look up.
 
 Defined cases: a null text is empty, an empty text is its end alone; a null doc_id is the empty text in crc32; rows that
-repeat a doc_id are scored each; without training documents all counts are zero and every token has the probability of
-an unknown one.
+repeat a doc_id are scored each; very long texts and words are scored whole; ties in frequency go to the smaller word;
+without training documents all counts are zero and every token has the probability of an unknown one; an empty table gives
+an empty one; other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -27,14 +35,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, fold_col, materialize, table, texts
 
-SYMBOLS, DIM, NOISE, BATCH, STEP = 4096, 16, 128, 2048, 0.15
-RATE, ROUNDS, HEAD, LONGEST, BLOCKS = 1.0, 2, 1 << 18, 64, 16
+SYMBOLS, BUCKETS, GROUPS, DIM, NOISE, BATCH, LEAST, STEP = 6144, 2048, 64, 16, 16, 4096, 64, 0.15
+ROUNDS, HEAD, ROOM, LONGEST, BLOCKS, NEIGHBOURS = 2, 1 << 18, 32 << 20, 1 << 20, 16, 64
 FLUSH, PIECE = 1 << 19, 1 << 21
 END = b""
 
@@ -69,181 +78,298 @@ def count(docs: DataFrame) -> DataFrame:
     return materialize(part.groupBy("word").agg(F.sum("n").alias("c")), "counts")
 
 
+def bucket(word: bytes, buckets: int) -> int:
+    return zlib.crc32(word[-3:]) % buckets
+
+
+def bucket_col(word: str, buckets: int) -> Column:
+    return F.crc32(F.expr(f"substring({word}, greatest(1, octet_length({word}) - 2), 3)")) % buckets
+
+
 class Vocabulary:
-    """The commonest words with their counts, the totals of the whole corpus, and the model's symbols."""
+    """The commonest words with their counts, the totals of the whole corpus, and the model's symbols.
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, symbols: int = SYMBOLS):
+    ``classes``: per bucket the tokens and distinct words of the whole corpus in it.
+    """
+
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, classes: dict[int, tuple[int, int]], symbols: int = SYMBOLS, buckets: int = BUCKETS):
         self.words, self.counts, self.total, self.distinct = words, np.array(counts, np.float64), total, distinct
-        self.symbols = min(symbols, len(words))  # the symbol of this number stands for all other words
-        inside = self.counts[: self.symbols].sum()
-        self.other = total - inside
+        self.symbols, self.buckets = min(symbols, len(words)), buckets
         self.log_all = np.log10(total + 0.5 * (distinct + 1))
-        self.log_other = np.log10(self.other + 0.5 * (distinct - self.symbols + 1))
-        mass = np.append(self.counts[: self.symbols], self.other) + 0.5
-        self.unigram = mass / mass.sum()
+        held = np.zeros((2, buckets))  # tokens and words of the buckets that have no symbol of their own
+        for k, (n, v) in classes.items():
+            held[:, k] = n, v
+        own = [bucket(w, buckets) for w in words[: self.symbols]]
+        np.subtract.at(held[0], own, self.counts[: self.symbols])
+        np.subtract.at(held[1], own, 1)
+        self.log_bucket = np.log10(held[0] + 0.5 * (held[1] + 1))
+        mass = np.concatenate([self.counts[: self.symbols], held[0]]) + 0.5
+        self.size = -(-len(mass) // GROUPS) * GROUPS  # symbol w is in group w % GROUPS; those that fill up have no mass
+        self.unigram = np.append(mass, np.zeros(self.size - len(mass))) / mass.sum()
+
+    def codes(self) -> dict[bytes, int]:
+        """The symbol of each of the commonest words."""
+        return {w: i if i < self.symbols else self.symbols + bucket(w, self.buckets) for i, w in enumerate(self.words)}
+
+    def code(self, words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+        out = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+        for k in np.flatnonzero(out < 0).tolist():
+            out[k] = self.symbols + bucket(words[k], self.buckets)
+        return out
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.words)), "none": not self.words}
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def __setstate__(self, state: dict) -> None:
+        packed, none = state.pop("words"), state.pop("none")
+        self.__dict__.update(state)
+        self.words = [] if none else zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD, symbols: int = SYMBOLS) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD, symbols: int = SYMBOLS, buckets: int = BUCKETS, room: int = ROOM) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    short = counts.where(F.octet_length("word") <= LONGEST)
-    at, room = None, head  # the least count whose words all fit
-    for c, n in short.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
-        if n > room:
+    usual = counts.where(F.octet_length("word") <= LONGEST)
+    at = None  # the least count whose words all fit
+    for c, n, size in usual.groupBy("c").agg(F.count("*"), F.sum(F.octet_length("word"))).orderBy(F.desc("c")).toLocalIterator():
+        if n > head or size > room:
             break
-        at, room = c, room - n
-    top = [] if at is None else sorted(short.where(F.col("c") >= at).collect(), key=lambda r: (-r["c"], r["word"]))
-    return Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, symbols)
+        at, head, room = c, head - n, room - size
+    top = [] if at is None else sorted(usual.where(F.col("c") >= at).collect(), key=lambda r: (-r["c"], r["word"]))
+    classes = counts.groupBy(bucket_col("word", buckets).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    return Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, {r["k"]: (r["n"], r["v"]) for r in classes}, symbols, buckets)
+
+
+_KNOWN: dict[bytes, dict[bytes, int]] = {}
+
+
+def _known(vocab: Vocabulary) -> dict[bytes, int]:
+    """The worker's table of symbols; that of another vocabulary makes room first."""
+    key = hashlib.sha256(b"\n".join(vocab.words) + b"%d %d" % (vocab.symbols, vocab.buckets)).digest()
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = vocab.codes()
+    return _KNOWN[key]
 
 
 class Model:
-    def __init__(self, a: np.ndarray, q: np.ndarray, b: np.ndarray):
-        self.a, self.q, self.b = a, q, b
+    """One row of parameters for each symbol as word before (A1), as second word before (A2) and as word (Q), and for each
+    group (R); the last column is the bias of words and groups."""
+
+    def __init__(self, rows: np.ndarray, size: int):
+        self.rows, self.size = rows, size
+        self.a1, self.a2, self.q, self.r = (rows[k * size : (k + 1) * size] if k < 3 else rows[3 * size :] for k in range(4))
 
     @classmethod
     def start(cls, unigram: np.ndarray, dim: int = DIM, seed: int = 13) -> Model:
-        rng = np.random.default_rng(seed)
-        shape = (len(unigram), dim)
-        return cls(rng.normal(0, 0.1, shape).astype(np.float32), rng.normal(0, 0.1, shape).astype(np.float32), np.log(unigram).astype(np.float32))
-
-    def log_normaliser(self, rows: int = 512) -> np.ndarray:
-        out = np.empty(len(self.a), np.float32)
-        for at in range(0, len(out), rows):
-            s = self.a[at : at + rows] @ self.q.T + self.b
-            m = s.max(axis=1)
-            out[at : at + rows] = m + np.log(np.exp(s - m[:, None]).sum(axis=1))
+        size = len(unigram)
+        group = unigram.reshape(-1, GROUPS).sum(axis=0)
+        rows = np.random.default_rng(seed).normal(0, 0.1, (3 * size + GROUPS, dim + 1)).astype(np.float32)
+        rows[: 2 * size, dim] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rows[2 * size : 3 * size, dim] = np.where(unigram > 0, np.log(unigram / np.tile(group, size // GROUPS)), -np.inf)
+            rows[3 * size :, dim] = np.log(group)
+        return cls(rows, size)
+
+    def log_probabilities(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probability of each w after its context."""
+        out = np.empty(len(w), np.float64)
+        words = np.ascontiguousarray(self.q.reshape(-1, GROUPS, self.q.shape[1]).transpose(1, 2, 0))  # per group, columns of its symbols
+        for at in range(0, len(w), 1 << 15):
+            own = slice(at, at + (1 << 15))
+            g = w[own] % GROUPS
+            order = np.argsort(g, kind="stable")
+            g, slot = g[order], w[own][order] // GROUPS
+            a = self.a1[h1[own][order], :-1] + self.a2[h2[own][order], :-1]
+            p = _log_softmax(a @ self.r[:, :-1].T + self.r[:, -1], g)
+            edge = np.flatnonzero(np.append(True, np.diff(g) != 0))
+            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(g)]):
+                x = words[g[s]]
+                p[s:e] += _log_softmax(a[s:e] @ x[:-1] + x[-1], slot[s:e])
+            out[at + order] = p
         return out
 
 
+def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    s -= s.max(axis=1, keepdims=True)
+    own = s[np.arange(len(s)), pick]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(axis=1))
+
+
 class Trainer:
-    """Adagrad steps on noise-contrastive estimation; noise is shared by the pairs of a batch."""
+    """Adagrad steps on noise-contrastive estimation; noise groups are shared by a batch, noise words by a group's pairs in it."""
 
     def __init__(self, model: Model, unigram: np.ndarray, seed: int, rate: float):
-        self.m, self.rng, self.rate = Model(model.a.copy(), model.q.copy(), model.b.copy()), np.random.default_rng(seed), rate
-        self.cumulative = np.cumsum(unigram)
-        self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.sa, self.sq, self.sb = (np.full(len(unigram), x, np.float32) for x in (0.05, 0.05, 1.0))
-
-    def step(self, h: np.ndarray, w: np.ndarray) -> None:
-        m = self.m
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(m.b) - 1)
-        a, qw, qn = m.a[h], m.q[w], m.q[noise]
-        gw = 1 / (1 + np.exp(-((a * qw).sum(axis=1) + m.b[w] - self.log_noise[w]))) - 1
-        gn = 1 / (1 + np.exp(-(a @ qn.T + m.b[noise] - self.log_noise[noise])))
-        ga = gw[:, None] * qw + gn @ qn
-        for param, sums, at, g in ((m.a, self.sa, h, ga), (m.q, self.sq, np.concatenate([w, noise]), np.concatenate([gw[:, None] * a, gn.T @ a]))):
-            used, back = np.unique(at, return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            g = np.add.reduceat(g[order], np.flatnonzero(np.diff(back[order], prepend=-1)), axis=0)
-            sums[used] += (g * g).mean(axis=1)
-            param[used] -= self.rate * g / np.sqrt(sums[used])[:, None]
-        g = np.bincount(np.concatenate([w, noise]), np.concatenate([gw, gn.sum(axis=0)]), len(m.b)).astype(np.float32)
-        self.sb += g * g
-        m.b -= 0.5 * self.rate * g / np.sqrt(self.sb)
-
-
-def _train(batches: Iterator[pa.RecordBatch], model: Model, symbols: dict[bytes, int], unigram: np.ndarray, seed: int, rate: float, step: float) -> Iterator[pa.RecordBatch]:
-    other, task = len(symbols), TaskContext.get().partitionId()
-    trainer, pairs, held, size = Trainer(model, unigram, seed * 1_000_003 + task, step), 0, [], 0
-
-    def run(least: int) -> None:
+        self.m, self.rng, self.rate = Model(model.rows.copy(), model.size), np.random.default_rng(seed), rate
+        self.sums = np.full(len(model.rows), 0.05, np.float32)
+        self.met = np.zeros(len(model.rows), np.int64)
+        by_group = unigram.reshape(-1, GROUPS).T
+        group = by_group.sum(axis=1)
+        self.groups = np.cumsum(group)
+        self.words = np.cumsum(by_group.ravel())  # of one group after the other
+        self.begin = np.append(0, self.words)[:-1].reshape(GROUPS, -1)[:, 0]
+        self.mass = group
+        with np.errstate(divide="ignore"):
+            self.log_group = np.log(NOISE * group).astype(np.float32)
+            self.log_word = np.log(NOISE * unigram / np.tile(group, len(unigram) // GROUPS)).astype(np.float32)
+
+    def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
+        m, size = self.m, self.m.size
+        order = np.argsort(w % GROUPS, kind="stable")
+        h1, h2, w = h1[order], h2[order], w[order]
+        g = w % GROUPS
+        a = m.a1[h1] + m.a2[h2]
+        a[:, -1] = 1  # so that products add the bias
+        noise = np.minimum(np.searchsorted(self.groups, self.rng.random(NOISE) * self.groups[-1]), GROUPS - 1)
+        r, q, rn = m.r[g], m.q[w], m.r[noise]
+        good_g = _sigmoid((a * r).sum(axis=1) - self.log_group[g]) - 1
+        good_w = _sigmoid((a * q).sum(axis=1) - self.log_word[w]) - 1
+        bad = _sigmoid(a @ rn.T - self.log_group[noise])
+        ga = good_g[:, None] * r + good_w[:, None] * q + bad @ rn
+        edge = np.flatnonzero(np.append(True, np.diff(g) != 0))
+        there = g[edge]
+        drawn = self.begin[there][:, None] + self.rng.random((len(there), NOISE)) * self.mass[there][:, None]
+        drawn = np.minimum(np.searchsorted(self.words, drawn), len(self.words) - 1)
+        slots = size // GROUPS
+        drawn = drawn % slots * GROUPS + drawn // slots
+        against = np.empty((len(there), NOISE, a.shape[1]), np.float32)
+        for k, (s, e) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(g)])):
+            qn = m.q[drawn[k]]
+            x = _sigmoid(a[s:e] @ qn.T - self.log_word[drawn[k]])
+            ga[s:e] += x @ qn
+            against[k] = x.T @ a[s:e]
+        ga[:, -1] = 0
+        at = np.concatenate([h1, size + h2, 2 * size + w, 3 * size + g, 3 * size + noise, 2 * size + drawn.ravel()])
+        grad = np.concatenate([ga, ga, good_w[:, None] * a, good_g[:, None] * a, bad.T @ a, against.reshape(-1, a.shape[1])])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, np.diff(at) != 0))
+        used, grad = at[first], np.add.reduceat(grad[order], first, axis=0)
+        self.sums[used] += (grad * grad).mean(axis=1)
+        m.rows[used] -= self.rate * grad / np.sqrt(self.sums[used])[:, None]
+        self.met[used] += np.diff(np.append(first, len(at)))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+_COPY = pa.schema([("block", pa.int64()), ("task", pa.int64()), ("pairs", pa.int64()), ("met", pa.binary()), ("values", pa.binary())])
+COPY = "block long, task long, pairs long, met binary, values binary"
+
+
+def _train(batches: Iterator[pa.RecordBatch], model: Model, vocab: Vocabulary, seed: int, step: float) -> Iterator[pa.RecordBatch]:
+    task, known = TaskContext.get().partitionId(), None
+    trainer, pairs, held, size = Trainer(model, vocab.unigram, seed * 1_000_003 + task, step), 0, [], 0
+
+    def run(batch: int, least: int) -> None:
         nonlocal held, size, pairs
-        h, w = (np.concatenate(x) for x in zip(*held))
-        order = trainer.rng.permutation(len(h))
-        n = len(h) // least * least if least > 1 else len(h)
-        for at in range(0, n, BATCH):
-            trainer.step(h[order[at : min(at + BATCH, n)]], w[order[at : min(at + BATCH, n)]])
+        every = [np.concatenate(x) for x in zip(*held)]
+        order = trainer.rng.permutation(size)
+        n = size // least * least
+        for at in range(0, n, batch):
+            trainer.step(*(x[order[at : min(at + batch, n)]] for x in every))
         pairs += n
-        held, size = [(h[order[n:]], w[order[n:]])], len(h) - n
+        held, size = [tuple(x[order[n:]] for x in every)], size - n
 
     for b in batches:
+        known = _known(vocab) if known is None else known
         for t in b.column(0).to_pylist():
-            w = tokens(t)
-            code = np.fromiter(map(symbols.get, w, repeat(other)), np.int32, len(w))
-            before = np.roll(code, 1)  # the end stands before the first word
-            take = trainer.rng.random(len(code)) < rate
-            held.append((before[take], code[take]))
-            size += len(held[-1][0])
+            code = vocab.code(tokens(t), known)
+            second = np.roll(code, 2)  # the end stands before the first word, twice
+            second[0] = code[-1]
+            held.append((np.roll(code, 1), second, code))
+            size += len(code)
             if size >= 16 * BATCH:
-                run(BATCH)
+                run(BATCH, BATCH)
     if size:
-        run(1)
-    flat = np.concatenate([trainer.m.a.ravel(), trainer.m.q.ravel(), trainer.m.b])
+        run(min(BATCH, max(LEAST, size // 64)), 1)
     if pairs:
-        for k, part in enumerate(np.array_split(flat, BLOCKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pairs]), pa.array([part.tobytes()], pa.binary())], names=["block", "pairs", "values"])
+        for k, own in enumerate(np.array_split(np.arange(len(model.rows)), BLOCKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((k, task, pairs, trainer.met[own].tobytes(), trainer.m.rows[own].tobytes()), _COPY)], schema=_COPY)
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, list] = {}
+def _average(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Weighted means of the rows of each block; rows that no copy has met keep the value they began with."""
+    sums: dict[tuple[int, int], list] = {}
     for b in batches:
-        for k, n, values in zip(*(c.to_pylist() for c in b.columns)):
-            x = sums.setdefault(k, [0, 0.0])
-            x[0] += n
-            x[1] = x[1] + n * np.frombuffer(values, np.float32).astype(np.float64)
-    for k, (n, x) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], names=["block", "values"])
+        for k, task, pairs, met, values in zip(*(c.to_pylist() for c in b.columns)):
+            n, x = np.frombuffer(met, np.int64), np.frombuffer(values, np.float32).reshape(-1, width).astype(np.float64)
+            own = sums.setdefault((k, task), [0, np.zeros(len(n), np.int64), np.zeros_like(x), x])
+            own[0] += pairs
+            own[1] = own[1] + n
+            own[2][n > 0] += n[n > 0, None] * x[n > 0]
+    for (k, task), (pairs, n, total, x) in sums.items():
+        x = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((k, task, pairs, n.tobytes(), x.tobytes()), _COPY)], schema=_COPY)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """The averaged model of all tasks over the texts of docs."""
+def _averaged(copies: DataFrame, width: int, task: Column, parts: int | None = None) -> DataFrame:
+    keyed = copies.select("block", task.cast("long").alias("task"), "pairs", "met", "values")
+    dealt = keyed.repartition(parts, "block", "task") if parts else keyed.repartition("block", "task")
+    return dealt.sortWithinPartitions("block", "task", "pairs", "values").mapInArrow(partial(_average, width=width), COPY)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The averaged model of all tasks over the texts of docs; each is learned from in one of the rounds."""
     model = Model.start(vocab.unigram)
-    symbols = {w: i for i, w in enumerate(vocab.words[: vocab.symbols])}
-    for seed in range(rounds):
-        part = docs.select("text").mapInArrow(partial(_train, model=model, symbols=symbols, unigram=vocab.unigram, seed=seed, rate=rate, step=STEP / (1 + 2 * seed)), "block long, pairs long, values binary")
-        blocks = part.repartition(BLOCKS, "block").sortWithinPartitions("block", "pairs", "values").mapInArrow(_average, "block long, values binary").collect()
-        if not blocks:
-            break
-        flat = np.frombuffer(b"".join(bytes(r["values"]) for r in sorted(blocks, key=lambda r: r["block"])), np.float32)
-        n = model.a.size
-        model = Model(flat[:n].reshape(model.a.shape).copy(), flat[n : 2 * n].reshape(model.q.shape).copy(), flat[2 * n :].copy())
+    width = model.rows.shape[1]
+    for k in range(rounds):
+        own = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).select("text")
+        copies = own.mapInArrow(partial(_train, model=model, vocab=vocab, seed=k, step=STEP / (1 + k)), COPY)
+        near = _averaged(copies, width, F.floor(F.col("task") / NEIGHBOURS))
+        blocks = _averaged(near, width, F.lit(0), BLOCKS).select("block", "values").collect()
+        if blocks:
+            rows = b"".join(bytes(r["values"]) for r in sorted(blocks, key=lambda r: r["block"]))
+            model = Model(np.frombuffer(rows, np.float32).reshape(-1, width).copy(), model.size)
     return model
 
 
-SCORED = "row long, doc_id long, n_tokens long, known long, counts double, probability double, others array<binary>, times array<long>"
+SCORED = "doc_id long, n_tokens long, known long, counts double, probability double, others array<binary>, times array<long>"
 
 
 class Scorer:
     def __init__(self, vocab: Vocabulary, model: Model):
-        self.index, self.symbols, self.model = vocab.index(), vocab.symbols, model
-        self.logs = np.log10(vocab.counts + 0.5)
-        self.inside = np.minimum(np.arange(len(vocab.words) + 1), vocab.symbols).astype(np.int32)
-        self.start = self.inside[self.index.get(END, len(vocab.words))]
-        self.log_z, self.log_other = model.log_normaliser(), vocab.log_other
+        self.vocab, self.model = vocab, model
+        self.index = {w: i for i, w in enumerate(vocab.words)}
+        self.logs = np.append(np.log10(vocab.counts + 0.5), 0.0)
+        known = vocab.codes()
+        self.symbol = np.append(np.fromiter((known[w] for w in vocab.words), np.int32, len(vocab.words)), np.int32(0))
+        self.start = int(vocab.code([END], known)[0])
 
     def score(self, texts: list[str]) -> list[tuple]:
         """Per text: tokens, of them in the head, sum of the head's log10(c + 0.5), log10 probability without the others' counts, other words, and how often."""
         words = [tokens(t) for t in texts]
         n = np.array([len(w) for w in words])
         begin = np.append(0, np.cumsum(n))[:-1]
-        none = len(self.logs)
+        none, vocab = len(self.logs) - 1, self.vocab
         code = np.fromiter((i for w in words for i in map(self.index.get, w, repeat(none))), np.int64, int(n.sum()))
         head = code < none
-        logs = np.append(self.logs, 0.0)[code]
-        w = self.inside[code]
-        h = np.roll(w, 1)
-        h[begin] = self.start
-        m, p = self.model, np.empty(len(w), np.float64)
-        for at in range(0, len(w), 1 << 16):
-            x, y = h[at : at + (1 << 16)], w[at : at + (1 << 16)]
-            p[at : at + (1 << 16)] = np.einsum("ij,ij->i", m.a[x], m.q[y]) + m.b[y] - self.log_z[x]
-        p *= np.log10(np.e)
-        outside = w == self.symbols
-        p[outside] += logs[outside] - self.log_other
-        known, counts, prob = (np.add.reduceat(x, begin) for x in (head.astype(np.int64), logs, p))
+        logs, w = self.logs[code], self.symbol[code]
         others = [Counter() for _ in texts]
         for k in np.flatnonzero(~head).tolist():
             d = int(np.searchsorted(begin, k, "right")) - 1
-            others[d][words[d][k - int(begin[d])]] += 1
+            word = words[d][k - int(begin[d])]
+            others[d][word] += 1
+            w[k] = vocab.symbols + bucket(word, vocab.buckets)
+        h1, h2 = np.roll(w, 1), np.roll(w, 2)
+        h1[begin] = h2[begin] = h2[np.minimum(begin + 1, begin + n - 1)] = self.start
+        p = self.model.log_probabilities(h1, h2, w) * np.log10(np.e)
+        rare = w >= vocab.symbols
+        p[rare] += logs[rare] - vocab.log_bucket[w[rare] - vocab.symbols]
+        known, counts, prob = (np.add.reduceat(x, begin) for x in (head.astype(np.int64), logs, p))
         return [(int(a), int(b), float(c), float(e), list(o), list(o.values())) for a, b, c, e, o in zip(n, known, counts, prob, others)]
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(vocab, model)
+    scorer = None
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     for b in batches:
+        scorer = scorer or Scorer(vocab, model)
         ids, every = b.column(0).to_pylist(), b.column(1).to_pylist()
         at = 0
         while at < len(every):
@@ -259,8 +385,7 @@ def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score per row of docs (doc_id, text)."""
-    schema = SCORED.removeprefix("row long, ")
-    first = docs.select("doc_id", "text").mapInArrow(partial(_score, vocab=vocab, model=model), schema)
+    first = docs.select("doc_id", "text").mapInArrow(partial(_score, vocab=vocab, model=model), SCORED)
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     others = first.where(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "times")).alias("x")).select("row", F.col("x.others").alias("word"), F.col("x.times").alias("n"))
     found = others.join(counts, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
@@ -278,6 +403,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model of those outside of the held-out fold."""
     docs = texts(table(spark, sf_dir, "documents"))
     learn = docs.where(fold_col() != 1)
     counts = count(learn)

@@ -125,20 +125,53 @@ def test_language_model(spark, sf_dir):
 
 
 def test_language_model_is_a_distribution(spark, sf_dir):
+    """After any two words, the probabilities of all words and of one unknown word in each class add up to 1."""
     learn = texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).where(fold_col() != 1)
     counts = lm.count(learn)
-    vocab = lm.vocabulary(counts, symbols=50)
+    vocab = lm.vocabulary(counts, symbols=50, buckets=30)
     scorer = lm.Scorer(vocab, lm.train(learn, vocab, rounds=1))
-    # of the first token, over all words, the end and one unknown word; the other words' counts are joined later
     words = [w.decode() for w in vocab.words if w]
-    first = np.array([scorer.score([w])[0][3] for w in words])
-    code = np.array([vocab.words.index(w.encode()) for w in words])
-    symbol = np.minimum(code, vocab.symbols)
-    m, z, start = scorer.model, scorer.log_z, scorer.start
-    end = np.array([(m.a[s] @ m.q[start] + m.b[start] - z[s]) * np.log10(np.e) for s in symbol])
-    p = 10 ** (first - end)
-    unknown = np.exp(m.a[start] @ m.q[vocab.symbols] + m.b[vocab.symbols] - z[start]) * 0.5 / 10**vocab.log_other
-    assert abs(p.sum() + 10 ** scorer.score([""])[0][3] + unknown - 1) < 1e-3
+    for before in ([], [words[3]], [words[0], words[70]], ["never", words[1]]):
+        code = lambda w: int(vocab.code([w.encode()], scorer.vocab.codes())[0])
+        h = [scorer.start, scorer.start, *map(code, before)]
+        symbols = np.arange(vocab.symbols + vocab.buckets)
+        p = np.exp(scorer.model.log_probabilities(np.full(len(symbols), h[-1]), np.full(len(symbols), h[-2]), symbols))
+        assert abs(p.sum() - 1) < 1e-4
+    # the words of a class and one unknown word share what falls to it
+    for k in range(vocab.buckets):
+        own = [c for w, c in zip(vocab.words[vocab.symbols :], vocab.counts[vocab.symbols :]) if lm.bucket(w, vocab.buckets) == k]
+        assert abs(sum(c + 0.5 for c in own) + 0.5 - 10 ** vocab.log_bucket[k]) < 1e-6
+
+
+def test_language_model_against_plain_sums(spark, sf_dir):
+    """Scores of whole texts are those of the formula, position by position."""
+    learn = texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).where(fold_col() != 1)
+    counts = lm.count(learn)
+    vocab = lm.vocabulary(counts, symbols=40, buckets=20, head=200)
+    model = lm.train(learn, vocab, rounds=1)
+    every = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    top = {w: i for i, w in enumerate(vocab.words[:40])}
+    symbol = lambda w: top.get(w, 40 + lm.bucket(w, 20))
+
+    def plain(text):
+        h1 = h2 = symbol(b"")
+        total = 0.0
+        for w in lm.tokens(text):
+            a, s = (model.a1[h1] + model.a2[h2])[:-1].astype(float), symbol(w)
+            own = [x for x in range(model.size) if x % lm.GROUPS == s % lm.GROUPS]
+            soft = lambda rows, pick: rows[pick] - np.log(np.exp(rows).sum())
+            total += soft(model.r[:, :-1] @ a + model.r[:, -1], s % lm.GROUPS) + soft(model.q[own, :-1] @ a + model.q[own, -1], own.index(s))
+            if s >= 40:
+                mates = [c for x, c in every.items() if x not in top and 40 + lm.bucket(x, 20) == s]
+                total += np.log((every.get(w, 0) + 0.5) / (sum(mates) + 0.5 * (len(mates) + 1)))
+            h1, h2 = s, h1
+        return total / np.log(10)
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(12).collect()
+    more = [(1000, ""), (1001, "Never Seen before"), (1002, rows[0].text.split()[0])]
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + more, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, counts, vocab, model).collect()}
+    assert all(abs(got[i] - plain(t)) < 1e-3 * max(1, abs(got[i])) for i, t in [(r.doc_id, r.text) for r in rows] + more)
 
 
 def test_embeddings_against_brute_force(spark, sf_dir):

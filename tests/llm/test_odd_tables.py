@@ -230,7 +230,7 @@ def test_langid(odd, empty):
 def test_lm(odd, empty):
     docs = texts(odd)
     counts = lm.count(docs)
-    vocab = lm.vocabulary(counts, head=8, symbols=5)  # so small that words are joined
+    vocab = lm.vocabulary(counts, head=8, symbols=5, buckets=7)  # so small that words are joined
     rows = lm.score(docs, counts, vocab, lm.train(docs, vocab, rounds=1)).collect()
     assert len(rows) == N and all(r.n_known == r.n_tokens for r in rows) and all(r.score < 0 for r in rows)
     other = {r.doc_id: r.base_score for r in lm.score(docs, counts, lm.vocabulary(counts), lm.train(docs, lm.vocabulary(counts), rounds=1)).collect() if r.doc_id in (1, 6, 7)}
