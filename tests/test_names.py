@@ -102,4 +102,6 @@ def test_titles():
     assert titles.split_google("よつばと!(14) 14") == ("よつばと!", 14) and titles.split_google("よつばと!(14) 15") == ("よつばと!(14)", 15) and titles.split_google("ゾン100").volume is None
     assert titles.tidy_author("藤田, 和日郎, 1964-") == "藤田和日郎" and titles.tidy_author("Tolstoy, Leo, 1828-1910") == "Leo Tolstoy"
     assert titles.tidy_author("広江 礼威") == "広江 礼威" and titles.tidy_author(" ") is None
-    assert titles.kanji_number("二十三") == 23 and titles.kanji_number("十") == 10 and titles.kanji_number("二三") is None
+    assert titles.kanji_number("二十三") == 23 and titles.kanji_number("十") == 10 and titles.kanji_number("二三") == 23
+    assert [titles.kanji_number(x) for x in ("二〇", "一二", "〇", "零", "九十九", "", "十十", "二a")] == [20, 12, 0, 0, 99, None, None, None]
+    assert titles.split_rakuten("日常（二〇）") == ("日常", 20) and titles.split_rakuten("日常 一〇五巻") == ("日常", 105)
