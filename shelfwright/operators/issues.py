@@ -25,15 +25,30 @@ def duplicate_counts(files: DataFrame, series: Sequence[str], volume: Sequence[s
     return d.groupBy(*series).agg(F.count("*").alias("duplicate_volumes"), F.sum(F.col("bases") - 1).alias("duplicate_files"))
 
 
-def file_counts(files: DataFrame) -> DataFrame:
-    """Per series of present files: file_count, bytes, loose_files (neither volume nor side label), care_files."""
+def files_by_volume(files: DataFrame) -> DataFrame:
+    """Per (series_id, volume_id) of present files: bases, and the counts that ``file_counts`` adds up.
+
+    Files are put together by their base first, so a series or a volume with very many files is no hot key.
+    """
+    f = files.where("present").withColumn("base", file_base(F.col("rel_path"), F.col("part"), F.col("ext")))
     loose = F.col("volume_id").isNull() & F.col("side_label").isNull()
-    return files.where("present").groupBy("series_id").agg(
-        F.count("*").alias("file_count"),
-        F.sum("size").alias("bytes"),
-        F.count_if(loose).alias("loose_files"),
-        F.count_if("care").alias("care_files"),
-    )
+    d = f.groupBy("series_id", "volume_id", "base").agg(F.count("*").alias("file_count"), F.sum("size").alias("bytes"), F.count_if(loose).alias("loose_files"), F.count_if("care").alias("care_files"))
+    sums = [F.sum(c).alias(c) for c in ("file_count", "bytes", "loose_files", "care_files")]
+    return d.groupBy("series_id", "volume_id").agg(F.count("base").alias("bases"), *sums)
+
+
+def by_series(of_volumes: DataFrame) -> DataFrame:
+    """Per series_id: file_count, bytes, loose_files, care_files, and ``twice``: (volume_id, bases) of the volumes that more than one base stands for."""
+    twice = F.when(F.col("volume_id").isNotNull() & (F.col("bases") > 1), F.struct("volume_id", "bases"))
+    return of_volumes.groupBy("series_id").agg(*(F.sum(c).alias(c) for c in ("file_count", "bytes", "loose_files", "care_files")), F.collect_list(twice).alias("twice"))
+
+
+def with_duplicates(d: DataFrame) -> DataFrame:
+    """Turns ``twice`` and ``volume_ids`` (the present volumes) into duplicate_volumes and duplicate_files (files beyond one per volume)."""
+    own = F.filter("twice", lambda x: F.array_contains("volume_ids", x["volume_id"]))
+    d = d.withColumn("duplicate_volumes", F.greatest(F.lit(0), F.coalesce(F.size(own), F.lit(0))).cast("long"))
+    more = F.aggregate(own, F.lit(0).cast("long"), lambda n, x: n + x["bases"] - 1)
+    return d.withColumn("duplicate_files", F.coalesce(more, F.lit(0).cast("long"))).drop("twice", "volume_ids")
 
 
 def volume_duplicates(files: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -49,8 +64,9 @@ def any_issue() -> Column:
 
 def issues(files: DataFrame, volumes: DataFrame) -> DataFrame:
     """series_id, duplicate_volumes, duplicate_files, unreadable_files, any_issue of every series with files."""
-    d = file_counts(files).select("series_id", F.col("loose_files").alias("unreadable_files"))
-    d = d.join(volume_duplicates(files, volumes), "series_id", "left").na.fill(0, ["duplicate_volumes", "duplicate_files"])
+    v = volumes.where("present").groupBy("series_id").agg(F.collect_set("id").alias("volume_ids"))
+    d = with_duplicates(by_series(files_by_volume(files)).join(v, "series_id", "left"))
+    d = d.select("series_id", F.col("loose_files").alias("unreadable_files"), "duplicate_volumes", "duplicate_files")
     return d.withColumn("any_issue", any_issue())
 
 

@@ -26,15 +26,23 @@ def having(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(other.select(*on).distinct(), list(on), "left_semi")
 
 
-def prefix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
-    """Pairs of rows one of whose keys begins with the other, both at least ``least`` long.
+def _beginnings(long: DataFrame, short: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """Pairs in which the key b of ``short`` begins the key a of ``long``: equal to a itself or to one of its beginnings.
 
-    Such keys share their first ``least`` characters: that is the equality, ``startswith`` the residual.
+    A key goes to one row for each of its beginnings whose length some key of the other side has, so what meets is hashed on
+    whole keys and no row is compared with one that does not match.
     """
-    head = lambda c: F.substring(F.col(c), 1, least)
+    lengths = short.select(F.length(b).alias("_n")).distinct()
+    heads = long.withColumn("_n", F.explode(F.sequence(F.lit(least), F.length(a)))).join(lengths, "_n", "left_semi")
+    heads = heads.withColumn("_head", F.substr(F.col(a), F.lit(1), F.col("_n"))).drop("_n")
+    return heads.join(short, F.col("_head") == F.col(b)).drop("_head")
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
+    """Pairs of rows one of whose keys begins with the other, both at least ``least`` (1 at least) long."""
     left, right = left.where(F.length(a) >= least), right.where(F.length(b) >= least)
-    on = (head(a) == head(b)) & (F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a)))
-    return left.join(right, on)
+    longer = _beginnings(right, left, b, a, least).where(F.length(b) > F.length(a))
+    return _beginnings(left, right, a, b, least).unionByName(longer)
 
 
 def match_by_prefix(left: DataFrame, right: DataFrame, id_: str, a: str, b: str, ordinal: str, least: int = 8, exact: int = 4) -> DataFrame:

@@ -43,12 +43,31 @@ def gaps(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
     return holdings(df, keys, lo, hi).select(*keys, F.explode("missing").alias("missing"))
 
 
+def by_unit(numbers: Column) -> Column:
+    """Array of (unit, owned, missing, max) of an array of (unit, number), the volume line first."""
+    units = F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.struct((x["unit"] != VOLUME).alias("o"), x["unit"].alias("u")))))
+
+    def line(u: Column) -> Column:
+        owned = F.array_sort(F.transform(F.filter(numbers, lambda x: x["unit"] == u["u"]), lambda x: x["number"]))
+        top = F.array_max(owned)
+        return F.struct(u["u"].alias("unit"), owned.alias("owned"), F.array_except(upto(top), owned).alias("missing"), top.alias("max"))
+
+    return F.transform(units, line)
+
+
+def volumes_by_series(volumes: DataFrame) -> DataFrame:
+    """series_id, holdings, volume_ids, added (the last first_seen_at) of the present volumes, in one aggregate."""
+    v = volumes.where("present")
+    span = F.when(F.col("volume_from") <= F.col("volume_to"), F.sequence(F.col("volume_from").cast("long"), F.col("volume_to").cast("long")))
+    each = v.select("series_id", "unit", "id", "first_seen_at", F.explode_outer(span).alias("number"))
+    one = F.when(F.col("number").isNotNull(), F.struct("unit", "number"))
+    d = each.groupBy("series_id").agg(F.collect_set(one).alias("_n"), F.collect_set("id").alias("volume_ids"), F.max("first_seen_at").alias("added"))
+    return d.select("series_id", by_unit(F.col("_n")).alias("holdings"), "volume_ids", "added")
+
+
 def holdings_by_series(volumes: DataFrame) -> DataFrame:
     """series_id, holdings: array of (unit, owned, missing, max) of the present volumes, the volume line first."""
-    h = holdings(volumes.where("present"), ["series_id", "unit"], "volume_from", "volume_to")
-    one = F.struct((F.col("unit") != VOLUME).alias("_o"), "unit", "owned", "missing", "max")
-    d = h.groupBy("series_id").agg(F.array_sort(F.collect_list(one)).alias("h"))
-    return d.select("series_id", F.transform("h", lambda x: F.struct(x["unit"], x["owned"], x["missing"], x["max"])).alias("holdings"))
+    return volumes_by_series(volumes).where(F.size("holdings") > 0).select("series_id", "holdings")
 
 
 def published(known: DataFrame, owned: DataFrame, keys: Sequence[str], number: str, owned_number: str, also: Sequence[Column] = ()) -> DataFrame:

@@ -41,34 +41,48 @@ class Options:
     offset: int = 0
 
 
-def _line(t: Tables) -> DataFrame:
-    """series_id with owned volume numbers and the largest, of the volume line."""
-    v = t.volumes.where(F.col("present") & (F.col("unit") == numbers.VOLUME))
-    return numbers.explode_ranges(v, ["series_id"], "volume_from", "volume_to")
+def published(bib: DataFrame) -> DataFrame:
+    """series_id, known, published_max, providers, latest_date: what the bibliography of each series knows, in one aggregate."""
+    k = bib.where(F.col("volume_no").isNotNull())
+    dated = F.when(F.col("pubdate") != "", F.struct(F.col("volume_no").cast("long").alias("volume_no"), "provider", "pubdate"))
+    d = k.groupBy("series_id").agg(F.array_sort(F.collect_set(F.col("volume_no").cast("long"))).alias("known"), F.array_sort(F.collect_set("provider")).alias("providers"), F.max(dated).alias("_d"))
+    d = d.withColumn("published_max", F.array_max("known"))
+    return d.withColumn("latest_date", F.when(F.col("_d.volume_no") == F.col("published_max"), F.col("_d.pubdate"))).drop("_d")
 
 
-def published(t: Tables) -> DataFrame:
-    """series_id, known, published_max, missing, ahead, owned_max, latest_date, providers."""
-    dated = F.max_by(F.when(F.col("pubdate") != "", F.struct("volume_no", "pubdate")), F.when(F.col("pubdate") != "", F.struct("volume_no", "provider"))).alias("_d")
-    d = numbers.published(t.bib, _line(t), ["series_id"], "volume_no", "number", [F.array_sort(F.collect_set("provider")).alias("providers"), dated])
-    return d.withColumn("latest_date", F.when(F.col("_d.volume_no") == F.col("published_max"), F.col("_d.pubdate"))).drop("_d")
+def selected(t: Tables, o: Options) -> Tables:
+    """The tables cut down to the series that the conditions on series alone leave, so that the rest is never aggregated."""
+    s = t.series.where("present")
+    if o.root_id is not None:
+        s = s.where(F.col("root_id") == o.root_id)
+    if o.completed is not None:
+        s = s.where(shelf.effective_completion(F.col("completed_user"), F.col("completed")) == o.completed)
+    if o.q:
+        s = summaries.search(s, ["title", "author"], o.q, "series_key", series_key(o.q))
+    if o.needs_cover:
+        s = s.join(t.covers.where("slot = ''").select(F.col("series_id").alias("id")), "id", "left_anti")
+    if o.root_id is None and o.completed is None and not o.q and not o.needs_cover:
+        return Tables(s, t.volumes, t.files, t.bib, t.covers)
+    ids = s.select(F.col("id").alias("series_id"))
+    return Tables(s, *(x.join(ids, "series_id", "left_semi") for x in (t.volumes, t.files, t.bib, t.covers)))
 
 
 def summaries_of(t: Tables) -> DataFrame:
     """Every present series with counts, holdings, gaps, issues, shelf status and cover: each table aggregated once, then joined on series_id."""
-    s = t.series.where("present")
-    added = t.volumes.where("present").groupBy("series_id").agg(F.max("first_seen_at").alias("_added"))
-    d = s.withColumnRenamed("id", "series_id")
-    for part in (issues.file_counts(t.files), numbers.holdings_by_series(t.volumes), issues.volume_duplicates(t.files, t.volumes), published(t), added, C.elect(t.covers).select("series_id", F.col("file").alias("cover"))):
+    v = numbers.volumes_by_series(t.volumes).withColumnRenamed("added", "_added")
+    d = t.series.where("present").withColumnRenamed("id", "series_id")
+    for part in (issues.by_series(issues.files_by_volume(t.files)), v, published(t.bib), C.elect(t.covers).select("series_id", F.col("file").alias("cover"))):
         d = d.join(part, "series_id", "left")
     none = F.array().cast("array<bigint>")
-    d = d.na.fill(0, ["file_count", "bytes", "loose_files", "care_files", "duplicate_volumes", "duplicate_files"])
+    d = issues.with_duplicates(d).na.fill(0, ["file_count", "bytes", "loose_files", "care_files"])
     d = d.withColumn("unreadable_files", F.col("loose_files")).withColumn("any_issue", issues.any_issue())
     d = d.withColumn("effective_completed", shelf.effective_completion(F.col("completed_user"), F.col("completed")))
     d = d.withColumn("completed_by", shelf.completed_by(F.col("completed_user"), F.col("completed")))
-    d = d.withColumn("missing", F.coalesce("missing", none)).withColumn("ahead", F.coalesce("ahead", none))
     line = F.get(F.filter("holdings", lambda h: h["unit"] == numbers.VOLUME), F.lit(0))
-    d = d.withColumn("owned_max", F.coalesce("owned_max", line["max"], F.lit(0)))
+    d = d.withColumn("owned_max", F.coalesce(line["max"], F.lit(0).cast("long")))
+    d = d.withColumn("missing", F.coalesce(F.array_except("known", F.coalesce(line["owned"], none)), none))
+    d = d.withColumn("ahead", F.coalesce(F.filter("known", lambda n: n > F.col("owned_max")), none))
+    d = d.withColumn("holdings", F.when(F.size("holdings") > 0, F.col("holdings")))
     d = d.withColumn("latest_year", year_of(F.col("latest_date")))
     d = d.withColumn("status", shelf.shelf_status(F.col("completed_by").isNotNull(), F.col("enriched_at").isNull(), F.col("published_max"), F.size("ahead")))
     d = d.withColumn("status_label", shelf.shelf_label(F.col("status"), F.col("owned_max"), F.col("published_max"), F.size("missing"), F.col("latest_year")))
@@ -76,16 +90,8 @@ def summaries_of(t: Tables) -> DataFrame:
     return d.withColumn("label", series_label(F.col("author"), F.col("title"))).withColumn("volume_added_at", F.coalesce("_added", "first_seen_at")).drop("_added")
 
 
-def filtered(d: DataFrame, t: Tables, o: Options) -> DataFrame:
-    """All conditions hold together, and all come before paging, so that a count of this is the total."""
-    if o.root_id is not None:
-        d = d.where(F.col("root_id") == o.root_id)
-    if o.completed is not None:
-        d = d.where(F.col("effective_completed") == o.completed)
-    if o.q:
-        d = summaries.search(d, ["title", "author"], o.q, "series_key", series_key(o.q))
-    if o.needs_cover:
-        d = d.join(t.covers.where("slot = ''").select("series_id"), "series_id", "left_anti")
+def filtered(d: DataFrame, o: Options) -> DataFrame:
+    """The conditions on what was counted. All hold together with those of ``selected``, and all come before paging, so that a count of this is the total."""
     if o.issues:
         d = d.where({"any": F.col("any_issue"), "dup": F.col("duplicate_volumes") > 0, "loose": F.col("unreadable_files") > 0}[o.issues])
     for wanted, cond in ((o.care, F.col("care_files") > 0), (o.gaps, F.col("has_gap")), (o.behind, F.col("status") == "behind"), (o.missing, F.size("missing") > 0)):
@@ -106,8 +112,8 @@ def order_of(sort: str) -> list[Column]:
 
 
 def series_list(t: Tables, o: Options) -> tuple[DataFrame, DataFrame]:
-    """(the page, one row with the total of the filtered list)."""
-    d = filtered(summaries_of(t), t, o)
+    """(the page, one row with the total of the filtered list). Both read one result, which Spark keeps once either has run (``spark.catalog.clearCache`` lets it go)."""
+    d = filtered(summaries_of(selected(t, o)), o).cache()
     return summaries.page(d, order_of(o.sort), o.limit, o.offset), d.agg(F.count("*").alias("total"))
 
 
@@ -142,7 +148,8 @@ def check_owned(t: Tables, queries: DataFrame) -> DataFrame:
     """
     q = queries.withColumn("i", parse_item("title", "volume", "raw_text")).select("query_id", "i.*")
     s = t.series.where("present").select(F.col("id").alias("series_id"), "series_key")
-    key = s.where("series_key <> ''")
+    wanted = q.where("series_key <> ''").select("series_key").distinct()
+    key = s.join(wanted, "series_key", "left_semi")  # nothing but what is asked for is exploded
     own = numbers.explode_ranges(t.volumes.where("present").join(key, "series_id"), ["series_key", "unit"], "volume_from", "volume_to")
     own = own.groupBy("series_key", "unit").agg(F.collect_set("number").alias("_have"))
     known = key.select("series_key").distinct().withColumn("_known", F.lit(True))

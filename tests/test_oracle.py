@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from shelfwright.plans import named, parity
+from shelfwright.plans import named, parity, shelf
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = parity.QUERIES | named.QUERIES, parity.ORACLE | named.ORACLE
@@ -32,16 +32,20 @@ def test_query(spark, duck, name):
 
 
 def plan(spark, name):
+    return plan_of(spark, lambda: QUERIES[name](spark, SF))
+
+
+def plan_of(spark, query):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        return query()._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name, shuffles", [("holdings_gaps", 1), ("published_ahead", 2), ("latest_per_key", 1), ("majority_vote", 2), ("snapshot_upsert", 2), ("shelf_list", 14)])
+@pytest.mark.parametrize("name, shuffles", [("holdings_gaps", 1), ("published_ahead", 2), ("latest_per_key", 1), ("majority_vote", 2), ("snapshot_upsert", 2)])
 def test_plan(spark, duck, name, shuffles):
     p = plan(spark, name)
     assert len(re.findall("Exchange hash", p)) <= shuffles
@@ -50,3 +54,23 @@ def test_plan(spark, duck, name, shuffles):
 
 def test_first_of_a_key_is_cut_before_the_shuffle(spark, duck):
     assert plan(spark, "latest_per_key").count("WindowGroupLimit") == 2
+
+
+def test_requests_are_joined_before_volumes_are_exploded(spark, duck):
+    lines = plan(spark, "own_requests").splitlines()
+    depth = lambda s: len(s) - len(s.lstrip(" :+-|"))
+    at = [k for k, x in enumerate(lines) if "Generate explode" in x]
+    assert at and all(any("LeftSemi" in x and depth(x) > depth(lines[k]) for x in lines[k:]) for k in at)
+
+
+def test_filters_on_series_reach_the_other_tables(spark, duck):
+    assert plan(spark, "shelf_page").count("LeftSemi") >= 4
+
+
+def test_summaries_shuffle_each_table_once_or_by_finer_keys(spark, duck, tmp_path):
+    made = named._tables(spark, SF)
+    for name, df in vars(made).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    t = shelf.Tables(**{name: spark.read.parquet(f"{tmp_path}/{name}") for name in vars(made)})
+    p = plan_of(spark, lambda: shelf.summaries_of(t))
+    assert len(re.findall("Exchange hash", p)) <= 7
