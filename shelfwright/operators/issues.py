@@ -74,4 +74,4 @@ def side_volumes(files: DataFrame) -> DataFrame:
     """series_id, side_label, files: present files that are no volume by their label, the work itself ('') first."""
     side = files.where("present and volume_id is null and side_label is not null")
     d = side.groupBy("series_id", "side_label").agg(F.sort_array(F.collect_list(F.struct("rel_path", "id", "size"))).alias("files"))
-    return d.orderBy("series_id", F.col("side_label") != "", "side_label")
+    return d.orderBy("series_id", F.col("side_label") != "", F.collate("side_label", "ja"), "side_label")

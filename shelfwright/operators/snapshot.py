@@ -81,6 +81,12 @@ def pending(events: DataFrame, most: int = 20) -> DataFrame:
     return events.where("notified_at is null").orderBy("created_at", "id").limit(most)
 
 
+def newest(events: DataFrame, limit: int = 50, unread: bool = False, most: int = 500) -> DataFrame:
+    """Events newest first, all or those not read yet."""
+    d = events.where("read_at is null") if unread else events
+    return d.orderBy(F.desc("created_at"), F.desc("id")).limit(max(1, min(limit, most)))
+
+
 def stamp(events: DataFrame, sent: DataFrame, column: str, at: Column) -> DataFrame:
     """Sets a stamp (read_at, notified_at) on the events whose ids are in ``sent``, once."""
     s = sent.select("id").distinct().withColumn("_sent", F.lit(True))

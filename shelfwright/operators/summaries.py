@@ -62,6 +62,16 @@ def page(df: DataFrame, order: Sequence[Column], limit: int | str = 60, offset:
     return d if limit == "all" else d.limit(max(1, min(int(limit), most)))
 
 
+def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows that look random, the same in every run: those with the smallest hashes of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def natural_order(text: Column, language: str = "ja") -> list[Column]:
+    """Order of names as people read them: digit runs as numbers, letters by the language regardless of case and marks, the spelling itself last."""
+    return [F.collate(natural_key(text), f"{language}_CI_AI"), text]
+
+
 def natural_key(text: Column) -> Column:
     """A key that sorts digit runs as numbers: 2 before 010."""
     runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 from collections.abc import Callable, Iterable
 
-from ..sources.archives import ArchiveError, members, page_index, write_zip
+from ..sources.archives import ArchiveError, extract_member, members, page_index, write_zip
 
 TEMP = ".shelfwright-tmp-"
 
@@ -82,8 +83,11 @@ def retire(root: str, attic: str, rel: str) -> str:
     return target
 
 
-def run_split(source: str, parts: list[tuple[str, list[str]]], attic: str) -> list[str]:
-    """Writes (name, members) beside the source under temporary names, checks their pages, publishes them, retires the source; on an error nothing is left."""
+def run_split(source: str, parts: list[tuple[str, list[str]]], attic: str, kind: str = "folders") -> list[str]:
+    """Writes (name, members) beside the source under temporary names, checks their pages, publishes them, retires the source; on an error nothing is left.
+
+    Of a ``nested`` plan each part is one archive within the source, which becomes a file as it is.
+    """
     folder = os.path.dirname(source)
     temps, out = [], []
     try:
@@ -91,8 +95,13 @@ def run_split(source: str, parts: list[tuple[str, list[str]]], attic: str) -> li
             if os.path.exists(os.path.join(folder, name)):
                 raise Clobber(name)
             temps.append(os.path.join(folder, TEMP + name))
-            write_zip(temps[-1], source, chosen)
-            if sorted(m["name"] for m in members(temps[-1])) != sorted(chosen) or not page_index(members(temps[-1]))["pages"]:
+            if kind == "nested":
+                (member,) = chosen
+                whole = extract_member(source, member, temps[-1]) == os.path.getsize(temps[-1])
+            else:
+                write_zip(temps[-1], source, chosen)
+                whole = sorted(m["name"] for m in members(temps[-1])) == sorted(chosen)
+            if not whole or not page_index(members(temps[-1]))["pages"]:
                 raise ArchiveError(f"{name} lacks pages")
         for temp, (name, _) in zip(temps, parts):
             out.append(os.path.join(folder, name))
@@ -106,6 +115,16 @@ def run_split(source: str, parts: list[tuple[str, list[str]]], attic: str) -> li
     return out
 
 
+def undouble(path: str) -> str:
+    """Takes `` (2)`` and the like off a file's name where the plain name is free; returns the name it has then."""
+    stem, ext = os.path.splitext(path)
+    bare = re.sub(r" \([0-9]{1,3}\)$", "", stem) + ext
+    if bare != path and not os.path.exists(bare):
+        os.rename(path, bare)
+        return bare
+    return path
+
+
 def sweep(folder: str) -> int:
     """Removes what an ended run left behind."""
     left = [os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.startswith(TEMP)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import registry as R
 from ..functions import scalars as S
 from ..operators import candidates, covers, keyed, numbers, snapshot
+from ..session import scratch
 from ..sources import providers
 from ..streaming import changes
 from . import moves, shelf
@@ -220,8 +221,8 @@ SELECT id, n FROM (SELECT user_id || '-' || event_type AS id, count(*) AS n, max
 def visits_due(spark, d):
     e = t(spark, d, "events")
     v = e.groupBy(F.concat_ws("-", F.col("user_id"), F.col("event_type")).alias("id")).agg(F.count("*").alias("n"), F.max(F.col("ts").cast("timestamp")).alias("visited"))
-    now = e.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    return snapshot.due(v, "visited", F.lit(now).cast("timestamp"), 1).select("id", "n")
+    now = e.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return snapshot.due(v, "visited", now, 1).select("id", "n")
 
 
 @query("""
@@ -261,6 +262,5 @@ GROUP BY 1, 2 HAVING epoch_us(time_bucket(INTERVAL 5 MINUTE, min(ts))) + 3000000
 def stream_event_counts(spark, d):
     """A stream closes the windows that the watermark has passed; later ones wait for more events."""
     e = changes.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    out = changes.drain(changes.event_counts(e), f"{folder}/streams")
+    out = changes.drain(changes.event_counts(e), f"{scratch(spark)}/streams")
     return out.select(F.unix_seconds("window.start").alias("window_start"), "event_type", "n")

@@ -27,10 +27,11 @@ class Refused(ValueError):
     """A folder of a root that was never scanned as a whole."""
 
 
-def batches(listing: DataFrame, at: F.Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(series, volumes, files) of a parsed listing, each by its natural key."""
+def batches(listing: DataFrame, at: F.Column, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(series, volumes, files) of a parsed listing, each by its natural key. A folder that ``known`` series have keeps its id, also after a rename."""
     d = listing.withColumn("folder", F.coalesce("folder", F.concat(F.lit("/"), F.col("rel_path"))))
-    d = d.withColumn("series_id", F.xxhash64("root_id", "folder"))
+    d = d.join(known.select("root_id", "folder", F.col("id").alias("_id")), ["root_id", "folder"], "left")
+    d = d.withColumn("series_id", F.coalesce("_id", F.xxhash64("root_id", "folder"))).drop("_id")
     d = d.withColumn("volume_id", F.when(F.col("volume_from").isNotNull(), F.xxhash64("series_id", "unit", "volume_from", "volume_to")))
     seen = [F.lit(True).alias("present"), at.alias("first_seen_at"), at.alias("last_seen_at")]
     first = lambda c: F.min_by(c, "rel_path").alias(c)
@@ -55,7 +56,7 @@ def scan(store: Store, listing: DataFrame, root_id: str, started: datetime, fold
         parsed = parse_files(listing).cache()
         seen = parsed.count()  # fails before anything is written
         old = {n: store.read(n, schema) for n, schema in (("series", SERIES), ("volumes", VOLUMES), ("files", FILES))}
-        s, v, f = batches(parsed, at)
+        s, v, f = batches(parsed, at, old["series"])
         series = snapshot.upsert(old["series"], s, ["root_id", "folder"], sticky=["completed"], keep=["id", "first_seen_at"])
         volumes = snapshot.upsert(old["volumes"], v, ["series_id", "unit", "volume_from", "volume_to"], sticky=["completed"], keep=["id", "first_seen_at"])
         files = snapshot.upsert(old["files"], f, ["root_id", "rel_path"], keep=["id", "first_seen_at"])

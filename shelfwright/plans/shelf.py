@@ -133,6 +133,13 @@ def series_detail(t: Tables, series_id: int) -> DataFrame:
     return d
 
 
+def find_files(t: Tables, q: str, limit: int = 60) -> DataFrame:
+    """Present files of the works whose title or folder contains q, regardless of case."""
+    s = summaries.search(t.series.where("present"), ["title", "folder"], q).select(F.col("id").alias("series_id"), "title", "folder")
+    d = t.files.where("present").select("id", "series_id", "rel_path", "size").join(s, "series_id")
+    return d.orderBy(F.lower("title"), "rel_path", "id").limit(limit)
+
+
 def missing_list(t: Tables, kind: str = "all", limit: int = 200) -> DataFrame:
     """Series with something to get: later volumes (ahead), holes (gap), or either."""
     d = summaries_of(t)

@@ -25,3 +25,14 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, os.path.relpath(path, os.path.dirname(top)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset and Spark runs on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        top = tempfile.mkdtemp(dir="/tmp/checkpoints")
+    return top.rstrip("/")

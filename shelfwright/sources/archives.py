@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,29 @@ def read_member(path: str, name: str) -> bytes:
         return z.read(info)
 
 
+def packed_member(path: str, name: str) -> tuple[int, int, int]:
+    """Where a member's packed bytes begin in the file, how many they are, and how they are packed."""
+    with zipfile.ZipFile(path) as z, open(path, "rb") as f:
+        info = next((i for i in z.infolist() if _name(i) == name), None)
+        if info is None or info.flag_bits & 1:
+            raise ArchiveError(f"cannot read {name}")
+        f.seek(info.header_offset + 26)
+        sizes = f.read(4)  # of the name and of what follows it
+        return info.header_offset + 30 + int.from_bytes(sizes[:2], "little") + int.from_bytes(sizes[2:], "little"), info.compress_size, info.compress_type
+
+
+def extract_member(path: str, name: str, target: str, chunk: int = 1 << 20) -> int:
+    """Streams one member, such as an archive within an archive, to a file that must not exist; returns its size."""
+    with zipfile.ZipFile(path) as z:
+        info = next((i for i in z.infolist() if _name(i) == name), None)
+        if info is None or info.flag_bits & 1:
+            raise ArchiveError(f"cannot read {name}")
+        with z.open(info) as source, open(target, "xb") as out:
+            while block := source.read(chunk):
+                out.write(block)
+    return info.file_size
+
+
 def page_index(found: list[dict]) -> dict:
     """Images in natural order, the names of the rest, and whether an archive is among them."""
     pages = sorted((m for m in found if _IMAGE.search(m["name"])), key=lambda m: natural_order(m["name"]))
@@ -170,10 +195,42 @@ def split_plans(index: DataFrame) -> DataFrame:
     return index.select("file_id", "names", "skipped", "nested", "lo", "hi").mapInPandas(_plans, PLAN)
 
 
-def write_zip(target: str, source: str, chosen: list[str]) -> int:
-    """A new archive of some members of another, stored; returns how many. Names are UTF-8."""
-    with zipfile.ZipFile(source) as z, zipfile.ZipFile(target, "x", zipfile.ZIP_STORED) as out:
-        by = {_name(i): i for i in z.infolist()}
+#: What the plain format can tell (fixed values).
+MOST_BYTES, MOST_MEMBERS = 0xFFFFFFFF, 0xFFFF
+_LOCAL, _CENTRAL, _END = struct.Struct("<IHHHHHIIIHH"), struct.Struct("<IHHHHHHIIIHHHHHII"), struct.Struct("<IHHHHIIH")
+
+
+def dos_time(at: datetime) -> tuple[int, int]:
+    """Time and date as archives write them: two-second steps, years from 1980."""
+    return at.hour << 11 | at.minute << 5 | at.second // 2, max(0, at.year - 1980) << 9 | at.month << 5 | at.day
+
+
+def write_zip(target: str, source: str, chosen: list[str], at: datetime | None = None) -> int:
+    """A new archive of some members of another, their packed bytes copied as they are; returns how many. Names are UTF-8.
+
+    What the plain format cannot hold is refused before anything is written.
+    """
+    found = {m["name"]: m for m in members(source)}
+    size = sum(found[n]["packed"] + 2 * len(n.encode()) + _LOCAL.size + _CENTRAL.size for n in chosen) + _END.size
+    if len(chosen) > MOST_MEMBERS or size > MOST_BYTES:
+        raise ArchiveError("too large for a plain ZIP")
+    clock = dos_time(at or datetime.now())
+    directory = []
+    with open(source, "rb") as f, open(target, "xb") as out:
         for n in chosen:
-            out.writestr(n, z.read(by[n]))
+            start, packed, method = packed_member(source, n)
+            name, offset = n.encode(), out.tell()
+            shared = (20, 0x800, method, *clock, found[n]["crc"], packed, found[n]["bytes"], len(name), 0)
+            out.write(_LOCAL.pack(0x04034B50, *shared) + name)
+            f.seek(start)
+            while packed:
+                block = f.read(min(packed, 1 << 20))
+                if not block:
+                    raise ArchiveError(f"{n} is cut off")
+                out.write(block)
+                packed -= len(block)
+            directory.append(_CENTRAL.pack(0x02014B50, 20, *shared, 0, 0, 0, 0, offset) + name)
+        begin = out.tell()
+        out.write(b"".join(directory))
+        out.write(_END.pack(0x06054B50, 0, 0, len(chosen), len(chosen), out.tell() - begin, begin, 0))
     return len(chosen)

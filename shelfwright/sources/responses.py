@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Collection
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -71,15 +72,21 @@ class Cache:
         self.fetch, self.throttle, self.clock = fetch, throttle or Throttle(), clock
         self.best = {(r["provider"], r["url"]): r for r in rows}
         self.log: list[dict] = []
+        self.hits: Counter = Counter()  # answers from here, by (provider, url): what to add to the table's counts
 
-    def get(self, provider: str, url: str) -> dict:
-        """A fresh row; else what is fetched now; else, on failure, the old good one marked stale. Failures of other kinds are raised."""
+    def get(self, provider: str, url: str, fetched: str | None = None, never: Collection[int] = ()) -> dict:
+        """A fresh row; else what is fetched now; else, on failure, the old good one marked stale. Failures of other kinds are raised.
+
+        ``url`` is the address under which the answer is kept, ``fetched`` the one to ask, which may hold a key. Answers
+        whose status is in ``never`` are not kept.
+        """
         known, now = self.best.get((provider, url)), self.clock()
         if known and known["expires_at"] > now:
+            self.hits[provider, url] += 1
             return known | {"stale": False}
         self.throttle.wait(provider)
         try:
-            status, body = self.fetch(url)
+            status, body = self.fetch(fetched or url)
         except ProviderStop:
             raise
         except OSError:
@@ -88,8 +95,10 @@ class Cache:
             raise
         ok = 200 <= status < 300
         row = {"provider": provider, "url": url, "status": status, "body": body, "fetched_at": now, "expires_at": now + (timedelta(days=GOOD_DAYS) if ok else timedelta(minutes=ERROR_MINUTES))}
-        self.log.append(row)
+        if status not in never:
+            self.log.append(row)
         if not ok and known and 200 <= known["status"] < 300:
             return known | {"stale": True}
-        self.best[provider, url] = row
+        if status not in never:
+            self.best[provider, url] = row
         return row | {"stale": False}

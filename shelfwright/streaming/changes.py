@@ -45,11 +45,20 @@ def change_events(listing: DataFrame) -> DataFrame:
 
 
 def outbox(events: DataFrame, send: Callable[[DataFrame], list[int]], log: Callable[[DataFrame, int], None], checkpoint: str, most: int = 20) -> StreamingQuery:
-    """At least once: each batch is sent in bounded portions, and only what ``send`` says went out is logged as sent."""
+    """At least once: all of each batch is offered in portions of ``most``, and only what ``send`` says went out is logged as sent."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        sent = send(batch.orderBy("id").limit(most))
-        log(batch.withColumn("sent", F.col("id").isin(sent)), epoch)
+        batch = batch.persist()
+        last, done = None, False
+        while not done:
+            portion = batch if last is None else batch.where(F.col("id") > last)
+            portion = portion.orderBy("id").limit(most)
+            ids = [r["id"] for r in portion.select("id").collect()]  # ``most`` at a time
+            done = len(ids) < most
+            if ids:
+                last = ids[-1]
+                log(portion.withColumn("sent", F.col("id").isin(send(portion))), epoch)
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,9 +68,21 @@ def event_counts(events: DataFrame, at: str = "ts", late: str = "10 minutes", wi
     return events.withWatermark(at, late).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("n"))
 
 
-def snapshots(listing: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Periodic scans as micro-batches: ``apply`` writes the next snapshot version for each."""
-    return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def snapshots(listing: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, minutes: int | None = None) -> StreamingQuery:
+    """Scans as micro-batches: ``apply`` writes the next snapshot version for each. At once over what is there, or every so many minutes."""
+    trigger = {"availableNow": True} if minutes is None else {"processingTime": f"{minutes} minutes"}
+    return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def fill(due: Callable[[int], list], attempt: Callable[[list], int], budget: int, portion: int = 20, progress: Callable[[dict], None] = lambda _: None) -> dict:
+    """Background work of bounded size: takes what is due in portions until ``budget`` is used up or nothing is left, telling how far it is."""
+    state = {"tried": 0, "done": 0, "left": budget}
+    while state["left"] > 0 and (some := due(min(portion, state["left"]))):
+        state["tried"] += len(some)
+        state["left"] -= len(some)
+        state["done"] += attempt(some)
+        progress(dict(state))
+    return state
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

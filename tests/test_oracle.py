@@ -6,10 +6,10 @@ import re
 import duckdb
 import pytest
 
-from shelfwright.plans import named, parity, shelf
+from shelfwright.plans import asked, named, parity, shelf
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = parity.QUERIES | named.QUERIES, parity.ORACLE | named.ORACLE
+QUERIES, ORACLE = parity.QUERIES | named.QUERIES | asked.QUERIES, parity.ORACLE | named.ORACLE | asked.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,14 @@
 import json
 import os
 import zipfile
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.plans import effects, enrich, scan
+from shelfwright.sources import archives
 from shelfwright.sources.files import parse_files
 from shelfwright.sources.store import Store
 
@@ -84,6 +86,24 @@ def test_effects(tmp_path):
     with pytest.raises(KeyError):
         effects.run_split(z, [("v1.zip", ["1/a.jpg"]), ("v2.zip", ["none"])], f"{root}/attic")
     assert sorted(os.listdir(tmp_path / "in")) == ["o.zip", "z.rar"]
+    inner = str(tmp_path / "inner.zip")
+    for n in "12":
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as f:
+            f.writestr("p/1.jpg", n * 500)
+        with zipfile.ZipFile(tmp_path / "in/nested.zip", "a") as f:
+            f.write(inner, f"第{n}巻.zip")
+    out = effects.run_split(str(tmp_path / "in/nested.zip"), [("n1.zip", ["第1巻.zip"]), ("n2.zip", ["第2巻.zip"])], f"{root}/attic", "nested")
+    assert [archives.read_member(x, "p/1.jpg") for x in out] == [b"1" * 500, b"2" * 500] and os.path.exists(tmp_path / "attic/nested.zip")
+    archives.write_zip(str(tmp_path / "copy.zip"), out[0], ["p/1.jpg"])
+    assert archives.read_member(str(tmp_path / "copy.zip"), "p/1.jpg") == b"1" * 500 and archives.members(str(tmp_path / "copy.zip"))[0]["method"] == zipfile.ZIP_DEFLATED
+    start, packed, method = archives.packed_member(str(tmp_path / "copy.zip"), "p/1.jpg")
+    assert zlib.decompress(open(tmp_path / "copy.zip", "rb").read()[start : start + packed], -15) == b"1" * 500 and method == 8
+    assert effects.undouble(out[0]) == out[0]
+    os.rename(out[0], f"{root}/in/n1 (2).zip")
+    assert effects.undouble(f"{root}/in/n1 (2).zip") == out[0]
+    for x in out:
+        os.remove(x)
+    assert archives.dos_time(datetime(1999, 2, 3, 4, 5, 7)) == (4 << 11 | 5 << 5 | 3, 19 << 9 | 2 << 5 | 3)
     assert len(effects.run_split(z, [("v1.zip", ["1/a.jpg"]), ("v2.zip", ["2/a.jpg"])], f"{root}/attic")) == 2 and os.path.exists(tmp_path / "attic/o.zip")
     (tmp_path / "in" / (effects.TEMP + "x")).write_text("")
     assert effects.sweep(root) == 1
