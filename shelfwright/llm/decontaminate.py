@@ -309,3 +309,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of all documents, for all items."""
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), phrases AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM b WHERE len(w) > 0)
+), windows AS (
+  SELECT row, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM w, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n)
+), found AS (
+  SELECT row, windows.n, k, item FROM windows JOIN phrases ON windows.n = phrases.n AND windows.phrase = phrases.phrase
+), hit AS (
+  SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(generate_series(k, k + n - 1)) AS p FROM (SELECT DISTINCT row, n, k FROM found)) GROUP BY 1
+), items AS (
+  SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+"""

@@ -438,3 +438,31 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: in
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is removed from each document, judged over all of them."""
     return deduplicate(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), hashed AS MATERIALIZED (
+  SELECT row, doc_id, k, hash(substr(h, 2 * k + 1, 100)) AS x FROM (SELECT *, unnest(generate_series(0, CAST(len(h) // 2 - 50 AS BIGINT))) AS k FROM d WHERE len(h) >= 100)
+), several AS (
+  SELECT x FROM hashed GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), windows AS (
+  SELECT row, d.doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM hashed JOIN several USING (x) JOIN d USING (row)
+), first AS (
+  SELECT s, min(doc_id) AS least FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT row, k, lag(k) OVER (PARTITION BY row ORDER BY k) AS before FROM windows JOIN first USING (s) WHERE least < doc_id
+), numbered AS (
+  SELECT row, k, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY k) AS run FROM gone
+), spans AS (
+  SELECT row, run, min(k) AS lo, max(k) + 50 AS hi FROM numbered GROUP BY 1, 2
+), kept AS (
+  SELECT row, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY run), 0) AS after FROM spans
+), sums AS (
+  SELECT row, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (lo - after) AS BIGINT)), '' ORDER BY run) AS heads, max(hi) AS last FROM kept JOIN d USING (row) GROUP BY 1
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE heads || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN sums USING (row)
+"""

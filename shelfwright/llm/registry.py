@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE = {"op6_mixing": mixing.OP6_SQL}
+ORACLE = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_suffix": exact.OP5_SQL, "op6_mixing": mixing.OP6_SQL, "op9_lattice": lattice.OP9_SQL}
