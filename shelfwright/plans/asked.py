@@ -427,6 +427,24 @@ def group_items(spark, d):
     return _groups(spark, d).select("query_id", "title", F.array_join(F.transform("items", lambda x: x["isbn"]), ",").alias("items"), "first_year", "last_year")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS query_id, translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS w FROM customer)
+SELECT query_id, 'Work ' || w AS title, '1,2,3' AS volumes FROM c UNION ALL SELECT query_id, 'Other ' || w || ' story', '1,2' FROM c UNION ALL SELECT query_id, 'Longname ' || w || ' alpha omega', '1,2,3' FROM c
+UNION ALL SELECT query_id, 'Longname ' || w || ' 完全版 omega', '4' FROM c WHERE query_id % 2 = 0
+""")
+def folded_groups(spark, d):
+    """A volume's own subtitle, lines that differ by a number, an inserted subtitle, and another book, which stays."""
+    k = F.col("c_custkey")
+    w = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    titles = [cat("Work ", w, "（1）"), cat("Work ", w, "（2）"), cat("Work ", w, " Sub（3）"), cat("Other ", w, " 1 story"), cat("Other ", w, " 2 story")]
+    titles += [cat("Longname ", w, " alpha omega（1）"), cat("Longname ", w, " alpha omega（2）"), cat("Longname ", w, " alpha beta omega（3）"), F.when(k % 2 == 0, cat("Longname ", w, " 完全版 omega（4）"))]
+    none = F.lit(None).cast("string")
+    r = t(spark, d, "customer").select(k.alias("query_id"), F.posexplode(F.array(*titles)).alias("ordinal", "title")).where("title is not null")
+    r = r.select("query_id", "ordinal", F.lit("ndl").alias("provider"), "title", none.cast("int").alias("volume"), *(none.alias(c) for c in ("author", "publisher", "date", "isbn", "image_url", "link")))
+    g = candidates.groups(candidates.fold_candidates(candidates.normalise(r)))
+    return g.select("query_id", "title", F.array_join("volumes", ",").alias("volumes"))
+
+
 @query(f"SELECT query_id, title, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, n DESC, first) AS INT) AS place FROM (SELECT {_BRAND} AS query_id, p_name AS title, count(DISTINCT p_size) AS v, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2)")
 def group_order(spark, d):
     rows = _groups(spark, d).withColumn("at", F.monotonically_increasing_id())

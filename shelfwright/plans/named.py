@@ -73,8 +73,9 @@ def find_volumes(spark, d):
 def inbox_fold(spark, d):
     edition = F.element_at(F.array(*map(F.lit, ("", "s", "v2", "_LQ"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     name = cat(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), "_", F.lpad(F.col("p_size").cast("string"), 2, "0"), edition, ".rar")
-    w = moves.inbox_works(t(spark, d, "part").select(name.alias("name")))
-    return w.groupBy("key").agg(F.count("*").alias("files"), F.min("volume_from").alias("lo"), F.max("volume_from").alias("hi"))
+    w = moves.fold_inbox(moves.inbox_works(t(spark, d, "part").select(name.alias("name"))))
+    volumes = F.transform("files", lambda x: x["volume_from"])
+    return w.select("key", F.size("files").cast("long").alias("files"), F.array_min(volumes).alias("lo"), F.array_max(volumes).alias("hi"))
 
 
 def _tables(spark, d) -> shelf.Tables:
@@ -203,7 +204,10 @@ def unique_names(spark, d):
     return keyed.unique_names(p, "folder", "stem", "suffix").select("id", "name")
 
 
-@query("SELECT p_partkey AS id, '[' || p_brand || '] ' || p_type || ' 第' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '巻 [LQ].rar' AS to_name, '[' || p_brand || '] ' || p_type || '(完)' AS to_folder, false AS loses_volume FROM part")
+@query("""
+SELECT p_partkey AS id, '[' || p_brand || '] ' || p_type || ' 第' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '巻 [LQ]' || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.rar' AS to_name, '[' || p_brand || '] ' || p_type || '(完)' AS to_folder, false AS loses_volume
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS n FROM part)
+""")
 def rename_plan(spark, d):
     p = t(spark, d, "part")
     old = cat("[", F.col("p_brand"), "] ", F.col("p_name"))
@@ -211,8 +215,7 @@ def rename_plan(spark, d):
     s = p.select(F.col("p_partkey").alias("id"), old.alias("folder"), F.col("p_name").alias("title"))
     want = p.select(F.col("p_partkey").alias("series_id"), F.col("p_type").alias("title"), F.col("p_brand").alias("author"), F.lit(True).alias("completed"))
     # series that get one folder name share a folder, so equal names in it are numbered
-    plan = moves.plan_renames(f, s, want)
-    return plan.select("id", F.regexp_replace("to_name", r" \([0-9]+\)(?=\.rar$)", "").alias("to_name"), "to_folder", "loses_volume")
+    return moves.plan_renames(f, s, want).select("id", "to_name", "to_folder", "loses_volume")
 
 
 @query("""

@@ -385,11 +385,10 @@ def isbn_clean(spark, d):
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[\s_\-~,.!?''"()\[\]{}:;|/\\]', '', 'g') AS key FROM documents WHERE text IS NOT NULL
+SELECT doc_id, regexp_replace(lower(text), '[\t\n\x0B\f\r 　_\-‐–—~〜・,.、。!?！？''"“”‘’()（）\[\]{}【】「」『』:：;；|/\\]', '', 'g') AS key FROM documents
 """)
 def string_keys(spark, d):
-    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    return t(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", S.folded_key(ascii_only).alias("key"))
+    return t(spark, d, "documents", "doc_id", "text").select("doc_id", S.folded_key(F.col("text")).alias("key"))
 
 
 @query("SELECT l_orderkey, string_agg('第' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '巻', ' / ' ORDER BY l_linenumber) AS text FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1")
