@@ -34,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The tables that ``materialize`` wrote in this process and that are still there.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing.
 
@@ -41,6 +45,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -50,13 +55,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _WRITTEN.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing that is still to run reads it."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark)) or path.removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://")):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    own = _folders(df)
+    _delete(df.sparkSession, [p for p in _WRITTEN if p.rpartition("/")[2] in own])
+
+
+def sweep(keep: DataFrame) -> None:
+    """Delete all that ``materialize`` has written in this process but for ``keep``: once that is written, nothing reads the rest."""
+    own = _folders(keep)
+    _delete(keep.sparkSession, [p for p in _WRITTEN if p.rpartition("/")[2] not in own])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +96,11 @@ def fold_col(column: str = "doc_id", k: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` written once and, if it has no more than ``rows`` rows, marked for broadcasting; beyond that joins shuffle."""
+def small(df: DataFrame, rows: int, room: int = 32 << 20) -> DataFrame:
+    """``df`` written once and, if it has no more than ``rows`` rows and ``room`` bytes of files, marked for broadcasting; beyond that joins shuffle."""
     df = materialize(df, "small")
-    return F.broadcast(df) if df.count() <= rows else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= room and df.count() <= rows else df
 
 
 def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:

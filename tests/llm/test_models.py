@@ -316,6 +316,17 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(ids[4])
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    for name, docs, labels in (("odd", odd, []), ("empty", empty, [(1, 1)]), ("one", odd, [(1, 1), (2, 1)])):
+        d = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, d).collect()
+        assert [r.start for r in sorted(rows, key=lambda r: r.start)] == [sum(x.n_tokens for x in rows if x.start < r.start) for r in sorted(rows, key=lambda r: r.start)]
+        assert (len(rows) > 0) == (name != "empty") and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+
+
 def test_windows_of_pieces_in_portions(monkeypatch):
     rng = np.random.default_rng(4)
     text = bytes(rng.integers(97, 100, 4000).astype(np.uint8))
