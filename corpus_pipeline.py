@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwright.llm import decontaminate, mixing, near, sstable, subword
-from shelfwright.llm.common import fold_col, materialize, table
+from shelfwright.llm.common import fold_col, materialize, sweep, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,4 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        sweep(docs)  # what the stage and those before wrote for themselves
     return STAGES[-1][1](spark, docs, sf_dir)
