@@ -6,6 +6,7 @@ one that is fetched. Endpoints, parameter names and bounds are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 from urllib.parse import urlencode
 
@@ -71,6 +72,23 @@ def openbd(isbn: str) -> Request:
     return _request("openbd", OPENBD, _some(isbn=_isbn(isbn)))
 
 
+def first_fitting(ask: Callable[[str | None], list[dict]], creators: list[str], title: str | None, enough: int = 2) -> tuple[list[dict], str | None]:
+    """The records of the spelling of an author that gives most usable ones (with ISBN and volume), and that spelling.
+
+    Spellings are asked for in turn until one gives ``enough``; if none gives any and there is a title, it is asked for alone.
+    """
+    usable = lambda found: sum(bool(r.get("isbn")) and r.get("volume") is not None for r in found)
+    best: tuple[list[dict], str | None] = ([], None)
+    for n, c in enumerate(creators):
+        found = ask(c)
+        if not n or usable(found) > usable(best[0]):
+            best = (found, c)
+        if usable(found) >= enough:
+            return best
+    alone = ask(None) if title and not usable(best[0]) else []
+    return (alone, None) if alone else best
+
+
 def by_isbn(wanted: DataFrame, records: DataFrame) -> DataFrame:
     """wanted (id, isbn) with the record of that ISBN: a large image first, then any image, then the first; none gives no row."""
     large = F.col("large") if "large" in records.columns else F.lit(False)

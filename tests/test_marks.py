@@ -55,6 +55,18 @@ def test_requests():
         requests.ndl()
 
 
+def test_spellings_of_an_author():
+    good, bare = {"isbn": "i", "volume": 1}, {"isbn": None, "volume": 1}
+    asked = []
+
+    def ask(of):
+        return lambda c: asked.append(c) or of.get(c, [])
+
+    assert requests.first_fitting(ask({"a": [bare], "b": [good, good], "c": [good] * 3}), ["a", "b", "c"], "t") == ([good, good], "b") and asked == ["a", "b"]
+    assert requests.first_fitting(ask({"a": [bare], None: [good]}), ["a"], "t") == ([good], None)
+    assert requests.first_fitting(ask({"a": [bare], None: [good]}), ["a"], None) == ([bare], "a")
+
+
 def test_answers_that_are_not_kept():
     now, asked = [T0], []
     answers = iter([(503, "down"), (200, "x")])
