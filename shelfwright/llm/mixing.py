@@ -91,6 +91,7 @@ def repeat(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, cycle: tupl
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

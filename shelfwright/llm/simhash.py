@@ -184,5 +184,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
