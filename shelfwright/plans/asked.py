@@ -34,7 +34,8 @@ def pick(of: F.Column, *values) -> F.Column:
     return F.element_at(F.array(*(v if isinstance(v, F.Column) else F.lit(v) for v in values)), (F.pmod(of, F.lit(len(values))) + 1).cast("int"))
 
 
-KEY = F.col("p_partkey")
+def key() -> F.Column:
+    return F.col("p_partkey")
 
 
 # Listings and responses.
@@ -42,15 +43,15 @@ KEY = F.col("p_partkey")
 
 @query("SELECT p_partkey, p_partkey % 5 <> 3 AS content FROM part")
 def content_files(spark, d):
-    name = cat(F.col("p_name"), pick(KEY, ".zip", ".CBZ", ".r01", ".txt", ".003"))
+    name = cat(F.col("p_name"), pick(key(), ".zip", ".CBZ", ".r01", ".txt", ".003"))
     return t(spark, d, "part").select("p_partkey", S.is_content_file(name).alias("content"))
 
 
 @query("SELECT p_partkey AS id, p_name || ' ' || p_partkey AS title, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS author FROM part WHERE p_partkey > 0 AND p_partkey % 5 > 0")
 def answers_file(spark, d):
     """A tab-separated file with a header, carriage returns and blank titles."""
-    title = F.when(KEY % 5 == 0, "").otherwise(cat(F.col("p_name"), " ", KEY))
-    line = F.when(KEY == 0, "key\ttitle\tauthor").otherwise(F.concat_ws("\t", cat("k", KEY), title, F.when(KEY % 3 > 0, F.col("p_brand")).otherwise("")))
+    title = F.when(key() % 5 == 0, "").otherwise(cat(F.col("p_name"), " ", key()))
+    line = F.when(key() == 0, "key\ttitle\tauthor").otherwise(F.concat_ws("\t", cat("k", key()), title, F.when(key() % 3 > 0, F.col("p_brand")).otherwise("")))
     path = f"{scratch(spark)}/answers-{uuid.uuid4().hex}"
     t(spark, d, "part").select(cat(line, "\r").alias("value")).write.text(path)
     return files.read_answers(spark, path).select(F.substring("key", 2, 20).cast("long").alias("id"), "title", "author")
@@ -58,7 +59,7 @@ def answers_file(spark, d):
 
 @query("SELECT p_name || ' ' || p_partkey AS title, 'r' || p_partkey AS reading FROM part WHERE p_partkey % 4 > 0")
 def title_readings(spark, d):
-    item = cat("<item><dc:title> <b>", F.col("p_name"), "</b> ", KEY, "</dc:title><x>1</x><dcndl:titleTranscription>", F.when(KEY % 4 > 0, cat("r", KEY)).otherwise(""), "</dcndl:titleTranscription></item>")
+    item = cat("<item><dc:title> <b>", F.col("p_name"), "</b> ", key(), "</dc:title><x>1</x><dcndl:titleTranscription>", F.when(key() % 4 > 0, cat("r", key())).otherwise(""), "</dcndl:titleTranscription></item>")
     return providers.ndl_readings(t(spark, d, "part").select(item.alias("body")))
 
 
@@ -77,8 +78,8 @@ def best_variants(spark, d):
 SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'quota' WHEN 2 THEN 'auth' WHEN 3 THEN 'other' ELSE 'quota' END AS error_kind, p_partkey % 5 <> 3 AS stop FROM part WHERE p_partkey % 5 > 0
 """)
 def response_errors(spark, d):
-    body = pick(KEY, "fine", "Quota exceeded for key", "API key not valid", "broken", "Too Many Requests (credential)")
-    r = t(spark, d, "part").select("p_partkey", body.alias("body"), F.when(KEY % 5 == 0, 200).otherwise(403).alias("status"))
+    body = pick(key(), "fine", "Quota exceeded for key", "API key not valid", "broken", "Too Many Requests (credential)")
+    r = t(spark, d, "part").select("p_partkey", body.alias("body"), F.when(key() % 5 == 0, 200).otherwise(403).alias("status"))
     return providers.provider_errors(r).select("p_partkey", "error_kind", "stop")
 
 
@@ -104,16 +105,16 @@ def fresh_responses(spark, d):
 
 @query("SELECT p_partkey, sha256('ndl' || chr(10) || 'https://x/' || p_partkey) AS key, left(sha256(p_name), 32) || '.jpg' AS name, lower(to_base(p_size, 36)) || '-' || lower(to_base(1700000000000 + p_partkey, 36)) AS version FROM part")
 def keys_and_versions(spark, d):
-    url = cat("https://x/", KEY)
-    return t(spark, d, "part").select("p_partkey", S.cache_key(F.lit("ndl"), url).alias("key"), S.content_name(F.col("p_name"), F.lit(".jpg")).alias("name"), S.file_version(F.col("p_size"), 1_700_000_000_000 + KEY).alias("version"))
+    url = cat("https://x/", key())
+    return t(spark, d, "part").select("p_partkey", S.cache_key(F.lit("ndl"), url).alias("key"), S.content_name(F.col("p_name"), F.lit(".jpg")).alias("name"), S.file_version(F.col("p_size"), 1_700_000_000_000 + key()).alias("version"))
 
 
 @query("""
 SELECT p_partkey, [NULL, 'image/jpeg', 'image/png', 'image/webp', NULL][p_partkey % 5 + 1] AS kind, CASE p_partkey % 2 WHEN 0 THEN p_name ELSE '=?UTF-8?B?' || base64(encode(p_name || '巻')) || '?=' END AS header FROM part
 """)
 def types_and_headers(spark, d):
-    name = cat(F.col("p_name"), pick(KEY, ".txt", ".JPG", ".png", ".webp", ""))
-    return t(spark, d, "part").select("p_partkey", S.content_type(name).alias("kind"), S.header_word(F.when(KEY % 2 == 0, F.col("p_name")).otherwise(cat(F.col("p_name"), "巻"))).alias("header"))
+    name = cat(F.col("p_name"), pick(key(), ".txt", ".JPG", ".png", ".webp", ""))
+    return t(spark, d, "part").select("p_partkey", S.content_type(name).alias("kind"), S.header_word(F.when(key() % 2 == 0, F.col("p_name")).otherwise(cat(F.col("p_name"), "巻"))).alias("header"))
 
 
 @query("""
@@ -122,10 +123,10 @@ SELECT p_partkey, p_partkey % 3 > 0 AS allowed, p_partkey % 3 > 0 AND p_size >=
   '/api/covers/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '?v=' || left(sha256(p_name), 12) ELSE '' END AS shown FROM part
 """)
 def image_checks(spark, d):
-    url = cat(pick(KEY, "http://elsewhere/", "https://ndlsearch.ndl.go.jp/thumbnail/", "https://cover.openbd.jp/"), KEY)
-    file = F.when(KEY % 2 == 0, S.content_name(F.col("p_name"), F.lit(".jpg")))
-    status, digest = F.when(KEY % 3 > 0, 200).otherwise(404), F.when(KEY % 7 == 0, "blank").otherwise("d")
-    return t(spark, d, "part").select("p_partkey", images.allowed(url).alias("allowed"), S.valid_image(status, F.col("p_size") * 100, digest, ["blank"]).alias("valid"), images.referer(url).alias("referer"), images.cover_url(KEY, file).alias("shown"))
+    url = cat(pick(key(), "http://elsewhere/", "https://ndlsearch.ndl.go.jp/thumbnail/", "https://cover.openbd.jp/"), key())
+    file = F.when(key() % 2 == 0, S.content_name(F.col("p_name"), F.lit(".jpg")))
+    status, digest = F.when(key() % 3 > 0, 200).otherwise(404), F.when(key() % 7 == 0, "blank").otherwise("d")
+    return t(spark, d, "part").select("p_partkey", images.allowed(url).alias("allowed"), S.valid_image(status, F.col("p_size") * 100, digest, ["blank"]).alias("valid"), images.referer(url).alias("referer"), images.cover_url(key(), file).alias("shown"))
 
 
 @query("""
@@ -143,8 +144,8 @@ SELECT p.p_partkey AS id, min(q.p_partkey) AS ordinal FROM part p JOIN part q ON
 """)
 def record_by_title(spark, d):
     p = t(spark, d, "part")
-    w = p.select(KEY.alias("id"), F.upper("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").alias("volume"))
-    r = p.select(KEY.alias("ordinal"), cat(F.col("p_name"), "(", F.col("p_size"), ") ", F.col("p_size")).alias("title"), cat(" ", F.lower("p_brand")).alias("author"), F.when(KEY % 3 > 0, "u").alias("image_url"))
+    w = p.select(key().alias("id"), F.upper("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_size").alias("volume"))
+    r = p.select(key().alias("ordinal"), cat(F.col("p_name"), "(", F.col("p_size"), ") ", F.col("p_size")).alias("title"), cat(" ", F.lower("p_brand")).alias("author"), F.when(key() % 3 > 0, "u").alias("image_url"))
     return requests.by_title(w, r, "google").select("id", "ordinal")
 
 
@@ -182,9 +183,9 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 8 = 0 ELSE
 """)
 def care_and_moves(spark, d):
     p = t(spark, d, "part")
-    f = p.select(KEY.alias("id"), (KEY % 5).alias("series_id"), cat("from/", KEY).alias("rel_path"), (KEY % 3 == 0).alias("care"), F.when(KEY % 3 == 0, "old").alias("care_note"))
-    f = marks.set_care(f, p.where(KEY % 4 == 0).select(KEY.alias("id"), (KEY % 8 == 0).alias("care"), F.lit("new").alias("note"), (KEY % 16 == 0).alias("keep_note")))
-    f = marks.move_files(f, p.where(KEY % 7 == 0).select(KEY.alias("id"), F.lit("from/moved").alias("to_path")))
+    f = p.select(key().alias("id"), (key() % 5).alias("series_id"), cat("from/", key()).alias("rel_path"), (key() % 3 == 0).alias("care"), F.when(key() % 3 == 0, "old").alias("care_note"))
+    f = marks.set_care(f, p.where(key() % 4 == 0).select(key().alias("id"), (key() % 8 == 0).alias("care"), F.lit("new").alias("note"), (key() % 16 == 0).alias("keep_note")))
+    f = marks.move_files(f, p.where(key() % 7 == 0).select(key().alias("id"), F.lit("from/moved").alias("to_path")))
     f = marks.move_below(f, spark.range(1).select(F.lit(0).cast("long").alias("series_id"), F.lit("from").alias("from_folder"), F.lit("to").alias("to_folder")))
     return f.select("id", "care", F.col("care_note").alias("note"), "rel_path")
 
@@ -404,8 +405,8 @@ def cover_probes(spark, d):
 def _records(spark, d, more: str = "") -> DataFrame:
     p, none = t(spark, d, "part"), F.lit(None).cast("string")
     return p.select(
-        F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("query_id"), KEY.cast("int").alias("ordinal"), pick(KEY, "ndl", "rakuten").alias("provider"), cat(F.col("p_name"), more, "（", F.col("p_size"), "）").alias("title"),
-        none.cast("int").alias("volume"), pick(KEY, F.col("p_type"), none).alias("author"), F.lit("p").alias("publisher"), cat(1990 + KEY % 30, ".5").alias("date"), cat("i", KEY).alias("isbn"), F.when(KEY % 4 == 0, cat("u", KEY)).alias("image_url"), none.alias("link"),
+        F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("query_id"), key().cast("int").alias("ordinal"), pick(key(), "ndl", "rakuten").alias("provider"), cat(F.col("p_name"), more, "（", F.col("p_size"), "）").alias("title"),
+        none.cast("int").alias("volume"), pick(key(), F.col("p_type"), none).alias("author"), F.lit("p").alias("publisher"), cat(1990 + key() % 30, ".5").alias("date"), cat("i", key()).alias("isbn"), F.when(key() % 4 == 0, cat("u", key())).alias("image_url"), none.alias("link"),
     )
 
 
@@ -505,7 +506,7 @@ def split_titles(spark, d):
     found = [R.split_rakuten(texts[0]), R.split_rakuten(texts[1]), R.split_google(texts[2]), R.split_title(texts[3]), R.split_title(texts[4])]
     out = found[0]
     for k in range(1, 5):
-        out = F.when(KEY % 5 == k, found[k]).otherwise(out)
+        out = F.when(key() % 5 == k, found[k]).otherwise(out)
     return t(spark, d, "part").select("p_partkey", out.alias("x")).select("p_partkey", "x.base", "x.volume")
 
 
@@ -514,9 +515,9 @@ SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || p_brand WHEN 1 THEN '
 """)
 def author_names(spark, d):
     """Kanji names join, Latin ones turn; a field of several people gives the whole and each of two characters or more."""
-    raw = pick(KEY, cat("姓", F.col("p_name"), ", ", F.col("p_brand"), ", 1950-"), cat(F.col("p_name"), ", First, 1828-1910"), F.col("p_name"))
+    raw = pick(key(), cat("姓", F.col("p_name"), ", ", F.col("p_brand"), ", 1950-"), cat(F.col("p_name"), ", First, 1828-1910"), F.col("p_name"))
     name = F.regexp_replace(R.tidy_author(raw), "^姓", "")
-    v = R.author_variants(cat("A", KEY, "×Bob ", F.lpad(F.col("p_size").cast("string"), 2, "0")))
+    v = R.author_variants(cat("A", key(), "×Bob ", F.lpad(F.col("p_size").cast("string"), 2, "0")))
     return t(spark, d, "part").select("p_partkey", name.alias("author"), F.array_join(v, ",").alias("variants"))
 
 
@@ -533,10 +534,10 @@ FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE substr(p_nam
 """)
 def fitting_names(spark, d):
     p = t(spark, d, "part")
-    a = F.when(KEY % 3 == 0, cat(F.col("p_name"), "x")).otherwise(F.substring(F.col("p_name"), (KEY % 2 + 1).cast("int"), (F.col("p_size") % 6 + 1).cast("int")))
+    a = F.when(key() % 3 == 0, cat(F.col("p_name"), "x")).otherwise(F.substring(F.col("p_name"), (key() % 2 + 1).cast("int"), (F.col("p_size") % 6 + 1).cast("int")))
     p = p.withColumn("a", a)
     fits = joins.keys_compatible(F.array("p_name", "p_type"), F.array("a", F.lit("")))
-    return p.select("p_partkey", fits.alias("keys_fit"), F.when(KEY % 3 == 0, False).otherwise(joins.authors_compatible(F.upper("p_name"), F.col("a"))).alias("authors_fit"))
+    return p.select("p_partkey", fits.alias("keys_fit"), F.when(key() % 3 == 0, False).otherwise(joins.authors_compatible(F.upper("p_name"), F.col("a"))).alias("authors_fit"))
 
 
 @query("""
@@ -555,7 +556,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE p_size END AS volum
 def bare_names(spark, d):
     """A number behind the folder's title is a volume, other words name a side story."""
     work = cat("[", F.col("p_brand"), "] ", F.col("p_name"))
-    tail = F.when(KEY % 3 == 1, "side story").otherwise(F.col("p_size").cast("string"))
+    tail = F.when(key() % 3 == 1, "side story").otherwise(F.col("p_size").cast("string"))
     e = t(spark, d, "part").select("p_partkey", R.parse_library_entry(cat(work, "/", work, " ", tail, ".zip")).alias("e"), R.rest_after_folder(cat(F.col("p_name"), " ", tail), F.upper("p_name")).alias("rest"))
     return e.select("p_partkey", F.col("e.volume_from").alias("volume"), "e.side_label", "rest")
 
@@ -568,9 +569,9 @@ def folded_texts(spark, d):
 
 @query("SELECT p_partkey, '作品' || p_partkey AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS author, p_size AS volume, CASE WHEN p_partkey % 3 = 0 THEN '話' ELSE '巻' END AS unit FROM part")
 def japanese_inbox(spark, d):
-    author = F.when(KEY % 2 == 0, cat("[", F.col("p_brand"), "]_")).otherwise("")
-    number = F.when(KEY % 3 == 0, cat("ch", F.col("p_size"))).otherwise(cat("_v", F.lpad(F.col("p_size").cast("string"), 2, "0"), "_LQ"))
-    n = R.parse_inbox_name(cat("Raw-Zip.Com-", author, "作品", KEY, number, ".rar.rar"))
+    author = F.when(key() % 2 == 0, cat("[", F.col("p_brand"), "]_")).otherwise("")
+    number = F.when(key() % 3 == 0, cat("ch", F.col("p_size"))).otherwise(cat("_v", F.lpad(F.col("p_size").cast("string"), 2, "0"), "_LQ"))
+    n = R.parse_inbox_name(cat("Raw-Zip.Com-", author, "作品", key(), number, ".rar.rar"))
     return t(spark, d, "part").select("p_partkey", n.alias("n")).select("p_partkey", "n.title", "n.author", F.col("n.volume_from").alias("volume"), "n.unit")
 
 
@@ -623,15 +624,15 @@ SELECT 'p' || p_partkey || 'x' AS key, CASE WHEN p_partkey % 3 > 0 THEN 'answer'
 """)
 def inbox_moves(spark, d):
     p = t(spark, d, "part")
-    w = moves.inbox_works(p.select(cat("P", KEY, "x_", F.lpad(F.col("p_size").cast("string"), 2, "0"), ".rar").alias("name")))
-    answers = p.where(KEY % 3 > 0).select(cat("p", KEY, "x").alias("key"), cat("Title ", KEY).alias("title"), F.when(KEY % 2 == 0, "A").alias("author"))
+    w = moves.inbox_works(p.select(cat("P", key(), "x_", F.lpad(F.col("p_size").cast("string"), 2, "0"), ".rar").alias("name")))
+    answers = p.where(key() % 3 > 0).select(cat("p", key(), "x").alias("key"), cat("Title ", key()).alias("title"), F.when(key() % 2 == 0, "A").alias("author"))
     none = p.limit(0).select(F.col("p_name").alias("key"), F.col("p_name").alias("shelf_title"), F.col("p_name").alias("shelf_author"))
     return moves.plan_moves(w, answers, none, "/shelf").select("key", "via", "to_name", "folder")
 
 
 @query("SELECT CASE p_partkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'kept name' WHEN 2 THEN 'chapters' ELSE 'answer' END AS bucket, count(*) AS files, count(DISTINCT p_name) AS works FROM part GROUP BY 1")
 def move_buckets(spark, d):
-    m = t(spark, d, "part").select(F.when(KEY % 4 == 0, "skipped").otherwise("answer").alias("via"), F.when(KEY % 4 == 2, "話").otherwise("巻").alias("unit"), (KEY % 4 == 1).alias("keep_name"), F.col("p_name").alias("work"))
+    m = t(spark, d, "part").select(F.when(key() % 4 == 0, "skipped").otherwise("answer").alias("via"), F.when(key() % 4 == 2, "話").otherwise("巻").alias("unit"), (key() % 4 == 1).alias("keep_name"), F.col("p_name").alias("work"))
     return moves.bucket_counts(m)
 
 
@@ -666,7 +667,7 @@ def attic_files(spark, d):
 SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'not on the shelf' WHEN 1 THEN 'holds chapters' WHEN 2 THEN 'no volumes could be read' WHEN 3 THEN 'holds one volume' WHEN 4 THEN 'is a part' WHEN 5 THEN 'is no ZIP' END AS reason FROM part
 """)
 def split_reasons(spark, d):
-    k = KEY % 7
+    k = key() % 7
     p = t(spark, d, "part").select("p_partkey", (k != 0).alias("present"), F.when(k == 1, "話").otherwise("巻").alias("unit"), F.when(k != 2, F.lit(1)).alias("volume_from"), F.when(k == 3, 1).otherwise(4).alias("volume_to"), F.when(k == 4, ".part1").otherwise("").alias("part"), F.when(k == 5, ".rar").otherwise(".CBZ").alias("ext"))
     return p.select("p_partkey", moves.split_eligibility().alias("reason"))
 
@@ -675,12 +676,12 @@ def split_reasons(spark, d):
 SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN 'folders' WHEN 1 THEN 'nested' ELSE 'refuse' END AS kind, CASE WHEN p_partkey % 4 < 2 THEN p_size || ',' || p_size + 1 END AS volumes, CASE p_partkey % 4 WHEN 2 THEN 'pages stand outside of folders' WHEN 3 THEN 'the parts are not the volumes' END AS reason FROM part
 """)
 def split_volumes(spark, d):
-    n, k = F.col("p_size"), KEY % 4
+    n, k = F.col("p_size"), key() % 4
     page = lambda at, x: cat("work/第", at, "巻/", x, ".jpg")
     none = F.array().cast("array<string>")
     names = F.when(k == 0, F.array(page(n + 1, "1"), page(n, "2"), page(n, "10"))).when(k == 2, F.array(F.lit("1.jpg"), F.lit("2.jpg"))).when(k == 3, F.array(page(n, "1"), page(n + 2, "1"))).otherwise(none)
     skipped = F.when(k == 1, F.array(cat("第", n + 1, "巻.zip"), cat("x ", n, ".rar"))).otherwise(none)
-    i = t(spark, d, "part").select(KEY.alias("file_id"), names.alias("names"), skipped.alias("skipped"), (k == 1).alias("nested"), n.alias("lo"), (n + 1).alias("hi"))
+    i = t(spark, d, "part").select(key().alias("file_id"), names.alias("names"), skipped.alias("skipped"), (k == 1).alias("nested"), n.alias("lo"), (n + 1).alias("hi"))
     return archives.split_plans(i).select("file_id", "kind", F.nullif(F.array_join(F.transform("parts", lambda x: x["volume"]), ","), F.lit("")).alias("volumes"), "reason")
 
 
@@ -690,6 +691,6 @@ UNION ALL SELECT 'unreadable', 0 UNION ALL SELECT 'drift', 0 UNION ALL SELECT 'c
 """)
 def name_probe(spark, d):
     work = cat("[", F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), "] ", F.col("p_name"))
-    tail = pick(KEY, cat(" 第", F.col("p_size"), "巻"), cat(" ", F.col("p_size")), F.lit(" side"), F.lit(""))
+    tail = pick(key(), cat(" 第", F.col("p_size"), "巻"), cat(" ", F.col("p_size")), F.lit(" side"), F.lit(""))
     p = files.parse_files(t(spark, d, "part").select(cat(work, "/", work, tail, ".zip").alias("rel_path")))
     return scan.probe(p.withColumn("file_title", F.col("title")))

@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -74,3 +76,9 @@ def test_summaries_shuffle_each_table_once_or_by_finer_keys(spark, duck, tmp_pat
     t = shelf.Tables(**{name: spark.read.parquet(f"{tmp_path}/{name}") for name in vars(made)})
     p = plan_of(spark, lambda: shelf.summaries_of(t))
     assert len(re.findall("Exchange hash", p)) <= 7
+
+
+def test_entry_can_be_imported_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=top, timeout=120)
