@@ -101,7 +101,7 @@ def _sparse(bags: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray, np.
     """Of a batch of bags (words, how often): its distinct rows, and per entry the document, the row's place and its share."""
     words = [w for own, _ in bags for w in own]
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.float32)
     index = {w: i for i, w in enumerate(dict.fromkeys(words))}
     rows, start = subwords(list(index))
     n = np.diff(np.append(start, len(rows)))
@@ -112,11 +112,16 @@ def _sparse(bags: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray, np.
     used, place = np.unique(rows, return_inverse=True)
     key, back = np.unique(np.repeat(doc, n[word]) * len(used) + place[entry], return_inverse=True)
     weight = np.bincount(back, np.repeat(share, n[word]))
-    return used, (key // len(used)).astype(np.int32), (key % len(used)).astype(np.int32), weight.astype(np.float32)
+    narrow = np.uint16 if len(used) < 1 << 16 else np.int32
+    return used.astype(np.int32), (key // len(used)).astype(np.uint16), (key % len(used)).astype(narrow), weight.astype(np.float32)
 
 
-def train(examples: list[tuple[list[bytes], np.ndarray, int]], epochs: int = 6, rate: float = 0.3, size: int = 16, seed: int = 7) -> Model:
-    """Two classes, labels 0 and 1; an example is its distinct words, how often each occurs, and the label."""
+def _unpacked(words: bytes, times: bytes) -> tuple[list[bytes], np.ndarray]:
+    return words.split(b"\t") if times else [], np.frombuffer(times, np.int32).astype(np.float64)
+
+
+def train(examples: list[tuple[bytes, bytes, int]], epochs: int = 6, rate: float = 0.3, size: int = 16, seed: int = 7) -> Model:
+    """Two classes, labels 0 and 1; an example is its distinct words, how often each occurs (both packed), and the label."""
     labels = np.array([y for *_, y in examples], np.int64)
     if len(set(labels.tolist())) < 2:
         p = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -127,7 +132,7 @@ def train(examples: list[tuple[list[bytes], np.ndarray, int]], epochs: int = 6,
     sums = [np.full(BUCKETS, 1e-4, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)]
     order = rng.permutation(len(examples))
     batches = [order[at : at + size] for at in range(0, len(order), size)]
-    ready = [(labels[some], *_sparse([examples[i][:2] for i in some])) for some in batches]
+    ready = [(labels[some], *_sparse([_unpacked(*examples[i][:2]) for i in some])) for some in batches]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(ready)):
@@ -165,7 +170,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text, h in zip(*(c.to_pylist() for c in b.columns)):
             own = bag(text)
             words = b"\t".join(own)
-            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([words], pa.binary()), pa.array([list(own.values())], pa.list_(pa.int64())), pa.array([len(words) + 8 * len(own)]), pa.array([h])], names=["label", "words", "times", "size", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([words], pa.binary()), pa.array([np.fromiter(own.values(), np.int32).tobytes()], pa.binary()), pa.array([len(words) + 8 * len(own)]), pa.array([h])], names=["label", "words", "times", "size", "h"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, room: int = ROOM, seed: int = 7) -> Model:
@@ -173,15 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label"))
     known = draw(known, sample, "doc_id", "label", seed=seed)
     drawn = texts(docs).join(F.broadcast(known), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    bags = materialize(drawn.mapInArrow(_bags, "label long, words binary, times array<long>, size long, h long"), "bags")
+    bags = materialize(drawn.mapInArrow(_bags, "label long, words binary, times binary, size long, h long"), "bags")
     last, left = None, room
     for h, size in bags.where(F.col("size") <= room // 8).groupBy("h").agg(F.sum("size")).orderBy("h").collect():  # ``sample`` rows at most
         if size > left:
             break
         last, left = h, left - size
     kept = bags.where((F.col("size") <= room // 8) & (F.col("h") <= F.lit(last)))
-    found = sorted((r["h"], bytes(r["words"]), r["label"], r["times"]) for r in kept.select("h", "words", "label", "times").collect())
-    return train([(w.split(b"\t") if n else [], np.array(n, np.float64), y) for _, w, y, n in found])
+    found = kept.select("h", "words", "label", "times").toArrow().to_pydict()
+    return train([(w, n, y) for _, w, y, n in sorted(zip(found["h"], found["words"], found["label"], found["times"]))])
 
 
 class Scorer:
