@@ -190,10 +190,15 @@ class Model:
 
 
 def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    s -= s.max(axis=1, keepdims=True)
     own = s[np.arange(len(s)), pick]
-    np.exp(s, out=s)
-    return own - np.log(s.sum(axis=1))
+    with np.errstate(over="ignore"):
+        total = np.exp(s).sum(axis=1)
+    odd = ~((total > 1e-30) & (total < 1e30))
+    if odd.any():  # outside of what floats of this size hold well
+        top = s[odd].max(axis=1)
+        own[odd] -= top
+        total[odd] = np.exp(s[odd] - top[:, None]).sum(axis=1)
+    return own - np.log(total)
 
 
 class Trainer:
