@@ -37,7 +37,7 @@ from .common import discard, materialize, table, texts
 from .suffix import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 2 << 20, 1_000_000, 64
+BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 1 << 20, 1_000_000, 64
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
@@ -156,13 +156,14 @@ class Block:
         return value, lo < hi
 
     def split(self, hot: np.ndarray) -> None:
-        """Cuts the runs of hot minimizers further, by a second hash."""
-        key = self.least.copy()
-        where = np.isin(key, hot)
-        if where.any():
-            other = minimizers(self.text, self.width, self.gram, second=True)
-            key[where] = key[where] * _ODD[1] ^ other[where]
-            self._cut(key)
+        """Cuts the runs of hot minimizers (sorted) further, by a second hash, a stretch of text at a time."""
+        for at in range(0, len(self.least), _CHUNK):
+            part = self.least[at : at + _CHUNK]
+            hit = hot[np.minimum(np.searchsorted(hot, part), len(hot) - 1)] == part
+            if hit.any():
+                other = minimizers(self.text[at : at + len(part) + self.width - 1], self.width, self.gram, second=True)
+                part[hit] = part[hit] * _ODD[1] ^ other[hit]
+        self._cut(self.least)
 
 
 def _share(key: np.ndarray, shards: int) -> np.ndarray:
@@ -237,10 +238,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
                 shared[own] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=len(own))
                 hot[own] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=len(own))
             shared, hot = value[shared], value[hot & shared]
-            base = x.least
+            whole, least = x.start, x.key
             if len(hot):
                 x.split(hot)
-            run = np.flatnonzero(np.isin(base[x.start], shared))
+            base = least[np.searchsorted(whole, x.start, "right") - 1]
+            run = np.flatnonzero(np.isin(base, shared))
             start, stop, key = x.start[run], x.stop[run] + width - 1, x.key[run]
             doc = x.doc[start]
             raw, index, number = x.text.tobytes(), {}, np.empty(len(run), np.int32)
@@ -280,12 +282,14 @@ def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows:
     owner = np.repeat(np.arange(len(rest), dtype=np.int32), w)
     offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
     position = begin.astype(np.int32)[owner] + offset
+    del flat, letters
     sa = suffix_array(text)
     same = permuted_prefixes(text, sa) >= width  # windows hold letters alone, so no separator is among these
     number = np.full(len(text), -1, np.int32)
     number[position] = np.arange(len(position), dtype=np.int32)
     by = number[sa]
     by = by[by >= 0]  # windows in suffix order
+    del sa, number
     new = ~same[position[by]]
     first = np.minimum.reduceat(lo[rest][owner[by]], np.flatnonzero(new))
     doc = np.empty(len(position), np.int64)

@@ -148,6 +148,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         differs[left[x != y]] = True
         left = left[(x == y) & (rest > 4)]
         at += 4
+    del packed, sa
     if differs.all():
         return inducer.run(order)
     name = np.zeros(len(t), np.int32)
