@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,48 +36,78 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: The tables that ``materialize`` wrote in this process and that are still there.
-_WRITTEN: list[str] = []
+#: The tables that ``materialize`` wrote and that are still there, one list for each scope that is open.
+_WRITTEN: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=([],))
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing.
-
-    The shuffle files of the write are not needed afterwards and go at once.
-    """
+def _write(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.get()[-1].append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage is cut and lost executors lose nothing.
+
+    The shuffle files of the write are not needed afterwards and go at once. The table stays until the ``scope`` that it
+    was written in ends; outside of all scopes, until ``discard``.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
 
 
 def _folders(df: DataFrame) -> set[str]:
     return {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, written: list[str], paths: list[str]) -> None:
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        _WRITTEN.remove(path)
+        target, fs = _file_system(spark, path)
+        fs.delete(target, True)
+        written.remove(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing that is still to run reads it."""
     own = _folders(df)
-    _delete(df.sparkSession, [p for p in _WRITTEN if p.rpartition("/")[2] in own])
+    for written in _WRITTEN.get():
+        _delete(df.sparkSession, written, [p for p in written if p.rpartition("/")[2] in own])
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that ``materialize`` wrote inside it, and no others, but for those read by the tables
+    that were handed to the function it gives: they belong to the scope around it. Lazy results of one scope must be
+    written before it ends. Scopes of other threads and queries are not touched.
+    """
+    outer, written, kept = _WRITTEN.get(), [], set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    token = _WRITTEN.set((*outer, written))
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(token)
+        outer[-1].extend(p for p in written if p.rpartition("/")[2] in kept)
+        _delete(spark, written, [p for p in written if p.rpartition("/")[2] not in kept])
 
 
 def sweep(keep: DataFrame) -> None:
-    """Delete all that ``materialize`` has written in this process but for ``keep``: once that is written, nothing reads the rest."""
-    own = _folders(keep)
-    _delete(keep.sparkSession, [p for p in _WRITTEN if p.rpartition("/")[2] not in own])
+    pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,9 +130,10 @@ def fold_col(column: str = "doc_id", k: int = 5):
 
 def small(df: DataFrame, rows: int, room: int = 32 << 20) -> DataFrame:
     """``df`` written once and, if it has no more than ``rows`` rows and ``room`` bytes of files, marked for broadcasting; beyond that joins shuffle."""
-    df = materialize(df, "small")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return F.broadcast(df) if size <= room and df.count() <= rows else df
+    spark, path = df.sparkSession, _write(df, "small")
+    target, fs = _file_system(spark, path)
+    df = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(df) if fs.getContentSummary(target).getLength() <= room and df.count() <= rows else df
 
 
 def draw(df: DataFrame, n: int, *key: str, seed: int) -> DataFrame:
