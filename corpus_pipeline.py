@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwright.llm import decontaminate, mixing, near, sstable, subword
-from shelfwright.llm.common import fold_col, materialize, sweep, table
+from shelfwright.llm.common import discard, fold_col, materialize, scope, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        sweep(docs)  # what the stage and those before wrote for themselves
+        with scope(spark) as keep:  # what the stage writes for itself goes with it
+            kept = keep(materialize(stage(spark, docs, sf_dir), name))
+        discard(docs)  # the table of the stage before; the input is none that was written here
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
