@@ -106,10 +106,6 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _delete(spark, written, [p for p in written if p.rpartition("/")[2] not in kept])
 
 
-def sweep(keep: DataFrame) -> None:
-    pass
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
