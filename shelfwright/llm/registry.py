@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import copies, decontaminate, exact, langid, lattice, lm, mixing, pii, simhash, sstable, subword
+from . import copies, decontaminate, exact, langid, lattice, lm, mixing, pii, runs, simhash, sstable, subword
 
 QUERIES = {
     "op5_suffix": exact.op5_suffix,
@@ -15,7 +15,8 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_mixing": mixing.op6_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_runs": runs.op11_runs,
     "op12_copies": copies.op12_copies,
 }
 
-ORACLE = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_suffix": exact.OP5_SQL, "op6_mixing": mixing.OP6_SQL, "op9_lattice": lattice.OP9_SQL, "op12_copies": copies.OP12_SQL}
+ORACLE = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_suffix": exact.OP5_SQL, "op6_mixing": mixing.OP6_SQL, "op9_lattice": lattice.OP9_SQL, "op11_runs": runs.OP11_SQL, "op12_copies": copies.OP12_SQL}
