@@ -55,9 +55,9 @@ def _bucket(bits: int) -> Column:
 
 def surviving(sketch: DataFrame) -> DataFrame:
     """(length, head) that more than one row has, of the lengths that more than one row has."""
-    more = F.col("n") > 1
-    lengths = sketch.groupBy("length").agg(F.count("*").alias("n")).where(more).select("length")
-    return sketch.join(lengths, "length", "left_semi").groupBy("length", "head").agg(F.count("*").alias("n")).where(more).select("length", "head")
+    met = sketch.groupBy("length", "head").agg(F.count("*").alias("n"))  # copies are one row before anything meets by length
+    lengths = met.groupBy("length").agg(F.sum("n").alias("rows")).where("rows > 1")
+    return met.join(lengths, "length", "left_semi").where("n > 1").select("length", "head")
 
 
 def marks(keys: DataFrame, bits: int = BITS) -> np.ndarray:
