@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import copies, decontaminate, exact, langid, lattice, lm, mixing, pii, runs, simhash, sstable, subword
+from . import audit, copies, decontaminate, exact, langid, lattice, lm, mixing, pii, runs, simhash, sstable, subword
 
 QUERIES = {
     "op5_suffix": exact.op5_suffix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_runs": runs.op11_runs,
     "op12_copies": copies.op12_copies,
+    "op13_audit": audit.op13_audit,
 }
 
-ORACLE = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_suffix": exact.OP5_SQL, "op6_mixing": mixing.OP6_SQL, "op9_lattice": lattice.OP9_SQL, "op11_runs": runs.OP11_SQL, "op12_copies": copies.OP12_SQL}
+ORACLE = {"op4_decontaminate": decontaminate.OP4_SQL, "op5_suffix": exact.OP5_SQL, "op6_mixing": mixing.OP6_SQL, "op9_lattice": lattice.OP9_SQL, "op11_runs": runs.OP11_SQL, "op12_copies": copies.OP12_SQL, "op13_audit": audit.OP13_SQL}
