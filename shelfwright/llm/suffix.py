@@ -1,10 +1,11 @@
 """Suffix arrays by induced sorting, in numpy, and permuted common prefixes.
 
-Suffixes are classified as S or L; the leftmost S suffixes (LMS) of a text whose alphabet is small are sorted by their
-substrings, named, ordered by the string of names, and the other suffixes are induced from them. Induction goes bucket by
-bucket: what other buckets have induced is known when a bucket's turn comes, runs of its own symbol follow from it in one
-step, and then the whole bucket induces together. The string of names, whose alphabet is as large as the text, would take a
-step for each name, and is ordered by doubling the names compared instead of by a recursive call.
+Suffixes are classified as S or L; the leftmost S suffixes (LMS) are sorted by their substrings and named, their order is
+that of the suffixes of the string of names, which is found in the same way unless all names differ, and the other suffixes
+are induced from them. Induction goes bucket by bucket: what other buckets have induced is known when a bucket's turn comes,
+runs of its own symbol follow from it in one step, and then the whole bucket induces together. Neighbouring buckets none of
+which induces into another take one step together, so that a string of names, with about as many buckets as symbols, takes
+some hundreds of steps and not one for each name.
 
 Common prefixes with the suffix before are computed in text order. Where the symbols before both suffixes are the same, the
 length is that of the position before less one; only the other positions are compared, and their lengths add up to
@@ -27,12 +28,12 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 class _Inducer:
-    def __init__(self, t: np.ndarray, s_type: np.ndarray, size: int):
-        self.t, self.s, self.size = t, s_type, size
-        counts = np.bincount(t, minlength=size)
+    def __init__(self, t: np.ndarray, s_type: np.ndarray):
+        self.t, self.s = t, s_type
+        counts = np.bincount(t)
         self.tails = np.cumsum(counts)
         self.heads = self.tails - counts
-        self.used = np.flatnonzero(counts).tolist()
+        self.used = np.flatnonzero(counts)
         first = np.append(True, t[1:] != t[:-1])
         place = np.arange(len(t), dtype=np.int32)
         #: How many of the same symbol stand before each position.
@@ -42,7 +43,7 @@ class _Inducer:
         """Appends j to their buckets, in order: ``at`` is the next place of each bucket and moves by ``step``."""
         c = self.t[j]
         order = np.argsort(c, kind="stable")
-        c = c[order]
+        c = c[order].astype(np.int64)
         first = np.flatnonzero(np.diff(c, prepend=-1))
         n = np.diff(np.append(first, len(c)))
         k = np.arange(len(c)) - np.repeat(first, n)
@@ -57,79 +58,101 @@ class _Inducer:
         back = np.arange(1, int(n.sum()) + 1) - np.repeat(np.cumsum(n) - n, n)
         return (np.repeat(known, n) - back)[np.argsort(back, kind="stable")]
 
+    def _before(self, known: np.ndarray, s_type: bool) -> np.ndarray:
+        """The suffixes one symbol longer than the known ones, of one type."""
+        j = known[known > 0] - 1
+        return j[self.s[j] == s_type]
+
+    def _larger(self, sa: np.ndarray, at: np.ndarray) -> None:
+        """Induces the L suffixes, buckets from the smallest on."""
+        k, width = 0, 1
+        while k < len(self.used):
+            low, high = self.used[k], self.used[min(k + width, len(self.used)) - 1]
+            known = sa[self.heads[low] : self.tails[high]]
+            j = self._before(known[known >= 0], False)
+            end = int(self.t[j].min()) if len(j) else high + 1
+            if end == low:  # into itself
+                more = self._runs(sa[self.heads[low] : at[low]])
+                sa[at[low] : at[low] + len(more)] = more
+                at[low] += len(more)
+                end = low + 1
+                known = sa[self.heads[low] : self.tails[low]]
+                j = self._before(known[known >= 0], False)
+                j = j[self.t[j] != low]
+            else:
+                end = min(end, high + 1)
+                j = j[self.t[j + 1] < end]
+            if len(j):
+                self._push(sa, j, at, 1)
+            before, k = k, int(np.searchsorted(self.used, end))
+            width = (k - before) * (2 if end > high else 1)
+
+    def _smaller(self, sa: np.ndarray, at: np.ndarray) -> None:
+        """Induces the S suffixes, buckets from the largest on."""
+        k, width = len(self.used) - 1, 1
+        while k >= 0:
+            high, low = self.used[k], self.used[max(0, k + 1 - width)]
+            known = sa[self.heads[low] : self.tails[high]][::-1]
+            j = self._before(known[known >= 0], True)
+            end = int(self.t[j].max()) if len(j) else low - 1
+            if end == high:  # into itself
+                more = self._runs(sa[at[high] + 1 : self.tails[high]][::-1])
+                sa[at[high] + 1 - len(more) : at[high] + 1] = more[::-1]
+                at[high] -= len(more)
+                end = high - 1
+                known = sa[self.heads[high] : self.tails[high]][::-1]
+                j = self._before(known[known >= 0], True)
+                j = j[self.t[j] != high]
+            else:
+                end = max(end, low - 1)
+                j = j[self.t[j + 1] > end]
+            if len(j):
+                self._push(sa, j, at, -1)
+            before, k = k, int(np.searchsorted(self.used, end, "right")) - 1
+            width = (before - k) * (2 if end < low else 1)
+
     def run(self, lms: np.ndarray) -> np.ndarray:
         """The suffix array that the LMS suffixes in this order induce."""
-        t, s = self.t, self.s
-        seeds = lms[np.argsort(t[lms], kind="stable")]
-        cut = np.searchsorted(t[seeds], np.arange(self.size + 1))
-        sa = np.full(len(t), -1, np.int32)
+        sa, at = np.full(len(self.t), -1, np.int32), self.tails - 1
+        self._push(sa, lms[::-1], at, -1)  # at the ends of their buckets
         at = self.heads.copy()
-        for c in self.used:
-            more = self._runs(sa[self.heads[c] : at[c]])
-            sa[at[c] : at[c] + len(more)] = more
-            at[c] += len(more)
-            for own in (sa[self.heads[c] : at[c]], seeds[cut[c] : cut[c + 1]]):
-                j = own[own > 0] - 1
-                j = j[~s[j] & (t[j] != c)]
-                if len(j):
-                    self._push(sa, j, at, 1)
-        ends = at  # of the L suffixes in each bucket
-        at = self.tails - 1
-        for c in reversed(self.used):
-            more = self._runs(sa[at[c] + 1 : self.tails[c]][::-1])
-            sa[at[c] + 1 - len(more) : at[c] + 1] = more[::-1]
-            at[c] -= len(more)
-            for own in (sa[at[c] + 1 : self.tails[c]], sa[self.heads[c] : ends[c]]):
-                j = own[own > 0][::-1] - 1
-                j = j[s[j] & (t[j] != c)]
-                if len(j):
-                    self._push(sa, j, at, -1)
-        sa[0] = len(t) - 1
+        self._larger(sa, at)
+        sa[np.arange(len(sa)) >= np.repeat(at, self.tails - self.heads)] = -1  # but for L suffixes
+        self._smaller(sa, self.tails - 1)
+        sa[0] = len(self.t) - 1
         return sa
 
 
-def _order(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, the last one unique; only ties are compared again, by twice as many names."""
-    n, k = len(names), 1
-    order = np.argsort(names, kind="stable")
-    first = np.append(0, np.flatnonzero(np.diff(names[order])) + 1)
-    rank = np.empty(n, np.int64)  # where the group of equal ones begins
-    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-    while len(tied):
-        nxt = tied + k
-        key = rank[tied] * (n + 1) + np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        by = np.argsort(key, kind="stable")
-        tied, key = tied[by], key[by]
-        old = rank[tied]
-        group = np.flatnonzero(np.diff(old, prepend=-1))
-        part = np.flatnonzero(np.diff(key, prepend=-1))
-        size = np.diff(np.append(part, len(tied)))
-        place = np.arange(len(tied))
-        begin = np.repeat(place[group], np.diff(np.append(group, len(tied))))
-        rank[tied] = old + np.repeat(place[part], size) - begin
-        tied = tied[np.repeat(size, size) > 1]
-        k *= 2
-    order[rank] = np.arange(n)
-    return order
-
-
 def _pack(t: np.ndarray) -> np.ndarray:
-    """Four symbols from each position as one number."""
-    out = t.astype(np.uint64) << np.uint64(48)
-    for k in (1, 2, 3):
-        out[:-k] |= t[k:].astype(np.uint64) << np.uint64(48 - 16 * k)
+    """As many symbols from each position as make 64 bits, as one number."""
+    bits = 8 * t.itemsize
+    out = t.astype(np.uint64) << np.uint64(64 - bits)
+    for k in range(1, 64 // bits):
+        out[:-k] |= t[k:].astype(np.uint64) << np.uint64(64 - bits * (k + 1))
     return out
 
 
+def _order(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string of names, by the suffix array of what decides it: a name that comes once ends
+    every comparison, so that names after such a name, themselves such, are left out."""
+    once = np.bincount(names)[names] == 1
+    left = np.flatnonzero(~once | np.append(False, ~once[:-1]))
+    if not len(left):
+        return np.argsort(names)
+    rank = np.zeros(len(names), np.int64)
+    kept = names[left].astype(np.int64) + 1
+    rank[left[suffix_array(np.append(kept, 0).astype(np.uint32))[1:]]] = np.arange(len(left))
+    return np.lexsort((rank, names))
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Of symbols below 2^16, of which the last is 0 and no other is."""
+    """Of symbols below 2^32, of which the last is 0 and no other is."""
     if len(t) < 2:
         return np.arange(len(t), dtype=np.int32)
-    t = t.astype(np.uint16)
+    t = t.astype(np.uint16 if t.max() < 1 << 16 else np.uint32)
     s = _types(t)
     lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
-    inducer = _Inducer(t, s, int(t.max()) + 1)
+    inducer = _Inducer(t, s)
     sa = inducer.run(lms)
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
@@ -138,20 +161,21 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     length[lms] = np.diff(np.append(lms, lms[-1])) + 1
     length[lms[-1]] = 1
     packed, a, b = _pack(t), order[:-1], order[1:]
+    bits, each = 8 * t.itemsize, 8 // t.itemsize
     differs = length[a] != length[b]
     left = np.flatnonzero(~differs)
     at = 0
     while len(left):
         rest = length[a[left]] - at
-        shift = (np.maximum(0, 4 - rest) * 16).astype(np.uint64)
+        shift = (np.maximum(0, each - rest) * bits).astype(np.uint64)
         x, y = packed[a[left] + at] >> shift, packed[b[left] + at] >> shift
         differs[left[x != y]] = True
-        left = left[(x == y) & (rest > 4)]
-        at += 4
+        left = left[(x == y) & (rest > each)]
+        at += each
     del packed, sa
     if differs.all():
         return inducer.run(order)
-    name = np.zeros(len(t), np.int32)
+    name = np.zeros(len(t), np.uint32)
     name[order] = np.append(0, np.cumsum(differs))
     return inducer.run(lms[_order(name[lms])])
 
