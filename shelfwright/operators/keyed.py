@@ -60,20 +60,34 @@ def stale_if_error(df: DataFrame, keys: Sequence[str], ok: Column, at: str, tie:
     return d.withColumn("stale", F.col("_latest") > 1).drop("_ok", "_latest")
 
 
+def _numbered(name: Column, kind: str) -> list[Column]:
+    """Of a lower-case name that ends in `` (n)`` before its ``kind`` of ending: the name without it as ``_key``, and n."""
+    parts = [F.regexp_extract(name, rf"^(.*) \(([1-9][0-9]{{0,8}})\)({kind})$", k) for k in (1, 2, 3)]
+    return [F.concat(parts[0], parts[2]).alias("_key"), F.nullif(parts[1], F.lit("")).cast("long").alias("_n")]
+
+
 def unique_names(df: DataFrame, folder: str, stem: str, suffix: str, taken: DataFrame | None = None, tie: str = "id") -> DataFrame:
-    """Adds ``name``: stem + suffix, with `` (2)``, `` (3)`` for further rows of one folder that differ in case only.
+    """Adds ``name``: stem + suffix where that is free, else with the first of `` (2)``, `` (3)`` ... that is, regardless of case.
 
-    ``taken`` (folder, name) holds names that exist already: numbering goes on after them.
+    A name is free to the first row (by ``tie``) that asks for it as it is, also if it looks numbered, unless it exists
+    (``taken``: folder, name). So ``a``, ``a``, ``a (2)`` become ``a``, ``a (3)``, ``a (2)``, and no name is given twice. Rows that
+    get a number are counted past the numbers that are held, in one order with them: no row waits for another.
     """
-    full = F.lower(F.concat(F.col(stem), F.col(suffix)))
-    n = F.row_number().over(W.partitionBy(folder, full).orderBy(tie))
-    d = df.withColumn("_key", full)
+    key = F.lower(F.concat(stem, suffix))
+    d = df.withColumn("_key", key).withColumn("_held", F.lit(0))
+    of_stem, n = _numbered(F.lower(stem), "")
+    held = d.select(folder, F.concat(of_stem, F.lower(suffix)).alias("_key"), n)
     if taken is not None:
-        bare = F.regexp_replace(F.lower("name"), r" \(\d{1,3}\)(?=(\.[^.]*)?$)", "")
-        held = taken.groupBy(F.col(folder), bare.alias("_key")).agg(F.count("*").alias("_held"))
-        d = d.join(held, [folder, "_key"], "left")
-    else:
-        d = d.withColumn("_held", F.lit(0))
-    d = d.withColumn("_n", n + F.coalesce("_held", F.lit(0)))
-    name = F.when(F.col("_n") == 1, F.concat(stem, suffix)).otherwise(F.concat(F.col(stem), F.lit(" ("), F.col("_n"), F.lit(")"), F.col(suffix)))
-    return d.withColumn("name", name).drop("_key", "_n", "_held")
+        names = taken.select(folder, F.lower("name").alias("_name"))
+        held = held.union(names.select(folder, *_numbered(F.col("_name"), r"(?:\.[^.\s()]+)*")))
+        there = names.select(folder, F.col("_name").alias("_key"), F.lit(1).alias("_there")).distinct()
+        d = d.join(there, [folder, "_key"], "left").withColumn("_held", F.coalesce("_there", F.lit(0))).drop("_there")
+    own = W.partitionBy(folder, "_key")
+    # place 0 is the name itself, place k the k-th number that is not held; a held number comes before the place that it moves on
+    held = held.where("_n > 1").distinct().withColumn("_place", F.col("_n") - F.row_number().over(own.orderBy("_n")))
+    d = d.withColumn("_place", F.row_number().over(own.orderBy(tie)).cast("long") - 1 + F.col("_held"))
+    both = d.withColumn("_mark", F.lit(0)).unionByName(held.drop("_n").withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    passed = F.sum("_mark").over(own.orderBy("_place", F.desc("_mark")).rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("_number", F.col("_place") + 1 + passed).where("_mark = 0")
+    name = F.when(F.col("_place") == 0, F.concat(stem, suffix)).otherwise(F.concat(F.col(stem), F.lit(" ("), F.col("_number"), F.lit(")"), F.col(suffix)))
+    return both.withColumn("name", name).drop("_key", "_held", "_place", "_mark", "_number")

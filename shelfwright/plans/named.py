@@ -196,12 +196,24 @@ def openbd_records(spark, d):
 
 
 @query("""
-SELECT p_partkey AS id, p_name || CASE WHEN n = 1 THEN '' ELSE ' (' || n || ')' END || '.zip' AS name
-FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS n FROM part)
+WITH w AS (
+  SELECT p_partkey AS id, p_brand AS folder, 'Set ' || p_size % 5 || CASE WHEN p_partkey % 3 = 0 THEN ' (' || 1 + p_partkey % 6 || ')' ELSE '' END AS bare, p_partkey % 4 = 0 AS large FROM part),
+s AS (SELECT id, folder, CASE WHEN large THEN upper(bare) ELSE bare END AS stem, lower(bare) || '.zip' AS key FROM w),
+x AS (SELECT DISTINCT s_nationkey, 'set ' || s_suppkey % 5 || ' (' || 2 + s_suppkey % 3 || ').zip' AS key FROM supplier WHERE s_suppkey % 2 = 0),
+e AS (SELECT 'Brand#' || 11 + s_nationkey % 5 AS folder, key FROM x),
+r AS (SELECT folder, regexp_replace(key, ' \\([0-9]+\\)\\.zip$', '.zip') AS key, list(DISTINCT CAST(regexp_extract(key, '\\(([0-9]+)\\)\\.zip$', 1) AS BIGINT)) AS numbers
+  FROM (SELECT folder, key FROM s UNION SELECT folder, key FROM e) u WHERE key LIKE '%)%' GROUP BY 1, 2),
+p AS (SELECT s.*, row_number() OVER (PARTITION BY folder, key ORDER BY id) - CASE WHEN (folder, key) IN (SELECT (folder, key) FROM e) THEN 0 ELSE 1 END AS place FROM s)
+SELECT id, stem || CASE WHEN place = 0 THEN '' ELSE ' (' || list_filter(range(2, 3 + place + len(coalesce(numbers, []))), lambda n: NOT list_contains(coalesce(numbers, []), n))[place] || ')' END || '.zip' AS name
+FROM p LEFT JOIN r USING (folder, key)
 """)
 def unique_names(spark, d):
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("folder"), F.col("p_name").alias("stem"), F.lit(".zip").alias("suffix"))
-    return keyed.unique_names(p, "folder", "stem", "suffix").select("id", "name")
+    p, s = t(spark, d, "part"), t(spark, d, "supplier")
+    bare = F.concat(cat("Set ", F.col("p_size") % 5), F.when(F.col("p_partkey") % 3 == 0, cat(" (", 1 + F.col("p_partkey") % 6, ")")).otherwise(""))
+    stem = F.when(F.col("p_partkey") % 4 == 0, F.upper(bare)).otherwise(bare)
+    wanted = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("folder"), stem.alias("stem"), F.lit(".zip").alias("suffix"))
+    there = s.where("s_suppkey % 2 = 0").select(cat("Brand#", 11 + F.col("s_nationkey") % 5).alias("folder"), cat("Set ", F.col("s_suppkey") % 5, " (", 2 + F.col("s_suppkey") % 3, ").zip").alias("name"))
+    return keyed.unique_names(wanted, "folder", "stem", "suffix", there).select("id", "name")
 
 
 @query("""

@@ -276,6 +276,16 @@ def test_joins(spark):
     assert sorted(r.name for r in keyed.unique_names(n, "folder", "stem", "suffix", taken).collect()) == ["A (2).rar", "a.rar", "b (2).rar"]
 
 
+def test_no_name_is_given_twice(spark):
+    stems = ["a", "a", "a (2)", "A", "a (2)", "b (1)", "b (02)", "b", "c", "c", "a (2) (2)"]
+    wanted = spark.createDataFrame([(k, "f", x, ".rar") for k, x in enumerate(stems)] + [(99, "g", "a", ".part1.rar"), (98, "g", "a", ".part1.rar")], "id int, folder string, stem string, suffix string")
+    taken = spark.createDataFrame([("f", "C (2).rar"), ("f", "c (4).RAR"), ("f", "x"), ("g", "a (2).part1.rar")], "folder string, name string")
+    got = {r.id: r.name for r in keyed.unique_names(wanted, "folder", "stem", "suffix", taken).collect()}
+    assert [got[k] for k in range(len(stems))] == ["a.rar", "a (3).rar", "a (2).rar", "A (4).rar", "a (2) (3).rar", "b (1).rar", "b (02).rar", "b.rar", "c.rar", "c (3).rar", "a (2) (2).rar"]
+    assert [got[98], got[99]] == ["a.part1.rar", "a (3).part1.rar"]
+    assert keyed.unique_names(wanted.where("id = 0"), "folder", "stem", "suffix", spark.createDataFrame([("f", "A.rar")], taken.schema)).first().name == "a (2).rar"
+
+
 def test_sql_functions(spark):
     registry.register(spark)
     r = spark.sql("SELECT series_key('作品 第3巻') AS k, parse_library_entry('[a] b/[a] b 01.rar').volume_from AS v, romaji('サガ') AS r, find_volume(NULL) AS f, nfkc(NULL) AS n").first()
