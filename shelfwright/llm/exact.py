@@ -37,7 +37,7 @@ from .common import discard, materialize, table, texts
 from .suffix import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, TEXT, HASHES, HOT = 8 << 20, 4 << 20, 1 << 20, 1_000_000, 64
+BLOCK, SHARD, TEXT, HASHES, HOT = 4 << 20, 2 << 20, 1 << 20, 1_000_000, 64
 NULL_ID = -(1 << 63)
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
