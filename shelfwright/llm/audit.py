@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import batch, materialize, small, table
 
 #: Leaves of a task's tries, of all subtries of a prefix, and bytes of the first prefixes.
-LEAVES, ROOM, DEPTH = 1 << 19, 1 << 15, 3
-#: Bytes of text counted at once; counters of a block of terms; cells of terms by sources compared at once; sources whose pairs one task sums.
-SLICE, ENTRIES, CELLS, TILE = 1 << 22, 1 << 18, 1 << 20, 256
+LEAVES, ROOM, DEPTH = 1 << 18, 1 << 15, 3
+#: Bytes of text counted at once; counters of a block of terms, or more, if its sources make more pairs; cells of terms by sources compared at once; sources whose pairs one task sums.
+SLICE, ENTRIES, CELLS, TILE = 1 << 22, 1 << 14, 1 << 20, 256
 
 #: ASCII letters in lower case and all bytes beyond ASCII stay, the rest are spaces.
 _LETTERS = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
@@ -221,41 +221,49 @@ def subtries(docs: DataFrame, depth: int = DEPTH, room: int = ROOM, leaves: int
         cut = materialize(hot.mapInArrow(partial(_deeper, depth=depth), _TRIE_DDL), "tries")
 
 
+def _kept(prefix: bytes, leaves: Leaves, least: int) -> tuple[list[bytes], np.ndarray, list[str], np.ndarray]:
+    """The terms in ``least`` documents or more, and (number of the term, source, occurrences) of each."""
+    terms, leaf, source, n, docs = leaves.sorted()
+    many = np.bincount(leaf, docs, len(terms)) >= least
+    some, place, names = many[leaf], np.cumsum(many) - 1, list(leaves.names)
+    return [prefix + t for t, x in zip(terms, many.tolist()) if x], place[leaf[some]], [names[x] for x in source[some].tolist()], n[some]
+
+
+def _block(lang: str, held: list[tuple[list[bytes], np.ndarray, list[str], np.ndarray]]) -> pa.RecordBatch:
+    terms = [t.decode("utf-8", "replace") for x in held for t in x[0]]
+    shift = np.cumsum([0, *(len(x[0]) for x in held)])
+    place, n = np.concatenate([x[1] + s for x, s in zip(held, shift)]), np.concatenate([x[3] for x in held])
+    total = np.zeros(len(terms), np.int64)
+    np.add.at(total, place, n)
+    return batch(_KEPT, {"lang": [lang] * len(n), "block": [terms[0]] * len(n), "place": place, "term": [terms[x] for x in place.tolist()], "source": [s for x in held for s in x[2]], "n": n, "total": total[place]})
+
+
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Counters of the kept terms, in blocks of neighbours, from subtries sorted by language and prefix."""
-    held: list[tuple[list[bytes], np.ndarray, list[str], np.ndarray, np.ndarray]] = []
-    lang = None
-
-    def kept(prefix: bytes, leaves: Leaves):
-        terms, leaf, source, n, docs = leaves.sorted()
-        many = np.bincount(leaf, docs, len(terms)) >= least
-        some, place = many[leaf], np.cumsum(many) - 1
-        names = list(leaves.names)
-        return [prefix + t for t, x in zip(terms, many.tolist()) if x], place[leaf[some]], [names[x] for x in source[some].tolist()], n[some]
-
-    def block() -> pa.RecordBatch:
-        terms = [t.decode("utf-8", "replace") for x in held for t in x[0]]
-        shift = np.cumsum([0, *(len(x[0]) for x in held)])
-        place = np.concatenate([x[1] + s for x, s in zip(held, shift)]).astype(np.int64)
-        n = np.concatenate([x[3] for x in held])
-        total = np.zeros(len(terms), np.int64)
-        np.add.at(total, place, n)
-        return batch(_KEPT, {"lang": [lang] * len(n), "block": [terms[0]] * len(n), "place": place, "term": [terms[x] for x in place.tolist()], "source": [s for x in held for s in x[2]], "n": n, "total": total[place]})
-
+    held, size, sources = [], 0, set()
+    for (lang, prefix, last), leaves in _merged(batches):
+        kept = _kept(prefix, leaves, least)
+        if kept[0]:
+            held.append(kept)
+            size += len(kept[3])
+            sources.update(kept[2])
+        if held and (last or size > max(ENTRIES, len(sources) * min(len(sources), TILE))):
+            yield _block(lang, held)
+            held, size, sources = [], 0, set()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, bytes, bool], Leaves]]:
+    """(language, prefix, whether it is the language's last here) and the merged trie of each prefix."""
     now, leaves = None, Leaves()
     for row in _rows(batches):
-        if now != (row["lang"], row["prefix"]):
-            if now:
-                held += [x for x in [kept(now[1], leaves)] if x[0]]
-            if held and (row["lang"] != lang or sum(len(x[3]) for x in held) > ENTRIES):
-                yield block()
-                held = []
-            now, leaves, lang = (row["lang"], row["prefix"]), Leaves(), row["lang"]
+        key = (row["lang"], row["prefix"])
+        if now and key != now:
+            yield (*now, key[0] != now[0]), leaves
+            leaves = Leaves()
+        now = key
         _read(row, leaves)
     if now:
-        held += [x for x in [kept(now[1], leaves)] if x[0]]
-    if held:
-        yield block()
+        yield (*now, True), leaves
 
 
 def _share(count: np.ndarray, size: np.ndarray | int, kept: int) -> np.ndarray:
