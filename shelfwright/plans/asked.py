@@ -222,16 +222,40 @@ def stamped_events(spark, d):
     return s.where("read_at is not null").select("id", F.unix_seconds("read_at").alias("read_at"))
 
 
-@query("""
-SELECT l_orderkey AS series_id, 'series_added' AS kind FROM lineitem GROUP BY 1 UNION ALL SELECT l_orderkey, 'series_completed' FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'R')
-""")
+@query("SELECT DISTINCT l_orderkey AS series_id, 'series_added' AS kind FROM lineitem")
 def stream_changes(spark, d):
-    """State per series: what the first sight of each tells."""
-    lines = changes.stream_table(spark, d, "lineitem")
-    listing = lines.select(F.col("l_orderkey").alias("series_id"), F.lit("t").alias("title"), F.col("l_linenumber").cast("double").alias("volume_from"), F.col("l_linenumber").cast("double").alias("volume_to"), (F.col("l_returnflag") == "R").alias("completed"), F.lit(False).alias("baseline"))
+    """State per series: what the first sight of each tells, whether or not it is complete by then."""
+    listing = _listed(changes.stream_table(spark, d, "lineitem"))
     return changes.drain(changes.change_events(listing), f"{scratch(spark)}/streams").select("series_id", "kind")
 
 
+def _listed(lines):
+    number = F.col("l_linenumber")
+    return lines.select(F.col("l_orderkey").alias("series_id"), cat("Work ", F.col("l_orderkey")).alias("title"), F.when(F.col("l_suppkey") % 5 == 0, "話").otherwise("巻").alias("unit"), number.alias("volume_from"), (number + F.col("l_partkey") % 3).alias("volume_to"), (F.col("l_returnflag") == "R").alias("completed"), F.lit(False).alias("baseline"))
+
+
+@query("""
+WITH v AS (
+  SELECT l_orderkey AS s, CASE WHEN l_suppkey % 5 = 0 THEN '話' ELSE '巻' END AS u, CAST(l_linenumber AS BIGINT) AS lo, l_linenumber + l_partkey % 3 AS hi, l_returnflag = 'R' AS done,
+    CASE WHEN l_shipdate < TIMESTAMP '1994-01-01' THEN 1 WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN 2 WHEN l_shipdate < TIMESTAMP '1997-06-01' THEN 3 ELSE 4 END AS turn FROM lineitem),
+first AS (SELECT s, min(turn) AS turn FROM v GROUP BY s),
+fresh AS (SELECT s, u, lo, hi, min(turn) AS turn FROM v GROUP BY s, u, lo, hi),
+each AS (SELECT f.*, unnest(range(lo, hi + 1)) AS n FROM fresh f),
+held AS (SELECT s, u, n, min(turn) AS since FROM each GROUP BY s, u, n),
+added AS (SELECT DISTINCT e.s, e.u, e.lo, e.hi, e.turn FROM each e JOIN held h USING (s, u, n) JOIN first b ON b.s = e.s WHERE h.since >= e.turn AND e.turn > b.turn),
+done AS (SELECT s, min(turn) AS turn FROM v WHERE done GROUP BY s)
+SELECT s AS series_id, 'series_added' AS kind, 'Work ' || s AS message, turn FROM first
+UNION ALL SELECT s, 'volume_added', string_agg('第' || lo || CASE WHEN lo < hi THEN '-' || hi ELSE '' END || u, ' / ' ORDER BY lo, hi, u) || ' が増えました', turn FROM added GROUP BY s, turn
+UNION ALL SELECT d.s, 'series_completed', 'Work ' || d.s, d.turn FROM done d JOIN first b ON b.s = d.s WHERE d.turn > b.turn
+""")
+def stream_turns(spark, d):
+    """Four micro-batches by date: works that are new, then the volumes that each later one adds, and works that become complete."""
+    lines, at = t(spark, d, "lineitem"), [None, "1994-01-01", "1996-01-01", "1997-06-01", None]
+    between = lambda lo, hi: (F.lit(True) if lo is None else F.col("l_shipdate") >= F.lit(lo).cast("timestamp")) & (F.lit(True) if hi is None else F.col("l_shipdate") < F.lit(hi).cast("timestamp"))
+    parts = [_listed(lines.where(between(lo, hi))) for lo, hi in zip(at[:-1], at[1:])]
+    return changes.drain_in_turns(parts, changes.change_events, f"{scratch(spark)}/streams")
+
+
 @query("SELECT p_partkey FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 25")
 def random_sample(spark, d):
     return summaries.sample(t(spark, d, "part"), "p_partkey", 25, seed=7).select("p_partkey")

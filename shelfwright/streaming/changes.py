@@ -3,45 +3,115 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..operators.numbers import VOLUME
 
 CHANGES = "series_id long, kind string, message string"
-_STATE = "owned array<long>, completed boolean"
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Events of one series: its first batch is its baseline and tells that it is new; later ones tell what they add."""
-    rows = pd.concat(list(frames))
-    had = state.exists
-    owned, completed = state.get if had else ([], False)
-    known = set(owned)
-    new = sorted({int(n) for lo, hi in zip(rows["volume_from"], rows["volume_to"]) if lo == lo for n in range(int(lo), int(hi) + 1)} - known)
-    done = bool(rows["completed"].any())
-    events = []
-    if not had:
-        if not rows["baseline"].any():
-            events.append(("series_added", str(rows["title"].iloc[0])))
-    elif new:
-        events.append(("volume_added", " / ".join(f"第{n}巻" for n in new) + " が増えました"))
-    if done and not completed and not rows["baseline"].any():
-        events.append(("series_completed", str(rows["title"].iloc[0])))
-    state.update((sorted(known | set(new)), completed or done))
-    yield pd.DataFrame([(key[0], k, m) for k, m in events], columns=["series_id", "kind", "message"])
-
-
-def change_events(listing: DataFrame) -> DataFrame:
-    """Events of a stream of (series_id, title, volume_from, volume_to, completed, baseline).
-
-    State per series is the set of its volume numbers, so files that split an omnibus add nothing.
+_LISTED = "series_id long, title string, unit string, volume_from int, volume_to int, completed boolean, baseline boolean"
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on the workers' disks and the checkpoint, not on the heap."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def spans(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges as few disjoint ones, neighbours put together."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _label(unit: str, lo: int, hi: int) -> str:
+    return f"第{lo}{unit}" if lo == hi else f"第{lo}-{hi}{unit}"
+
+
+class SeriesChanges(StatefulProcessor):
+    """Events of one series. Its first batch makes it known and is told once, however complete it is; later batches tell what
+    they add. Volumes are entries of a map by unit and range, so that a batch reads and writes those it has; the others are
+    walked over only where a volume is new, to see whether they hold its numbers already.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.series = handle.getValueState("series", "completed boolean", self.ttl_ms)
+        self.volumes = handle.getMapState("volumes", "unit string, volume_from int, volume_to int", "known boolean", self.ttl_ms)
+
+    def _added(self, fresh: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        held: dict[str, list[tuple[int, int]]] = {unit: [] for unit, _, _ in fresh}
+        for unit, lo, hi in self.volumes.keys():
+            if unit in held:
+                held[unit].append((lo, hi))
+        lines = {unit: spans(x) for unit, x in held.items()}
+        return [v for v in fresh if not any(lo <= v[1] and v[2] <= hi for lo, hi in lines[v[0]])]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        listed, titles, done, baseline = set(), set(), False, False
+        for r in rows:
+            done, baseline = done or bool(r.completed), baseline or bool(r.baseline)
+            titles.add(r.title or "")
+            if r.volume_from is not None and r.volume_to is not None and r.volume_from <= r.volume_to:
+                listed.add((r.unit, r.volume_from, r.volume_to))
+        state = self.series.get()  # each call of the state is a message: one tells whether the series is known, and of one that is new nothing is asked
+        known, was = state is not None, state is not None and bool(state[0])
+        fresh = sorted(v for v in listed if not known or not self.volumes.containsKey(v))
+        told: list[tuple[str, str]] = []
+        if not known:
+            told = [("series_added", min(titles))]
+        else:
+            added = sorted(self._added(fresh), key=lambda v: (v[1], v[2], v[0])) if fresh else []
+            if added:
+                told.append(("volume_added", " / ".join(_label(*v) for v in added) + " が増えました"))
+            if done and not was:
+                told.append(("series_completed", min(titles)))
+        for v in fresh:
+            self.volumes.updateValue(v, (True,))
+        if not known or done and not was or self.ttl_ms:
+            self.series.update((was or done,))
+        if not baseline:
+            yield from (Row(series_id=key[0], kind=kind, message=message) for kind, message in told)
+
+    def close(self) -> None:
+        pass
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from pa.Table.from_batches([b]).group_by(b.schema.names).aggregate([]).select(b.schema.names).to_batches()
+
+
+def change_events(listing: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Events of a stream of files (series_id, title, volume_from, volume_to, completed, baseline, and unit, volumes by default).
+
+    What a batch tells is judged against all batches before it. Files of one volume are one row for each task before they
+    meet, so a series with very many files is no hot key. With ``ttl_ms`` a series and its volumes are forgotten when no
+    batch has brought them for so long. The stream must be started inside ``state_store``.
     """
-    return listing.groupBy("series_id").applyInPandasWithState(_step, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    unit = F.col("unit") if "unit" in listing.columns else F.lit(VOLUME)
+    listed = listing.select("series_id", F.coalesce("title", F.lit("")).alias("title"), unit.alias("unit"), F.col("volume_from").cast("int").alias("volume_from"), F.col("volume_to").cast("int").alias("volume_to"), F.coalesce("completed", F.lit(False)).alias("completed"), F.coalesce("baseline", F.lit(False)).alias("baseline"))
+    few = listed.mapInArrow(_once, _LISTED)
+    return few.groupBy("series_id").transformWithState(SeriesChanges(ttl_ms), CHANGES, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def outbox(events: DataFrame, send: Callable[[DataFrame], list[int]], log: Callable[[DataFrame, int], None], checkpoint: str, most: int = 20) -> StreamingQuery:
@@ -98,5 +168,20 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over what is there into a new table below ``folder``, and reads that."""
     at = f"{folder}/{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    with state_store(stream.sparkSession):
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def drain_in_turns(parts: Sequence[DataFrame], make: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a stream gives when the parts arrive one after the other, with ``turn``: each is a micro-batch, and the stream
+    ends and is begun again from its checkpoint between them, as from one scan to the next."""
+    at = f"{folder}/{uuid.uuid4().hex}"
+    spark = parts[0].sparkSession
+    for k, part in enumerate(parts, 1):
+        part.write.mode("append").parquet(f"{at}/in")
+        out = make(spark.readStream.schema(part.schema).parquet(f"{at}/in"))
+        write = lambda batch, _, k=k: batch.withColumn("turn", F.lit(k)).write.mode("overwrite").parquet(f"{at}/out/{k}")  # noqa: E731  a batch that is tried again replaces itself
+        with state_store(spark):
+            out.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(*(f"{at}/out/{k}" for k in range(1, len(parts) + 1)))
