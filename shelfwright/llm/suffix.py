@@ -27,6 +27,14 @@ def _types(t: np.ndarray) -> np.ndarray:
     return less[nxt]
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
 class _Inducer:
     def __init__(self, t: np.ndarray, s_type: np.ndarray):
         self.t, self.s = t, s_type
@@ -42,13 +50,26 @@ class _Inducer:
     def _push(self, sa: np.ndarray, j: np.ndarray, at: np.ndarray, step: int) -> None:
         """Appends j to their buckets, in order: ``at`` is the next place of each bucket and moves by ``step``."""
         c = self.t[j]
-        order = np.argsort(c, kind="stable")
-        c = c[order].astype(np.int64)
-        first = np.flatnonzero(np.diff(c, prepend=-1))
-        n = np.diff(np.append(first, len(c)))
-        k = np.arange(len(c)) - np.repeat(first, n)
-        sa[at[c] + step * k] = j[order]
-        at[c[first]] += step * n
+        order = c.argsort(kind="stable")
+        c = c[order]
+        first = _changes(c)
+        if len(first) == 1:
+            k, n = int(c[0]), len(j)
+            place = int(at[k])
+            if step > 0:
+                sa[place : place + n] = j
+            else:
+                sa[place - n + 1 : place + 1] = j[::-1]
+            at[k] += step * n
+            return
+        n = np.empty_like(first)
+        np.subtract(first[1:], first[:-1], out=n[:-1])
+        n[-1] = len(c) - first[-1]
+        own = c[first]
+        # where each bucket's first goes, less its place among j
+        base = at[own] - step * first
+        sa[base.repeat(n) + step * np.arange(len(c))] = j[order]
+        at[own] += step * n
 
     def _runs(self, known: np.ndarray) -> np.ndarray:
         """The suffixes that begin with more of the bucket's symbol than the known ones, in the order in which they follow."""
@@ -132,6 +153,31 @@ def _pack(t: np.ndarray) -> np.ndarray:
     return out
 
 
+def _names(t: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The rank of each LMS substring, equal ones alike: sorted by as many symbols as make 64 bits at a time, those that tie
+    again by the next. One that ends where another goes on is the larger, as its last suffix is an S and the other's an L."""
+    bits, each = 8 * t.itemsize, 8 // t.itemsize
+    length = np.ones(len(lms), np.int64)
+    length[:-1] = np.diff(lms) + 1
+    packed, rank, tied, at = _pack(t), np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while len(tied):
+        rest = length[tied] - at
+        fill = (np.maximum(0, each - rest) * bits).astype(np.uint64)
+        key = packed[np.minimum(lms[tied] + at, len(t) - 1)] | ((np.uint64(1) << (fill & np.uint64(63))) - np.uint64(1))
+        key[rest <= 0] = ~np.uint64(0)
+        by = np.lexsort((key, rank[tied])) if at else key.argsort(kind="stable")
+        tied, key, rest = tied[by], key[by], rest[by]
+        old = rank[tied]
+        new = np.append(True, (old[1:] != old[:-1]) | (key[1:] != key[:-1]))
+        part, group = new.nonzero()[0], _changes(old)
+        size = np.diff(np.append(part, len(tied)))
+        begin = np.repeat(group, np.diff(np.append(group, len(tied))))
+        rank[tied] = old + np.repeat(part, size) - begin
+        tied = tied[(np.repeat(size, size) > 1) & (rest >= each)]  # one that ends just here is told from one that goes on by the next
+        at += each
+    return rank
+
+
 def _order(names: np.ndarray) -> np.ndarray:
     """The order of the suffixes of a string of names, by the suffix array of what decides it: a name that comes once ends
     every comparison, so that names after such a name, themselves such, are left out."""
@@ -140,8 +186,7 @@ def _order(names: np.ndarray) -> np.ndarray:
     if not len(left):
         return np.argsort(names)
     rank = np.zeros(len(names), np.int64)
-    kept = names[left].astype(np.int64) + 1
-    rank[left[suffix_array(np.append(kept, 0).astype(np.uint32))[1:]]] = np.arange(len(left))
+    rank[left[suffix_array(np.append(names[left] + 1, 0))[1:]]] = np.arange(len(left))
     return np.lexsort((rank, names))
 
 
@@ -152,32 +197,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     t = t.astype(np.uint16 if t.max() < 1 << 16 else np.uint32)
     s = _types(t)
     lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
-    inducer = _Inducer(t, s)
-    sa = inducer.run(lms)
-    is_lms = np.zeros(len(t), bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    length = np.zeros(len(t), np.int32)
-    length[lms] = np.diff(np.append(lms, lms[-1])) + 1
-    length[lms[-1]] = 1
-    packed, a, b = _pack(t), order[:-1], order[1:]
-    bits, each = 8 * t.itemsize, 8 // t.itemsize
-    differs = length[a] != length[b]
-    left = np.flatnonzero(~differs)
-    at = 0
-    while len(left):
-        rest = length[a[left]] - at
-        shift = (np.maximum(0, each - rest) * bits).astype(np.uint64)
-        x, y = packed[a[left] + at] >> shift, packed[b[left] + at] >> shift
-        differs[left[x != y]] = True
-        left = left[(x == y) & (rest > each)]
-        at += each
-    del packed, sa
-    if differs.all():
-        return inducer.run(order)
-    name = np.zeros(len(t), np.uint32)
-    name[order] = np.append(0, np.cumsum(differs))
-    return inducer.run(lms[_order(name[lms])])
+    return _Inducer(t, s).run(lms[_order(_names(t, lms))])
 
 
 def _common(t: np.ndarray, p: int, q: int) -> int:
