@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from .suffix import permuted_prefixes, suffix_array
 WIDTH, GRAM = 50, 16
 BLOCK, SHARD, TEXT, HASHES, HOT = 4 << 20, 2 << 20, 1 << 20, 1_000_000, 64
 NULL_ID = -(1 << 63)
+#: Places of repeated windows that are looked at together.
+AT_ONCE = 1 << 18
 
 BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
 _BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
@@ -397,14 +400,19 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 piece, doc, start = _loose(piece), _loose(doc), _loose(start)
                 by = np.argsort(piece, kind="stable")
                 edge = np.searchsorted(piece[by], np.arange(int(piece.max()) + 2))
-                p, offset, n, first = (np.concatenate([_loose(f[k]) for f in found]) for k in ("piece", "offset", "n", "first"))
-                count = edge[p + 1] - edge[p]
-                own = np.repeat(np.arange(len(p)), count)
-                at = by[np.repeat(edge[p] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                ok = first[own] < ids[doc[at]]
-                s = start[at[ok]] + offset[own[ok]]
-                cover = np.bincount(s, minlength=len(text) + 1)
-                cover -= np.bincount(s + n[own[ok]] - 1 + width, minlength=len(text) + 1)
+                cover = np.zeros(len(text) + 1, np.int32)
+                for f in found:
+                    p, offset, n, first = (_loose(f[k]) for k in ("piece", "offset", "n", "first"))
+                    upto = np.cumsum(edge[p + 1] - edge[p])
+                    cuts = np.searchsorted(upto, np.arange(0, int(upto[-1]) + 1, AT_ONCE))
+                    for i, j in pairwise(np.unique(np.append(cuts, [0, len(p)])).tolist()):
+                        count = edge[p[i:j] + 1] - edge[p[i:j]]
+                        own = np.repeat(np.arange(i, j), count)
+                        at = by[np.repeat(edge[p[i:j]] - (np.cumsum(count) - count), count) + np.arange(len(own))]
+                        ok = first[own] < ids[doc[at]]
+                        s = start[at[ok]] + offset[own[ok]]
+                        np.add.at(cover, s, 1)
+                        np.add.at(cover, s + n[own[ok]] - 1 + width, -1)
                 gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
                 del cover
             out, at = [], 0
