@@ -1,8 +1,12 @@
-"""Ranges on number lines: holdings, gaps, coverage, what is published beyond what is owned."""
+"""Ranges on number lines: holdings, gaps, coverage, what is published beyond what is owned.
+
+Ranges stay ranges: their union, differences and depth come from sorted beginnings and ends, and numbers are written out only
+where they are the answer.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,30 +16,105 @@ VOLUME, CHAPTER = "巻", "話"
 MAX_SPAN = 300
 
 
-def upto(n: Column) -> Column:
-    """[1..n], empty for n below 1 (a plain ``sequence(1, 0)`` runs backwards)."""
-    return F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+_RANGES = "array<struct<lo:bigint,hi:bigint>>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def span(lo: Column | str, hi: Column | str) -> Column:
+    """A range as a struct; null unless lo <= hi."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (lo, hi))
+    return F.when(a <= b, F.struct(a.cast("long").alias("lo"), b.cast("long").alias("hi")))
+
+
+def _between(ends: Column, begins: Column) -> Column:
+    """The ranges that lie between each end and the beginning beside it."""
+    return F.filter(F.zip_with(ends, begins, lambda e, b: F.struct((e + 1).alias("lo"), (b - 1).alias("hi"))), lambda r: r["lo"] <= r["hi"])
+
+
+def _islands(lo: Column, hi: Column) -> Column:
+    """The union of n ranges whose sorted beginnings and sorted ends these are. After the k-th end there is a gap exactly where
+    the next beginning lies beyond it: then k ranges have begun and all of them are over."""
+    n = F.size(lo)
+
+    def cut(gaps: Column) -> Column:
+        begins = F.concat(F.slice(lo, 1, 1), F.transform(gaps, lambda g: g["hi"] + 1))
+        ends = F.concat(F.transform(gaps, lambda g: g["lo"] - 1), F.slice(hi, n, 1))
+        return F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("lo"), e.alias("hi")))
+
+    return F.when(n > 0, _let(_between(F.slice(hi, 1, n - 1), F.slice(lo, 2, n - 1)), cut)).otherwise(F.array().cast(_RANGES))
+
+
+def _ends(ranges: Column) -> Column:
+    """Beginnings and ends of ranges, each sorted."""
+    return F.struct(F.array_sort(F.transform(ranges, lambda r: r["lo"])).alias("lo"), F.array_sort(F.transform(ranges, lambda r: r["hi"])).alias("hi"))
+
+
+def islands(ranges: Column) -> Column:
+    """As few disjoint ranges, in order, as hold the numbers of an array of ranges; neighbours are one."""
+    return _let(_ends(ranges), lambda x: _islands(x["lo"], x["hi"]))
+
+
+def islands_twice(ranges: Column) -> Column:
+    """The numbers that two ranges of the array have at least: between the next beginning and an end that comes after it."""
+
+    def twice(x: Column) -> Column:
+        n = F.greatest(F.size(x["lo"]) - 1, F.lit(0))
+        both = F.filter(F.zip_with(F.slice(x["lo"], 2, n), F.slice(x["hi"], 1, n), lambda b, e: F.struct(b.alias("lo"), e.alias("hi"))), lambda r: r["lo"] <= r["hi"])
+        return islands(both)
 
+    return _let(_ends(ranges), twice)
 
-def _numbers(df: DataFrame, keys: Sequence[str], lo: str, hi: str, number: str) -> DataFrame:
-    ok = df.where(F.col(lo) <= F.col(hi))
-    return ok.select(*keys, F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias(number))
+
+def gaps_in(held: Column) -> Column:
+    """The ranges from 1 to the largest number that islands leave."""
+    n = F.greatest(F.size(held) - 1, F.lit(0))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice(held, 1, n), lambda r: F.greatest(r["hi"], F.lit(0).cast("long"))))
+    return _between(ends, F.transform(held, lambda r: r["lo"]))
+
+
+def minus(lo: Column, hi: Column, held: Column) -> Column:
+    """What islands leave of the range lo..hi, as ranges."""
+
+    def rest(x: Column) -> Column:
+        ends = F.concat(F.array(lo.cast("long") - 1), F.transform(x, lambda r: r["hi"]))
+        begins = F.concat(F.transform(x, lambda r: r["lo"]), F.array(hi.cast("long") + 1))
+        inside = F.zip_with(ends, begins, lambda e, b: F.struct(F.greatest(e + 1, lo.cast("long")).alias("lo"), F.least(b - 1, hi.cast("long")).alias("hi")))
+        return F.filter(inside, lambda r: r["lo"] <= r["hi"])
+
+    return _let(F.coalesce(held, F.array().cast(_RANGES)), rest)
+
+
+def numbers_in(ranges: Column) -> Column:
+    """The numbers of disjoint ranges, in their order."""
+    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"])))
 
 
 def explode_ranges(df: DataFrame, keys: Sequence[str], lo: str, hi: str, number: str = "number") -> DataFrame:
     """One row per distinct (keys, number) of the ranges lo..hi; reversed and null ranges give none."""
-    return _numbers(df, keys, lo, hi, number).distinct()
+    return spans(df, keys, lo, hi).select(*keys, F.explode(numbers_in(F.col("spans"))).alias(number))
 
 
-def holdings(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
-    """keys, owned (ascending), missing (1..max without owned), max. Each key is a number line of its own.
+def spans(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """keys, spans: the islands that the ranges lo..hi of a key make. Each key is a number line of its own.
 
-    The numbers of a key are one array: a series' volumes, never its rows, so a key with very many files stays small
-    (sets are merged in each task first). One shuffle, on the keys.
+    The distinct ranges of a key are one array: a series' volumes, never its rows nor its numbers, so a key with very many
+    files stays small (sets are merged in each task first). One shuffle, on the keys.
     """
-    each = _numbers(df, keys, lo, hi, "number")
-    d = each.groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("owned"), F.max("number").alias("max"))
-    return d.withColumn("missing", F.array_except(upto(F.col("max")), F.col("owned"))).select(*keys, "owned", "missing", "max")
+    d = df.where(F.col(lo) <= F.col(hi)).groupBy(*keys).agg(F.collect_set(span(lo, hi)).alias("_r"))
+    return d.select(*keys, islands(F.col("_r")).alias("spans"))
+
+
+def _line(held: Column) -> list[Column]:
+    return [numbers_in(held).alias("owned"), numbers_in(gaps_in(held)).alias("missing"), F.element_at(held, -1)["hi"].alias("max")]
+
+
+def holdings(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """keys, owned (ascending), missing (1..max without owned), max."""
+    return spans(df, keys, lo, hi).select(*keys, *_line(F.col("spans")))
 
 
 def gaps(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
@@ -43,25 +122,22 @@ def gaps(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
     return holdings(df, keys, lo, hi).select(*keys, F.explode("missing").alias("missing"))
 
 
-def by_unit(numbers: Column) -> Column:
-    """Array of (unit, owned, missing, max) of an array of (unit, number), the volume line first."""
-    units = F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.struct((x["unit"] != VOLUME).alias("o"), x["unit"].alias("u")))))
+def by_unit(ranges: Column) -> Column:
+    """Array of (unit, owned, missing, max) of an array of (unit, span), the volume line first."""
+    units = F.array_sort(F.array_distinct(F.transform(ranges, lambda x: F.struct((x["unit"] != VOLUME).alias("o"), x["unit"].alias("u")))))
 
     def line(u: Column) -> Column:
-        owned = F.array_sort(F.transform(F.filter(numbers, lambda x: x["unit"] == u["u"]), lambda x: x["number"]))
-        top = F.array_max(owned)
-        return F.struct(u["u"].alias("unit"), owned.alias("owned"), F.array_except(upto(top), owned).alias("missing"), top.alias("max"))
+        own = F.transform(F.filter(ranges, lambda x: x["unit"] == u["u"]), lambda x: x["span"])
+        return _let(islands(own), lambda held: F.struct(u["u"].alias("unit"), *_line(held)))
 
     return F.transform(units, line)
 
 
 def volumes_by_series(volumes: DataFrame) -> DataFrame:
     """series_id, holdings, volume_ids, added (the last first_seen_at) of the present volumes, in one aggregate."""
-    v = volumes.where("present")
-    span = F.when(F.col("volume_from") <= F.col("volume_to"), F.sequence(F.col("volume_from").cast("long"), F.col("volume_to").cast("long")))
-    each = v.select("series_id", "unit", "id", "first_seen_at", F.explode_outer(span).alias("number"))
-    one = F.when(F.col("number").isNotNull(), F.struct("unit", "number"))
-    d = each.groupBy("series_id").agg(F.collect_set(one).alias("_n"), F.collect_set("id").alias("volume_ids"), F.max("first_seen_at").alias("added"))
+    own = span("volume_from", "volume_to")
+    one = F.when(own.isNotNull(), F.struct("unit", own.alias("span")))
+    d = volumes.where("present").groupBy("series_id").agg(F.collect_set(one).alias("_n"), F.collect_set("id").alias("volume_ids"), F.max("first_seen_at").alias("added"))
     return d.select("series_id", by_unit(F.col("_n")).alias("holdings"), "volume_ids", "added")
 
 
@@ -93,27 +169,38 @@ def published(known: DataFrame, owned: DataFrame, keys: Sequence[str], number: s
     )
 
 
+def uncovered_ranges(ranges: DataFrame, cover: DataFrame, keys: Sequence[str], lo: str, hi: str, cover_lo: str, cover_hi: str) -> DataFrame:
+    """The rows of ``ranges`` with ``uncovered``: what the ranges of ``cover`` with the same keys leave of lo..hi, as ranges."""
+    held = spans(cover, keys, cover_lo, cover_hi).withColumnRenamed("spans", "_held")
+    return ranges.where(F.col(lo) <= F.col(hi)).join(held, list(keys), "left").withColumn("uncovered", minus(F.col(lo), F.col(hi), F.col("_held"))).drop("_held")
+
+
 def uncovered(ranges: DataFrame, cover: DataFrame, keys: Sequence[str], lo: str, hi: str, number: str) -> DataFrame:
-    """The numbers of the ranges that no row of ``cover`` (keys, number) has."""
-    return explode_ranges(ranges, keys, lo, hi).join(cover.select(*keys, F.col(number).cast("long").alias("number")), [*keys, "number"], "left_anti")
+    """The numbers of the ranges that no row of ``cover`` (keys, number) has, each once."""
+    want = spans(ranges, keys, lo, hi)
+    held = spans(cover, keys, number, number).withColumnRenamed("spans", "_held")
+    left = F.flatten(F.transform("spans", lambda r: minus(r["lo"], r["hi"], F.col("_held"))))
+    return want.join(held, list(keys), "left").select(*keys, F.explode(numbers_in(left)).alias("number"))
 
 
 def covered_ranges(ranges: DataFrame, id_: str, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
-    """The ranges all of whose numbers other rows with the same keys have."""
-    each = ranges.where(F.col(lo) <= F.col(hi)).select(id_, *keys, F.explode(F.sequence(F.col(lo).cast("long"), F.col(hi).cast("long"))).alias("_n"))
-    held = each.groupBy(*keys, "_n").agg(F.count("*").alias("_rows"))
-    alone = each.join(held.where("_rows = 1"), [*keys, "_n"], "left_semi").select(id_).distinct()
-    return ranges.where(F.col(lo) <= F.col(hi)).join(alone, id_, "left_anti")
+    """The ranges all of whose numbers other rows with the same keys have: they lie within what two ranges cover.
+
+    Rows with one range count twice at most, so that no key holds more than its distinct ranges.
+    """
+    ok = ranges.where(F.col(lo) <= F.col(hi))
+    few = ok.groupBy(*keys, span(lo, hi).alias("_r")).agg(F.count("*").alias("_rows"))
+    twice = few.groupBy(*keys).agg(F.flatten(F.collect_list(F.when(F.col("_rows") > 1, F.array("_r", "_r")).otherwise(F.array("_r")))).alias("_all"))
+    held = twice.select(*keys, islands_twice(F.col("_all")).alias("_held"))
+    return ok.join(held, list(keys)).where(F.exists("_held", lambda r: (r["lo"] <= F.col(lo)) & (F.col(hi) <= r["hi"]))).select(*ranges.columns)
 
 
 def exact_cover(numbers: Column, lo: Column, hi: Column) -> Column:
-    """Whether the numbers are lo..hi exactly, without repeats."""
-    want = F.sequence(lo.cast("long"), hi.cast("long"))
-    own = numbers.cast("array<bigint>")
-    return (lo <= hi) & (F.size(numbers) == hi - lo + 1) & (F.size(F.array_except(want, own)) == 0)
+    """Whether the numbers are lo..hi exactly, without repeats: as many as the range has, all different, its ends the least and the largest."""
+    n = F.size(numbers)
+    return (lo <= hi) & (n == hi - lo + 1) & (F.size(F.array_distinct(numbers)) == n) & (F.array_min(numbers) == lo) & (F.array_max(numbers) == hi)
 
 
-def missing_of_request(want_lo: Column, want_hi: Column, owned: Column) -> Column:
-    """The requested numbers that are not owned; null without a readable request."""
-    want = F.sequence(want_lo.cast("long"), want_hi.cast("long"))
-    return F.when(want_lo.isNotNull() & (want_lo <= want_hi), F.array_except(want, F.coalesce(owned, F.array().cast("array<bigint>"))))
+def missing_of_request(want_lo: Column, want_hi: Column, held: Column) -> Column:
+    """The requested numbers that islands do not hold, ascending; null without a readable request."""
+    return F.when(want_lo.isNotNull() & (want_lo <= want_hi), numbers_in(minus(want_lo, want_hi, held)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from ..functions import registry as R
 from ..functions import scalars as S
 from ..operators import candidates, covers, issues, joins, marks, numbers, snapshot, summaries
 from ..session import scratch
-from ..sources import archives, files, images, providers, requests, responses
+from ..sources import archives, files, images, layout, providers, requests, responses
 from ..streaming import changes
 from . import enrich, moves, scan, shelf
-from .named import _tables, cat, t
+from .named import _LIST, _SHELF, _tables, cat, t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -717,3 +718,32 @@ def name_probe(spark, d):
     tail = pick(key(), cat(" 第", F.col("p_size"), "巻"), cat(" ", F.col("p_size")), F.lit(" side"), F.lit(""))
     p = files.parse_files(t(spark, d, "part").select(cat(work, "/", work, tail, ".zip").alias("rel_path")))
     return scan.probe(p.withColumn("file_title", F.col("title")))
+
+
+# Tables laid out by root, and by series.
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, 'r' || p_partkey % 2 AS root_id, 'Work ' || p_size % 12 AS folder, p_partkey % 5 <> 0 AS one, CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 7 <> 0 ELSE p_partkey % 3 <> 0 END AS two, p_partkey % 2 = 1 OR p_size % 12 = 7 AS again FROM part)
+SELECT root_id, folder || '/' || folder || ' 第' || k || '巻.zip' AS rel_path, CASE WHEN again THEN two ELSE true END AS present,
+  CASE WHEN one THEN 1 + k % 2 WHEN root_id = 'r1' THEN 3 ELSE 4 END AS first_day, CASE WHEN again AND two THEN CASE WHEN root_id = 'r1' THEN 3 ELSE 4 END ELSE 1 + k % 2 END AS last_day
+FROM p WHERE one OR again AND two
+""")
+def rooted_scans(spark, d):
+    """Two roots are scanned, then one of them again, then one folder of the other."""
+    p = t(spark, d, "part")
+    key, folder = F.col("p_partkey"), cat("Work ", F.col("p_size") % 12)
+    p = p.select(key, folder.alias("folder"), cat("r", key % 2).alias("root_id"), cat(folder, "/", folder, " 第", key, "巻.zip").alias("rel_path"), key.alias("size"), F.lit(datetime(2024, 1, 1, 12, tzinfo=UTC)).alias("mtime"))
+    tables = layout.Rooted(spark, f"{scratch(spark)}/rooted/{uuid.uuid4().hex}", shelves=4)
+    for day, root, under, some in ((1, "r0", None, key % 5 != 0), (2, "r1", None, key % 5 != 0), (3, "r1", None, key % 7 != 0), (4, "r0", "Work 7", (key % 3 != 0) & (F.col("folder") == "Work 7"))):
+        listing = p.where((F.col("root_id") == root) & some).select("root_id", "rel_path", "size", "mtime")
+        scan.scan_root(tables, listing, root, datetime(2024, 1, day, 12, tzinfo=UTC), under)
+    f = tables.read("files", scan.FILES)
+    return f.select("root_id", "rel_path", "present", F.dayofmonth("first_seen_at").cast("long").alias("first_day"), F.dayofmonth("last_seen_at").cast("long").alias("last_day"))
+
+
+@query(_SHELF + "SELECT * FROM list")
+def shelf_by_series(spark, d):
+    """The list of works over tables that lie bucketed by series."""
+    made = layout.save_by_series(vars(_tables(spark, d)), f"{scratch(spark)}/by_series/{uuid.uuid4().hex}", 16, {"series": "id"})
+    return shelf.summaries_of(shelf.Tables(**made)).select(*_LIST)

@@ -189,7 +189,7 @@ def own_check(spark, d):
     key = F.col("o_orderkey")
     q = t(spark, d, "orders", "o_orderkey", "o_custkey").select(key.alias("id"), key.alias("series"), (key % 7 + 1).alias("lo"), (key % 7 + 1 + F.col("o_custkey") % 3).alias("hi"))
     lines = t(spark, d, "lineitem", F.col("l_orderkey").alias("series"), F.col("l_linenumber").alias("volume"))
-    h = numbers.holdings(lines, ["series"], "volume", "volume").select("series", F.col("owned").alias("have"))
+    h = numbers.spans(lines, ["series"], "volume", "volume").withColumnRenamed("spans", "have")
     m = q.join(h, "series", "left").withColumn("m", numbers.missing_of_request(F.col("lo"), F.col("hi"), F.col("have")))
     return m.select("id", (F.size("m") == 0).alias("owned"), F.nullif(F.array_join("m", ","), F.lit("")).alias("missing"))
 

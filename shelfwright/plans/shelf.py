@@ -156,11 +156,10 @@ def check_owned(t: Tables, queries: DataFrame) -> DataFrame:
     q = queries.withColumn("i", parse_item("title", "volume", "raw_text")).select("query_id", "i.*")
     s = t.series.where("present").select(F.col("id").alias("series_id"), "series_key")
     wanted = q.where("series_key <> ''").select("series_key").distinct()
-    key = s.join(wanted, "series_key", "left_semi")  # nothing but what is asked for is exploded
-    own = numbers.explode_ranges(t.volumes.where("present").join(key, "series_id"), ["series_key", "unit"], "volume_from", "volume_to")
-    own = own.groupBy("series_key", "unit").agg(F.collect_set("number").alias("_have"))
+    key = s.join(wanted, "series_key", "left_semi")  # nothing but what is asked for is gathered
+    own = numbers.spans(t.volumes.where("present").join(key, "series_id"), ["series_key", "unit"], "volume_from", "volume_to").withColumnRenamed("spans", "_have")
     known = key.select("series_key").distinct().withColumn("_known", F.lit(True))
     d = q.join(known, "series_key", "left").join(own, ["series_key", "unit"], "left")
-    d = d.withColumn("missing", F.when(F.col("_known"), F.array_sort(numbers.missing_of_request(F.col("volume_from"), F.col("volume_to"), F.col("_have")))))
+    d = d.withColumn("missing", F.when(F.col("_known"), numbers.missing_of_request(F.col("volume_from"), F.col("volume_to"), F.col("_have"))))
     reason = F.when(F.col("_known").isNull(), "no such series").when(F.col("volume_from").isNull(), "no volume could be read").when(F.size("missing") > 0, "some are missing").otherwise("owned")
     return d.select("query_id", F.coalesce(F.size("missing") == 0, F.lit(False)).alias("owned"), "missing", "unit", reason.alias("reason"))

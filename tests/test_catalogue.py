@@ -1,6 +1,8 @@
 """The catalogue's operators on small literal tables."""
 
+import random
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -307,11 +309,32 @@ def test_stream_of_changes(spark, tmp_path):
 
     def put(*data):
         spark.createDataFrame(list(data), s).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        run = q.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        run.awaitTermination()
+        with changes.state_store(spark):
+            run = q.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+            run.awaitTermination()
 
     put((1, "A", 1, 3, False, True))
     put((1, "A", 1, 1, False, False), (1, "A", 2, 2, False, False))
-    put((1, "A", 10, 10, True, False), (1, "A", 4, 4, False, False), (2, "B", 1, 1, False, False))
+    put((1, "A", 10, 10, True, False), (1, "A", 4, 4, False, False), (1, "A", 2, 5, False, False), (2, "B", 1, 1, True, False))
+    put((1, "A", 4, 4, True, False), (1, "A", 9, 10, True, False), (2, "B", None, None, False, False), (2, "B", 7, 6, None, None))
     got = sorted((r.series_id, r.kind, r.message) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [(1, "series_completed", "A"), (1, "volume_added", "第4巻 / 第10巻 が増えました"), (2, "series_added", "B")]
+    assert got == [(1, "series_completed", "A"), (1, "volume_added", "第2-5巻 / 第4巻 / 第10巻 が増えました"), (1, "volume_added", "第9-10巻 が増えました"), (2, "series_added", "B")]
+
+
+def test_interval_algebra(spark):
+    rng = random.Random(4)
+    cases = []
+    for k in range(300):
+        some = lambda n: [(lo, lo + rng.randrange(6)) for lo in (rng.randrange(-3, 30) for _ in range(rng.randrange(n)))]
+        lo = rng.randrange(1, 25)
+        cases.append((k, some(9), lo, lo + rng.randrange(-1, 12)))
+    d = spark.createDataFrame(cases, "k int, r array<struct<lo:long,hi:long>>, lo long, hi long")
+    held = numbers.islands(F.col("r"))
+    d = d.select("*", held.alias("i"), numbers.islands_twice(F.col("r")).alias("t"), numbers.numbers_in(numbers.gaps_in(held)).alias("g"), numbers.missing_of_request(F.col("lo"), F.col("hi"), held).alias("m"))
+    flat = lambda x: [n for r in x for n in range(r["lo"], r["hi"] + 1)]
+    for r in d.collect():
+        count = Counter(n for x in r.r for n in range(x["lo"], x["hi"] + 1))
+        assert flat(r.i) == sorted(count) and flat(r.t) == sorted(n for n, c in count.items() if c > 1)
+        assert all(a["hi"] + 1 < b["lo"] for x in (r.i, r.t) for a, b in zip(x, x[1:]))
+        assert r.g == [n for n in range(1, max(count, default=0) + 1) if n not in count]
+        assert r.m == (None if r.lo > r.hi else [n for n in range(r.lo, r.hi + 1) if n not in count])

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from shelfwright.plans import asked, named, parity, shelf
+from shelfwright.sources import layout
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = parity.QUERIES | named.QUERIES | asked.QUERIES, parity.ORACLE | named.ORACLE | asked.ORACLE
@@ -58,13 +59,18 @@ def test_first_of_a_key_is_cut_before_the_shuffle(spark, duck):
     assert plan(spark, "latest_per_key").count("WindowGroupLimit") == 2
 
 
-def test_requests_are_joined_before_volumes_are_exploded(spark, duck):
+def test_requests_are_joined_before_volumes_are_gathered(spark, duck):
     lines = plan(spark, "own_requests").splitlines()
     depth = lambda s: len(s) - len(s.lstrip(" :+-|"))
-    at = [k for k, x in enumerate(lines) if "Generate explode" in x]
+    at = [k for k, x in enumerate(lines) if "collect_set" in x]
     assert at and all(any("LeftSemi" in x and depth(x) > depth(lines[k]) for x in lines[k:]) for k in at)
 
 
+@pytest.mark.parametrize("name", ["holdings_list", "range_coverage", "exact_covers", "own_check", "own_requests", "shelf_list", "shelf_page", "missing_list"])
+def test_ranges_stay_ranges(spark, duck, name):
+    assert "Generate explode" not in plan(spark, name)
+
+
 def test_filters_on_series_reach_the_other_tables(spark, duck):
     assert plan(spark, "shelf_page").count("LeftSemi") >= 4
 
@@ -78,6 +84,12 @@ def test_summaries_shuffle_each_table_once_or_by_finer_keys(spark, duck, tmp_pat
     assert len(re.findall("Exchange hash", p)) <= 7
 
 
+def test_tables_bucketed_by_series_are_not_shuffled(spark, duck, tmp_path):
+    made = layout.save_by_series(vars(named._tables(spark, SF)), str(tmp_path / "s"), 8, {"series": "id"})
+    p = plan_of(spark, lambda: shelf.summaries_of(shelf.Tables(**made)))
+    assert "Exchange" not in p and p.count("Bucketed: true") == 5
+
+
 def test_entry_can_be_imported_without_a_session():
     code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

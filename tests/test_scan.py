@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import zipfile
 import zlib
 from datetime import datetime, timedelta
@@ -7,9 +8,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwright.operators import marks
 from shelfwright.plans import effects, enrich, scan
 from shelfwright.sources import archives
 from shelfwright.sources.files import parse_files
+from shelfwright.sources.layout import Rooted
 from shelfwright.sources.store import Store
 
 T0 = datetime(2024, 1, 1)
@@ -43,6 +46,50 @@ def test_scans(spark, tmp_path):
     assert p["files"] == 3 and p["volumes"] == 1 and p["side"] == 1 and p["unreadable"] == 1 and p["collisions"] == 1
 
 
+def contents(path):
+    return {os.path.relpath(os.path.join(d, n), path): open(os.path.join(d, n), "rb").read() for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_scans_of_a_root_leave_the_others_alone(spark, tmp_path):
+    tables = Rooted(spark, str(tmp_path / "t"), shelves=8)
+    run = lambda n, root, *paths, folder=None: scan.scan_root(tables, listing(spark, *paths, root=root), root, T0 + timedelta(days=n), folder)
+    with pytest.raises(scan.Refused):
+        run(0, "r", "A/A 第01巻.zip", folder="A")
+    assert run(1, "r", "A/A 第01巻.zip", "B/B 第01巻.zip", "loose 第01巻.zip") == {"seen": 3, "baseline": True}
+    run(1, "007", "A/A 第01巻.zip")
+    before = contents(tmp_path / "t/files")
+    run(2, "r", "A/A 第01巻.zip", "A/A 第02巻.zip", folder="A")
+    after = contents(tmp_path / "t/files")
+    own = {k for k in before if before[k] != after.get(k)}
+    there = {r.rel_path: (r.root_id, r.shelf, r.present) for r in tables.read("files", scan.FILES, "r").collect()}
+    here = f"root_id=r/shelf={there['A/A 第01巻.zip'][1]}/"
+    assert own and all(k.startswith(here) for k in own) and set(after) - set(before) and all(k.startswith(here) for k in set(after) - set(before))
+    assert len(there) == 4 and all(x[2] for x in there.values()) and tables.read("files", scan.FILES, "007").first().root_id == "007"
+    assert [(r.kind, r.message) for r in scan.events(tables).collect()] == [("volume_added", "第2巻 が増えました")]
+    run(2, "r", "A/A 第01巻.zip", "A/A 第02巻.zip", folder="A")  # run again: nothing changes, nothing is told twice
+    assert len(scan.events(tables).collect()) == 1 and tables.read("files", scan.FILES).count() == 5
+    run(3, "r", "B/B 第01巻.zip")
+    gone = {r.folder: r.present for r in tables.read("series", scan.SERIES, "r").collect()}
+    assert gone["B"] and not gone["A"] and contents(tmp_path / "t/files/root_id=007") == {k.removeprefix("root_id=007/"): v for k, v in before.items() if k.startswith("root_id=007")}
+    p = tables.read("files", scan.FILES, "r", "A")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*root_id[^]]*shelf", p)
+
+
+def test_an_old_name_that_comes_back_is_another_work(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    scan.scan(store, listing(spark, "A/A 第01巻.zip"), "r", T0)
+    series, files = store.read("series"), store.read("files")
+    old = series.first().id
+    renames = spark.createDataFrame([(old, "A", "B")], "id long, from_folder string, to_folder string")
+    named = renames.select("id", "to_folder", F.lit("B").alias("title"), F.lit(None).cast("string").alias("author"), F.lit("b").alias("series_key"))
+    store.commit({"series": marks.rename_folders(series, named), "files": marks.move_below(files, renames.withColumnRenamed("id", "series_id"))})
+    scan.scan(store, listing(spark, "A/A 第01巻.zip", "B/A 第01巻.zip"), "r", T0 + timedelta(days=1))
+    by = {r.folder: r.id for r in store.read("series").collect()}
+    of = {r.rel_path: (r.id, r.series_id) for r in store.read("files").collect()}
+    assert by["B"] == old != by["A"] and len(by) == 2
+    assert of["A/A 第01巻.zip"][1] == by["A"] and of["B/A 第01巻.zip"][1] == old and len({x for x, _ in of.values()}) == 2
+
+
 def test_enrichment(spark):
     rec = "query_id long, ordinal int, title string, volume int, author string, publisher string, date string, isbn string, image_url string, link string"
     ndl = spark.createDataFrame([(1, 0, "日常", 1, "あらゐ", "角川", "2007.7", "978a", "u1", None), (1, 1, "日常", 2, "あらゐ", "角川", "2008.7", "978b", "u2", None)], rec)
