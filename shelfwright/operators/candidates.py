@@ -7,12 +7,13 @@ Folding looks at all buckets of one query together and depends on their order, s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 from ..functions.registry import ndl_volume, split_title
 from ..functions.scalars import date_key, year_of
@@ -31,6 +32,7 @@ INNER_LEAST, END_LEAST, DIGITS_MOST = 6, 2, 3
 
 ITEM = "query_id long, ordinal int, provider string, title string, base_title string, volume int, author string, publisher string, date string, year int, isbn string, image_url string, link string"
 FOLDED = ITEM + ", group_key string, group_no int"
+_ITEM_NAMES = [x.split(" ")[0] for x in ITEM.split(", ")]
 
 
 def normalise(records: DataFrame) -> DataFrame:
@@ -152,8 +154,7 @@ def _fold_query(frame: pd.DataFrame) -> pd.DataFrame:
 
 def fold_candidates(items: DataFrame) -> DataFrame:
     """The items of each query with the key and number of their group; items without a key are left out."""
-    names = [x.strip().split(" ")[0] for x in ITEM.split(",")]
-    d = items.select(*(F.col(n) for n in names))
+    d = items.select(*(F.col(n) for n in _ITEM_NAMES))
     return d.groupBy("query_id").applyInPandas(_fold_query, FOLDED)
 
 
@@ -212,3 +213,35 @@ def image_candidates(groups_: DataFrame, volume: int | None = None) -> DataFrame
     """All items with an image, of one volume or of all, in the order to try them."""
     each = groups_.select("query_id", "group_key", F.posexplode("items").alias("at", "item")).where("item.image_url is not null")
     return each if volume is None else each.where(F.col("item.volume") == volume)
+
+
+class GroupCandidates:
+    """``group_candidates(TABLE(items))`` in SQL: the rows of ``fold_candidates``, for a table with the columns of ITEM."""
+
+    @staticmethod
+    def analyze(items: AnalyzeArgument) -> AnalyzeResult:
+        if not items.isTable:
+            raise ValueError("group_candidates takes a table: group_candidates(TABLE(items))")
+        have = {f.name.lower() for f in items.dataType.fields}
+        if missing := [n for n in _ITEM_NAMES if n not in have]:
+            raise ValueError(f"group_candidates needs the columns {', '.join(missing)}")
+        return AnalyzeResult(ddl(FOLDED), partitionBy=[PartitioningColumn("query_id")], orderBy=[OrderingColumn("ordinal")], select=[SelectedColumn(n) for n in _ITEM_NAMES])
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def eval(self, row: Row) -> None:
+        self.rows.append(tuple(row[n] for n in _ITEM_NAMES))
+
+    def terminate(self) -> Iterator[tuple]:
+        title, volume = _ITEM_NAMES.index("base_title"), _ITEM_NAMES.index("volume")
+        records = [Record(i, r[title] or "", r[volume]) for i, r in enumerate(self.rows)]
+        for number, (key, own) in enumerate(fold(records).items()):
+            for x in own:
+                row = list(self.rows[x.ordinal])
+                row[title], row[volume] = x.title, x.volume
+                yield (*row, key, number)
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("group_candidates", F.udtf(GroupCandidates))

@@ -62,6 +62,71 @@ def page(df: DataFrame, order: Sequence[Column], limit: int | str = 60, offset:
     return d if limit == "all" else d.limit(max(1, min(int(limit), most)))
 
 
+def _literal(df: DataFrame, column: str, value: object) -> Column:
+    """A value as ``collect`` gave it, in the type of its column."""
+    kind = df.schema[column].dataType
+    return F.lit(str(value)).cast(kind) if kind.typeName() == "timestamp_ntz" else F.lit(value).cast(kind)
+
+
+def _beyond(column: str, down: bool, value: Column | None) -> Column | None:
+    """Rows that come after a value in the order of one column: ascending with nulls first, descending with nulls last."""
+    c = F.col(column)
+    if value is None:
+        return None if down else c.isNotNull()
+    return (c < value) | c.isNull() if down else c > value
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence | None = None, limit: int = 60, most: int = 500) -> DataFrame:
+    """The page that follows the row whose values of the order's columns are ``last`` (none: the first page).
+
+    ``order`` names columns, each with whether it descends; the last one must be unique. The place is a condition on the columns,
+    which goes to the scan, and the page the first rows of what is left: the thousandth costs what the first does, and rows that
+    come or go before it shift nothing.
+    """
+    if last is not None:
+        at = [None if v is None else _literal(df, c, v) for (c, _), v in zip(order, last, strict=True)]
+        after, same = F.lit(False), F.lit(True)
+        for (column, down), value in zip(order, at):
+            if (more := _beyond(column, down, value)) is not None:
+                after = after | (same & more)
+            same = same & (F.col(column).isNull() if value is None else F.col(column) == value)
+        first, down = order[0]
+        if at[0] is not None:  # said once more for the first column alone, as scans prune by conditions on one column
+            df = df.where((F.col(first) <= at[0]) | F.col(first).isNull() if down else F.col(first) >= at[0])
+        df = df.where(after)
+    return df.orderBy(*(F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order)).limit(max(1, min(limit, most)))
+
+
+def place_of(page: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple | None:
+    """What ``page_after`` needs to go on behind a page; none if it is empty. At most a page reaches the driver."""
+    rows = page.select(*(c for c, _ in order)).collect()
+    return tuple(rows[-1]) if rows else None
+
+
+#: Size of the KLL sketches, and the error of the ranks they answer, twice what it is in 99 of 100 cases.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def sketches(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, sketch, n: a mergeable quantile sketch of a number for each key, some kilobytes however many rows it stands for.
+
+    Each task makes its own and they are merged, so no key holds its values. Sketches can be kept, by day or source, and put
+    together by ``merge_sketches``. Null and NaN count for nothing.
+    """
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias("sketch"), F.count("*").alias("n"))
+
+
+def merge_sketches(kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, sketch, n of tables of sketches with finer keys."""
+    return kept.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def quantile(sketch: Column | str, share: float) -> Column:
+    """The value below which about ``share`` of the values lie: its rank is within ``SKETCH_ERROR`` of it."""
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(share))
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows that look random, the same in every run: those with the smallest hashes of seed and key."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -16,7 +16,8 @@ from ..session import scratch
 from ..sources import archives, files, images, layout, providers, requests, responses
 from ..streaming import changes
 from . import enrich, moves, scan, shelf
-from .named import _LIST, _SHELF, _tables, cat, t
+from .named import _LIST, _SHELF, _brand_records, _tables, cat, t
+from .named import ORACLE as ORACLE_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -747,3 +748,50 @@ def shelf_by_series(spark, d):
     """The list of works over tables that lie bucketed by series."""
     made = layout.save_by_series(vars(_tables(spark, d)), f"{scratch(spark)}/by_series/{uuid.uuid4().hex}", 16, {"series": "id"})
     return shelf.summaries_of(shelf.Tables(**made)).select(*_LIST)
+
+
+# Pages by place, sketches, groups in SQL, work in rounds.
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderpriority DESC, o_custkey, o_orderkey LIMIT 60 OFFSET 120")
+def keyset_pages(spark, d):
+    """The third page: each begins behind the place where the one before it ended."""
+    o, order, at = t(spark, d, "orders"), [("o_orderpriority", True), ("o_custkey", False), ("o_orderkey", False)], None
+    for _ in range(2):
+        at = summaries.place_of(summaries.page_after(o, order, at), order)
+    return summaries.page_after(o, order, at).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, true AS within FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1, 2")
+def sketch_medians(spark, d):
+    """Medians out of sketches kept by year, and whether their ranks are as close as promised."""
+    key = ["l_returnflag", "l_linestatus"]
+    lines = t(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    m = summaries.merge_sketches(summaries.sketches(lines, [*key, "year"], "l_extendedprice"), key).select(*key, "n", summaries.quantile("sketch", 0.5).alias("median"))
+    at = lines.join(F.broadcast(m), key).groupBy(*key, "n").agg((F.count_if(F.col("l_extendedprice") < F.col("median")) / F.count("*")).alias("below"), (F.count_if(F.col("l_extendedprice") <= F.col("median")) / F.count("*")).alias("upto"))
+    return at.select(*key, "n", ((F.col("below") <= 0.5 + summaries.SKETCH_ERROR) & (F.col("upto") >= 0.5 - summaries.SKETCH_ERROR)).alias("within"))
+
+
+@query(ORACLE_OF["candidate_groups"])
+def grouped_in_sql(spark, d):
+    """The groups of records by the table function."""
+    candidates.register(spark)
+    items = candidates.normalise(_brand_records(spark, d))
+    g = candidates.groups(spark.sql("SELECT * FROM group_candidates(TABLE({items}))", items=items))
+    return g.select(cat("Brand#", F.col("query_id")).alias("query_id"), "title", F.col("n_items").cast("long").alias("n_items"), F.size("volumes").cast("long").alias("n_volumes"), "first_year")
+
+
+@query("""
+SELECT (place - 1) // 400 AS batch, count(*) AS tried, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS done
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'P') w WHERE place <= 1200 GROUP BY 1
+""")
+def background_rounds(spark, d):
+    """Three rounds of 400 each: what is due longest and was not tried yet; a quarter of the attempts come to nothing."""
+    at = f"{scratch(spark)}/rounds/{uuid.uuid4().hex}"
+    for k in range(3):
+        spark.range(k, k + 1).coalesce(1).write.mode("append").parquet(f"{at}/ticks")
+    open_ = t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("due"))
+    rounds = changes.Rounds(spark, f"{at}/ledger", 400)
+    ticks = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{at}/ticks")
+    rounds.run(ticks, f"{at}/checkpoint", lambda batch: datetime(2024, 1, 1 + batch, tzinfo=UTC), lambda _, claims: open_.join(claims, "id", "left_anti"), lambda some: some.where("id % 4 <> 0")).awaitTermination()
+    return rounds.progress()

@@ -154,17 +154,20 @@ def own_requests(spark, d):
     return shelf.check_owned(_tables(spark, d), q).select("query_id", "owned", "reason")
 
 
-@query("""
-SELECT p_brand AS query_id, p_name AS title, count(*) AS n_items, count(DISTINCT p_size) AS n_volumes, CAST(min(1990 + p_partkey % 30) AS INT) AS first_year FROM part GROUP BY 1, 2
-""")
-def candidate_groups(spark, d):
+def _brand_records(spark, d):
     p = t(spark, d, "part")
     none = F.lit(None).cast("string")
-    recs = p.select(
+    return p.select(
         F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("query_id"), F.col("p_partkey").cast("int").alias("ordinal"), F.element_at(F.array(F.lit("ndl"), F.lit("rakuten")), (F.col("p_partkey") % 2 + 1).cast("int")).alias("provider"),
         cat(F.col("p_name"), "（", F.col("p_size"), "）").alias("title"), none.cast("int").alias("volume"), none.alias("author"), F.col("p_type").alias("publisher"), cat(1990 + F.col("p_partkey") % 30, ".5").alias("date"), none.alias("isbn"), none.alias("image_url"), none.alias("link"),
     )
-    g = candidates.groups(candidates.fold_candidates(candidates.normalise(recs)))
+
+
+@query("""
+SELECT p_brand AS query_id, p_name AS title, count(*) AS n_items, count(DISTINCT p_size) AS n_volumes, CAST(min(1990 + p_partkey % 30) AS INT) AS first_year FROM part GROUP BY 1, 2
+""")
+def candidate_groups(spark, d):
+    g = candidates.groups(candidates.fold_candidates(candidates.normalise(_brand_records(spark, d))))
     return g.select(cat("Brand#", F.col("query_id")).alias("query_id"), "title", F.col("n_items").cast("long").alias("n_items"), F.size("volumes").cast("long").alias("n_volumes"), "first_year")
 
 

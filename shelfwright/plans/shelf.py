@@ -112,11 +112,17 @@ def order_of(sort: str) -> list[Column]:
 
 
 def series_list(t: Tables, o: Options) -> tuple[DataFrame, DataFrame]:
-    """(the page, one row with the total of the filtered list). Both read one result, which Spark keeps once either has run (``spark.catalog.clearCache`` lets it go)."""
-    d = filtered(summaries_of(selected(t, o)), o).cache()
+    """(the page, one row with the total of the filtered list). Nothing is kept between the two; ``series_page`` gives both in one."""
+    d = filtered(summaries_of(selected(t, o)), o)
     return summaries.page(d, order_of(o.sort), o.limit, o.offset), d.agg(F.count("*").alias("total"))
 
 
+def series_page(t: Tables, o: Options) -> DataFrame:
+    """The page with ``total`` in each row: the count is a subquery of the same plan, which reuses what both shuffle."""
+    page, total = series_list(t, o)
+    return page.withColumn("total", total.scalar())
+
+
 def series_detail(t: Tables, series_id: int) -> DataFrame:
     """One row: the summary with volumes (files and cover of each), side volumes, loose files and bibliography."""
     own = Tables(*(x.where(F.col("id" if x is t.series else "series_id") == series_id) for x in (t.series, t.volumes, t.files, t.bib, t.covers)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from datetime import datetime
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.numbers import VOLUME
@@ -144,15 +146,74 @@ def snapshots(listing: DataFrame, apply: Callable[[DataFrame, int], None], check
     return listing.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def fill(due: Callable[[int], list], attempt: Callable[[list], int], budget: int, portion: int = 20, progress: Callable[[dict], None] = lambda _: None) -> dict:
-    """Background work of bounded size: takes what is due in portions until ``budget`` is used up or nothing is left, telling how far it is."""
-    state = {"tried": 0, "done": 0, "left": budget}
-    while state["left"] > 0 and (some := due(min(portion, state["left"]))):
-        state["tried"] += len(some)
-        state["left"] -= len(some)
-        state["done"] += attempt(some)
-        progress(dict(state))
-    return state
+CLAIMS = "id long, at timestamp, batch long"
+
+
+class Rounds:
+    """Background work in micro-batches of bounded size, with its ledger in a folder.
+
+    Each batch claims what is due first, ``budget`` rows by the order of ``due`` (id, due), and writes the claims before anything is
+    tried: what is claimed was visited, whether or not the attempt ends. A batch that runs again after a failure finds its
+    claims and tries none of them a second time; they come up again when they are due again. Results are a partition for
+    each batch.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, budget: int):
+        self.spark, self.folder, self.budget = spark, folder.rstrip("/"), budget
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException:  # none yet
+            return self.spark.createDataFrame([], schema)
+
+    def claims(self) -> DataFrame:
+        return self._read("claims", CLAIMS)
+
+    def results(self, schema: str) -> DataFrame:
+        return self._read("results", f"{schema}, batch long")
+
+    def step(self, batch: int, at: datetime, due: Callable[[datetime, DataFrame], DataFrame], attempt: Callable[[DataFrame], DataFrame]) -> None:
+        """One batch. ``due`` gets the time and the claims so far; ``attempt`` gives a row for each id that it could do."""
+        claims = self.claims()
+        if not claims.where(F.col("batch") == batch).isEmpty():
+            return
+        chosen = due(at, claims).orderBy("due", "id").limit(self.budget).select("id", F.lit(at).cast("timestamp").alias("at"))
+        own = f"{self.folder}/claims/batch={batch}"
+        chosen.write.mode("overwrite").parquet(own)
+        attempt(self.spark.read.schema("id long, at timestamp").parquet(own).select("id")).write.mode("overwrite").parquet(f"{self.folder}/results/batch={batch}")
+
+    def run(self, ticks: DataFrame, checkpoint: str, clock: Callable[[int], datetime], due: Callable, attempt: Callable, minutes: int | None = None) -> StreamingQuery:
+        """A batch for each tick of a stream, now or every so many minutes; ``clock`` tells a batch's time from its number."""
+        trigger = {"availableNow": True} if minutes is None else {"processingTime": f"{minutes} minutes"}
+        step = lambda _, batch: self.step(batch, clock(batch), due, attempt)
+        return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def progress(self) -> DataFrame:
+        """batch, tried, done of the batches so far."""
+        done = self.results("id long").groupBy("batch").agg(F.count("*").alias("done"))
+        tried = self.claims().groupBy("batch").agg(F.count("*").alias("tried"))
+        return tried.join(done, "batch", "left").select("batch", "tried", F.coalesce("done", F.lit(0)).alias("done"))
+
+
+class Progress(StreamingQueryListener):
+    """Hands what each batch of this session's streams did to ``tell``: name, batch, rows and milliseconds, or why a stream ended."""
+
+    def __init__(self, tell: Callable[[dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event: object) -> None:
+        self.tell({"name": event.name, "state": "started"})
+
+    def onQueryProgress(self, event: object) -> None:
+        p = event.progress
+        self.tell({"name": p.name, "state": "running", "batch": p.batchId, "rows": p.numInputRows, "ms": p.batchDuration})
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.tell({"state": "failed" if event.exception else "ended", "why": event.exception})
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -338,3 +338,21 @@ def test_interval_algebra(spark):
         assert all(a["hi"] + 1 < b["lo"] for x in (r.i, r.t) for a, b in zip(x, x[1:]))
         assert r.g == [n for n in range(1, max(count, default=0) + 1) if n not in count]
         assert r.m == (None if r.lo > r.hi else [n for n in range(r.lo, r.hi + 1) if n not in count])
+
+
+def test_groups_in_sql(spark):
+    candidates.register(spark)
+    recs = spark.createDataFrame([(q, i, ("ndl", "rakuten", "google")[i % 3], title, None, "a", "p", "2001", None, None, None) for q in (1, 2) for i, title in enumerate(["日常 1", "日常 2", "別の本", "日常 : 副題 3", "", "別の本 外伝"])], NDL)
+    items = candidates.normalise(recs)
+    own = spark.sql("SELECT * FROM group_candidates(TABLE({items}))", items=items.withColumn("more", F.lit(1)))
+    want = candidates.fold_candidates(items)
+    assert own.dtypes == want.dtypes and sorted(map(repr, own.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(Exception, match="needs the columns"):
+        spark.sql("SELECT * FROM group_candidates(TABLE({items}))", items=items.drop("isbn")).collect()
+
+
+def test_a_page_with_its_total(spark):
+    series = spark.createDataFrame([(k, "r", f"f{k}", f"k{k}", f"T{k}", None, False, None, True, T0, T0, None) for k in range(5)], "id long, root_id string, folder string, series_key string, title string, author string, completed boolean, completed_user boolean, present boolean, first_seen_at timestamp, last_seen_at timestamp, enriched_at timestamp")
+    none = lambda schema: spark.createDataFrame([], schema)
+    t = shelf.Tables(series, none("id long, series_id long, unit string, volume_from int, volume_to int, present boolean, first_seen_at timestamp"), none("id long, series_id long, volume_id long, rel_path string, part string, ext string, size long, side_label string, care boolean, present boolean"), none("series_id long, volume_no int, provider string, pubdate string"), none("id long, series_id long, slot string, volume_no int, file string, pinned boolean"))
+    assert [(r.title, r.total) for r in shelf.series_page(t, shelf.Options(limit=2, offset=1)).collect()] == [("T1", 5), ("T2", 5)]

@@ -1,6 +1,8 @@
 """Marks, requests, images, notifications and concurrent writers."""
 
 import hashlib
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.operators import issues, marks, summaries
 from shelfwright.plans import scan
-from shelfwright.sources import images, requests, responses
+from shelfwright.sources import images, listing, requests, responses
 from shelfwright.sources.store import Conflict, Store
 from shelfwright.streaming import changes
 
@@ -112,10 +114,109 @@ def test_every_event_is_offered(spark, tmp_path):
     assert max(sizes) == 20 and sorted(r.id for r in log) == list(range(45)) and all(r.sent == (r.id % 2 == 0) for r in log)
 
 
-def test_bounded_fill():
-    todo, seen = list(range(50)), []
-    state = changes.fill(lambda n: [todo.pop() for _ in range(min(n, len(todo)))], lambda some: len(some) - 1, 45, progress=seen.append)
-    assert state == {"tried": 45, "done": 42, "left": 0} and [s["tried"] for s in seen] == [20, 40, 45] and len(todo) == 5
+def test_a_round_that_failed_tries_nothing_twice(spark, tmp_path):
+    due = spark.range(10).selectExpr("id", "100 - id AS due")
+    rounds, tried, told = changes.Rounds(spark, str(tmp_path / "ledger"), 4), [], []
+    for k in range(3):
+        spark.range(k, k + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks"))
+
+    def attempt(some):
+        tried.append(sorted(r.id for r in some.collect()))
+        if len(tried) == 2:
+            raise RuntimeError("the provider is gone")
+        return some.where("id <> 8")
+
+    listener = changes.Progress(told.append)
+    spark.streams.addListener(listener)
+    run = lambda: rounds.run(ticks, str(tmp_path / "c"), lambda batch: T0 + timedelta(days=batch), lambda _, claims: due.join(claims, "id", "left_anti"), attempt).awaitTermination()
+    with pytest.raises(Exception, match="the provider is gone"):
+        run()
+    run()
+    deadline = time.time() + 30
+    while sum(x["state"] in ("ended", "failed") for x in told) < 2 and time.time() < deadline:
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert tried == [[6, 7, 8, 9], [2, 3, 4, 5], [0, 1]]
+    assert sorted(map(tuple, rounds.progress().collect())) == [(0, 4, 3), (1, 4, 0), (2, 2, 2)]
+    assert {r.at for r in rounds.claims().where("batch = 1").collect()} == {T0 + timedelta(days=1)}
+    assert sorted(x["state"] for x in told if x["state"] != "running") == ["ended", "failed", "started", "started"] and {x["batch"] for x in told if x["state"] == "running"} >= {0, 2}
+
+
+def test_listing_tolerates_what_it_cannot_read(spark, tmp_path):
+    listing.register(spark)
+    root = tmp_path / "lib"
+    for name in ("A/1.zip", "A/deep/2.zip", "B/3.zip", "C/" + "x" * 40 + ".zip", "loose.zip"):
+        os.makedirs(root / os.path.dirname(name), exist_ok=True)
+        (root / name).write_text(name)
+    os.symlink("loop", root / "B/loop")
+    os.symlink("absent", root / "B/nothing")
+    os.symlink(str(root), root / "B/up")
+    at = os.open(root / "C", os.O_RDONLY)
+    for _ in range(18):  # deeper than a path may be
+        os.mkdir("d" * 250, dir_fd=at)
+        at, above = os.open("d" * 250, os.O_RDONLY, dir_fd=at), at
+        os.close(above)
+    os.close(at)
+    got = {r.rel_path: r for r in spark.read.format("shelf_files").option("root_id", "r").option("parts", "3").load(str(root)).collect()}
+    files = {k for k, r in got.items() if r.error is None}
+    assert files == {"A/1.zip", "A/deep/2.zip", "B/3.zip", "C/" + "x" * 40 + ".zip", "loose.zip"} and got["A/1.zip"].size == 7 and got["A/1.zip"].root_id == "r"
+    bad = {k: r.error for k, r in got.items() if r.error}
+    assert len(bad) == 2 and "B/loop" in bad and any(k.startswith("C/ddd") for k in bad) and all(r.size is None for k, r in got.items() if k in bad)
+    with pytest.raises(Exception, match="No such file"):
+        spark.read.format("shelf_files").load(str(root / "none")).collect()
+
+
+def test_listing_as_a_stream(spark, tmp_path):
+    listing.register(spark)
+    root = tmp_path / "lib"
+    os.makedirs(root / "A")
+    (root / "A/1.zip").write_text("1")
+
+    def run():
+        time.sleep(0.3)
+        s = spark.readStream.format("shelf_files").option("settle", "0.1").load(str(root))
+        q = s.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+        return sorted(r.rel_path for r in spark.read.schema(listing.SCHEMA).parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["A/1.zip"]
+    old = tmp_path / "old.zip"
+    old.write_text("old")
+    os.utime(old, (1, 1))
+    os.rename(old, root / "A/old.zip")  # an old file that comes new
+    (root / "2.zip").write_text("2")
+    assert run() == ["2.zip", "A/1.zip", "A/old.zip"]
+    assert run() == ["2.zip", "A/1.zip", "A/old.zip"]
+
+
+def test_pages_by_place(spark):
+    rows = [(k, (None, 3, 1, 1, 2)[k % 5], None if k % 7 == 0 else f"n{k % 4}") for k in range(60)]
+    d = spark.createDataFrame(rows, "id int, a int, b string")
+    for order in ([("a", False), ("b", True), ("id", False)], [("a", True), ("b", False), ("id", True)]):
+        whole = [tuple(r) for r in d.orderBy(*(F.desc_nulls_last(c) if x else F.asc_nulls_first(c) for c, x in order)).collect()]
+        at, seen = None, []
+        while True:
+            page = summaries.page_after(d, order, at, limit=7)
+            if (at := summaries.place_of(page, order)) is None:
+                break
+            seen += [tuple(r) for r in page.collect()]
+        assert seen == whole
+
+
+def test_a_page_by_place_is_pruned_at_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id DIV 10 AS a").write.parquet(str(tmp_path / "t"))
+    page = summaries.page_after(spark.read.parquet(str(tmp_path / "t")), [("a", False), ("id", False)], (90, 905))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(a,90)" in plan and [r.id for r in page.limit(2).collect()] == [906, 907]
+
+
+def test_sketches(spark):
+    d = spark.range(100000).selectExpr("id % 3 AS k", "id % 10 AS part", "CASE WHEN id % 50 = 0 THEN NULL ELSE CAST(id AS DOUBLE) END AS v")
+    m = summaries.merge_sketches(summaries.sketches(d, ["k", "part"], "v"), ["k"])
+    for r in m.select("k", "n", *(summaries.quantile("sketch", q).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9))).collect():
+        assert r.n == 98000 // 3 + (r.k < 98000 % 3) or abs(r.n - 98000 / 3) < 2
+        assert all(abs(r[f"q{int(q * 100)}"] / 100000 - q) <= summaries.SKETCH_ERROR for q in (0.1, 0.5, 0.9))
 
 
 def test_orders_of_people(spark):
