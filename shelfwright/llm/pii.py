@@ -147,10 +147,10 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int, list[int]]]:
     out = []
     for k, s, e, strict in spans:
         left, right = text[max(0, s - 60) : s], text[e : e + 30]
-        code, vote = 0, votes(k, text[s:e][:200], left, right, strict)
+        code, vote = 0, votes(k, text[s:e], left, right, strict)
         for v in vote:
             code = code * 3 + v
-        out.append((k, s, e, strict, code, features(k, text[s:e][:200], left, right, vote)))
+        out.append((k, s, e, strict, code, features(k, text[s:e], left, right, vote)))
     return out
 
 

@@ -1,7 +1,8 @@
 """Supervised subword embeddings: documents are the average of their words' vectors, a word is the average of the hashed
 vectors of itself and of its character n-grams, and a softmax layer tells the classes. Trained by numpy stochastic
 gradient descent (Adagrad steps) on the driver, over whole documents: those of ``sample`` labels at most, drawn by a hash of
-their ids, and of them, in that order, as many as ``room`` bytes of distinct words hold; both bounds are parameters.
+their ids, and of them, in that order, as many as ``room`` bytes of distinct words hold, but for documents whose distinct
+words alone take over ``longest`` bytes; these bounds of the sample are parameters, and scoring has none.
 
 A word that repeats the one before it adds the token ``REPEAT``, a bigram with a back reference, so that the average
 sees repetition. Case and marks are kept.
@@ -32,7 +33,7 @@ from .common import draw, fold_col, materialize, table, texts
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (3, 4, 5)
 CACHE, REPEAT = 300_000, b"\n="
-SAMPLE, ROOM, LONG = 6000, 64 << 20, 1 << 16
+SAMPLE, ROOM, LONGEST, LONG = 6000, 64 << 20, 8 << 20, 1 << 16
 
 
 def _rolling(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,18 +174,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([words], pa.binary()), pa.array([np.fromiter(own.values(), np.int32).tobytes()], pa.binary()), pa.array([len(words) + 8 * len(own)]), pa.array([h])], names=["label", "words", "times", "size", "h"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, room: int = ROOM, seed: int = 7) -> Model:
-    """Learns from the whole documents of ``sample`` labels (doc_id, label) at most, chosen by a hash of their ids, as far as ``room`` goes."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, room: int = ROOM, longest: int = LONGEST, seed: int = 7) -> Model:
+    """Learns from the whole documents of ``sample`` labels (doc_id, label) at most, chosen by a hash of their ids, as far as ``room`` goes; a document whose distinct words take over ``longest`` bytes teaches nothing."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label"))
     known = draw(known, sample, "doc_id", "label", seed=seed)
     drawn = texts(docs).join(F.broadcast(known), "doc_id").select("label", "text", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     bags = materialize(drawn.mapInArrow(_bags, "label long, words binary, times binary, size long, h long"), "bags")
     last, left = None, room
-    for h, size in bags.where(F.col("size") <= room // 8).groupBy("h").agg(F.sum("size")).orderBy("h").collect():  # ``sample`` rows at most
+    for h, size in bags.where(F.col("size") <= longest).groupBy("h").agg(F.sum("size")).orderBy("h").collect():  # ``sample`` rows at most
         if size > left:
             break
         last, left = h, left - size
-    kept = bags.where((F.col("size") <= room // 8) & (F.col("h") <= F.lit(last)))
+    kept = bags.where((F.col("size") <= longest) & (F.col("h") <= F.lit(last)))
     found = kept.select("h", "words", "label", "times").toArrow().to_pydict()
     return train([(w, n, y) for _, w, y, n in sorted(zip(found["h"], found["words"], found["label"], found["times"]))])
 
