@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
@@ -177,7 +177,7 @@ def _majority(values: str) -> F.Column:
 def groups(folded: DataFrame) -> DataFrame:
     """One row per group: providers by rank, title and author by majority, volumes, years, first publisher and cover, items.
 
-    Items stand by volume (unknown last), then date, then provider. Groups with more volumes come first.
+    Items stand by volume (unknown last), then date, then provider. Groups with more volumes come first; ``place`` says where.
     """
     order = F.struct(F.col("volume").isNull().alias("a"), F.col("volume").alias("b"), date_key(F.col("date")).alias("c"), _rank().alias("d"), F.col("ordinal").alias("e"))
     item = F.struct(order.alias("o"), F.struct("provider", "title", "base_title", "volume", "author", "publisher", "date", "year", "isbn", "image_url", "link", _rank().alias("rank")).alias("i"))
@@ -200,7 +200,8 @@ def groups(folded: DataFrame) -> DataFrame:
         "items",
         "group_no",
     )
-    return d.withColumn("author_name", _tidy("author")).orderBy("query_id", F.desc(F.size("volumes")), F.desc("n_items"), "group_no").drop("group_no")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.size("volumes")), F.desc("n_items"), "group_no"))
+    return d.withColumn("author_name", _tidy("author")).withColumn("place", place).orderBy("query_id", "place").drop("group_no")
 
 
 def volume_map(groups_: DataFrame) -> DataFrame:

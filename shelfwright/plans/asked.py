@@ -474,9 +474,7 @@ def folded_groups(spark, d):
 
 @query(f"SELECT query_id, title, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, n DESC, first) AS INT) AS place FROM (SELECT {_BRAND} AS query_id, p_name AS title, count(DISTINCT p_size) AS v, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2)")
 def group_order(spark, d):
-    rows = _groups(spark, d).withColumn("at", F.monotonically_increasing_id())
-    kept = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "title"))).alias("x"))
-    return kept.select("query_id", F.posexplode("x").alias("place", "y")).select("query_id", F.col("y.title").alias("title"), (F.col("place") + 1).alias("place"))
+    return _groups(spark, d).select("query_id", "title", "place")
 
 
 @query(f"SELECT {_BRAND} AS query_id, p_name AS title, count(*) AS images, CAST(sum(p_partkey) AS BIGINT) AS total FROM part WHERE p_partkey % 4 = 0 GROUP BY 1, 2")
@@ -586,10 +584,10 @@ def bare_names(spark, d):
     return e.select("p_partkey", F.col("e.volume_from").alias("volume"), "e.side_label", "rest")
 
 
-@query("SELECT p_partkey, 'ka' || 'shu' || 'ppa' || 'n' AS latin, lower(p_name) || '12' AS folded, CAST(length(p_name) + 1 AS INT) AS start, CAST(length(p_name) + 1 + length(CAST(p_size AS VARCHAR)) + 2 AS INT) AS stop FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'kashuppan' WHEN 1 THEN 'vinrandosaga' WHEN 2 THEN 'kyotootawa' WHEN 3 THEN 'jojonofushigi' WHEN 4 THEN 'chibimaruko' ELSE 'feariteiru2' END AS latin, lower(p_name) || '12' AS folded, CAST(length(p_name) + 1 AS INT) AS start, CAST(length(p_name) + 1 + length(CAST(p_size AS VARCHAR)) + 2 AS INT) AS stop FROM part")
 def folded_texts(spark, d):
     f = R.find_volume(cat(F.col("p_name"), " 第", F.col("p_size"), "巻"))
-    return t(spark, d, "part").select("p_partkey", R.romaji(F.lit("カ シュッパーン")).alias("latin"), F.lower(R.nfkc(cat(F.col("p_name"), "１２"))).alias("folded"), f["start"].alias("start"), f["stop"].alias("stop"))
+    return t(spark, d, "part").select("p_partkey", R.romaji(F.element_at(F.array(*map(F.lit, ("カ シュッパーン", "ヴィンランド　サガ", "キョートオータワー", "ジョジョノフシギ", "チビマルコ", "フェアリーテイル2"))), (key() % 6 + 1).cast("int"))).alias("latin"), F.lower(R.nfkc(cat(F.col("p_name"), "１２"))).alias("folded"), f["start"].alias("start"), f["stop"].alias("stop"))
 
 
 @query("SELECT p_partkey, '作品' || p_partkey AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS author, p_size AS volume, CASE WHEN p_partkey % 3 = 0 THEN '話' ELSE '巻' END AS unit FROM part")
@@ -662,12 +660,12 @@ def move_buckets(spark, d):
 
 
 @query("""
-SELECT l_orderkey AS series_id, count(*) FILTER (WHERE l_linestatus = 'F') AS moves, count(*) FILTER (WHERE l_linestatus <> 'F' AND l_returnflag <> 'N') AS stuck FROM lineitem WHERE l_orderkey % 50 = 0 AND (l_linestatus = 'F' OR l_returnflag <> 'N') GROUP BY 1
+SELECT l_orderkey AS series_id, count(*) FILTER (WHERE l_linestatus = 'F') AS moves, count(*) FILTER (WHERE l_linestatus <> 'F' AND l_returnflag <> 'N') AS stuck FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag <> 'N' GROUP BY 1
 """)
 def rename_report(spark, d):
     """Volumes get new names; files whose rest cannot be told stay."""
     k = F.col("l_orderkey")
-    f = t(spark, d, "lineitem").where((k % 50 == 0) & ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") != "N")))
+    f = t(spark, d, "lineitem").where((F.col("l_linestatus") == "F") | (F.col("l_returnflag") != "N"))
     n = F.when(F.col("l_linestatus") == "F", F.col("l_linenumber"))
     name = F.when(n.isNotNull(), cat("[A] Old ", k, " 第", n, "巻.zip")).otherwise("other.zip")
     f = f.select(F.monotonically_increasing_id().alias("id"), k.alias("series_id"), cat("[A] Old ", k, "/", name).alias("rel_path"), n.alias("volume_from"), n.alias("volume_to"), F.lit("巻").alias("unit"), F.lit(True).alias("present"))

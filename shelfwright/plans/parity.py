@@ -248,8 +248,7 @@ b AS (SELECT user_id, event_type, max(event_id) AS last, count(*) AS n FROM even
 
 def _two(spark, d):
     e = t(spark, d, "events", "user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    lo, hi = e.agg(F.min("us"), F.max("us")).first()
-    early = F.col("us") < (lo + hi) // 2
+    early = F.col("us") < e.select(F.expr("(min(us) + max(us)) div 2")).scalar()
     a = e.where((F.col("event_type") != "error") & early)
     b = e.where((F.col("event_type") != "click") & ((F.col("event_type") == "view") | early))
     return tuple(x.groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"), F.count("*").alias("n")) for x in (a, b))

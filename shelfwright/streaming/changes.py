@@ -120,16 +120,17 @@ def outbox(events: DataFrame, send: Callable[[DataFrame], list[int]], log: Calla
     """At least once: all of each batch is offered in portions of ``most``, and only what ``send`` says went out is logged as sent."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        columns = batch.columns
+        batch = batch.dropDuplicates().withColumn("_h", F.xxhash64(*columns)).persist()  # events may share an id: they are told apart by what they hold
         last, done = None, False
         while not done:
-            portion = batch if last is None else batch.where(F.col("id") > last)
-            portion = portion.orderBy("id").limit(most)
-            ids = [r["id"] for r in portion.select("id").collect()]  # ``most`` at a time
-            done = len(ids) < most
-            if ids:
-                last = ids[-1]
-                log(portion.withColumn("sent", F.col("id").isin(send(portion))), epoch)
+            portion = batch if last is None else batch.where((F.col("id") > last["id"]) | (F.col("id") == last["id"]) & (F.col("_h") > last["_h"]))
+            portion = portion.orderBy("id", "_h").limit(most)
+            rows = portion.select("id", "_h").collect()  # ``most`` at a time
+            done = len(rows) < most
+            if rows:
+                last, own = rows[-1], portion.select(columns)
+                log(own.withColumn("sent", F.col("id").isin(send(own))), epoch)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
