@@ -1,7 +1,8 @@
 """Entity resolution of bibliographic records: buckets by title key, folded into series, summarised and ranked.
 
-Folding looks at all buckets of one query together and depends on their order, so it runs per query in Python
-(``applyInPandas``); a query's records are what providers return at once, some hundred at most. All around it is columnar.
+``folding.fold_candidates`` folds tables of records, whatever a query's size. ``fold`` does the same to the records of one
+query in their order, for the table function ``group_candidates``: a query's records there are what providers return at
+once, some hundred at most.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ INNER_LEAST, END_LEAST, DIGITS_MOST = 6, 2, 3
 
 ITEM = "query_id long, ordinal int, provider string, title string, base_title string, volume int, author string, publisher string, date string, year int, isbn string, image_url string, link string"
 FOLDED = ITEM + ", group_key string, group_no int"
-_ITEM_NAMES = [x.split(" ")[0] for x in ITEM.split(", ")]
+ITEM_NAMES = [x.split(" ")[0] for x in ITEM.split(", ")]
 
 
 def normalise(records: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ class Buckets(dict):
         return len(self.get(key, ()))
 
 
-def _runs(key: str) -> list[tuple[int, str]]:
+def runs_in(key: str) -> list[tuple[int, str]]:
     """Numbers in a key that may be volumes, each with the key without it: not at the start, short, not zero."""
     out = []
     for m in re.finditer("[0-9]+", key):
@@ -74,7 +75,7 @@ def _runs(key: str) -> list[tuple[int, str]]:
 
 def fold_numbers(b: Buckets) -> set[str]:
     """Keys that differ by a number alone are one line of volumes. Buckets with volumes of their own stay. Returns new keys."""
-    runs = {k: [r for r in _runs(k) if all(x.volume in (None, r[0]) for x in own)] for k, own in b.items()}
+    runs = {k: [r for r in runs_in(k) if all(x.volume in (None, r[0]) for x in own)] for k, own in b.items()}
     family: dict[str, int] = {}
     for own in runs.values():
         for bone in {bone for _, bone in own}:
@@ -137,27 +138,6 @@ def fold(records: list[Record]) -> Buckets:
     return b
 
 
-def _fold_query(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("ordinal", kind="stable")
-    records = [Record(i, t or "", None if pd.isna(v) else int(v)) for i, (t, v) in enumerate(zip(frame["base_title"], frame["volume"]))]
-    parts = []
-    for n, (key, own) in enumerate(fold(records).items()):
-        part = frame.iloc[[r.ordinal for r in own]].copy()
-        part["base_title"] = [r.title for r in own]
-        part["volume"] = pd.array([r.volume for r in own], dtype="Int32")
-        part["group_key"], part["group_no"] = key, n
-        parts.append(part)
-    names = [x.strip().split(" ")[0] for x in FOLDED.split(",")]
-    out = pd.concat(parts) if parts else frame.iloc[:0].assign(group_key="", group_no=0)
-    return out[names].astype({"year": "Int32"})
-
-
-def fold_candidates(items: DataFrame) -> DataFrame:
-    """The items of each query with the key and number of their group; items without a key are left out."""
-    d = items.select(*(F.col(n) for n in _ITEM_NAMES))
-    return d.groupBy("query_id").applyInPandas(_fold_query, FOLDED)
-
-
 def _rank() -> F.Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv)), F.col("provider")), F.lit(len(RANK)))
 
@@ -224,18 +204,18 @@ class GroupCandidates:
         if not items.isTable:
             raise ValueError("group_candidates takes a table: group_candidates(TABLE(items))")
         have = {f.name.lower() for f in items.dataType.fields}
-        if missing := [n for n in _ITEM_NAMES if n not in have]:
+        if missing := [n for n in ITEM_NAMES if n not in have]:
             raise ValueError(f"group_candidates needs the columns {', '.join(missing)}")
-        return AnalyzeResult(ddl(FOLDED), partitionBy=[PartitioningColumn("query_id")], orderBy=[OrderingColumn("ordinal")], select=[SelectedColumn(n) for n in _ITEM_NAMES])
+        return AnalyzeResult(ddl(FOLDED), partitionBy=[PartitioningColumn("query_id")], orderBy=[OrderingColumn("ordinal")], select=[SelectedColumn(n) for n in ITEM_NAMES])
 
     def __init__(self):
         self.rows: list[tuple] = []
 
     def eval(self, row: Row) -> None:
-        self.rows.append(tuple(row[n] for n in _ITEM_NAMES))
+        self.rows.append(tuple(row[n] for n in ITEM_NAMES))
 
     def terminate(self) -> Iterator[tuple]:
-        title, volume = _ITEM_NAMES.index("base_title"), _ITEM_NAMES.index("volume")
+        title, volume = ITEM_NAMES.index("base_title"), ITEM_NAMES.index("volume")
         records = [Record(i, r[title] or "", r[volume]) for i, r in enumerate(self.rows)]
         for number, (key, own) in enumerate(fold(records).items()):
             for x in own:

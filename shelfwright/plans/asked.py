@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import candidates, covers, issues, joins, marks, numbers, snapshot, summaries
+from ..operators import candidates, covers, folding, issues, joins, marks, numbers, snapshot, summaries
 from ..session import scratch
 from ..sources import archives, files, images, layout, providers, requests, responses
 from ..streaming import changes
@@ -437,7 +437,7 @@ def _records(spark, d, more: str = "") -> DataFrame:
 
 
 def _groups(spark, d) -> DataFrame:
-    return candidates.groups(candidates.fold_candidates(candidates.normalise(_records(spark, d))))
+    return candidates.groups(folding.fold_candidates(candidates.normalise(_records(spark, d))))
 
 
 _BRAND = "CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT)"
@@ -468,7 +468,7 @@ def folded_groups(spark, d):
     none = F.lit(None).cast("string")
     r = t(spark, d, "customer").select(k.alias("query_id"), F.posexplode(F.array(*titles)).alias("ordinal", "title")).where("title is not null")
     r = r.select("query_id", "ordinal", F.lit("ndl").alias("provider"), "title", none.cast("int").alias("volume"), *(none.alias(c) for c in ("author", "publisher", "date", "isbn", "image_url", "link")))
-    g = candidates.groups(candidates.fold_candidates(candidates.normalise(r)))
+    g = candidates.groups(folding.fold_candidates(candidates.normalise(r)))
     return g.select("query_id", "title", F.array_join("volumes", ",").alias("volumes"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import title_keys
-from ..operators import candidates, covers, joins, snapshot
+from ..operators import candidates, covers, folding, joins, snapshot
 from ..operators.keyed import first_per_key
 from ..operators.numbers import VOLUME
 
@@ -21,7 +21,7 @@ def search(parts: dict[str, DataFrame]) -> DataFrame:
             d = d.withColumn(name, F.lit(None).cast(kind))
     rank = F.create_map(*(F.lit(x) for kv in candidates.RANK.items() for x in kv))
     d = d.withColumn("ordinal", (F.coalesce(F.element_at(rank, F.col("provider")), F.lit(9)) * 100_000 + F.col("ordinal")).cast("int"))
-    return candidates.groups(candidates.fold_candidates(candidates.normalise(d)))
+    return candidates.groups(folding.fold_candidates(candidates.normalise(d)))
 
 
 def bib_of(group_items: DataFrame, at: F.Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import scalars as S
-from ..operators import candidates, covers, keyed, numbers, snapshot
+from ..operators import candidates, covers, folding, keyed, numbers, snapshot
 from ..session import scratch
 from ..sources import providers
 from ..streaming import changes
@@ -167,7 +167,7 @@ def _brand_records(spark, d):
 SELECT p_brand AS query_id, p_name AS title, count(*) AS n_items, count(DISTINCT p_size) AS n_volumes, CAST(min(1990 + p_partkey % 30) AS INT) AS first_year FROM part GROUP BY 1, 2
 """)
 def candidate_groups(spark, d):
-    g = candidates.groups(candidates.fold_candidates(candidates.normalise(_brand_records(spark, d))))
+    g = candidates.groups(folding.fold_candidates(candidates.normalise(_brand_records(spark, d))))
     return g.select(cat("Brand#", F.col("query_id")).alias("query_id"), "title", F.col("n_items").cast("long").alias("n_items"), F.size("volumes").cast("long").alias("n_volumes"), "first_year")
 
 
