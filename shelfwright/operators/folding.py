@@ -94,7 +94,7 @@ def _moved(buckets: DataFrame, ends: DataFrame) -> DataFrame:
 def _numbered(buckets: DataFrame) -> DataFrame:
     """(query_id, key, to, number): a number's key goes to a bucket of two or more records without it, else where others go that differ by it alone."""
     some = buckets.where(F.col("key").rlike("[0-9]")).select(*_BUCKET, "lo", "hi")
-    runs = _written(some.mapInArrow(lambda b: _each(b, _BONES, _bones), "query_id long, key string, at int, number int, bone string"))
+    runs = some.mapInArrow(lambda b: _each(b, _BONES, _bones), "query_id long, key string, at int, number int, bone string")
     kin = runs.groupBy("query_id", "bone").agg(F.count_distinct("key").alias("kin"))
     there = buckets.select("query_id", F.col("key").alias("bone"), "size")
     d = runs.join(kin, ["query_id", "bone"]).join(there, ["query_id", "bone"], "left")
@@ -121,7 +121,7 @@ def _subtitles(buckets: DataFrame) -> DataFrame:
     shorter = keys.join(lengths, ["query_id", "ends"]).select(*_BUCKET, F.filter("lengths", lambda x: x < F.col("n")).alias("lengths"))
     cuts = shorter.where(F.size("lengths") > 0).mapInArrow(lambda b: _each(b, _CUTS, _cuts), "query_id long, long string, key string")
     met = cuts.join(buckets.select(*_BUCKET), _BUCKET).select("query_id", "long", "key")
-    near = _written(met.mapInArrow(lambda b: _each(b, _CUTS, _allowed), "query_id long, long string, key string"))
+    near = met.mapInArrow(lambda b: _each(b, _CUTS, _allowed), "query_id long, long string, key string")
     both = near.select("query_id", F.col("long").alias("key"), F.col("key").alias("to")).union(near.select("query_id", "key", F.col("long").alias("to")))
     order = F.struct("size", "born", "first").alias("o")
     d = both.join(buckets.select(*_BUCKET, order), _BUCKET).join(buckets.select("query_id", F.col("key").alias("to"), order.alias("p")), ["query_id", "to"])
@@ -131,13 +131,10 @@ def _subtitles(buckets: DataFrame) -> DataFrame:
 def fold_candidates(items: DataFrame) -> DataFrame:
     """The items of each query with the key of their group; items without a key are left out. ``group_no`` orders the groups of
     a query: by their first record, those that no record's own key made last."""
-    d = items.select(*ITEM_NAMES).withColumn("key", series_key("base_title")).where("key <> ''")
-    d = _written(d)
-    buckets = _written(d.groupBy(*_BUCKET).agg(F.count("*").alias("size"), F.min("ordinal").alias("first"), F.min("volume").alias("lo"), F.max("volume").alias("hi")))
-    numbered = _written(_numbered(buckets))
-
-    each = buckets.join(numbered, _BUCKET, "left").withColumn("_to", F.coalesce("to", "key"))
-    one = _written(each.groupBy("query_id", F.col("_to").alias("key")).agg(F.sum("size").alias("size"), F.min(F.col("to").isNotNull()).alias("born"), F.min(F.when(F.col("to").isNull(), F.col("first"))).alias("_own"), F.min("first").alias("_any")).select(*_BUCKET, "size", "born", F.coalesce("_own", "_any").alias("first")))
+    d = _written(items.select(*ITEM_NAMES).withColumn("key", series_key("base_title")).where("key <> ''"))
+    buckets = d.groupBy(*_BUCKET).agg(F.count("*").alias("size"), F.min("ordinal").alias("first"), F.min("volume").alias("lo"), F.max("volume").alias("hi"))
+    each = _written(buckets.join(_numbered(buckets), _BUCKET, "left").withColumn("_to", F.coalesce("to", "key")))
+    one = each.groupBy("query_id", F.col("_to").alias("key")).agg(F.sum("size").alias("size"), F.min(F.col("to").isNotNull()).alias("born"), F.min(F.when(F.col("to").isNull(), F.col("first"))).alias("_own"), F.min("first").alias("_any")).select(*_BUCKET, "size", "born", F.coalesce("_own", "_any").alias("first"))
     singles = _ends(_singles(one))
     two = _written(_moved(one, singles))
     subtitles = _ends(_subtitles(two))
