@@ -1,6 +1,7 @@
 """Held-out results and exact answers on a generated corpus, and the whole pipeline on it."""
 
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -100,6 +101,32 @@ def test_language_phrases(monkeypatch):
         assert m.phrases([langid.normal(t) for t in texts]).tolist() == want
 
 
+def test_language_choice_and_score():
+    """Phrases a letter, against what the language needs for text of its own; the score is the share of the likelihoods."""
+    own = {"a": ("the sea and the land and the sky", "the land and the sea"), "b": ("la mer et la terre et le ciel", "la terre et la mer"), "c": ("das meer und das land", "das land")}
+    code = lambda t: langid.normal(t).astype(np.int32)
+    m = langid.Model([(x, langid._flat(code(t)), code(o)) for x, (t, o) in own.items()])
+    norm = lambda t: "".join(map(chr, langid.normal(t)))
+
+    def need(text, of):
+        at, n = 0, 0
+        while at < len(text):
+            size = next((k for k in range(len(text) - at, 0, -1) if text[at : at + k] in of), 1)
+            at, n = at + size, n + 1
+        return n
+
+    letters = lambda t: sum(unicodedata.category(c)[0] == "L" for c in norm(t))
+    usual = {x: need(norm(o), norm(t)) / max(1, letters(o)) for x, (t, o) in own.items()}
+    texts_ = ["the terre und sky", "la mer la mer", "Das Land, das Meer!", "zzz", "and", "7 -", "et le land das ciel the"]
+    for t, (lang, score) in zip(texts_, m.predict(texts_)):
+        if not letters(t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        cost = {x: need(norm(t), norm(own[x][0])) / letters(t) / usual[x] for x in own}
+        assert lang == min(cost, key=lambda x: (cost[x], x))
+        assert abs(score - 1 / sum(np.exp(-8 * (c - min(cost.values()))) for c in cost.values())) < 1e-9
+
+
 def test_language_of_marks_and_signs(spark):
     docs = spark.createDataFrame([(i, ("the sea and the land " if i % 2 else "la mer et la terre ") * 9, ("en", "fr")[i % 2 == 0]) for i in range(20)] + [(90, "½ ² ① ...", "en"), (91, "the sea", None), (92, "ⓐⓑ", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
