@@ -31,7 +31,13 @@ def _rows(f: Callable, kind: str) -> Callable:
     @F.pandas_udf(ddl(kind))
     def run(*columns: pd.Series) -> pd.DataFrame:
         none = lambda v: None if v is None or (isinstance(v, float) and v != v) else v
-        out = [f(*map(none, row)) for row in zip(*columns)]
+        known: dict[tuple, tuple] = {}  # rows that repeat in a batch are read once
+        out = []
+        for row in zip(*columns):
+            row = tuple(map(none, row))
+            if row not in known:
+                known[row] = f(*row)
+            out.append(known[row])
         frame = pd.DataFrame([tuple(r) for r in out], columns=fields) if out else pd.DataFrame(columns=fields)
         for name in (x.strip().split(" ")[0] for x in kind.split(",") if x.strip().endswith(" int")):
             frame[name] = frame[name].astype("Int32")

@@ -67,26 +67,31 @@ def selected(t: Tables, o: Options) -> Tables:
     return Tables(s, *(x.join(ids, "series_id", "left_semi") for x in (t.volumes, t.files, t.bib, t.covers)))
 
 
+def with_missing(d: DataFrame) -> DataFrame:
+    """Adds owned_max, missing and ahead (of the volume line), and has_gap (of any), to what is known and held of each series."""
+    none = F.array().cast("array<bigint>")
+    line = F.get(F.filter("holdings", lambda h: h["unit"] == numbers.VOLUME), F.lit(0))
+    d = d.withColumn("owned_max", F.coalesce(line["max"], F.lit(0).cast("long")))
+    d = d.withColumn("missing", F.coalesce(F.array_except("known", F.coalesce(line["owned"], none)), none))
+    d = d.withColumn("ahead", F.coalesce(F.filter("known", lambda n: n > F.col("owned_max")), none))
+    d = d.withColumn("holdings", F.when(F.size("holdings") > 0, F.col("holdings")))
+    return d.withColumn("has_gap", F.coalesce(F.exists("holdings", lambda h: F.size(h["missing"]) > 0), F.lit(False)))
+
+
 def summaries_of(t: Tables) -> DataFrame:
     """Every present series with counts, holdings, gaps, issues, shelf status and cover: each table aggregated once, then joined on series_id."""
     v = numbers.volumes_by_series(t.volumes).withColumnRenamed("added", "_added")
     d = t.series.where("present").withColumnRenamed("id", "series_id")
     for part in (issues.by_series(issues.files_by_volume(t.files)), v, published(t.bib), C.elect(t.covers).select("series_id", F.col("file").alias("cover"))):
         d = d.join(part, "series_id", "left")
-    none = F.array().cast("array<bigint>")
     d = issues.with_duplicates(d).na.fill(0, ["file_count", "bytes", "loose_files", "care_files"])
     d = d.withColumn("unreadable_files", F.col("loose_files")).withColumn("any_issue", issues.any_issue())
     d = d.withColumn("effective_completed", shelf.effective_completion(F.col("completed_user"), F.col("completed")))
     d = d.withColumn("completed_by", shelf.completed_by(F.col("completed_user"), F.col("completed")))
-    line = F.get(F.filter("holdings", lambda h: h["unit"] == numbers.VOLUME), F.lit(0))
-    d = d.withColumn("owned_max", F.coalesce(line["max"], F.lit(0).cast("long")))
-    d = d.withColumn("missing", F.coalesce(F.array_except("known", F.coalesce(line["owned"], none)), none))
-    d = d.withColumn("ahead", F.coalesce(F.filter("known", lambda n: n > F.col("owned_max")), none))
-    d = d.withColumn("holdings", F.when(F.size("holdings") > 0, F.col("holdings")))
+    d = with_missing(d)
     d = d.withColumn("latest_year", year_of(F.col("latest_date")))
     d = d.withColumn("status", shelf.shelf_status(F.col("completed_by").isNotNull(), F.col("enriched_at").isNull(), F.col("published_max"), F.size("ahead")))
     d = d.withColumn("status_label", shelf.shelf_label(F.col("status"), F.col("owned_max"), F.col("published_max"), F.size("missing"), F.col("latest_year")))
-    d = d.withColumn("has_gap", F.coalesce(F.exists("holdings", lambda h: F.size(h["missing"]) > 0), F.lit(False)))
     return d.withColumn("label", series_label(F.col("author"), F.col("title"))).withColumn("volume_added_at", F.coalesce("_added", "first_seen_at")).drop("_added")
 
 
@@ -147,10 +152,19 @@ def find_files(t: Tables, q: str, limit: int = 60) -> DataFrame:
 
 
 def missing_list(t: Tables, kind: str = "all", limit: int = 200) -> DataFrame:
-    """Series with something to get: later volumes (ahead), holes (gap), or either."""
-    d = summaries_of(t)
+    """Series with something to get: later volumes (ahead), holes (gap), or either.
+
+    Holdings and bibliography alone say which series these are and which of them are on the page; files, covers and the rest
+    are read for the page's series.
+    """
     cond = {"ahead": F.size("ahead") > 0, "gap": F.col("has_gap"), "all": (F.size("ahead") > 0) | F.col("has_gap")}[kind]
-    return summaries.page(d.where(cond), order_of("title"), limit, 0, 1000)
+    d = t.series.where("present").select(F.col("id").alias("series_id"), "title")
+    for part in (numbers.volumes_by_series(t.volumes).select("series_id", "holdings"), published(t.bib).select("series_id", "known")):
+        d = d.join(part, "series_id", "left")
+    ids = F.broadcast(summaries.page(with_missing(d).where(cond), order_of("title"), limit, 0, 1000).select("series_id"))  # a page
+    series = t.series.join(ids.withColumnRenamed("series_id", "id"), "id", "left_semi")
+    cut = Tables(series, *(x.join(ids, "series_id", "left_semi") for x in (t.volumes, t.files, t.bib, t.covers)))
+    return summaries.page(summaries_of(cut), order_of("title"), limit, 0, 1000)
 
 
 def check_owned(t: Tables, queries: DataFrame) -> DataFrame:
