@@ -105,6 +105,18 @@ def fresh_responses(spark, d):
     return responses.fresh(log, F.timestamp_seconds(F.lit(1_900_000_000))).select("user_id", F.col("id").alias("event_id"))
 
 
+@query("""
+WITH kept AS (SELECT event_id AS id, user_id, ts, ts + INTERVAL 1 HOUR * (event_id % 72) AS expires FROM events WHERE event_type = 'view'),
+asked AS (SELECT a.event_id, k.id FROM (SELECT * FROM events WHERE event_type <> 'view') a ASOF JOIN kept k ON a.user_id = k.user_id AND a.ts >= k.ts WHERE a.ts < k.expires)
+SELECT id, (SELECT count(*) FROM asked WHERE asked.id = kept.id) AS hits FROM kept
+""")
+def cached_hits(spark, d):
+    """Views are what is fetched, good for up to three days; the other events of a user ask for it."""
+    e = t(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    log = e.where("event_type = 'view'").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("at").alias("fetched_at"), (F.col("at") + F.make_dt_interval(hours=F.col("event_id") % 72)).alias("expires_at"))
+    return responses.with_hits(log, e.where("event_type <> 'view'").select(F.col("user_id").alias("key"), "at")).select("id", "hits")
+
+
 @query("SELECT p_partkey, sha256('ndl' || chr(10) || 'https://x/' || p_partkey) AS key, left(sha256(p_name), 32) || '.jpg' AS name, lower(to_base(p_size, 36)) || '-' || lower(to_base(1700000000000 + p_partkey, 36)) AS version FROM part")
 def keys_and_versions(spark, d):
     url = cat("https://x/", key())

@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Collection
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cache_key
@@ -52,6 +52,26 @@ def expiry(status: Column, at: Column) -> Column:
     return at + F.make_dt_interval(mins=minutes)
 
 
+def in_force(log: DataFrame, tie: str = "id") -> DataFrame:
+    """The log with ``until``: a response answers from when it was fetched until it expires or the next of its key is kept."""
+    following = F.lead("fetched_at").over(Window.partitionBy("key").orderBy("fetched_at", tie))
+    return log.withColumn("until", F.least("expires_at", following))
+
+
+def with_hits(log: DataFrame, asked: DataFrame, tie: str = "id") -> DataFrame:
+    """The log with ``hits``: how many requests (key, at) each response answered.
+
+    Requests of one key and time are one row before they meet the responses, and they meet by key and day, so that neither a
+    key that is asked for all the time nor a long time of one response is a task of its own. ``tie`` is unique.
+    """
+    days = F.explode(F.sequence(F.to_date("fetched_at"), F.to_date("until"), F.expr("interval 1 day")))
+    force = in_force(log, tie).where("fetched_at < until").select(tie, "key", "fetched_at", "until", days.alias("_day"))
+    few = asked.groupBy("key", "at").agg(F.count("*").alias("_n")).withColumn("_day", F.to_date("at"))
+    met = few.join(force, ["key", "_day"]).where((F.col("at") >= F.col("fetched_at")) & (F.col("at") < F.col("until")))
+    hits = met.groupBy(tie).agg(F.sum("_n").alias("hits"))
+    return log.join(hits, tie, "left").withColumn("hits", F.coalesce("hits", F.lit(0))).select(*log.columns, "hits")
+
+
 class Throttle:
     """Least seconds between two requests to one provider. It lives on the driver: executors never ask."""
 
