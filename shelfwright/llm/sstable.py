@@ -344,19 +344,17 @@ def documents_of(shards: DataFrame) -> DataFrame:
 
 def lookup(shards: DataFrame, ids: list[int]) -> DataFrame:
     """(doc_id, ids) of the listed documents. Index, Bloom filter and footer of the shards whose range holds one tell the blocks; only their rows are read."""
-    want, cond, where = sorted(ids), F.lit(False), F.lit(False)
-    for i in want:
-        cond = cond | F.col("first_id").isNull() | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+    want, spark = sorted(set(ids)), shards.sparkSession
+    inside = (F.col("first_id") <= max(want, default=0)) & (F.col("last_id") >= min(want, default=0))  # reaches the scan
+    cond = F.col("first_id").isNull() | inside & F.exists(F.array(*map(F.lit, want)).cast("array<long>"), lambda i: (F.col("first_id") <= i) & (F.col("last_id") >= i))
     tails = shards.where((F.col("section") >= INDEX) & cond).groupBy("part", "file").agg(F.sort_array(F.collect_list(F.struct("section", "bytes"))).alias("x"))
-    found: dict[tuple[int, int], list[int]] = {}
+    blocks: list[tuple[int, int, int]] = []  # a few for each id
     width = 2
     for r in tails.toLocalIterator():
         reader = Reader(b"".join(bytes(x["bytes"]) for x in r["x"]), True)
         width = reader.width
-        if own := sorted({k for i in want for k in reader.blocks_of(key_of(i))}):
-            found[r["part"], r["file"]] = own
-    for (part, file), own in found.items():
-        where = where | ((F.col("part") == part) & (F.col("file") == file) & F.col("section").isin(own))
+        blocks += ((r["part"], r["file"], k) for k in sorted({k for i in want for k in reader.blocks_of(key_of(i))}))
+    wanted = F.broadcast(spark.createDataFrame(blocks, shards.select("part", "file", "section").schema))
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = {key_of(i) for i in want}
@@ -364,7 +362,7 @@ def lookup(shards: DataFrame, ids: list[int]) -> DataFrame:
             out = [(id_of(key), x.tolist()) for data in b.column(0).to_pylist() for key, x in entries(data, width) if key in keys]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return shards.where(where).select("bytes").mapInArrow(get, "doc_id long, ids array<long>")
+    return shards.join(wanted, ["part", "file", "section"], "left_semi").select("bytes").mapInArrow(get, "doc_id long, ids array<long>")
 
 
 def export(shards: DataFrame, folder: str) -> list[str]:

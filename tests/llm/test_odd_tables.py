@@ -70,6 +70,9 @@ def test_sstable(spark, odd, empty):
     assert shards.where(f"section = {sstable.FOOTER}").count() > 1
     for i in (10, 60, 62):
         assert sorted(len(r.ids) for r in sstable.lookup(shards, [i, 999]).collect()) == sorted(n for n, _ in want[i])
+    many = [i for i in want if i is not None]
+    assert sorted((r.doc_id, len(r.ids)) for r in sstable.lookup(shards, many + many + list(range(10**6, 10**6 + 500))).collect()) == sorted((i, n) for i in many for n, _ in want[i])
+    assert sstable.lookup(shards, []).count() == 0
     assert sstable.documents_of(sstable.write_shards(empty, path)).count() == 0
 
 
