@@ -96,7 +96,8 @@ def deduplicate(docs: DataFrame, every_digest: bool = False, bits: int = BITS) -
     rows = materialize(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
     compared = rows.where("whole is not null")
     key = ["length", "head", "whole"]
-    groups = compared.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last"))
+    # written, so that the way back is a join of two tables, whose large keys can be split
+    groups = materialize(compared.groupBy(*key).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("last")), "groups")
     met = compared.join(groups, key).select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "digest")
     alone = rows.where("whole is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     return alone.union(met)
