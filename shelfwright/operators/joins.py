@@ -64,9 +64,14 @@ def keys_compatible(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: (x != "") & (y != "") & (F.startswith(x, y) | F.startswith(y, x))))
 
 
+def folded_author(c: Column) -> Column:
+    """The author without white space and case; empty if there is none."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s　]+", "")
+
+
 def authors_compatible(a: Column, b: Column) -> Column:
     """Equal or contained either way once white space is gone and case is folded; an empty side passes."""
-    x, y = (F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s　]+", "") for c in (a, b))
+    x, y = folded_author(a), folded_author(b)
     return (x == "") | (y == "") | F.contains(x, y) | F.contains(y, x)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registry import series_key, split_google, split_rakuten
-from ..operators.joins import authors_compatible
+from ..operators.joins import authors_compatible, folded_author
 from ..operators.keyed import first_per_key
 
 NDL = "https://ndlsearch.ndl.go.jp/api/opensearch"
@@ -97,11 +97,22 @@ def by_isbn(wanted: DataFrame, records: DataFrame) -> DataFrame:
     return first_per_key(d, ["id"], [F.desc(image & F.coalesce(large, F.lit(False))), F.desc(image), F.col("ordinal")])
 
 
+def _read_once(df: DataFrame, text: str, **read: Callable[[Column], Column]) -> DataFrame:
+    """Adds what Python reads from a text. Each distinct text is read once, by as many tasks as a shuffle has, however few the input's."""
+    one = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    return df.join(one.select("_text", *(f(F.col("_text")).alias(name) for name, f in read.items())), F.col(text) == F.col("_text")).drop("_text")
+
+
 def by_title(wanted: DataFrame, records: DataFrame, provider: str) -> DataFrame:
     """wanted (id, title, author, volume) with the first record that has an image, the volume, the same key, and no other author."""
-    split: Column = {"rakuten": split_rakuten, "google": split_google}[provider](F.col("title"))
-    r = records.where("image_url is not null").withColumn("_s", split)
-    r = r.withColumn("_key", series_key("_s.base")).withColumn("volume", F.col("_s.volume")).withColumnRenamed("author", "_author").drop("_s")
-    w = wanted.select("id", F.col("author").alias("_want"), "volume", series_key("title").alias("_key")).where("_key <> ''")
-    d = w.join(r, ["_key", "volume"]).where(authors_compatible(F.col("_want"), F.col("_author")))
-    return first_per_key(d, ["id"], [F.col("ordinal")]).withColumnRenamed("_author", "author").drop("_key", "_want")
+    split = {"rakuten": split_rakuten, "google": split_google}[provider]
+    r = _read_once(records.where("image_url is not null").drop("volume"), "title", _s=split)
+    r = _read_once(r.select("*", F.col("_s.base").alias("_base"), F.col("_s.volume").alias("volume")).drop("_s"), "_base", _key=series_key).drop("_base").withColumnRenamed("author", "_author")
+    r = first_per_key(r.where("_key <> ''").withColumn("_who", folded_author(F.col("_author"))), ["_key", "volume", "_who"], [F.col("ordinal")])
+    w = _read_once(wanted, "title", _key=series_key).select("id", folded_author(F.col("author")).alias("_want"), "volume", "_key").where("_key <> ''")
+    # authors meet once for each key and volume, however many works and records have them
+    asked = w.select("_key", "volume", "_want").distinct()
+    d = asked.join(r, ["_key", "volume"]).where(authors_compatible(F.col("_want"), F.col("_who")))
+    best = first_per_key(d, ["_key", "volume", "_want"], [F.col("ordinal")])
+    d = w.join(best, ["_key", "volume", "_want"])
+    return first_per_key(d, ["id"], [F.col("ordinal")]).withColumnRenamed("_author", "author").drop("_key", "_want", "_who")
