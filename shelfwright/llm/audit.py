@@ -42,6 +42,7 @@ _LETTERS = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else
 
 _TRIE = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("leaves", pa.int32()), ("sources", pa.list_(pa.string())), ("rest", pa.list_(pa.binary())), ("many", pa.list_(pa.int32())), ("source", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 _TRIE_DDL = "lang string, prefix binary, leaves int, sources array<string>, rest array<binary>, many array<int>, source array<int>, n array<long>, docs array<long>"
+_NUMBERS = ("many", "source", "n", "docs")
 _KEPT = pa.schema([("lang", pa.string()), ("block", pa.string()), ("place", pa.int32()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
 _KEPT_DDL = "lang string, block string, place int, term string, source string, n long, total long"
 _FOUND_DDL = "lang string, part string, source string, item string, value long"
@@ -58,17 +59,19 @@ class Trie:
         """The number of the term's leaf, which is made if it is missing."""
         node, i, n = self.root, 0, len(term)
         while i < n:
-            kid = node[2].get(term[i])
+            kids, c = node[2], term[i]
+            kid = kids.get(c)
             if kid is None:
-                kid = node[2][term[i]] = [term[i:], -1, {}]
-                node, i = kid, n
-                continue
+                kids[c] = [term[i:], self.size, {}]
+                self.size += 1
+                return self.size - 1
             label = kid[0]
-            if not term.startswith(label, i):
-                k = next((k for k, (a, b) in enumerate(zip(label, term[i:])) if a != b), n - i)
-                mid = node[2][term[i]] = [label[:k], -1, {label[k]: kid}]
-                kid[0], kid = label[k:], mid
-            node, i = kid, i + len(kid[0])
+            m = len(label)
+            if m > 1 and not term.startswith(label, i):
+                m = next((k for k, (a, b) in enumerate(zip(label, term[i:])) if a != b), n - i)
+                mid = kids[c] = [label[:m], -1, {label[m]: kid}]
+                kid[0], kid = label[m:], mid
+            node, i = kid, i + m
         if node[1] < 0:
             node[1], self.size = self.size, self.size + 1
         return node[1]
@@ -78,9 +81,11 @@ class Trie:
         todo = [(b"", self.root)]
         while todo:
             above, (label, number, kids) = todo.pop()
+            here = above + label
             if number >= 0:
-                yield above + label, number
-            todo += ((above + label, kids[c]) for c in sorted(kids, reverse=True))
+                yield here, number
+            if kids:
+                todo += [(here, kids[c]) for c in sorted(kids, reverse=True)]
 
 
 class Leaves:
@@ -88,13 +93,22 @@ class Leaves:
 
     def __init__(self):
         self.trie, self.names, self.parts = Trie(), {}, []
+        #: Numbers of leaves that other subtries of a merge may ask for again.
+        self.known: dict[bytes, int] | None = None
 
     def sources(self, names: list[str]) -> np.ndarray:
         return np.array([self.names.setdefault(s, len(self.names)) for s in names], np.int64)
 
     def add(self, terms: list[bytes], which: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
         """Adds to the counters of (term number ``which``, source); a pair may come more than once."""
-        leaf = np.fromiter(map(self.trie.leaf, terms), np.int64, len(terms))
+        if self.known is None:
+            leaf = np.fromiter(map(self.trie.leaf, terms), np.int64, len(terms))
+        else:
+            known = self.known
+            for t in terms:
+                if t not in known:
+                    known[t] = self.trie.leaf(t)
+            leaf = np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
         self.parts.append((leaf[which], source, n, docs))
 
     def sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,14 +202,14 @@ def _tries(batches: Iterator[pa.RecordBatch], depth: int, most: int) -> Iterator
 
 def _read(row: dict, into: Leaves, above: bytes = b"") -> None:
     """Merges a subtrie into a trie."""
-    many, own = np.array(row["many"]), into.sources(row["sources"])
-    into.add([above + x for x in row["rest"]], np.repeat(np.arange(len(many)), many), own[row["source"]], np.array(row["n"]), np.array(row["docs"]))
+    many, own = row["many"], into.sources(row["sources"])
+    into.add([above + x for x in row["rest"]] if above else row["rest"], np.repeat(np.arange(len(many)), many), own[row["source"]], row["n"], row["docs"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(len(b)):  # one subtrie in memory at a time
-            yield {name: b.column(k)[i].as_py() for k, name in enumerate(_TRIE.names)}
+            yield {name: b.column(k)[i].values.to_numpy() if name in _NUMBERS else b.column(k)[i].as_py() for k, name in enumerate(_TRIE.names)}
 
 
 def _deeper(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -255,11 +269,13 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, bytes, bool], Leaves]]:
     """(language, prefix, whether it is the language's last here) and the merged trie of each prefix."""
     now, leaves = None, Leaves()
+    leaves.known = {}
     for row in _rows(batches):
         key = (row["lang"], row["prefix"])
         if now and key != now:
             yield (*now, key[0] != now[0]), leaves
             leaves = Leaves()
+            leaves.known = {}
         now = key
         _read(row, leaves)
     if now:

@@ -90,3 +90,23 @@ def test_against_sql(spark):
     want, got = con.sql(audit.OP13_SQL), audit.op13_audit(spark, SF)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_a_merge_asks_the_trie_once_for_each_term(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from shelfwright.llm import audit
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abé", k=rng.randrange(1, 6))) for _ in range(200)]
+    docs = lambda: pa.RecordBatch.from_pydict({"lang": ["l"] * 9, "source": [rng.choice("st") for _ in range(9)], "text": [" ".join(rng.choices(words, k=50)).encode() for _ in range(9)]})
+    seen = [docs() for _ in range(4)]
+    cut = pa.concat_tables(pa.Table.from_batches(audit._tries(iter([b]), 1, 1 << 18)) for b in seen).sort_by([("lang", "ascending"), ("prefix", "ascending")])
+    asked, leaf = [], audit.Trie.leaf
+    monkeypatch.setattr(audit.Trie, "leaf", lambda self, term: asked.append(term) or leaf(self, term))
+    rows = pa.Table.from_batches(audit._merge(iter(cut.to_batches()), 1))
+    terms = [t for b in seen for x in b["text"].to_pylist() for t in x.decode().split()]
+    assert len(asked) == len(set(terms)) and sum(rows["n"].to_pylist()) == len(terms)
+    assert {(t, n) for t, n in zip(rows["term"].to_pylist(), rows["total"].to_pylist())} == {(t, terms.count(t)) for t in terms}
