@@ -6,9 +6,11 @@ equal ones. Runs of windows with one minimizer form a piece of text, and pieces
 1. Texts are put in blocks of about ``BLOCK`` bytes. Each block reports its distinct minimizers to shards by hash, and
    gets back which of them another document has too, one bit each.
 2. Each block cuts its documents into pieces, keeps those whose minimizer is shared, each distinct one once with its
-   smallest and largest document, and sends them to shards by minimizer.
-3. Each shard sorts its pieces' suffixes by induced sorting and computes permuted common prefixes; neighbours that agree
-   in ``width`` bytes are equal windows, and their smallest document is theirs. What concerns a block goes back to it.
+   smallest and largest document, and sends them to tasks by minimizer.
+3. Each task works through its pieces in shards by minimizer. What only one document can have is left out: windows of a
+   piece of one document whose hash comes once. The suffixes of the others are sorted by induced sorting, and their
+   permuted common prefixes computed; neighbours that agree in ``width`` bytes are equal windows, and their smallest
+   document is theirs. What concerns a block goes back to it, one row for each task.
 4. Each block marks the bytes of its documents that a window with a smaller document covers, and takes them out.
 
 A text, passage or line in very many documents is reported once per block, so no key gathers rows in proportion to its
@@ -16,6 +18,10 @@ documents; equal pieces are put together before sorting, by their bytes. A minim
 split further by a second hash of the window's grams, and so are, in a shard, pieces of one minimizer that hold more text
 than one suffix array takes.
 
+Equal windows have their minimizer's gram at one distance. So a piece goes into the array as what stands before that gram
+and one symbol, the name in order of what follows from there on; pieces that have the gram more than once, and all others of
+its minimizer, go in whole.
+
 Defined cases: null texts are empty; ties, equal texts with one id included, remove nothing from each other; a null doc_id counts as smaller than all; rows that repeat a doc_id are no smaller
 documents to each other; texts shorter than ``width`` bytes lose nothing; an empty table gives an empty one.
 """
@@ -38,7 +44,12 @@ from .common import discard, materialize, table, texts
 from .suffix import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 16
-BLOCK, SHARD, TEXT, HASHES, HOT = 4 << 20, 2 << 20, 1 << 20, 1_000_000, 64
+BLOCK, SHARD, TEXT, HOT = 4 << 20, 4 << 20, 1 << 20, 64
+#: What one task takes at most of minimizers and of pieces, and at least, while there are fewer tasks than ``TASKS``. Rows
+#: between blocks and tasks are as many as the tasks, so tasks are large; they work through pieces a shard at a time.
+HASHES, FEW_HASHES, PART, FEW, TASKS = 4_000_000, 1_000_000, 48 << 20, 2 << 20, 96
+#: Found runs that a task holds before it sends them.
+FOUND_AT_ONCE = 1 << 21
 NULL_ID = -(1 << 63)
 #: Places of repeated windows that are looked at together.
 AT_ONCE = 1 << 18
@@ -47,8 +58,11 @@ BLOCKS = "block long, n long, ids binary, sizes binary, text binary"
 _BLOCKS = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 
 
+_ZSTD = zstandard.ZstdCompressor(level=1)
+
+
 def _zip(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    return _ZSTD.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def _unzip(x: bytes, kind: str) -> np.ndarray:
@@ -173,6 +187,13 @@ def _share(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key * _ODD[2]) >> np.uint64(33)).astype(np.int64) % shards
 
 
+def _by_value(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value and the places where it stands, both ascending."""
+    order = np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else []:
+        yield int(x[own[0]]), own
+
+
 _REPORT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("several", pa.binary())])
 REPORT = "shard int, block long, hashes binary, several binary"
 
@@ -181,9 +202,7 @@ def _report(batches: Iterator[pa.RecordBatch], shards: int, width: int, gram: in
     for b in batches:
         for block, _, ids, sizes, text in zip(*(c.to_pylist() for c in b.columns)):
             value, several = Block(ids, sizes, text, width, gram).distinct()
-            to = _share(value, shards)
-            for s in np.unique(to).tolist():
-                own = np.flatnonzero(to == s)
+            for s, own in _by_value(_share(value, shards)):
                 # 6 of the 8 bytes hold the 48 bits
                 six = value[own].view(np.uint8).reshape(-1, 8)[:, :6]
                 yield _batch(_REPORT, s, block, six.tobytes(), np.packbits(several[own]).tobytes())
@@ -235,9 +254,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
         for block, _, ids, sizes, text, answers in zip(*(c.to_pylist() for c in b.columns)):
             x = Block(ids, sizes, text, width, gram)
             value, _ = x.distinct()
-            to, shared, hot = _share(value, ask), np.zeros(len(value), bool), np.zeros(len(value), bool)
+            to, shared, hot = dict(_by_value(_share(value, ask))), np.zeros(len(value), bool), np.zeros(len(value), bool)
             for a in answers or []:
-                own = np.flatnonzero(to == a["shard"])
+                own = to[a["shard"]]
                 shared[own] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=len(own))
                 hot[own] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=len(own))
             shared, hot = value[shared], value[hot & shared]
@@ -259,9 +278,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], shards: int, ask: int, width: int
             np.maximum.at(hi, number, x.ids[doc])
             own = np.empty(len(index), np.uint64)
             own[number] = key
-            pieces, goes = list(index), _share(own, shards)
-            for s in np.unique(goes).tolist():
-                k = np.flatnonzero(goes == s)
+            pieces = list(index)
+            for s, k in _by_value(_share(own, shards)):
                 parts = [pieces[i] for i in k.tolist()]
                 yield _batch(_CUT, block, s, _tight(k), _tight(np.array(list(map(len, parts)))), _zip(b"".join(parts)), _tight(lo[k]), _tight(hi[k]), b"", b"")
 
@@ -270,22 +288,118 @@ _FOUND = pa.schema([("block", pa.int64()), ("piece", pa.binary()), ("offset", pa
 FOUND = "block long, piece binary, offset binary, n binary, first binary"
 
 
-def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of the pieces numbered ``rest``, from the suffix array of their text."""
-    flat = np.frombuffer(b"".join(pieces[i] for i in rest.tolist()), np.uint8)
+def _runs_of(rest: np.ndarray, owner: np.ndarray, offset: np.ndarray, by: np.ndarray, new: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one smallest document: ``by`` has the windows in suffix order, ``new`` where one differs from the one before."""
+    first = np.minimum.reduceat(lo[rest][owner[by]], np.flatnonzero(new))
+    doc = np.empty(len(owner), np.int64)
+    doc[by] = first[np.cumsum(new) - 1]
+    start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(owner) != 0)))
+    return rest[owner[start]], offset[start], np.diff(np.append(start, len(doc))), doc[start]
+
+
+def _windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and offset of each window, ``w`` of each piece."""
+    return np.repeat(np.arange(len(w), dtype=np.int32), w), np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
+
+
+def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows: np.ndarray, lo: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of the pieces numbered ``rest``, from suffix arrays."""
+    raw = np.frombuffer(b"".join(pieces[i] for i in rest.tolist()), np.uint8)
     n, w = size[rest], windows[rest]
+    anchor, whole = _anchors(raw, n, width, gram)
+    out = []
+    for own, find in ((~whole, partial(_anchored, anchor=anchor[~whole])), (whole, _unanchored)):
+        if own.all():
+            return find(raw, rest, n, w, lo, width)
+        if own.any():
+            out.append(find(raw[np.repeat(own, n)], rest[own], n[own], w[own], lo, width))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _anchors(raw: np.ndarray, n: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece has the gram of its minimizer, and the pieces that need their whole text sorted: those with it more
+    than once, with all others of that minimizer, or all if windows of a piece have more than one minimizer."""
+    begin = np.cumsum(n) - n
+    h = np.full(len(raw), np.iinfo(np.uint64).max)
+    h[: len(raw) - gram + 1] = minimizers(raw, gram, gram)
+    grams = n - gram + 1
+    at = np.repeat(begin - (np.cumsum(grams) - grams), grams) + np.arange(int(grams.sum()))
+    h = h[at]
+    edge = np.cumsum(grams) - grams
+    least = np.minimum.reduceat(h, edge)
+    place = np.flatnonzero(h == np.repeat(least, grams))
+    owner = np.searchsorted(edge, place, "right") - 1
+    first = np.searchsorted(owner, np.arange(len(n)))
+    anchor = place[first] - edge
+    several = np.diff(np.append(first, len(owner))) > 1
+    several |= np.isin(least, least[several])
+    if ((anchor > width - gram) | (anchor < n - width))[~several].any():
+        several[:] = True
+    elif several.any():  # a piece whose windows lack its least gram may share them with any other
+        gap = np.maximum(np.diff(place, prepend=0), 1)
+        gap[first] = 0
+        last = place[np.append(first[1:], len(owner)) - 1] - edge
+        if ((anchor > width - gram) | (last < n - width) | (np.maximum.reduceat(gap, first) > width - gram + 1))[several].any():
+            several[:] = True
+    return anchor, several
+
+
+def _anchored(raw: np.ndarray, rest: np.ndarray, n: np.ndarray, w: np.ndarray, lo: np.ndarray, width: int, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of pieces that have the gram of their minimizer once. Equal windows have it at equal distance, so it stands in
+    the array as one symbol for what follows it, named in order; what goes before is induced from these."""
+    begin = np.cumsum(n) - n
+    length = n - anchor
+    words = np.zeros((len(rest), -(-width // 8) * 8), np.uint8)
+    for k in range(words.shape[1]):
+        has = np.flatnonzero(length > k)
+        words[has, k] = raw[(begin + anchor)[has] + k]
+    words = words.view(">u8").astype(np.uint64)
+    by = np.lexsort((length, *words.T[::-1]))
+    rank = np.empty(len(rest), np.int64)
+    rank[by] = np.cumsum(np.append(False, (words[by[1:]] != words[by[:-1]]).any(axis=1) | (length[by[1:]] != length[by[:-1]])))
+    end = np.cumsum(anchor + 1)
+    text = np.zeros(int(end[-1]) + 1, np.uint32)
+    start = end - anchor - 1
+    before = np.repeat(begin - (start - np.arange(len(rest))), anchor) + np.arange(int(anchor.sum()))
+    chars = np.ones(len(text), bool)
+    chars[end - 1] = chars[-1] = False
+    text[chars] = raw[before].astype(np.uint32) + 1
+    text[end - 1] = rank + 257
+    if text.max() < 1 << 16:
+        text = text.astype(np.uint16)
+    owner, offset = _windows(w)
+    position = start.astype(np.int32)[owner] + offset
+    ahead = anchor.astype(np.int32)[owner] - offset
+    sa = suffix_array(text)
+    common = permuted_prefixes(text, sa)[position]
+    number = np.full(len(text), -1, np.int32)
+    number[position] = np.arange(len(position), dtype=np.int32)
+    every = number[sa]
+    at = np.flatnonzero(every >= 0)  # at[0] > 0, as the end stands first
+    by, before = every[at], every[at - 1]
+    same = (before >= 0) & (ahead[before] == ahead[by]) & (common[by] >= ahead[by])
+    # the symbols before are the same, and so is what follows if its names are; else it is the same as far as the window goes
+    left = np.flatnonzero(same & (common[by] == ahead[by]))
+    x, y, need = words[owner[by[left]]], words[owner[before[left]]], width - ahead[by[left]]
+    for k in range(words.shape[1]):
+        shift = np.clip(64 - 8 * (need - 8 * k), 0, 63).astype(np.uint64)
+        same[left] &= (need <= 8 * k) | ((x[:, k] ^ y[:, k]) >> shift == 0)
+    return _runs_of(rest, owner, offset, by, ~same, lo)
+
+
+def _unanchored(raw: np.ndarray, rest: np.ndarray, n: np.ndarray, w: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Windows of any pieces, from the suffix array of their whole text."""
     end = np.cumsum(n + 1)
     text = np.empty(int(end[-1]) + 1, np.uint16)
     text[end - 1] = 1
     text[-1] = 0
     letters = np.ones(len(text), bool)
     letters[end - 1] = letters[-1] = False
-    text[letters] = flat.astype(np.uint16) + 2
+    text[letters] = raw.astype(np.uint16) + 2
     begin = end - n - 1
-    owner = np.repeat(np.arange(len(rest), dtype=np.int32), w)
-    offset = np.arange(int(w.sum()), dtype=np.int32) - np.repeat((np.cumsum(w) - w).astype(np.int32), w)
+    owner, offset = _windows(w)
     position = begin.astype(np.int32)[owner] + offset
-    del flat, letters
+    del letters
     sa = suffix_array(text)
     same = permuted_prefixes(text, sa) >= width  # windows hold letters alone, so no separator is among these
     number = np.full(len(text), -1, np.int32)
@@ -293,12 +407,7 @@ def _first_in(pieces: list[bytes], rest: np.ndarray, size: np.ndarray, windows:
     by = number[sa]
     by = by[by >= 0]  # windows in suffix order
     del sa, number
-    new = ~same[position[by]]
-    first = np.minimum.reduceat(lo[rest][owner[by]], np.flatnonzero(new))
-    doc = np.empty(len(position), np.int64)
-    doc[by] = first[np.cumsum(new) - 1]
-    start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(owner) != 0)))
-    return rest[owner[start]], offset[start], np.diff(np.append(start, len(doc))), doc[start]
+    return _runs_of(rest, owner, offset, by, ~same[position[by]], lo)
 
 
 def _again(pieces: list[bytes], lo: np.ndarray, width: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -317,6 +426,33 @@ def _again(pieces: list[bytes], lo: np.ndarray, width: int, gram: int) -> tuple[
     return texts_, key[start], lo[owner[start]], owner[start], start - begin[owner[start]]
 
 
+def _repeated(pieces: list[bytes], lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each piece that two documents may have, and how many windows on the last one ends (0: none may):
+    all of a piece that several documents have, and those whose hash comes more than once. The others are in one document."""
+    size = np.array(list(map(len, pieces)), np.int64)
+    w = size - width + 1
+    owner, offset = _windows(w)
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    h = minimizers(raw, width, width)[(np.cumsum(size) - size)[owner] + offset]
+    by = np.argsort(h)
+    equal = np.diff(h[by]) == 0
+    may = np.zeros(len(h), bool)
+    may[by[1:][equal]] = may[by[:-1][equal]] = True
+    may |= (lo < hi)[owner]
+    start, stop = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    own = np.flatnonzero(may)
+    new = _firsts(owner[own])
+    start[owner[own[new]]] = offset[own[new]]
+    last = own[np.append(new[1:], len(own)) - 1] if len(own) else own
+    stop[owner[last]] = offset[last] + 1
+    return start, stop
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width: int, gram: int = GRAM, cut: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of distinct pieces whose smallest document is the same: piece, first window, windows, document.
 
@@ -345,7 +481,7 @@ def first_documents(pieces: list[bytes], key: np.ndarray, lo: np.ndarray, width:
             found = by[np.repeat(span[number] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
             out.append((own[owner[part]], offset[part] + at[found], n[found], first[found]))
         else:
-            out.append(_first_in(pieces, own, size, windows, lo, width))
+            out.append(_first_in(pieces, own, size, windows, lo, width, gram))
         k = last
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -358,33 +494,60 @@ def _distinct(parts: list[bytes], keys: np.ndarray, docs: np.ndarray, index: dic
     return [p for p, _ in index], np.array([k for _, k in index], np.uint64), least
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], shard: int, width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task, those of about ``shard`` bytes together."""
     for rows in _groups(batches):
-        index: dict[bytes, int] = {}
-        los, sent = [], []
-        for _, block, number, sizes, text, lo, hi in rows:
-            raw, n = _unzip(text, np.uint8).tobytes(), _loose(sizes)
-            end = np.cumsum(n).tolist()
-            mine = np.array([index.setdefault(raw[e - s : e], len(index)) for s, e in zip(n.tolist(), end)], np.int64)
-            los.append((mine, _loose(lo)))
-            sent.append((block, mine, _loose(number), _loose(hi)))
-        pieces, least = list(index), np.full(len(index), np.iinfo(np.int64).max)
+        blocks = [r[1] for r in rows]
+        raw = b"".join(zstandard.ZstdDecompressor().decompress(r[4]) for r in rows)
+        number, size, lo, hi = (np.concatenate([_loose(r[k]) for r in rows]) for k in (2, 3, 5, 6))
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [_count(r[3]) for r in rows])
+        del rows
+        begin = np.cumsum(size) - size
+        letters = np.frombuffer(raw, np.uint8)
         # all windows of a piece have one minimizer, so that of the first is the piece's
-        key = minimizers(np.frombuffer(b"".join(p[:width] for p in pieces), np.uint8), width, gram)[::width]
-        for mine, x in los:
-            np.minimum.at(least, mine, x)
-        piece, offset, n, first = first_documents(pieces, key, least, width, gram)
-        by = np.argsort(piece, kind="stable")
-        piece, offset, n, first = piece[by], offset[by], n[by], first[by]
-        edge = np.searchsorted(piece, np.arange(len(index) + 1))
-        for block, mine, number, hi in sent:
+        key = np.empty(len(size), np.uint64)
+        for at in range(0, len(size), _CHUNK >> 3):
+            heads = letters[(begin[at : at + (_CHUNK >> 3), None] + np.arange(width)).ravel()]
+            key[at : at + (_CHUNK >> 3)] = minimizers(heads, width, gram)[::width]
+        held, many = [], 0
+        for _, own in _by_value(((key * _ODD[3]) >> np.uint64(33)).astype(np.int64) % -(-len(raw) // shard)):
+            index: dict[bytes, int] = {}
+            mine = np.array([index.setdefault(raw[s : s + n], len(index)) for s, n in zip(begin[own].tolist(), size[own].tolist())], np.int64)
+            least, most, of = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min), np.empty(len(index), np.uint64)
+            np.minimum.at(least, mine, lo[own])
+            np.maximum.at(most, mine, hi[own])
+            of[mine] = key[own]
+            start, stop = _repeated(list(index), least, most, width)
+            some = np.flatnonzero(stop)
+            parts = [p[s : e + width - 1] for p, s, e in zip(index, start.tolist(), stop.tolist()) if e]
+            piece, offset, n, first = first_documents(parts, of[some], least[some], width, gram)
+            piece, offset = some[piece], offset + start[some[piece]]
+            by = np.argsort(piece, kind="stable")
+            piece, offset, n, first = piece[by], offset[by], n[by], first[by]
+            edge = np.searchsorted(piece, np.arange(len(index) + 1))
             count = edge[mine + 1] - edge[mine]
             k = np.repeat(edge[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            own = np.repeat(np.arange(len(mine)), count)
+            own = np.repeat(own, count)
             ok = first[k] < hi[own]
-            if ok.any():
-                k, own = k[ok], own[ok]
-                yield _batch(_FOUND, block, _tight(number[own]), _tight(offset[k]), _tight(n[k]), _tight(first[k]))
+            k, own = k[ok], own[ok]
+            held.append((row[own], number[own], offset[k], n[k], first[k]))
+            many += len(own)
+            if many >= FOUND_AT_ONCE:
+                yield from _send(blocks, held)
+                held, many = [], 0
+        yield from _send(blocks, held)
+
+
+def _count(x: bytes) -> int:
+    return zstandard.frame_content_size(x) // 8
+
+
+def _send(blocks: list[int], held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """What was found, a row for each block."""
+    if held:
+        row, *found = (np.concatenate(c) for c in zip(*held))
+        for r, own in _by_value(row):
+            yield _batch(_FOUND, blocks[r], *(_tight(x[own]) for x in found))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -425,22 +588,27 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
 
 
+def _tasks(total: int, least: int, most: int) -> int:
+    """Into how many parts a total goes: of ``least`` each up to ``TASKS``, then of ``most`` at most."""
+    return int(max(1, -(-total // most), min(TASKS, -(-total // least))))
+
+
 def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges (starts, ends)."""
     blocks = materialize(texts(docs).mapInArrow(partial(_collect, block=block), BLOCKS), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ask = int(max(1, -(-total // (HASHES * (width - gram + 2) // 2))))
+    ask = _tasks(2 * total // (width - gram + 2), FEW_HASHES, HASHES)
     report = blocks.mapInArrow(partial(_report, shards=ask, width=width, gram=gram), REPORT)
     answers = report.repartitionById(ask, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_answer, hot=hot), ANSWER)
     answers = materialize(answers, "answers")
     bits = answers.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0]
-    shards = int(max(1, -(-bits * 8 * 3 * width // 10 // shard)))
+    shards = _tasks(bits * 8 * 3 * width // 10, min(FEW, shard), PART)
     grouped = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "shared", "hot")).alias("answers"))
     cut = blocks.join(grouped, "block", "left").mapInArrow(partial(_pieces, shards=shards, ask=ask, width=width, gram=gram), CUT)
     cut = materialize(cut, "pieces")
     discard(answers)
     pieces = cut.where("shard >= 0").select("shard", "block", "number", "sizes", "text", "low", "high")
-    found = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_resolve, width=width, gram=gram), FOUND)
+    found = pieces.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(partial(_resolve, shard=shard, width=width, gram=gram), FOUND)
     found = materialize(found, "found").groupBy("block").agg(F.collect_list(F.struct("piece", "offset", "n", "first")).alias("found"))
     own = cut.where("shard < 0").select("block", "number", "doc", "start")
     d = blocks.join(own, "block", "left").join(found, "block", "left")

@@ -220,12 +220,12 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     place, phi, out = np.arange(n, dtype=np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
     phi[sa[1:]] = sa[:-1]
     own = (phi <= 0) | (place == 0) | (t[place - 1] != t[np.maximum(phi, 1) - 1])
-    packed, at = _pack(t), 0
+    packed, at, bits = _pack(t), 0, 8 * t.itemsize
     left = np.flatnonzero(own & (phi >= 0)).astype(np.int32)
     while len(left) > 32:
         x = packed[left + at] ^ packed[phi[left] + at]
-        out[left] = at + (x < 1 << 48).astype(np.int32) + (x < 1 << 32) + (x < 1 << 16) + (x == 0)
-        left, at = left[x == 0], at + 4
+        out[left] = at + sum((x < 1 << 64 - bits * k).astype(np.int32) for k in range(1, 64 // bits + 1))
+        left, at = left[x == 0], at + 64 // bits
     for p in left.tolist():
         out[p] = at + _common(t, p + at, int(phi[p]) + at)
     last = np.maximum.accumulate(np.where(own, place, 0))

@@ -5,6 +5,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +375,56 @@ def test_windows_of_pieces_in_portions(monkeypatch):
         assert len(got) == sum(len(p) - 9 for p in pieces)
         if size == 1:
             assert all(got[i, j] == plain[key.tolist()[i], p[j : j + 10]] for i, p in enumerate(pieces) for j in range(len(p) - 9))
+
+
+def _pieces_of(texts, width, gram):
+    """Distinct pieces of the texts: minimizer, smallest and largest document."""
+    pieces = {}
+    for d, t in enumerate(texts):
+        least = exact.minimizers(np.frombuffer(t, np.uint8), width, gram)
+        edge = np.flatnonzero(np.append(True, least[1:] != least[:-1])).tolist() + [len(least)] if len(least) else []
+        for s, e in zip(edge[:-1], edge[1:]):
+            k, lo, hi = pieces.get(t[s : e + width - 1], (least[s], d, d))
+            pieces[t[s : e + width - 1]] = k, min(lo, d), max(hi, d)
+    return pieces
+
+
+def _copied(rng, letters, n=60):
+    base = rng.integers(97, 97 + letters, 6000).astype(np.uint8).tobytes()
+    cut = lambda k: base[(s := int(rng.integers(0, 5900 - k))) : s + k]
+    return [cut(120) + rng.integers(97, 97 + letters, 150).astype(np.uint8).tobytes() + cut(300) + b"z" * int(rng.integers(0, 80)) for _ in range(n)]
+
+
+def test_arrays_hold_what_stands_before_the_minimizers(monkeypatch):
+    sorted_ = []
+    whole = exact.suffix_array
+    monkeypatch.setattr(exact, "suffix_array", lambda t: sorted_.append(len(t)) or whole(t))
+    for letters in (20, 2):
+        pieces = _pieces_of(_copied(np.random.default_rng(letters), letters), 50, 16)
+        least = {}
+        for p, (_, lo, _) in pieces.items():
+            for i in range(len(p) - 49):
+                least[p[i : i + 50]] = min(least.get(p[i : i + 50], lo), lo)
+        sorted_.clear()
+        found = exact.first_documents(list(pieces), np.array([k for k, _, _ in pieces.values()]), np.array([lo for _, lo, _ in pieces.values()]), 50, 16)
+        got = {(p, i): d for p, at, n, d in zip(*(c.tolist() for c in found)) for i in range(at, at + n)}
+        assert got == {(k, i): least[p[i : i + 50]] for k, p in enumerate(pieces) for i in range(len(p) - 49)}
+        assert letters == 2 or sum(sorted_) < sum(map(len, pieces)) / 2
+
+
+def test_a_task_works_through_its_shards():
+    texts = _copied(np.random.default_rng(3), 20)
+    rows = []
+    for block, own in enumerate((range(0, 20), range(20, 40), range(40, 60))):
+        pieces = _pieces_of([texts[d] for d in own], 50, 16)
+        lo, hi = (np.array([v[k] + own[0] for v in pieces.values()]) for k in (1, 2))
+        rows.append((0, block, exact._tight(np.arange(len(pieces))), exact._tight(np.array(list(map(len, pieces)))), exact._zip(b"".join(pieces)), exact._tight(lo), exact._tight(hi)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=list("abcdefg"))
+    found = []
+    for shard in (1 << 20, 2000):
+        out = list(exact._resolve(iter([batch]), shard, 50, 16))
+        assert [b.num_rows for b in out] == [1] * len(out) and len(out) <= 3  # a row for each block, however many shards
+        found.append(sorted((b["block"][0].as_py(), *x) for b in out for x in zip(*(exact._loose(b[k][0].as_py()).tolist() for k in ("piece", "offset", "n", "first")))))
+    assert found[0] == found[1] and found[0]
+    # rows grow with blocks and tasks: 6 GB of pieces go to no more tasks than this, and small inputs to enough
+    assert exact._tasks(6 << 30, exact.FEW, exact.PART) == 128 and exact._tasks(200 << 20, exact.FEW, exact.PART) == 96 and exact._tasks(0, exact.FEW, exact.PART) == 1
