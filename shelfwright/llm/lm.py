@@ -26,15 +26,14 @@ an empty one; other columns are left out.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +43,7 @@ from .common import LOWER, fold_col, materialize, table, texts
 
 SYMBOLS, BUCKETS, GROUPS, DIM, NOISE, BATCH, LEAST, STEP = 6144, 2048, 64, 16, 16, 4096, 64, 0.15
 ROUNDS, HEAD, ROOM, LONGEST, BLOCKS, NEIGHBOURS = 2, 1 << 18, 32 << 20, 1 << 20, 16, 64
-FLUSH, PIECE = 1 << 19, 1 << 21
+FLUSH, COUNTED, PIECE, ROWS = 1 << 19, 1 << 24, 1 << 23, 1 << 10
 END = b""
 
 
@@ -55,21 +54,50 @@ def tokens(text: str) -> list[bytes]:
     return w
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts with A-Z lowered, without the ends, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, begin = parts.values.cast(pa.binary()), parts.offsets.to_numpy()
+    there = pc.greater(pc.binary_length(words), 0)  # spaces at the sides of a text leave empty strings
+    if not pc.all(there, min_count=0).as_py():
+        begin = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[begin]
+        words = words.filter(there)
+    return words, np.diff(begin).astype(np.int64)
+
+
+def _pieces(texts: pa.Array, room: int) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts, of ``room`` bytes (six for each space, if words are shorter) or a single one, and where each begins."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    spaces = sum(pc.count_substring(texts, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in " \t\n")
+    size, at = np.cumsum(np.maximum(size, 6 * spaces) + 64), 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + room, "right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held, rows, least = [], 0, FLUSH
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
+    def merged() -> pa.Table:
+        t = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return t.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks()
 
     for b in batches:
-        for t in b.column(0).to_pylist():
-            seen.update(tokens(t))
-            if len(seen) >= FLUSH:
-                yield flush()
-    if seen:
-        yield flush()
+        for _, own in _pieces(b.column(0), COUNTED):
+            seen = pc.value_counts(split(own)[0])
+            for word, n in ((seen.field("values"), seen.field("counts")), (pa.array([END]), pa.array([len(own)], pa.int64()))):
+                held.append(pa.RecordBatch.from_arrays([word, n], names=["word", "n"]))
+                rows += len(word)
+            if rows >= least:
+                t = merged()
+                if len(t) >= FLUSH:
+                    yield from t.to_batches()
+                    held, rows, least = [], 0, FLUSH
+                else:
+                    held, rows, least = t.to_batches(), len(t), len(t) + FLUSH
+    if held:
+        yield from merged().to_batches()
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -139,16 +167,39 @@ def vocabulary(counts: DataFrame, head: int = HEAD, symbols: int = SYMBOLS, buck
     return Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], total, distinct, {r["k"]: (r["n"], r["v"]) for r in classes}, symbols, buckets)
 
 
-_KNOWN: dict[bytes, dict[bytes, int]] = {}
+class Lexicon:
+    """A vocabulary as arrays, to look up all words of many texts at once."""
 
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.words = vocab, pa.array(vocab.words, pa.binary())
+        self.symbol = np.concatenate([np.arange(vocab.symbols), self._classes(self.words.slice(vocab.symbols)), [0]]).astype(np.int32)
+        self.end = self.words.index(pa.scalar(END, pa.binary())).as_py() % (len(vocab.words) + 1)  # the last, if it is none of them
 
-def _known(vocab: Vocabulary) -> dict[bytes, int]:
-    """The worker's table of symbols; that of another vocabulary makes room first."""
-    key = hashlib.sha256(b"\n".join(vocab.words) + b"%d %d" % (vocab.symbols, vocab.buckets)).digest()
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = vocab.codes()
-    return _KNOWN[key]
+    def _classes(self, words: pa.Array) -> np.ndarray:
+        tails = pc.binary_slice(words, -3).dictionary_encode()
+        return self.vocab.code(tails.dictionary.to_pylist(), {})[tails.indices.to_numpy()]
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of the texts' tokens: where each text begins, places in the vocabulary (its size for other words), symbols, and
+        of the other words: the numbers of their texts, and the words."""
+        words, n = split(texts)
+        begin, none = np.append(0, np.cumsum(n + 1)), len(self.words)
+        place = np.full(begin[-1], self.end, np.int32)
+        place[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = pc.fill_null(pc.index_in(words, value_set=self.words), none).to_numpy()
+        symbols = self.symbol[place]
+        miss = np.flatnonzero(place == none)
+        text = np.searchsorted(begin, miss, "right") - 1
+        at = np.where(miss + 1 == begin[text + 1], len(words), miss - text)  # an end stands after each text before
+        others = pa.concat_arrays([words, pa.array([END])]).take(pa.array(at))
+        symbols[miss] = self._classes(others)
+        return begin[:-1], place, symbols, text, others
+
+
+def contexts(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that; the end stands before a text's first word, twice."""
+    h1, h2 = np.roll(symbols, 1), np.roll(symbols, 2)  # before a text stands the end of another
+    h2[begin] = symbols[-1:]
+    return h1, h2
 
 
 class Model:
@@ -172,27 +223,50 @@ class Model:
 
     def log_probabilities(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probability of each w after its context."""
-        out = np.empty(len(w), np.float64)
+        g, slot = w % GROUPS, w // GROUPS
+        order = _order(g, GROUPS)
+        h1, h2, g, slot = h1[order], h2[order], g[order], slot[order]
+        p = self._groups(h1, h2, g)
         words = np.ascontiguousarray(self.q.reshape(-1, GROUPS, self.q.shape[1]).transpose(1, 2, 0))  # per group, columns of its symbols
-        for at in range(0, len(w), 1 << 15):
-            own = slice(at, at + (1 << 15))
-            g = w[own] % GROUPS
-            order = np.argsort(g, kind="stable")
-            g, slot = g[order], w[own][order] // GROUPS
-            a = self.a1[h1[own][order], :-1] + self.a2[h2[own][order], :-1]
-            p = _log_softmax(a @ self.r[:, :-1].T + self.r[:, -1], g)
-            edge = np.flatnonzero(np.append(True, np.diff(g) != 0))
-            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(g)]):
-                x = words[g[s]]
-                p[s:e] += _log_softmax(a[s:e] @ x[:-1] + x[-1], slot[s:e])
-            out[at + order] = p
+        edge = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+        for x, first, last in zip(words, edge, edge[1:]):
+            for s in range(first, last, ROWS):
+                e = min(s + ROWS, last)
+                a = self.a1.take(h1[s:e], axis=0) + self.a2.take(h2[s:e], axis=0)
+                a[:, -1] = 1  # so that products add the bias
+                p[s:e] += _log_softmax(a @ x, slot[s:e])
+        out = np.empty(len(w), np.float64)
+        out[order] = p
+        return out
+
+    def _groups(self, h1: np.ndarray, h2: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Logarithms of the groups' probabilities. A group's score is the sum of what either word gives, so its exponential
+        is the product of two that are computed once for each symbol."""
+        u1, u2 = self.a1[:, :-1] @ self.r[:, :-1].T, self.a2[:, :-1] @ self.r[:, :-1].T + self.r[:, -1]
+        u1 -= u1.max(axis=1, keepdims=True)
+        u2 -= u2.max(axis=1, keepdims=True)
+        e1, e2 = np.exp(u1), np.exp(u2)
+        out = np.empty(len(g), np.float64)
+        for s in range(0, len(g), ROWS):
+            x, y, z = h1[s : s + ROWS], h2[s : s + ROWS], g[s : s + ROWS]
+            total = np.einsum("ij,ij->i", e1.take(x, axis=0), e2.take(y, axis=0))
+            own = u1.take(x * GROUPS + z) + u2.take(y * GROUPS + z) - np.log(np.maximum(total, 1e-30))
+            odd = np.flatnonzero(~(total > 1e-30))  # where the products are too small for floats of this size
+            if len(odd):
+                own[odd] = _log_softmax(u1[x[odd]] + u2[y[odd]], z[odd])
+            out[s : s + ROWS] = own
         return out
 
 
+def _order(keys: np.ndarray, limit: int) -> np.ndarray:
+    """A stable order of keys below ``limit``; small ones are dealt by their digits."""
+    return np.argsort(keys.astype(np.uint16) if limit <= 1 << 16 else keys, kind="stable")
+
+
 def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
     own = s[np.arange(len(s)), pick]
     with np.errstate(over="ignore"):
-        total = np.exp(s).sum(axis=1)
+        total = np.exp(s) @ np.ones(s.shape[1], s.dtype)
     odd = ~((total > 1e-30) & (total < 1e30))
     if odd.any():  # outside of what floats of this size hold well
         top = s[odd].max(axis=1)
@@ -220,39 +294,71 @@ class Trainer:
 
     def step(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
         m, size = self.m, self.m.size
-        order = np.argsort(w % GROUPS, kind="stable")
-        h1, h2, w = h1[order], h2[order], w[order]
-        g = w % GROUPS
-        a = m.a1[h1] + m.a2[h2]
+        slots = size // GROUPS
+        key = w % GROUPS * slots + w // GROUPS  # by group, and by word in it
+        order = _order(key, size)
+        h1, h2, w, key = h1[order], h2[order], w[order], key[order]
+        each = np.bincount(w % GROUPS, minlength=GROUPS)
+        there = np.flatnonzero(each)
+        edge = np.append(0, np.cumsum(each[there])).tolist()
+        begin = np.flatnonzero(np.append(True, np.diff(key) != 0))
+        words, times = w[begin], np.diff(np.append(begin, len(w)))
+        a = m.a1.take(h1, axis=0) + m.a2.take(h2, axis=0)
         a[:, -1] = 1  # so that products add the bias
         noise = np.minimum(np.searchsorted(self.groups, self.rng.random(NOISE) * self.groups[-1]), GROUPS - 1)
-        r, q, rn = m.r[g], m.q[w], m.r[noise]
-        good_g = _sigmoid((a * r).sum(axis=1) - self.log_group[g]) - 1
-        good_w = _sigmoid((a * q).sum(axis=1) - self.log_word[w]) - 1
-        bad = _sigmoid(a @ rn.T - self.log_group[noise])
-        ga = good_g[:, None] * r + good_w[:, None] * q + bad @ rn
-        edge = np.flatnonzero(np.append(True, np.diff(g) != 0))
-        there = g[edge]
         drawn = self.begin[there][:, None] + self.rng.random((len(there), NOISE)) * self.mass[there][:, None]
         drawn = np.minimum(np.searchsorted(self.words, drawn), len(self.words) - 1)
-        slots = size // GROUPS
         drawn = drawn % slots * GROUPS + drawn // slots
-        against = np.empty((len(there), NOISE, a.shape[1]), np.float32)
-        for k, (s, e) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(g)])):
-            qn = m.q[drawn[k]]
-            x = _sigmoid(a[s:e] @ qn.T - self.log_word[drawn[k]])
-            ga[s:e] += x @ qn
-            against[k] = x.T @ a[s:e]
+        q, rn = np.repeat(m.q.take(words, axis=0), times, axis=0), m.r[noise]
+        good = _sigmoid(np.einsum("ij,ij->i", a, q) - self.log_word[w]) - 1
+        bad = _sigmoid(a @ rn.T - self.log_group[noise])
+        rows = np.concatenate([m.q[drawn], m.r[there][:, None]], axis=1)  # per group its noise words, and itself
+        less = rows.copy()
+        less[:, :-1, -1] -= self.log_word[drawn]
+        less[:, -1, -1] -= self.log_group[there]
+        x = np.empty((len(w), NOISE + 1), np.float32)
+        for k, (s, e) in enumerate(zip(edge, edge[1:])):
+            np.matmul(a[s:e], less[k].T, out=x[s:e])
+        x = _sigmoid(x)
+        x[:, -1] -= 1
+        ga, against = bad @ rn, np.empty((len(there), NOISE + 1, a.shape[1]), np.float32)
+        for k, (s, e) in enumerate(zip(edge, edge[1:])):
+            ga[s:e] += x[s:e] @ rows[k]
+            np.matmul(x[s:e].T, a[s:e], out=against[k])
+        ga += np.multiply(q, good[:, None], out=q)
         ga[:, -1] = 0
-        at = np.concatenate([h1, size + h2, 2 * size + w, 3 * size + g, 3 * size + noise, 2 * size + drawn.ravel()])
-        grad = np.concatenate([ga, ga, good_w[:, None] * a, good_g[:, None] * a, bad.T @ a, against.reshape(-1, a.shape[1])])
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.append(True, np.diff(at) != 0))
-        used, grad = at[first], np.add.reduceat(grad[order], first, axis=0)
-        self.sums[used] += (grad * grad).mean(axis=1)
-        m.rows[used] -= self.rate * grad / np.sqrt(self.sums[used])[:, None]
-        self.met[used] += np.diff(np.append(first, len(at)))
+        of_groups = np.zeros((GROUPS, a.shape[1]), np.float32)
+        of_groups[there] = against[:, -1]
+        np.add.at(of_groups, noise, bad.T @ a)
+        each += np.bincount(noise, minlength=GROUPS)
+        group = np.flatnonzero(each)
+        a *= good[:, None]
+        parts = [
+            _summed(h1, ga, size),
+            _summed(h2, ga, size),
+            _summed(np.concatenate([w, drawn.ravel()]), np.concatenate([a, against[:, :-1].reshape(-1, a.shape[1])]), size),
+            (group, of_groups[group], each[group]),
+        ]
+        used = np.concatenate([at + k * size for k, (at, _, _) in enumerate(parts)])
+        grad = np.concatenate([x for _, x, _ in parts])
+        sums = self.sums[used] + np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        self.sums[used] = sums
+        grad *= (self.rate / np.sqrt(sums))[:, None]
+        m.rows[used] = m.rows.take(used, axis=0) - grad
+        self.met[used] += np.concatenate([n for _, _, n in parts])
+
+
+def _summed(at: np.ndarray, rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places met, the sums of their rows, and how often they were met."""
+    order = _order(at, limit)
+    at = at[order]
+    first = np.flatnonzero(np.append(True, np.diff(at) != 0))
+    met = np.diff(np.append(first, len(at)))
+    out, many = rows.take(order[first], axis=0), met > 1  # most places are met once
+    if many.any():
+        begin = np.append(0, np.cumsum(met[many])[:-1])
+        out[many] = np.add.reduceat(rows.take(order[np.repeat(many, met)], axis=0), begin, axis=0)
+    return at[first].astype(np.int64), out, met
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -268,7 +374,7 @@ COPY = "block long, task long, pairs long, met binary, values binary"
 
 
 def _train(batches: Iterator[pa.RecordBatch], model: Model, vocab: Vocabulary, seed: int, step: float) -> Iterator[pa.RecordBatch]:
-    task, known = TaskContext.get().partitionId(), None
+    task, lexicon = TaskContext.get().partitionId(), None
     trainer, pairs, held, size = Trainer(model, vocab.unigram, seed * 1_000_003 + task, step), 0, [], 0
 
     def run(batch: int, least: int) -> None:
@@ -282,15 +388,16 @@ def _train(batches: Iterator[pa.RecordBatch], model: Model, vocab: Vocabulary, s
         held, size = [tuple(x[order[n:]] for x in every)], size - n
 
     for b in batches:
-        known = _known(vocab) if known is None else known
-        for t in b.column(0).to_pylist():
-            code = vocab.code(tokens(t), known)
-            second = np.roll(code, 2)  # the end stands before the first word, twice
-            second[0] = code[-1]
-            held.append((np.roll(code, 1), second, code))
-            size += len(code)
-            if size >= 16 * BATCH:
-                run(BATCH, BATCH)
+        lexicon = lexicon or Lexicon(vocab)
+        for _, own in _pieces(b.column(0), PIECE):
+            begin, _, symbols, _, _ = lexicon.read(own)
+            every, at = (*contexts(symbols, begin), symbols), 0
+            for stop in [*begin[1:].tolist(), len(symbols)]:
+                if size + stop - at >= 16 * BATCH or stop == len(symbols):
+                    held.append(tuple(x[at:stop] for x in every))
+                    at, size = stop, size + stop - at
+                    if size >= 16 * BATCH:
+                        run(BATCH, BATCH)
     if size:
         run(min(BATCH, max(LEAST, size // 64)), 1)
     if pairs:
@@ -339,53 +446,33 @@ SCORED = "doc_id long, n_tokens long, known long, counts double, probability dou
 
 class Scorer:
     def __init__(self, vocab: Vocabulary, model: Model):
-        self.vocab, self.model = vocab, model
-        self.index = {w: i for i, w in enumerate(vocab.words)}
+        self.vocab, self.model, self.lexicon = vocab, model, Lexicon(vocab)
         self.logs = np.append(np.log10(vocab.counts + 0.5), 0.0)
-        known = vocab.codes()
-        self.symbol = np.append(np.fromiter((known[w] for w in vocab.words), np.int32, len(vocab.words)), np.int32(0))
-        self.start = int(vocab.code([END], known)[0])
-
-    def score(self, texts: list[str]) -> list[tuple]:
-        """Per text: tokens, of them in the head, sum of the head's log10(c + 0.5), log10 probability without the others' counts, other words, and how often."""
-        words = [tokens(t) for t in texts]
-        n = np.array([len(w) for w in words])
-        begin = np.append(0, np.cumsum(n))[:-1]
-        none, vocab = len(self.logs) - 1, self.vocab
-        code = np.fromiter((i for w in words for i in map(self.index.get, w, repeat(none))), np.int64, int(n.sum()))
-        head = code < none
-        logs, w = self.logs[code], self.symbol[code]
-        others = [Counter() for _ in texts]
-        for k in np.flatnonzero(~head).tolist():
-            d = int(np.searchsorted(begin, k, "right")) - 1
-            word = words[d][k - int(begin[d])]
-            others[d][word] += 1
-            w[k] = vocab.symbols + bucket(word, vocab.buckets)
-        h1, h2 = np.roll(w, 1), np.roll(w, 2)
-        h1[begin] = h2[begin] = h2[np.minimum(begin + 1, begin + n - 1)] = self.start
-        p = self.model.log_probabilities(h1, h2, w) * np.log10(np.e)
+        self.start = int(self.lexicon.read(pa.array([""]))[2][0])
+
+    def score(self, texts: pa.Array) -> list[pa.Array]:
+        """Columns, per text: tokens, of them in the head, sum of the head's log10(c + 0.5), log10 probability without the others' counts, other words, and how often."""
+        vocab = self.vocab
+        begin, place, w, text, others = self.lexicon.read(texts)
+        logs = self.logs[place]
+        p = self.model.log_probabilities(*contexts(w, begin), w) * np.log10(np.e)
         rare = w >= vocab.symbols
         p[rare] += logs[rare] - vocab.log_bucket[w[rare] - vocab.symbols]
-        known, counts, prob = (np.add.reduceat(x, begin) for x in (head.astype(np.int64), logs, p))
-        return [(int(a), int(b), float(c), float(e), list(o), list(o.values())) for a, b, c, e, o in zip(n, known, counts, prob, others)]
+        known, counts, prob = (np.add.reduceat(x, begin) for x in ((place < len(vocab.words)).astype(np.int64), logs, p))
+        others = others.dictionary_encode()
+        pair, times = np.unique(text * max(1, len(others.dictionary)) + others.indices.to_numpy(), return_counts=True)
+        text, word = np.divmod(pair, max(1, len(others.dictionary)))
+        at = pa.array(np.searchsorted(text, np.arange(len(begin) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, x) for x in (others.dictionary.take(pa.array(word)), pa.array(times, pa.int64()))]
+        return [pa.array(np.diff(np.append(begin, len(w)))), pa.array(known), pa.array(counts), pa.array(prob), *lists]
 
 
 def _score(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, model: Model) -> Iterator[pa.RecordBatch]:
     scorer = None
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     for b in batches:
         scorer = scorer or Scorer(vocab, model)
-        ids, every = b.column(0).to_pylist(), b.column(1).to_pylist()
-        at = 0
-        while at < len(every):
-            stop, size = at, 0
-            while stop < len(every) and size < PIECE:
-                size += len(every[stop]) + 64
-                stop += 1
-            found = scorer.score(every[at:stop])
-            cols = [pa.array(c, t) for c, t in zip(zip(*found), types)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at:stop], pa.int64()), *cols], names=["doc_id", "n_tokens", "known", "counts", "probability", "others", "times"])
-            at = stop
+        for at, own in _pieces(b.column(1), PIECE):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(own)), *scorer.score(own)], names=["doc_id", "n_tokens", "known", "counts", "probability", "others", "times"])
 
 
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
