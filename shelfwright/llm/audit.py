@@ -1,7 +1,7 @@
 """Where the sources of a language diverge, term by term, from byte tries that partitions count in and ranges merge.
 
 1. Each task counts terms in a byte radix trie for each language: a leaf has a counter of occurrences and of documents for
-   each source. A trie that grows beyond ``LEAVES`` is handed on and begun anew.
+   each source. Few leaves below a node are one table, which becomes a node as it grows. A trie that grows beyond ``LEAVES`` is handed on and begun anew.
 2. Tries are handed on as subtries, one for each prefix of ``DEPTH`` bytes. Where the subtries of one prefix hold more than
    ``ROOM`` leaves over all tasks, they are cut again, two bytes deeper, until none does. So no prefix, however common, is
    more than a task takes, and a term in every document is one leaf for each trie.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,8 @@ from .common import batch, materialize, small, table
 
 #: Leaves of a task's tries, of all subtries of a prefix, and bytes of the first prefixes.
 LEAVES, ROOM, DEPTH = 1 << 18, 1 << 15, 3
+#: Leaves that a trie in memory keeps in one table before it gives them a node.
+TABLE = 256
 #: Bytes of text counted at once; counters of a block of terms, or more, if its sources make more pairs; cells of terms by sources compared at once; sources whose pairs one task sums.
 SLICE, ENTRIES, CELLS, TILE = 1 << 22, 1 << 14, 1 << 20, 256
 
@@ -50,7 +51,11 @@ _FOUND = pa.schema([("lang", pa.string()), ("part", pa.string()), ("source", pa.
 
 
 class Trie:
-    """Byte radix trie that numbers its leaves. A node is [label, number of its leaf or -1, children by first byte]."""
+    """Byte radix trie that numbers its leaves. A node is [label, number of its leaf or -1, children by first byte].
+
+    A child with ``TABLE`` leaves or fewer is a table from what is left of its terms, first byte included, to their numbers;
+    one more, and it becomes a node whose label is what its terms begin with, with tables below (a burst trie).
+    """
 
     def __init__(self):
         self.root, self.size = [b"", -1, {}], 0
@@ -62,13 +67,20 @@ class Trie:
             kids, c = node[2], term[i]
             kid = kids.get(c)
             if kid is None:
-                kids[c] = [term[i:], self.size, {}]
-                self.size += 1
-                return self.size - 1
+                kid = kids[c] = {}
+            if type(kid) is dict:
+                rest = term[i:]
+                number = kid.get(rest)
+                if number is None:
+                    number = kid[rest] = self.size
+                    self.size += 1
+                    if len(kid) > TABLE:
+                        kids[c] = _node(kid)
+                return number
             label = kid[0]
             m = len(label)
             if m > 1 and not term.startswith(label, i):
-                m = next((k for k, (a, b) in enumerate(zip(label, term[i:])) if a != b), n - i)
+                m = _common(label, term[i : i + m])
                 mid = kids[c] = [label[:m], -1, {label[m]: kid}]
                 kid[0], kid = label[m:], mid
             node, i = kid, i + m
@@ -80,12 +92,31 @@ class Trie:
         """Terms in the order of their bytes, with the numbers of their leaves."""
         todo = [(b"", self.root)]
         while todo:
-            above, (label, number, kids) = todo.pop()
+            above, node = todo.pop()
+            if type(node) is dict:
+                rests = sorted(node)
+                yield from zip(map(above.__add__, rests), map(node.__getitem__, rests))
+                continue
+            label, number, kids = node
             here = above + label
             if number >= 0:
                 yield here, number
-            if kids:
-                todo += [(here, kids[c]) for c in sorted(kids, reverse=True)]
+            todo += [(here, kids[c]) for c in sorted(kids, reverse=True)]
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """The number of bytes that both begin with."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _node(leaves: dict[bytes, int]) -> list:
+    """The node of a table that has grown too large."""
+    low = min(leaves)
+    m = _common(low, max(leaves))
+    node = [low[:m], leaves.pop(low[:m], -1), {}]
+    for rest, number in leaves.items():
+        node[2].setdefault(rest[m], {})[rest[m:]] = number
+    return node
 
 
 class Leaves:
@@ -124,6 +155,10 @@ class Leaves:
         return [t for t, _ in walked], key // max(1, len(self.names)), key % max(1, len(self.names)), np.add.reduceat(n[order], starts), np.add.reduceat(docs[order], starts)
 
 
+def _bytes(values: pa.Array) -> list[bytes]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _split(text: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct terms of the texts, and for each occurrence the number of its term and of its text."""
     _, offsets, data = text.buffers()
@@ -132,7 +167,7 @@ def _split(text: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     coded = found.flatten().dictionary_encode()
     code = coded.indices.to_numpy()
     of = np.repeat(np.arange(len(text)), pc.list_value_length(found).to_numpy())
-    terms = coded.dictionary.cast(pa.binary()).to_pylist()
+    terms = _bytes(coded.dictionary.cast(pa.binary()))
     if b"" in terms:
         some = code != terms.index(b"")
         code, of = code[some], of[some]
@@ -148,8 +183,9 @@ def _count(leaves: Leaves, text: pa.Array, source: np.ndarray) -> None:
     first = np.flatnonzero(np.diff(key, prepend=-1))  # of each term in each text
     times, which, by = np.diff(first, append=len(key)), key[first] // len(text), source[key[first] % len(text)]
     new = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(by, prepend=-1) != 0))
-    used, at = np.unique(which[new], return_inverse=True)
-    leaves.add([terms[i] for i in used.tolist()], at, by[new], np.add.reduceat(times, new), np.diff(new, append=len(first)))
+    which, by = which[new], by[new]
+    other = np.diff(which, prepend=-1) != 0
+    leaves.add([terms[i] for i in which[other].tolist()], np.cumsum(other) - 1, by, np.add.reduceat(times, new), np.diff(new, append=len(first)))
 
 
 def _subtries(lang: str, leaves: Leaves, depth: int, above: bytes = b"") -> Iterator[pa.RecordBatch]:
@@ -162,15 +198,17 @@ def _subtries(lang: str, leaves: Leaves, depth: int, above: bytes = b"") -> Iter
     starts = [0, *(i for i in range(1, len(terms)) if prefixes[i] != prefixes[i - 1]), len(terms)]
     bounds = np.searchsorted(leaf, starts)
     many = np.bincount(leaf, minlength=len(terms))
-    own = [np.unique(source[i:j], return_inverse=True) for i, j in pairwise(bounds.tolist())]
+    of = np.repeat(np.arange(len(starts) - 1), np.diff(bounds))
+    own, source = np.unique(of * len(names) + source, return_inverse=True)
+    sources = np.bincount(own // len(names), minlength=len(starts) - 1)
     ends = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
     leaf_ends, counter_ends = pa.array(starts, pa.int32()), pa.array(bounds, pa.int32())
     yield pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(own)), pa.array([prefixes[i] for i in starts[:-1]], pa.binary()), pa.array(np.diff(starts), pa.int32()),
-        pa.ListArray.from_arrays(ends([len(u) for u, _ in own]), pa.array([names[x] for u, _ in own for x in u.tolist()], pa.string())),
+        pa.array([lang] * len(sources)), pa.array([prefixes[i] for i in starts[:-1]], pa.binary()), pa.array(np.diff(starts), pa.int32()),
+        pa.ListArray.from_arrays(ends(sources), pa.array(names, pa.string()).take(pa.array(own % len(names)))),
         pa.ListArray.from_arrays(leaf_ends, pa.array([(above + t)[depth:] for t in terms], pa.binary())),
         pa.ListArray.from_arrays(leaf_ends, pa.array(many, pa.int32())),
-        pa.ListArray.from_arrays(counter_ends, pa.array(np.concatenate([x for _, x in own]), pa.int32())),
+        pa.ListArray.from_arrays(counter_ends, pa.array(source - (np.cumsum(sources) - sources)[of], pa.int32())),
         pa.ListArray.from_arrays(counter_ends, pa.array(n)), pa.ListArray.from_arrays(counter_ends, pa.array(docs)),
     ], schema=_TRIE)
 
@@ -208,8 +246,11 @@ def _read(row: dict, into: Leaves, above: bytes = b"") -> None:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
+        plain = {name: b.column(name).to_pylist() for name in ("lang", "prefix")}
+        lists = {name: (b.column(name).offsets.to_pylist(), b.column(name).values) for name in ("sources", "rest", *_NUMBERS)}
         for i in range(len(b)):  # one subtrie in memory at a time
-            yield {name: b.column(k)[i].values.to_numpy() if name in _NUMBERS else b.column(k)[i].as_py() for k, name in enumerate(_TRIE.names)}
+            own = {name: values.slice(ends[i], ends[i + 1] - ends[i]) for name, (ends, values) in lists.items()}
+            yield {name: x[i] for name, x in plain.items()} | {name: x.to_numpy() if name in _NUMBERS else x.to_pylist() if name == "sources" else _bytes(x) for name, x in own.items()}
 
 
 def _deeper(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -235,21 +276,21 @@ def subtries(docs: DataFrame, depth: int = DEPTH, room: int = ROOM, leaves: int
         cut = materialize(hot.mapInArrow(partial(_deeper, depth=depth), _TRIE_DDL), "tries")
 
 
-def _kept(prefix: bytes, leaves: Leaves, least: int) -> tuple[list[bytes], np.ndarray, list[str], np.ndarray]:
+def _kept(prefix: bytes, leaves: Leaves, least: int) -> tuple[list[bytes], np.ndarray, pa.Array, np.ndarray]:
     """The terms in ``least`` documents or more, and (number of the term, source, occurrences) of each."""
     terms, leaf, source, n, docs = leaves.sorted()
     many = np.bincount(leaf, docs, len(terms)) >= least
-    some, place, names = many[leaf], np.cumsum(many) - 1, list(leaves.names)
-    return [prefix + t for t, x in zip(terms, many.tolist()) if x], place[leaf[some]], [names[x] for x in source[some].tolist()], n[some]
+    some, place = many[leaf], np.cumsum(many) - 1
+    return [prefix + t for t, x in zip(terms, many.tolist()) if x], place[leaf[some]], pa.array(list(leaves.names), pa.string()).take(pa.array(source[some])), n[some]
 
 
-def _block(lang: str, held: list[tuple[list[bytes], np.ndarray, list[str], np.ndarray]]) -> pa.RecordBatch:
+def _block(lang: str, held: list[tuple[list[bytes], np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
     terms = [t.decode("utf-8", "replace") for x in held for t in x[0]]
     shift = np.cumsum([0, *(len(x[0]) for x in held)])
     place, n = np.concatenate([x[1] + s for x, s in zip(held, shift)]), np.concatenate([x[3] for x in held])
     total = np.zeros(len(terms), np.int64)
     np.add.at(total, place, n)
-    return batch(_KEPT, {"lang": [lang] * len(n), "block": [terms[0]] * len(n), "place": place, "term": [terms[x] for x in place.tolist()], "source": [s for x in held for s in x[2]], "n": n, "total": total[place]})
+    return batch(_KEPT, {"lang": [lang] * len(n), "block": [terms[0]] * len(n), "place": place, "term": pa.array(terms, pa.string()).take(pa.array(place)), "source": pa.concat_arrays([x[2] for x in held]), "n": n, "total": total[place]})
 
 
 def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -260,7 +301,7 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         if kept[0]:
             held.append(kept)
             size += len(kept[3])
-            sources.update(kept[2])
+            sources.update(kept[2].unique().to_pylist())
         if held and (last or size > max(ENTRIES, len(sources) * min(len(sources), TILE))):
             yield _block(lang, held)
             held, size, sources = [], 0, set()
@@ -301,10 +342,9 @@ def _compare(leaves: pa.Table, totals: pa.Table, top: int) -> pa.Table:
     out: list[tuple[str, str, str, int]] = []
     if len(leaves):
         lang, kept, lang_size = totals["lang"][0].as_py(), totals["kept"][0].as_py(), totals["lang_size"][0].as_py()
-        at = {s: i for i, s in enumerate(names)}
         leaves = leaves.sort_by("place")
         place, n, total = (leaves[c].to_numpy() for c in ("place", "n", "total"))
-        source = np.fromiter(map(at.__getitem__, leaves["source"].to_pylist()), np.int64, len(place))
+        source = pc.index_in(leaves["source"], pa.array(names, pa.string())).to_numpy()
         sums = np.zeros((len(names), len(names)), np.int64)
         step = max(1, CELLS // len(names))
         for low in range(0, int(place[-1]) + 1, step):

@@ -110,3 +110,31 @@ def test_a_merge_asks_the_trie_once_for_each_term(monkeypatch):
     terms = [t for b in seen for x in b["text"].to_pylist() for t in x.decode().split()]
     assert len(asked) == len(set(terms)) and sum(rows["n"].to_pylist()) == len(terms)
     assert {(t, n) for t, n in zip(rows["term"].to_pylist(), rows["total"].to_pylist())} == {(t, terms.count(t)) for t in terms}
+
+
+def test_few_leaves_are_one_table():
+    """A trie makes a node for tables that grow, not for each term, and still numbers and orders every term."""
+    rng = random.Random(4)
+    words = list({bytes(rng.choices(b"abcdefghij\xc3\xa9", k=rng.randint(1, 9))) for _ in range(20000)} | {b"a" * k for k in range(1, 900)})
+    trie = audit.Trie()
+    numbers = {w: trie.leaf(w) for w in words}
+    assert sorted(numbers.values()) == list(range(len(words))) and [trie.leaf(w) for w in words] == list(numbers.values())
+    assert list(trie.walk()) == sorted(numbers.items())
+    nodes, todo = 0, [trie.root]
+    while todo:
+        node = todo.pop()
+        nodes += 1
+        todo += [kid for kid in node[2].values() if isinstance(kid, list)]
+    assert nodes < len(words) / 10
+
+
+def test_terms_below_and_inside_a_label(monkeypatch):
+    """Tables that grow beneath long labels, and later terms that end in or leave those labels."""
+    rng = random.Random(5)
+    for table in (1, 2, 5):
+        monkeypatch.setattr(audit, "TABLE", table)
+        words = [b"", *(b"common" * 4 + bytes(rng.choices(b"ab\xff", k=rng.randint(0, 5))) for _ in range(60)), *((b"common" * 4)[:k] + b"x" for k in range(24)), *((b"common" * 4)[:k] for k in range(24))]
+        trie, numbers = audit.Trie(), {}
+        for w in [*words, *words]:
+            assert numbers.setdefault(w, len(numbers)) == trie.leaf(w)
+        assert list(trie.walk()) == sorted(numbers.items()) and trie.size == len(numbers)
